@@ -1,0 +1,20 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Tables with at most this many rows are sent whole to every task.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its row count.
+
+    The check reads at most ``max_rows + 1`` rows. A larger side is
+    returned unchanged, so the planner falls back to a shuffle join (and
+    AQE may still convert it at run time).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
