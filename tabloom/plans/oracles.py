@@ -106,3 +106,59 @@ oracle("payload_bytes", union(
      if c in _WIDTH else
      f"SELECT '{c}' AS \"column\", CAST(coalesce(sum(strlen({c})), 0) AS BIGINT) AS n_bytes FROM lineitem"
      for c in LINEITEM_ALL]))
+
+
+# ── cleaning ─────────────────────────────────────────────────────────────────
+
+oracle("drop_sparse_columns", DIRTY + "SELECT l_orderkey, l_linenumber, price, flag, target FROM dirty")
+oracle("dedup_rows", DIRTY + "SELECT DISTINCT * FROM dirty")
+oracle("duplicates_removed", DIRTY + """
+SELECT count(*) AS n_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS n_after,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicates_removed
+FROM dirty""")
+oracle("drop_null_target", DIRTY + "SELECT * FROM dirty WHERE target IS NOT NULL")
+
+CLEAN_CHAIN = DIRTY + """,
+d1 AS (SELECT DISTINCT l_orderkey, l_linenumber, price, flag, target FROM dirty),
+d2 AS (SELECT * FROM d1 WHERE target IS NOT NULL),
+med AS (SELECT quantile_cont(price, 0.5) AS m FROM d2),
+d3 AS (SELECT l_orderkey, l_linenumber, coalesce(price, (SELECT m FROM med)) AS price, flag, target
+       FROM d2),
+md AS (SELECT flag FROM d3 WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1),
+d4 AS (SELECT l_orderkey, l_linenumber, price, coalesce(flag, (SELECT flag FROM md)) AS flag, target
+       FROM d3),
+qs AS (""" + union([f"SELECT '{c}' AS \"column\", quantile_cont({c}, 0.25) AS q1, "
+                    f"quantile_cont({c}, 0.75) AS q3 FROM d4"
+                    for c in ["l_orderkey", "l_linenumber", "price"]]) + """),
+bnd AS (SELECT "column", q1, q3, q3 - q1 AS iqr, q1 - 3.0 * (q3 - q1) AS lower,
+               q3 + 3.0 * (q3 - q1) AS upper FROM qs),
+cnt AS (""" + union([f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} < lower OR {c} > upper) "
+                     f"AS n FROM d4, bnd WHERE bnd.\"column\" = '{c}'"
+                     for c in ["l_orderkey", "l_linenumber", "price"]]) + """),
+pb AS (SELECT lower, upper FROM bnd WHERE "column" = 'price'),
+d5 AS (SELECT l_orderkey, l_linenumber,
+         CASE WHEN price IS NULL THEN NULL ELSE greatest(least(price, (SELECT upper FROM pb)),
+              (SELECT lower FROM pb)) END AS price, flag, target FROM d4)
+"""
+
+oracle("impute_median", CLEAN_CHAIN + "SELECT * FROM d3")
+oracle("impute_mode", CLEAN_CHAIN + "SELECT * FROM d4")
+oracle("quartiles", CLEAN_CHAIN + """
+SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr FROM bnd""")
+oracle("outlier_count", CLEAN_CHAIN + """
+SELECT cnt."column", n AS n_outliers FROM cnt JOIN bnd ON cnt."column" = bnd."column"
+WHERE iqr <> 0""")
+oracle("iqr_clip", CLEAN_CHAIN + """
+SELECT l_orderkey, l_linenumber, round(price, 4) AS price, flag, target FROM d5""")
+oracle("clip_bounds", CLEAN_CHAIN + """
+SELECT bnd."column", round(lower, 4) AS lower, round(upper, 4) AS upper, n AS n_clipped
+FROM bnd JOIN cnt ON bnd."column" = cnt."column" WHERE iqr <> 0 AND n > 0""")
+oracle("cleaning_report", CLEAN_CHAIN + """
+SELECT (SELECT count(*) FROM dirty) AS rows_before, (SELECT count(*) FROM d5) AS rows_after,
+  (SELECT count(*) FROM dirty) - (SELECT count(*) FROM d5) AS rows_dropped,
+  (SELECT count(*) FROM dirty) - (SELECT count(*) FROM d1) AS duplicates_removed,
+  (SELECT count(*) FROM d1) - (SELECT count(*) FROM d2) AS target_missing_dropped,
+  ['sparse'] AS columns_dropped, ['price'] AS columns_imputed_numeric,
+  ['flag'] AS columns_imputed_categorical,
+  (SELECT list("column" ORDER BY "column") FROM bnd JOIN cnt USING ("column")
+   WHERE iqr <> 0 AND n > 0) AS columns_clipped""")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators import profile
+from tabloom.operators import clean, profile
 from tabloom.sources.tables import dirty_lineitem, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,77 @@ def q_structure_report(spark, sf):
 @register("payload_bytes")
 def q_payload_bytes(spark, sf):
     return profile.payload_bytes(load(spark, sf, "lineitem"))
+
+
+# ── cleaning ─────────────────────────────────────────────────────────────────
+
+DIRTY_CLIP_COLUMNS = ["l_orderkey", "l_linenumber", "price"]
+
+
+def _clean_base(spark, sf):
+    """dirty → drop sparse columns → dedup → drop missing target."""
+    d = clean.drop_sparse_columns(dirty_lineitem(spark, sf), "target")
+    return clean.drop_null_target(clean.dedup_rows(d), "target")
+
+
+def _imputed(spark, sf):
+    t, _ = clean.impute_median(_clean_base(spark, sf))
+    t, _ = clean.impute_mode(t)
+    return t
+
+
+@register("drop_sparse_columns")
+def q_drop_sparse_columns(spark, sf):
+    return clean.drop_sparse_columns(dirty_lineitem(spark, sf), "target")
+
+
+@register("dedup_rows")
+def q_dedup_rows(spark, sf):
+    return clean.dedup_rows(dirty_lineitem(spark, sf))
+
+
+@register("duplicates_removed")
+def q_duplicates_removed(spark, sf):
+    return clean.duplicates_removed(dirty_lineitem(spark, sf))
+
+
+@register("drop_null_target")
+def q_drop_null_target(spark, sf):
+    return clean.drop_null_target(dirty_lineitem(spark, sf), "target")
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    t, _ = clean.impute_median(_clean_base(spark, sf))
+    return t
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    return _imputed(spark, sf)
+
+
+@register("quartiles")
+def q_quartiles(spark, sf):
+    return round_floats(clean.quartiles(_imputed(spark, sf), DIRTY_CLIP_COLUMNS))
+
+
+@register("outlier_count")
+def q_outlier_count(spark, sf):
+    return clean.outlier_count(_imputed(spark, sf), DIRTY_CLIP_COLUMNS)
+
+
+@register("iqr_clip")
+def q_iqr_clip(spark, sf):
+    return round_floats(clean.clean_table(dirty_lineitem(spark, sf), "target").table)
+
+
+@register("clip_bounds")
+def q_clip_bounds(spark, sf):
+    return clean.clean_table(dirty_lineitem(spark, sf), "target").clip_bounds
+
+
+@register("cleaning_report")
+def q_cleaning_report(spark, sf):
+    r = clean.clean_table(dirty_lineitem(spark, sf), "target").report
+    return clean.cleaning_report_frame(spark, r)
