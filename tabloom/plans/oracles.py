@@ -162,3 +162,113 @@ SELECT (SELECT count(*) FROM dirty) AS rows_before, (SELECT count(*) FROM d5) AS
   ['flag'] AS columns_imputed_categorical,
   (SELECT list("column" ORDER BY "column") FROM bnd JOIN cnt USING ("column")
    WHERE iqr <> 0 AND n > 0) AS columns_clipped""")
+
+
+# ── features ─────────────────────────────────────────────────────────────────
+
+ORDER_FEATURES = """
+WITH li AS (SELECT l_orderkey, count(*) AS n_lines, avg(l_discount) AS avg_discount,
+                   sum(l_quantity) AS sum_qty FROM lineitem GROUP BY l_orderkey),
+of AS (SELECT o_orderkey, o_orderpriority, o_totalprice, c_acctbal, c_mktsegment, n_name, n_lines,
+              avg_discount, sum_qty, o_orderstatus
+       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       LEFT JOIN li ON l_orderkey = o_orderkey)"""
+
+# The nation table holds NATION_0 … NATION_24 (25 rows at every scale).
+NATIONS = sorted(f"NATION_{i}" for i in range(25))
+NATION_LEVELS = NATIONS[1:]          # one-hot drops the first level in sorted order
+
+
+def _codes(cte: str, c: str) -> str:
+    return (f"{c}_codes AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS code "
+            f"FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS v FROM {cte}))")
+
+
+def _encoded(target: str) -> tuple[str, list[str]]:
+    """SQL for the ordinal + one-hot table ``enc`` and its feature names."""
+    ordinal = ["o_orderpriority", "c_mktsegment"] + (["o_orderstatus"] if target != "o_orderstatus"
+                                                      else [])
+    numeric = [c for c in ["o_totalprice", "c_acctbal", "n_lines", "avg_discount", "sum_qty"]
+               if c != target]
+    dummies = [f"n_name_{v}" for v in NATION_LEVELS]
+    sel = ["of.o_orderkey"]
+    sel += [f"{c}_codes.code AS {c}" for c in ordinal]
+    sel += [f"CAST(of.{c} AS DOUBLE) AS {c}" for c in numeric]
+    sel += [f"CASE WHEN n_name = '{v}' THEN 1.0 ELSE 0.0 END AS n_name_{v}" for v in NATION_LEVELS]
+    sel += [f"of.{target}"]
+    joins = " ".join(f"JOIN {c}_codes ON {c}_codes.v = coalesce(CAST(of.{c} AS VARCHAR), 'nan')"
+                     for c in ordinal)
+    sql = (ORDER_FEATURES + ",\n" + ",\n".join(_codes("of", c) for c in ordinal) +
+           f",\nenc AS (SELECT {', '.join(sel)} FROM of {joins})")
+    return sql, ordinal + numeric + dummies
+
+
+_ENC_CLS, FEATURES_CLS = _encoded("o_orderstatus")
+_ENC_REG, FEATURES_REG = _encoded("o_totalprice")
+
+oracle("ordinal_encode", ORDER_FEATURES + ",\n" + _codes("of", "o_orderpriority") + ",\n" +
+       _codes("of", "c_mktsegment") + """
+SELECT o_orderkey, a.code AS o_orderpriority, b.code AS c_mktsegment FROM of
+JOIN o_orderpriority_codes a ON a.v = coalesce(o_orderpriority, 'nan')
+JOIN c_mktsegment_codes b ON b.v = coalesce(c_mktsegment, 'nan')""")
+
+oracle("rare_to_other", """
+WITH vc AS (SELECT p_name, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name),
+top AS (SELECT p_name FROM vc ORDER BY n DESC, p_name LIMIT 50)
+SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM top) THEN p_name ELSE '__other__' END
+  AS p_name FROM part""")
+
+oracle("one_hot_encode", ORDER_FEATURES + "\nSELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN n_name = '{v}' THEN 1.0 ELSE 0.0 END AS n_name_{v}" for v in NATION_LEVELS) +
+    " FROM of")
+
+oracle("standard_scale", _ENC_CLS + "\nSELECT o_orderkey, o_orderstatus, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 4) AS {c}"
+    for c in FEATURES_CLS) + " FROM enc")
+
+oracle("low_variance_columns", _ENC_CLS + ",\nsc AS (SELECT " + ", ".join(
+    f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}"
+    for c in FEATURES_CLS) + " FROM enc),\nsd AS (" + union(
+    [f"SELECT '{c}' AS \"column\", stddev_samp({c}) AS std FROM sc" for c in FEATURES_CLS]) +
+    ")\nSELECT \"column\", std FROM sd WHERE std < 1e-6")
+
+oracle("features_as_double", ORDER_FEATURES + """
+SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, c_acctbal,
+  CAST(n_lines AS DOUBLE) AS n_lines, avg_discount, sum_qty FROM of""")
+
+oracle("label_encode", """
+WITH codes AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+               FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus IS NOT NULL))
+SELECT o_orderkey, code AS label FROM orders LEFT JOIN codes ON v = o_orderstatus""")
+
+
+def _mi_sql(enc: str, features: list[str], target: str, discrete: bool) -> str:
+    ybin = (f"CAST({target} AS VARCHAR)" if discrete else
+            f"CAST(CASE WHEN max({target}) OVER () = min({target}) OVER () THEN 0 ELSE "
+            f"least(floor(({target} - min({target}) OVER ()) / (max({target}) OVER () - "
+            f"min({target}) OVER ()) * 32), 31) END AS INTEGER)::VARCHAR")
+    filled = ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in features)
+    longs = union([f"SELECT '{c}' AS feature, {c} AS x, y FROM base" for c in features])
+    return (enc + f",\nbase0 AS (SELECT {filled}, {ybin} AS y FROM enc WHERE {target} IS NOT NULL)"
+            ",\nbase AS (SELECT * FROM base0)"
+            f",\nlong AS ({longs})"
+            ",\nr AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM long GROUP BY feature)"
+            ",\nj AS (SELECT long.feature, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / "
+            "(hi - lo) * 32), 31) END AS INTEGER) AS b, y, count(*) AS n_by FROM long JOIN r "
+            "ON long.feature = r.feature GROUP BY ALL)"
+            ",\ns AS (SELECT feature, n_by, sum(n_by) OVER (PARTITION BY feature) AS n, "
+            "sum(n_by) OVER (PARTITION BY feature, b) AS n_b, "
+            "sum(n_by) OVER (PARTITION BY feature, y) AS n_y FROM j)"
+            ",\nm AS (SELECT feature, round(greatest(sum(n_by / n * ln(n_by * n / (n_b * n_y))), 0), 6)"
+            " AS mi FROM s GROUP BY feature)"
+            "\nSELECT feature, mi, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INTEGER) AS rk"
+            " FROM m")
+
+
+MI_CLS = _mi_sql(_ENC_CLS, FEATURES_CLS, "o_orderstatus", True)
+oracle("mi_classification", MI_CLS)
+oracle("mi_regression", _mi_sql(_ENC_REG, FEATURES_REG, "o_totalprice", False))
+oracle("select_top_features", f"SELECT * FROM ({MI_CLS}) WHERE rk <= 10")
+oracle("feature_report", f"""
+SELECT 8 AS features_before, {len(FEATURES_CLS)} AS features_after, 0 AS n_low_variance,
+  {len(FEATURES_CLS)} AS n_scaled, 2 AS n_ordinal, 1 AS n_one_hot""")

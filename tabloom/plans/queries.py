@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators import clean, profile
-from tabloom.sources.tables import dirty_lineitem, load
+from tabloom.operators import clean, encode, profile, select
+from tabloom.sources.tables import dirty_lineitem, load, order_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -169,3 +169,95 @@ def q_clip_bounds(spark, sf):
 def q_cleaning_report(spark, sf):
     r = clean.clean_table(dirty_lineitem(spark, sf), "target").report
     return clean.cleaning_report_frame(spark, r)
+
+
+# ── features ─────────────────────────────────────────────────────────────────
+
+ID = ("o_orderkey",)
+
+
+def _features(spark, sf, target="o_orderstatus"):
+    of = order_features(spark, sf)
+    return of, encode.fit_features(of, target, id_cols=ID)
+
+
+def _encoded_unscaled(of, fm):
+    out = encode.apply_ordinal(of, fm.ordinal)
+    out = encode.apply_rare_to_other(out, fm.top_categories)
+    return encode.apply_one_hot(out, fm.one_hot)
+
+
+def _mi(spark, sf, target, discrete):
+    of, fm = _features(spark, sf, target)
+    enc = _encoded_unscaled(of, fm)
+    feats = fm.feature_columns
+    means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
+    return select.mutual_information(enc, feats, target, discrete, fill=means)
+
+
+@register("ordinal_encode")
+def q_ordinal_encode(spark, sf):
+    of = order_features(spark, sf)
+    return encode.ordinal_encode(of, ["o_orderpriority", "c_mktsegment"]).select(
+        "o_orderkey", "o_orderpriority", "c_mktsegment")
+
+
+@register("rare_to_other")
+def q_rare_to_other(spark, sf):
+    return encode.rare_to_other(load(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"])
+
+
+@register("one_hot_encode")
+def q_one_hot_encode(spark, sf):
+    return encode.one_hot_encode(order_features(spark, sf).select("o_orderkey", "n_name"),
+                                 ["n_name"])
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf):
+    of, fm = _features(spark, sf)
+    return round_floats(fm.transform(of))
+
+
+@register("low_variance_columns")
+def q_low_variance_columns(spark, sf):
+    of, fm = _features(spark, sf)
+    scaled = fm.transform(of)
+    return encode.low_variance_columns(scaled, fm.feature_columns)
+
+
+@register("features_as_double")
+def q_features_as_double(spark, sf):
+    return encode.features_as_double(order_features(spark, sf), [
+        "o_orderkey", "o_totalprice", "c_acctbal", "n_lines", "avg_discount", "sum_qty"])
+
+
+@register("label_encode")
+def q_label_encode(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return encode.label_encode(o, "o_orderstatus", out="label").select("o_orderkey", "label")
+
+
+@register("mi_classification")
+def q_mi_classification(spark, sf):
+    return _mi(spark, sf, "o_orderstatus", True)
+
+
+@register("mi_regression")
+def q_mi_regression(spark, sf):
+    return _mi(spark, sf, "o_totalprice", False)
+
+
+@register("select_top_features")
+def q_select_top_features(spark, sf):
+    return select.select_top_features(_mi(spark, sf, "o_orderstatus", True), 10)
+
+
+@register("feature_report")
+def q_feature_report(spark, sf):
+    of, fm = _features(spark, sf)
+    return spark.createDataFrame([(
+        len(fm.features_before), len(fm.feature_columns), len(fm.low_variance), len(fm.scaler),
+        len(fm.ordinal), len(fm.one_hot))],
+        "features_before INT, features_after INT, n_low_variance INT, n_scaled INT, "
+        "n_ordinal INT, n_one_hot INT")
