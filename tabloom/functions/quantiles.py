@@ -35,24 +35,18 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
-def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "column",
-                    value_col: str = "value", rows_per_range: int = ROWS_PER_RANGE
-                    ) -> dict[tuple[str, float], float | None]:
-    """Exact linear-interpolated quantiles per group of a long-form table.
-
-    ``long_df`` holds ``(group_col, value_col)`` rows; NULL values are
-    ignored. Returns ``{(group, p): value}`` (``None`` for an empty group).
-    """
-    spark = long_df.sparkSession
-    hist = (long_df.where(F.col(value_col).isNotNull())
+def _histogram(long_df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    return (long_df.where(F.col(value_col).isNotNull())
             .groupBy(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
             .agg(F.count(F.lit(1)).alias("w")))
+
+
+def _value_ranges(hist: DataFrame, rows_per_range: int):
+    """Per group: (total weight, ordered list of (lo, hi, weight) value ranges)."""
     sizes = {r["g"]: (r["d"], r["n"]) for r in
              hist.groupBy("g").agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
     total_d = sum(d for d, _ in sizes.values())
     n_ranges = max(1, math.ceil(total_d / rows_per_range))
-
-    # Per group: ordered list of (lo, hi, weight) value ranges.
     ranges: dict[str, list[tuple[float, float, int]]] = {}
     if n_ranges == 1:
         for g, (_, n) in sizes.items():
@@ -65,41 +59,66 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "co
                    .collect())
         for r in sorted(summary, key=lambda r: (r["g"], r["lo"])):
             ranges.setdefault(r["g"], []).append((r["lo"], r["hi"], r["w"]))
-
-    targets = []        # (tid, g, lo, hi, rank inside range)
-    wanted = {}         # (g, p) -> (tid_lo, tid_hi, frac)
-    seen = {}
-    for g, (_, n) in sizes.items():
-        for p in probs:
-            ks = _ranks(int(n), p)
-            tids = []
-            for k in ks[:2]:
-                before = 0
-                for lo, hi, w in ranges[g]:
-                    if k < before + w:
-                        key = (g, lo, hi, k - before)
-                        if key not in seen:
-                            seen[key] = len(targets)
-                            targets.append((len(targets), g, lo, hi, k - before))
-                        tids.append(seen[key])
-                        break
-                    before += w
-            wanted[(g, p)] = (tids[0], tids[1], ks[2])
-
-    out: dict[tuple[str, float], float | None] = {(g, p): None for g in sizes for p in probs}
+    return {g: n for g, (_, n) in sizes.items()}, ranges
+
+
+def _pick(hist: DataFrame, ranges, wanted_ranks) -> dict[tuple[str, int], tuple[float, int]]:
+    """For each ``(group, k)``: (value at 0-based rank k, weight of smaller values)."""
+    spark = hist.sparkSession
+    targets, seen, where = [], {}, {}
+    for g, k in wanted_ranks:
+        before = 0
+        for lo, hi, w in ranges[g]:
+            if k < before + w:
+                key = (g, lo, hi, k - before)
+                if key not in seen:
+                    seen[key] = len(targets)
+                    targets.append((len(targets), g, lo, hi, k - before, before))
+                where[(g, k)] = seen[key]
+                break
+            before += w
     if not targets:
-        return out
-    tdf = spark.createDataFrame(targets, "tid INT, g STRING, lo DOUBLE, hi DOUBLE, r LONG")
+        return {}
+    tdf = spark.createDataFrame(targets, "tid INT, g STRING, lo DOUBLE, hi DOUBLE, r LONG, b LONG")
     w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (hist.join(F.broadcast(tdf), "g")
               .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
               .withColumn("cum", F.sum("w").over(w))
               .where((F.col("cum") - F.col("w") <= F.col("r")) & (F.col("r") < F.col("cum")))
-              .select("tid", "v").collect())
-    value = {r["tid"]: r["v"] for r in picked}
-    for key, (t_lo, t_hi, frac) in wanted.items():
-        a, b = value[t_lo], value[t_hi]
-        out[key] = a if frac == 0 or a == b else a + (b - a) * frac
+              .select("tid", "v", (F.col("b") + F.col("cum") - F.col("w")).alias("before"))
+              .collect())
+    got = {r["tid"]: (r["v"], r["before"]) for r in picked}
+    return {gk: got[t] for gk, t in where.items()}
+
+
+def select_ranks(long_df: DataFrame, wanted: set[tuple[str, int]], group_col: str = "g",
+                 value_col: str = "v", rows_per_range: int = ROWS_PER_RANGE
+                 ) -> dict[tuple[str, int], tuple[float, int]]:
+    """Exact order statistics: ``{(group, k): (value at rank k, rows below it)}``."""
+    hist = _histogram(long_df, group_col, value_col)
+    _, ranges = _value_ranges(hist, rows_per_range)
+    return _pick(hist, ranges, wanted)
+
+
+def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "column",
+                    value_col: str = "value", rows_per_range: int = ROWS_PER_RANGE
+                    ) -> dict[tuple[str, float], float | None]:
+    """Exact linear-interpolated quantiles per group of a long-form table.
+
+    ``long_df`` holds ``(group_col, value_col)`` rows; NULL values are
+    ignored. Returns ``{(group, p): value}`` (absent groups have no value).
+    """
+    hist = _histogram(long_df, group_col, value_col)
+    totals, ranges = _value_ranges(hist, rows_per_range)
+    plan = {}
+    for g, n in totals.items():
+        for p in probs:
+            plan[(g, p)] = _ranks(int(n), p)
+    got = _pick(hist, ranges, {(g, k) for (g, _), ks in plan.items() for k in ks[:2]})
+    out: dict[tuple[str, float], float | None] = {}
+    for (g, p), (k1, k2, frac) in plan.items():
+        a, b = got[(g, k1)][0], got[(g, k2)][0]
+        out[(g, p)] = a if frac == 0 or a == b else a + (b - a) * frac
     return out
 
 

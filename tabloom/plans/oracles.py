@@ -272,3 +272,123 @@ oracle("select_top_features", f"SELECT * FROM ({MI_CLS}) WHERE rk <= 10")
 oracle("feature_report", f"""
 SELECT 8 AS features_before, {len(FEATURES_CLS)} AS features_after, 0 AS n_low_variance,
   {len(FEATURES_CLS)} AS n_scaled, 2 AS n_ordinal, 1 AS n_one_hot""")
+
+
+# ── split, metrics, ranking ──────────────────────────────────────────────────
+
+def _split(table: str, key: str) -> str:
+    return (f"(SELECT {key}, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST({key} AS VARCHAR)),"
+            f" {key}) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part "
+            f"FROM {table})")
+
+
+oracle("train_test_split", "SELECT * FROM " + _split("orders", "o_orderkey"))
+oracle("split_sizes", "SELECT part, count(*) AS n FROM " + _split("orders", "o_orderkey") +
+       " GROUP BY part")
+oracle("split_partition_check", "WITH s AS " + _split("orders", "o_orderkey") + """
+SELECT 'n_total' AS "check", count(*) AS n FROM orders
+UNION ALL SELECT 'n_train', count(*) FROM s WHERE part = 'train'
+UNION ALL SELECT 'n_test', count(*) FROM s WHERE part = 'test'
+UNION ALL SELECT 'n_overlap', count(*) FROM (SELECT o_orderkey FROM s WHERE part = 'train'
+  INTERSECT SELECT o_orderkey FROM s WHERE part = 'test')
+UNION ALL SELECT 'n_missing', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)""")
+
+BINARY_PREDS = """
+WITH j AS (SELECT labels.doc_id, quality, toxic, n_chars FROM labels JOIN documents
+           ON labels.doc_id = documents.doc_id),
+preds AS (
+  SELECT 'length_rule' AS model, doc_id, quality AS y, CAST(n_chars >= 1000 AS INTEGER) AS pred,
+         n_chars / (n_chars + 1000.0) AS score FROM j
+  UNION ALL SELECT 'hash_rule', doc_id, quality, CAST(doc_id % 3 = 0 AS INTEGER),
+         (doc_id * 7919 % 1000) / 1000.0 FROM j
+  UNION ALL SELECT 'toxic_rule', doc_id, quality, 1 - toxic,
+         CASE WHEN toxic = 1 THEN 0.25 ELSE 0.75 END FROM j)"""
+
+MULTI_PREDS = """
+WITH sh AS (SELECT l_orderkey, avg(CAST(l_returnflag = 'A' AS DOUBLE)) AS p_F,
+                   avg(CAST(l_returnflag = 'N' AS DOUBLE)) AS p_O,
+                   avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS p_P FROM lineitem GROUP BY l_orderkey),
+preds AS (SELECT 'flag_share' AS model, o_orderkey, o_orderstatus AS y,
+  CASE WHEN p_F >= p_O AND p_F >= p_P THEN 'F' WHEN p_O >= p_P THEN 'O' ELSE 'P' END AS pred,
+  p_F, p_O, p_P FROM orders JOIN sh ON o_orderkey = l_orderkey)"""
+
+REG_PREDS = """
+WITH s AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS line_sum,
+                  sum(l_extendedprice) AS gross_sum FROM lineitem GROUP BY l_orderkey),
+preds AS (SELECT 'line_sum' AS model, o_orderkey, o_totalprice / 1000.0 AS y,
+                 line_sum / 1000.0 AS pred FROM orders JOIN s ON o_orderkey = l_orderkey
+          UNION ALL SELECT 'gross_sum', o_orderkey, o_totalprice / 1000.0, gross_sum / 1000.0
+          FROM orders JOIN s ON o_orderkey = l_orderkey)"""
+
+ACC = "SELECT model, round(avg(CAST(CAST(y AS VARCHAR) = CAST(pred AS VARCHAR) AS DOUBLE)), 4) AS accuracy FROM preds GROUP BY model"
+
+PRF = """,
+conf AS (SELECT model, CAST(y AS VARCHAR) AS t, CAST(pred AS VARCHAR) AS p, count(*) AS n
+         FROM preds GROUP BY ALL),
+contrib AS (SELECT model, t AS cls, n AS s, 0 AS pc, CASE WHEN t = p THEN n ELSE 0 END AS tp FROM conf
+            UNION ALL SELECT model, p, 0, n, 0 FROM conf),
+per AS (SELECT model, cls, sum(s) AS s, sum(pc) AS pc, sum(tp) AS tp FROM contrib GROUP BY ALL),
+pr AS (SELECT model, s, CASE WHEN pc = 0 THEN 0.0 ELSE tp / pc END AS pr,
+              CASE WHEN s = 0 THEN 0.0 ELSE tp / s END AS rc FROM per),
+prf AS (SELECT model, round(sum(pr * s) / sum(s), 4) AS precision_weighted,
+  round(sum(rc * s) / sum(s), 4) AS recall_weighted,
+  round(sum(CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END * s) / sum(s), 4)
+    AS f1_weighted FROM pr GROUP BY model)"""
+
+AUC_BIN = """,
+h AS (SELECT model, CAST(score AS DOUBLE) AS score, count(*) FILTER (WHERE CAST(y AS VARCHAR) = '1') AS pos,
+             count(*) FILTER (WHERE CAST(y AS VARCHAR) <> '1') AS neg FROM preds GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h),
+auc AS (SELECT model, round(CASE WHEN sum(pos) * sum(neg) = 0 THEN NULL ELSE
+        sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) END, 4) AS roc_auc FROM c GROUP BY model)"""
+
+oracle("metric_accuracy", BINARY_PREDS + "\n" + ACC)
+oracle("metric_prf_weighted", MULTI_PREDS + PRF + "\nSELECT * FROM prf")
+oracle("metric_auc_binary", BINARY_PREDS + AUC_BIN + "\nSELECT * FROM auc")
+oracle("metric_auc_ovr", MULTI_PREDS + """,
+long AS (SELECT model, y, 'F' AS cls, p_F AS score FROM preds
+         UNION ALL SELECT model, y, 'O', p_O FROM preds UNION ALL SELECT model, y, 'P', p_P FROM preds),
+h AS (SELECT model, cls, score, count(*) FILTER (WHERE y = cls) AS pos,
+             count(*) FILTER (WHERE y <> cls) AS neg FROM long GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, cls ORDER BY score
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h),
+a AS (SELECT model, cls, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc
+      FROM c GROUP BY ALL HAVING sum(pos) * sum(neg) > 0)
+SELECT model, round(avg(auc), 4) AS roc_auc FROM a
+WHERE cls IN (SELECT DISTINCT y FROM preds) GROUP BY model""")
+oracle("metric_regression", REG_PREDS + """
+SELECT model, round(avg(abs(y - pred)), 4) AS mae, round(avg((y - pred) * (y - pred)), 4) AS mse,
+  round(sqrt(avg((y - pred) * (y - pred))), 4) AS rmse,
+  round(CASE WHEN var_pop(y) * count(*) = 0 THEN (CASE WHEN sum((y - pred) * (y - pred)) = 0
+        THEN 1.0 ELSE 0.0 END) ELSE 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) END, 4)
+    AS r2
+FROM preds GROUP BY model""")
+
+METRICS_LONG = BINARY_PREDS + PRF + AUC_BIN + f""",
+acc AS ({ACC}),
+wide AS (SELECT * FROM acc JOIN prf USING (model) LEFT JOIN auc USING (model)),
+sp AS {_split('labels', 'doc_id')},
+book AS (SELECT model, CAST(count(*) FILTER (WHERE part = 'train') AS DOUBLE) AS n_train,
+                CAST(count(*) FILTER (WHERE part = 'test') AS DOUBLE) AS n_test
+         FROM preds JOIN sp ON preds.doc_id = sp.doc_id GROUP BY model),
+ml AS (SELECT model, 'accuracy' AS metric, accuracy AS value FROM wide
+  UNION ALL SELECT model, 'f1_weighted', f1_weighted FROM wide
+  UNION ALL SELECT model, 'precision_weighted', precision_weighted FROM wide
+  UNION ALL SELECT model, 'recall_weighted', recall_weighted FROM wide
+  UNION ALL SELECT model, 'roc_auc', roc_auc FROM wide WHERE roc_auc IS NOT NULL),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY f1_weighted DESC NULLS LAST, model) AS INTEGER) AS rk,
+                  model, f1_weighted AS primary_score FROM wide)"""
+
+oracle("metrics_long", METRICS_LONG + "\nSELECT * FROM ml")
+oracle("rank_models", METRICS_LONG + "\nSELECT * FROM ranked")
+_PIVOT = ("SELECT wide.model, accuracy, f1_weighted, precision_weighted, recall_weighted, roc_auc, "
+          "NULL::DOUBLE AS train_duration_seconds, n_train, n_test FROM wide JOIN book USING (model)")
+oracle("metrics_pivot", METRICS_LONG + "\n" + _PIVOT)
+oracle("model_comparison", METRICS_LONG + f",\npv AS ({_PIVOT})\n"
+       "SELECT ranked.*, accuracy, f1_weighted, precision_weighted, recall_weighted, roc_auc, "
+       "train_duration_seconds, n_train, n_test FROM ranked JOIN pv USING (model)")
+oracle("evaluation_summary", METRICS_LONG + """
+SELECT 'f1_weighted' AS primary_metric, 'higher_is_better' AS direction,
+  arg_min(model, rk) AS best_model, arg_min(primary_score, rk) AS best_score, count(*) AS n_models
+FROM ranked""")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators import clean, encode, profile, select
-from tabloom.sources.tables import dirty_lineitem, load, order_features
+from tabloom.operators import clean, encode, metrics, profile, rank, select, split
+from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
+                                    multiclass_predictions, order_features,
+                                    regression_predictions)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -261,3 +263,87 @@ def q_feature_report(spark, sf):
         len(fm.ordinal), len(fm.one_hot))],
         "features_before INT, features_after INT, n_low_variance INT, n_scaled INT, "
         "n_ordinal INT, n_one_hot INT")
+
+
+# ── split, metrics, ranking ──────────────────────────────────────────────────
+
+@register("train_test_split")
+def q_train_test_split(spark, sf):
+    return split.assign_split(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@register("split_partition_check")
+def q_split_partition_check(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey")
+    train, test = split.train_test_split(o, "o_orderkey")
+    return split.split_partition_check(o, train, test, "o_orderkey")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf):
+    lab = split.assign_split(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return lab.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("metric_accuracy")
+def q_metric_accuracy(spark, sf):
+    return metrics.accuracy(binary_predictions(spark, sf))
+
+
+@register("metric_prf_weighted")
+def q_metric_prf_weighted(spark, sf):
+    return metrics.prf_weighted(multiclass_predictions(spark, sf))
+
+
+@register("metric_auc_binary")
+def q_metric_auc_binary(spark, sf):
+    return metrics.auc_binary(binary_predictions(spark, sf))
+
+
+@register("metric_auc_ovr")
+def q_metric_auc_ovr(spark, sf):
+    return metrics.auc_ovr(multiclass_predictions(spark, sf), "y",
+                           {"F": "p_F", "O": "p_O", "P": "p_P"})
+
+
+@register("metric_regression")
+def q_metric_regression(spark, sf):
+    return metrics.regression_metrics(regression_predictions(spark, sf))
+
+
+def _binary_metrics_with_bookkeeping(spark, sf):
+    preds = binary_predictions(spark, sf)
+    m = metrics.classification_metrics(preds, score="score")
+    lab = split.assign_split(load(spark, sf, "labels").select("doc_id"), "doc_id")
+    book = (preds.join(lab, "doc_id").groupBy("model")
+            .agg(F.count_if(F.col("part") == "train").cast("double").alias("n_train"),
+                 F.count_if(F.col("part") == "test").cast("double").alias("n_test"))
+            .select("model", F.inline(F.array(
+                F.struct(F.lit("n_train").alias("metric"), F.col("n_train").alias("value")),
+                F.struct(F.lit("n_test").alias("metric"), F.col("n_test").alias("value"))))))
+    return m.unionByName(book)
+
+
+@register("metrics_long")
+def q_metrics_long(spark, sf):
+    return metrics.pure_metrics(_binary_metrics_with_bookkeeping(spark, sf))
+
+
+@register("rank_models")
+def q_rank_models(spark, sf):
+    return rank.rank_models(_binary_metrics_with_bookkeeping(spark, sf), "classification")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return rank.model_comparison(_binary_metrics_with_bookkeeping(spark, sf), "classification")
+
+
+@register("metrics_pivot")
+def q_metrics_pivot(spark, sf):
+    return rank.metrics_pivot(_binary_metrics_with_bookkeeping(spark, sf), "classification")
+
+
+@register("evaluation_summary")
+def q_evaluation_summary(spark, sf):
+    return rank.evaluation_summary(_binary_metrics_with_bookkeeping(spark, sf), "classification")

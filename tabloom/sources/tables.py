@@ -69,3 +69,58 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("o_orderkey", "o_orderpriority", "o_totalprice", "c_acctbal",
                      "c_mktsegment", "n_name", "n_lines", "avg_discount", "sum_qty",
                      "o_orderstatus"))
+
+
+def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deterministic rule models scored against ``labels.quality``:
+    ``(model, doc_id, y, pred, score)``. They stand in for fitted models so
+    that every metric has an exact SQL oracle."""
+    lab = load(spark, sf_dir, "labels")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    j = lab.join(docs, "doc_id")
+    y = F.col("quality")
+    length_rule = j.select(F.lit("length_rule").alias("model"), "doc_id", y.alias("y"),
+                           (F.col("n_chars") >= 1000).cast("int").alias("pred"),
+                           (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"))
+    hash_rule = j.select(F.lit("hash_rule").alias("model"), "doc_id", y.alias("y"),
+                         (F.col("doc_id") % 3 == 0).cast("int").alias("pred"),
+                         ((F.col("doc_id") * 7919 % 1000) / 1000.0).alias("score"))
+    toxic_rule = j.select(F.lit("toxic_rule").alias("model"), "doc_id", y.alias("y"),
+                          (1 - F.col("toxic")).alias("pred"),
+                          F.when(F.col("toxic") == 1, 0.25).otherwise(0.75).alias("score"))
+    return length_rule.unionByName(hash_rule).unionByName(toxic_rule)
+
+
+def multiclass_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule model for ``o_orderstatus`` (F/O/P) scored by the shares of an
+    order's lines with return flag A/N/R: ``(model, o_orderkey, y, pred, p_F, p_O, p_P)``."""
+    li = load(spark, sf_dir, "lineitem")
+    shares = li.groupBy("l_orderkey").agg(
+        F.avg((F.col("l_returnflag") == "A").cast("double")).alias("p_F"),
+        F.avg((F.col("l_returnflag") == "N").cast("double")).alias("p_O"),
+        F.avg((F.col("l_returnflag") == "R").cast("double")).alias("p_P"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    j = o.join(shares, o.o_orderkey == shares.l_orderkey)
+    pred = (F.when((F.col("p_F") >= F.col("p_O")) & (F.col("p_F") >= F.col("p_P")), "F")
+            .when(F.col("p_O") >= F.col("p_P"), "O").otherwise("P"))
+    return j.select(F.lit("flag_share").alias("model"), "o_orderkey",
+                    F.col("o_orderstatus").alias("y"), pred.alias("pred"), "p_F", "p_O", "p_P")
+
+
+def regression_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rule models for ``o_totalprice`` from the order's lines:
+    ``(model, o_orderkey, y, pred)``, in thousands. At raw scale the MSE is
+    ~1e10, where 4 decimals are below double precision and two engines
+    summing in different orders disagree in the last printed digit."""
+    li = load(spark, sf_dir, "lineitem")
+    sums = li.groupBy("l_orderkey").agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+        .alias("line_sum"),
+        F.sum("l_extendedprice").alias("gross_sum"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    j = o.join(sums, o.o_orderkey == sums.l_orderkey)
+    y = (F.col("o_totalprice") / 1000.0).alias("y")
+    return (j.select(F.lit("line_sum").alias("model"), "o_orderkey", y,
+                     (F.col("line_sum") / 1000.0).alias("pred"))
+            .unionByName(j.select(F.lit("gross_sum").alias("model"), "o_orderkey", y,
+                                  (F.col("gross_sum") / 1000.0).alias("pred"))))
