@@ -392,3 +392,67 @@ oracle("evaluation_summary", METRICS_LONG + """
 SELECT 'f1_weighted' AS primary_metric, 'higher_is_better' AS direction,
   arg_min(model, rk) AS best_model, arg_min(primary_score, rk) AS best_score, count(*) AS n_models
 FROM ranked""")
+
+
+# ── chart data ───────────────────────────────────────────────────────────────
+
+def _hist_sql(table: str, cols: list[str], density: bool, digits: int) -> str:
+    long = union([f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM {table} "
+                  f"WHERE {c} IS NOT NULL" for c in cols])
+    dens = (f", round(coalesce(n, 0) / (n_all * w), {digits}) AS density" if density else "")
+    return f"""
+WITH long AS ({long}),
+r0 AS (SELECT "column", min(value) AS lo0, max(value) AS hi0, count(value) AS n_all FROM long GROUP BY 1),
+r AS (SELECT "column", n_all, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+             CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0),
+rw AS (SELECT *, (hi - lo) / 30 AS w FROM r),
+b AS (SELECT long."column", CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n
+      FROM long JOIN rw ON long."column" = rw."column" GROUP BY ALL),
+g AS (SELECT rw.*, CAST(i AS INTEGER) AS bin FROM rw, range(30) t(i))
+SELECT g."column", g.bin, round(lo + g.bin * w, {digits}) AS lo, round(lo + (g.bin + 1) * w, {digits}) AS hi,
+  coalesce(n, 0) AS n{dens}
+FROM g LEFT JOIN b ON g."column" = b."column" AND g.bin = b.bin"""
+
+
+oracle("histogram_density", _hist_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"],
+                                      True, 6))
+oracle("target_distribution", _hist_sql("orders", ["o_totalprice"], False, 4))
+
+oracle("kde_curve", """
+WITH long AS (SELECT 'l_quantity' AS "column", l_quantity AS value FROM lineitem
+              UNION ALL SELECT 'l_discount', l_discount FROM lineitem),
+st AS (SELECT "column", count(value) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx
+       FROM long GROUP BY 1 HAVING count(value) >= 2 AND stddev_samp(value) > 0),
+st2 AS (SELECT *, sd * pow(n, -0.2) AS bw, mn - (mx - mn) / 2 AS g0, 2 * (mx - mn) / 99 AS step FROM st),
+wv AS (SELECT "column", value, count(*) AS wt FROM long GROUP BY ALL),
+c AS (SELECT wv."column", CAST(gi AS INTEGER) AS gi, g0 + gi * step AS x, n, bw,
+             wt * exp(-0.5 * ((g0 + gi * step - value) / bw) * ((g0 + gi * step - value) / bw)) AS k
+      FROM wv JOIN st2 ON wv."column" = st2."column", range(100) t(gi))
+SELECT "column", gi, round(x, 6) AS x,
+  round(sum(k) * (1 / sqrt(2 * pi())) / (any_value(n) * any_value(bw)) * 1e6, 4) AS density_e6
+FROM c GROUP BY "column", gi, x""")
+
+oracle("box_stats", "WITH long AS (" + union(
+    [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem WHERE {c} IS NOT NULL"
+     for c in ["l_quantity", "l_extendedprice", "l_discount"]]) + """),
+q AS (SELECT "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1),
+b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT b."column", round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+  round(min(value) FILTER (WHERE value >= lo AND value <= hi), 4) AS whisker_lo,
+  round(max(value) FILTER (WHERE value >= lo AND value <= hi), 4) AS whisker_hi,
+  count(*) FILTER (WHERE NOT (value >= lo AND value <= hi)) AS n_fliers
+FROM long JOIN b ON long."column" = b."column" GROUP BY b."column", q1, median, q3""")
+
+oracle("category_bars", "WITH vc AS (" + union(
+    [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM part "
+     f"WHERE {c} IS NOT NULL GROUP BY 2" for c in ["p_name", "p_brand", "p_type"]]) + """),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rk
+      FROM vc)
+SELECT * FROM r WHERE rk <= 20""")
+
+_TRI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+oracle("corr_lower_triangle", union(
+    [f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+     f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 2) END AS corr "
+     f"FROM lineitem" for i, a in enumerate(_TRI) for j, b in enumerate(_TRI) if i >= j]))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators import clean, encode, metrics, profile, rank, select, split
+from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, select,
+                               split)
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
                                     regression_predictions)
@@ -347,3 +348,42 @@ def q_metrics_pivot(spark, sf):
 @register("evaluation_summary")
 def q_evaluation_summary(spark, sf):
     return rank.evaluation_summary(_binary_metrics_with_bookkeeping(spark, sf), "classification")
+
+
+# ── chart data ───────────────────────────────────────────────────────────────
+
+HIST_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("histogram_density")
+def q_histogram_density(spark, sf):
+    return round_floats(chartdata.histogram(load(spark, sf, "lineitem"), HIST_COLUMNS), 6)
+
+
+@register("kde_curve")
+def q_kde_curve(spark, sf):
+    out = chartdata.kde_curve(load(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
+    return out.select("column", "gi", F.round("x", 6).alias("x"),
+                      F.round(F.col("density") * 1e6, 4).alias("density_e6"))
+
+
+@register("box_stats")
+def q_box_stats(spark, sf):
+    return round_floats(chartdata.box_stats(load(spark, sf, "lineitem"), HIST_COLUMNS))
+
+
+@register("category_bars")
+def q_category_bars(spark, sf):
+    return chartdata.category_bars(load(spark, sf, "part"), ["p_name", "p_brand", "p_type"])
+
+
+@register("corr_lower_triangle")
+def q_corr_lower_triangle(spark, sf):
+    return chartdata.corr_lower_triangle(load(spark, sf, "lineitem"),
+                                         ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("target_distribution")
+def q_target_distribution(spark, sf):
+    return round_floats(chartdata.target_distribution(load(spark, sf, "orders"), "o_totalprice",
+                                                      numeric=True))
