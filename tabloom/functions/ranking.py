@@ -62,3 +62,32 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str],
     out = inner.join(F.broadcast(offsets), [*parts, "_bkt"])
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}")
                                      for c in sum_cols])
+
+
+def previous_in_order(df: DataFrame, keys: list[str], order_col: str, cols: list[str],
+                      bucket_width: int = 1_000_000, prefix: str = "prev_") -> DataFrame:
+    """Add ``prev_<c>``: the value of ``c`` on the previous row of the same
+    key in ``order_col`` order (NULL for the first row of a key).
+
+    A plain ``lag`` over ``partitionBy(keys)`` sorts all rows of a key in
+    one task; with a key holding a third of the table that task is the job.
+    Here rows are cut into (key, order bucket) windows of at most
+    ``bucket_width`` order values each; the first row of each bucket takes
+    its predecessor from a small per-bucket "last row" table (one row per
+    non-empty bucket) instead of from a global sort. ``order_col`` must be
+    an integral, unique-per-key column.
+    """
+    b = F.floor(F.col(order_col) / F.lit(bucket_width)).alias("_b")
+    x = df.withColumn("_b", b)
+    w_in = Window.partitionBy(*keys, "_b").orderBy(order_col)
+    x = x.select("*", *[F.lag(c).over(w_in).alias(f"_lag_{c}") for c in cols],
+                 F.row_number().over(w_in).alias("_rn"))
+    last = x.groupBy(*keys, "_b").agg(
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.col(order_col)).alias("_last"))
+    w_b = Window.partitionBy(*keys).orderBy("_b")
+    carry = last.select(*keys, "_b", F.lag("_last").over(w_b).alias("_carry"))
+    j = x.join(carry, [*keys, "_b"], "left")
+    out = j.select(*df.columns, *[F.when(F.col("_rn") == 1, F.col("_carry")[c])
+                                  .otherwise(F.col(f"_lag_{c}")).alias(f"{prefix}{c}")
+                                  for c in cols])
+    return out

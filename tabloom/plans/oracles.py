@@ -456,3 +456,82 @@ oracle("corr_lower_triangle", union(
     [f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
      f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 2) END AS corr "
      f"FROM lineitem" for i, a in enumerate(_TRI) for j, b in enumerate(_TRI) if i >= j]))
+
+
+# ── run log and catalog ──────────────────────────────────────────────────────
+
+RUN_EVENTS = """
+WITH ev AS (SELECT user_id AS run_id, event_id AS seq, ts,
+  CASE WHEN event_type IN ('signup', 'view') THEN 'pending' WHEN event_type = 'click' THEN 'running'
+       WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' END AS status,
+  CAST(user_id % 25 AS INTEGER) AS dataset_id,
+  CASE WHEN event_type = 'error' THEN props END AS message FROM events),
+latest AS (SELECT run_id, arg_min(dataset_id, seq) AS dataset_id, arg_max(status, seq) AS status,
+  min(ts) AS created_at, max(ts) FILTER (WHERE status = 'running') AS started_at,
+  max(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at,
+  arg_max(message, seq) FILTER (WHERE message IS NOT NULL) AS error_message,
+  count(*) AS n_events FROM ev GROUP BY run_id),
+cat AS (SELECT n_nationkey AS dataset_id, n_name AS name, n_regionkey,
+  (SELECT min(ts) FROM ev WHERE ev.dataset_id = n_nationkey) AS created_at FROM nation)"""
+
+oracle("run_transitions_valid", RUN_EVENTS + """,
+p AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY seq) AS prev FROM ev),
+v AS (SELECT run_id, CASE WHEN prev IS NULL THEN status = 'pending'
+  WHEN status = 'running' THEN prev = 'pending' WHEN status IN ('completed', 'failed') THEN TRUE
+  ELSE FALSE END AS ok FROM p)
+SELECT run_id, count(*) AS n_events, count(*) FILTER (WHERE NOT ok) AS n_invalid,
+  count(*) FILTER (WHERE NOT ok) = 0 AS valid FROM v GROUP BY run_id""")
+oracle("run_latest_state", RUN_EVENTS + "\nSELECT * FROM latest")
+oracle("runs_by_status", RUN_EVENTS + """
+SELECT run_id, status FROM latest WHERE status IN ('completed', 'failed')""")
+oracle("run_counts", RUN_EVENTS + "\nSELECT dataset_id, count(*) AS n_runs FROM latest GROUP BY 1")
+oracle("page_newest", RUN_EVENTS + """
+SELECT dataset_id, name, created_at FROM cat ORDER BY created_at DESC NULLS LAST, dataset_id
+LIMIT 10 OFFSET 5""")
+oracle("runs_by_dataset", RUN_EVENTS + """
+SELECT run_id, dataset_id, status, created_at FROM latest WHERE dataset_id = 7
+ORDER BY created_at DESC, run_id LIMIT 20 OFFSET 0""")
+oracle("first_by_name", RUN_EVENTS + """
+SELECT dataset_id, name, created_at FROM cat WHERE name = 'NATION_3' ORDER BY dataset_id LIMIT 1""")
+oracle("run_with_dataset", RUN_EVENTS + """
+SELECT latest.dataset_id, run_id, name, status FROM latest JOIN cat ON latest.dataset_id = cat.dataset_id""")
+oracle("runs_after_delete", RUN_EVENTS + """
+SELECT dataset_id, run_id, status FROM latest
+WHERE dataset_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
+oracle("dataset_latest", """
+WITH p AS (SELECT CAST(user_id % 25 AS INTEGER) AS dataset_id, event_id AS version,
+  CASE WHEN value > 50 THEN 'ds_' || event_id END AS name,
+  CASE WHEN value <= 80 THEN props END AS description FROM events WHERE event_type = 'view')
+SELECT dataset_id, arg_max(name, version) FILTER (WHERE name IS NOT NULL) AS name,
+  arg_max(description, version) FILTER (WHERE description IS NOT NULL) AS description,
+  max(version) AS version FROM p GROUP BY dataset_id""")
+oracle("stage_timeline", RUN_EVENTS + """,
+p AS (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY seq) AS prev_ts FROM ev)
+SELECT run_id, seq, status AS stage, CASE WHEN status = 'failed' THEN 'error' ELSE 'success' END AS status,
+  round(coalesce(epoch_us(ts) - epoch_us(prev_ts), 0) / 1e6, 3) AS duration_seconds, message AS error
+FROM p""")
+oracle("run_errors", RUN_EVENTS + """,
+f AS (SELECT run_id, message, min(seq) AS first_seq FROM ev WHERE message IS NOT NULL GROUP BY ALL)
+SELECT run_id, string_agg(message, '; ' ORDER BY first_seq, message) AS errors FROM f GROUP BY run_id""")
+oracle("run_outcome", RUN_EVENTS + """
+SELECT run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END AS outcome,
+  count(*) FILTER (WHERE status = 'failed') AS n_errors FROM ev GROUP BY run_id""")
+
+
+def _registry(table: str, cols: list[tuple[str, str]]) -> str:
+    arr = "[" + ", ".join(f"'{c}:{t}'" for c, t in cols) + "]"
+    return (f"SELECT '{table}' AS name, count(*) AS n_rows, {len(cols)} AS n_cols, {arr} AS columns "
+            f"FROM {table}")
+
+
+_N, _C, _D = "numeric", "categorical", "datetime"
+oracle("dataset_registry", union([
+    _registry("orders", [("o_orderkey", _N), ("o_custkey", _N), ("o_orderstatus", _C),
+                         ("o_totalprice", _N), ("o_orderdate", _D), ("o_orderpriority", _C)]),
+    _registry("customer", [("c_custkey", _N), ("c_name", _C), ("c_nationkey", _N),
+                           ("c_acctbal", _N), ("c_mktsegment", _C)]),
+    _registry("part", [("p_partkey", _N), ("p_name", _C), ("p_brand", _C), ("p_type", _C),
+                       ("p_size", _N), ("p_retailprice", _N)]),
+    _registry("lineitem", [(c, _N) for c in LINEITEM_NUMERIC] +
+              [("l_returnflag", _C), ("l_linestatus", _C), ("l_shipdate", _D)]),
+]))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, select,
-                               split)
+                               runlog, split)
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
-                                    regression_predictions)
+                                    regression_predictions, run_events, datasets,
+                                    dataset_patches)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -387,3 +388,88 @@ def q_corr_lower_triangle(spark, sf):
 def q_target_distribution(spark, sf):
     return round_floats(chartdata.target_distribution(load(spark, sf, "orders"), "o_totalprice",
                                                       numeric=True))
+
+
+# ── run log and catalog ──────────────────────────────────────────────────────
+
+def _latest(spark, sf):
+    return runlog.run_latest_state(run_events(spark, sf))
+
+
+def _catalog(spark, sf):
+    return runlog.dataset_catalog(datasets(spark, sf), run_events(spark, sf))
+
+
+@register("run_transitions_valid")
+def q_run_transitions_valid(spark, sf):
+    return runlog.run_transitions_valid(run_events(spark, sf))
+
+
+@register("run_latest_state")
+def q_run_latest_state(spark, sf):
+    return _latest(spark, sf)
+
+
+@register("runs_by_status")
+def q_runs_by_status(spark, sf):
+    return runlog.runs_by_status(_latest(spark, sf))
+
+
+@register("run_counts")
+def q_run_counts(spark, sf):
+    return runlog.run_counts(_latest(spark, sf))
+
+
+@register("page_newest")
+def q_page_newest(spark, sf):
+    return runlog.page_newest(_catalog(spark, sf), skip=5, limit=10)
+
+
+@register("runs_by_dataset")
+def q_runs_by_dataset(spark, sf):
+    return runlog.runs_by_dataset(_latest(spark, sf), 7, skip=0, limit=20)
+
+
+@register("first_by_name")
+def q_first_by_name(spark, sf):
+    return runlog.first_by_name(_catalog(spark, sf), "NATION_3")
+
+
+@register("run_with_dataset")
+def q_run_with_dataset(spark, sf):
+    return runlog.run_with_dataset(_latest(spark, sf), _catalog(spark, sf))
+
+
+@register("runs_after_delete")
+def q_runs_after_delete(spark, sf):
+    deleted = datasets(spark, sf).where(F.col("n_regionkey") == 0)
+    return runlog.runs_after_delete(_latest(spark, sf), deleted)
+
+
+@register("dataset_latest")
+def q_dataset_latest(spark, sf):
+    return runlog.dataset_latest(dataset_patches(spark, sf))
+
+
+@register("stage_timeline")
+def q_stage_timeline(spark, sf):
+    return runlog.stage_timeline(run_events(spark, sf))
+
+
+@register("run_errors")
+def q_run_errors(spark, sf):
+    return runlog.run_errors(run_events(spark, sf))
+
+
+@register("run_outcome")
+def q_run_outcome(spark, sf):
+    return runlog.run_outcome(run_events(spark, sf))
+
+
+@register("dataset_registry")
+def q_dataset_registry(spark, sf):
+    out = None
+    for t in ("orders", "customer", "part", "lineitem"):
+        row = runlog.registration_row(load(spark, sf, t), t)
+        out = row if out is None else out.unionByName(row)
+    return out

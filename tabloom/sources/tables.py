@@ -124,3 +124,27 @@ def regression_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("line_sum") / 1000.0).alias("pred"))
             .unionByName(j.select(F.lit("gross_sum").alias("model"), "o_orderkey", y,
                                   (F.col("gross_sum") / 1000.0).alias("pred"))))
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run events derived from ``events`` (see runlog.run_events_from_activity)."""
+    from tabloom.operators.runlog import run_events_from_activity
+    return run_events_from_activity(load(spark, sf_dir, "events"))
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset catalog: one dataset per nation."""
+    n = load(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("dataset_id"), F.col("n_name").alias("name"),
+                    "n_regionkey")
+
+
+def dataset_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial updates of dataset name / description taken from ``view`` events:
+    ``(dataset_id, version, name, description)`` with NULL = field not given."""
+    e = load(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    return e.select((F.col("user_id") % 25).cast("int").alias("dataset_id"),
+                    F.col("event_id").alias("version"),
+                    F.when(F.col("value") > 50, F.concat(F.lit("ds_"), F.col("event_id")))
+                    .alias("name"),
+                    F.when(F.col("value") <= 80, F.col("props")).alias("description"))
