@@ -228,3 +228,35 @@ def payload_bytes(df: DataFrame) -> DataFrame:
                            for x in (F.lit(f"_b{i}"), F.lit(f.name))])
     return (one.unpivot([], [f"_b{i}" for i in range(len(df.columns))], "_slot", "n_bytes")
             .select(names[F.col("_slot")].alias("column"), "n_bytes"))
+
+
+# Fixed values of the reference behaviour: default models per task.
+DEFAULT_MODELS = {"classification": ["random_forest", "logistic_regression", "xgboost"],
+                  "regression": ["random_forest", "linear_regression", "xgboost"]}
+
+
+def plan_profile(df: DataFrame, target: str, task_type: str | None = None) -> DataFrame:
+    """The planner's view of a table, one row: shape, task type, feature
+    counts, gaps and the model list. ``task_type`` overrides detection."""
+    labels = column_labels(df)
+    task = task_type or detect_task_type(df, target)
+    feats = [c for c in df.columns if c != target]
+    m = {r["column"]: (r["n_missing"], r["n_rows"]) for r in missing_counts(df).collect()}
+    n_rows = next(iter(m.values()))[1] if m else 0
+    high = [c for c, (k, n) in m.items() if n and round(k / n * 100, 2) > HIGH_MISSING_PCT]
+    row = (n_rows, len(df.columns), task, len(feats),
+           sum(labels[c] == NUMERIC for c in feats),
+           sum(labels[c] == "categorical" for c in feats),
+           any(k > 0 for k, _ in m.values()), len(high), DEFAULT_MODELS[task])
+    return df.sparkSession.createDataFrame([row], (
+        "n_rows BIGINT, n_cols INT, task_type STRING, n_features INT, n_numeric INT, "
+        "n_categorical INT, has_missing BOOLEAN, n_high_missing INT, models ARRAY<STRING>"))
+
+
+def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
+    """First ``n`` rows (1..100) in an explicit order, NaN / ±Inf as NULL."""
+    from tabloom.functions.columns import finite_or_null
+    if not 1 <= n <= 100:
+        raise ValueError("n must be within 1..100")
+    return df.orderBy(*order_by).limit(n).select(*[finite_or_null(df, c).alias(c)
+                                                   for c in df.columns])

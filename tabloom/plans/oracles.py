@@ -535,3 +535,67 @@ oracle("dataset_registry", union([
     _registry("lineitem", [(c, _N) for c in LINEITEM_NUMERIC] +
               [("l_returnflag", _C), ("l_linestatus", _C), ("l_shipdate", _D)]),
 ]))
+
+
+# ── previews, scalar functions, inference, plan and report ───────────────────
+
+oracle("preview_orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+oracle("safe_sample", """
+SELECT c_custkey, c_name, c_nationkey,
+  CASE WHEN isnan(c_acctbal) OR isinf(c_acctbal) THEN NULL ELSE c_acctbal END AS c_acctbal,
+  c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5""")
+oracle("safe_identifier", r"""
+SELECT page_id, substring(regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g'), 1, 60) AS safe_url
+FROM pages""")
+
+_TEXT_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+              "o_orderpriority"]
+
+
+def _infer_sql(c: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return f"""SELECT '{c}' AS "column", CASE
+  WHEN count({v}) = 0 THEN 'double'
+  WHEN count(*) FILTER (WHERE {v} IN ('True','False','TRUE','FALSE','true','false')) = count({v}) THEN 'boolean'
+  WHEN count(*) FILTER (WHERE regexp_full_match({v}, '\\s*[+-]?[0-9]+\\s*')) = count({v}) THEN 'bigint'
+  WHEN count(*) FILTER (WHERE TRY_CAST(trim({v}) AS DOUBLE) IS NOT NULL) = count({v}) THEN 'double'
+  ELSE 'string' END AS inferred_type FROM orders"""
+
+
+oracle("column_types", "WITH t AS (" + union([_infer_sql(c) for c in _TEXT_COLS]) + """)
+SELECT "column", inferred_type, CASE WHEN inferred_type = 'boolean' THEN 'boolean'
+  WHEN inferred_type IN ('bigint', 'double') THEN 'numeric' ELSE 'categorical' END AS label FROM t""")
+
+oracle("plan_profile", DIRTY + """
+SELECT count(*) AS n_rows, 6 AS n_cols, 'classification' AS task_type, 5 AS n_features, 4 AS n_numeric,
+  1 AS n_categorical,
+  (count(*) FILTER (WHERE price IS NULL OR flag IS NULL OR sparse IS NULL OR target IS NULL)) > 0
+    AS has_missing,
+  (CASE WHEN round(count(*) FILTER (WHERE sparse IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
+   + CASE WHEN round(count(*) FILTER (WHERE price IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
+   + CASE WHEN round(count(*) FILTER (WHERE flag IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
+   + CASE WHEN round(count(*) FILTER (WHERE target IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END)
+    AS n_high_missing,
+  ['random_forest', 'logistic_regression', 'xgboost'] AS models FROM dirty""")
+
+def chain(*ctes: str) -> str:
+    """Join several ``WITH a AS (...)`` prefixes into one WITH list."""
+    parts = [c.strip() for c in ctes]
+    return "\nWITH " + ",\n".join(p[len("WITH"):].strip() if p.upper().startswith("WITH") else p
+                                  for p in parts)
+
+
+_MISSING_CTE = "m AS (" + union(
+    [f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
+     f"count(*) AS n_rows FROM dirty" for c in DIRTY_COLS]) + ")"
+
+oracle("report_sections", chain(METRICS_LONG, DIRTY, _MISSING_CTE) + """,
+parts AS (
+  SELECT 1 AS section, 'n_rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM dirty
+  UNION ALL SELECT 1, 'n_cols', '6'
+  UNION ALL SELECT 2, "column", printf('%.2f', round(CAST(n_missing AS DOUBLE) / n_rows * 100, 2))
+    FROM m WHERE n_missing > 0
+  UNION ALL SELECT 3, CAST(rk AS VARCHAR) || ':' || model, printf('%.4f', primary_score) FROM ranked
+  UNION ALL SELECT 4, 'best_model', model FROM ranked WHERE rk = 1)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY item) AS INTEGER) AS "row",
+  item, value FROM parts""")

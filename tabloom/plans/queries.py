@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, select,
+from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
+                               select,
                                runlog, split)
+from tabloom.sources import csv_ingest
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
                                     regression_predictions, run_events, datasets,
@@ -473,3 +475,57 @@ def q_dataset_registry(spark, sf):
         row = runlog.registration_row(load(spark, sf, t), t)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# ── previews, scalar functions, inference, plan and report ───────────────────
+
+@register("preview_orders")
+def q_preview_orders(spark, sf):
+    return profile.preview(load(spark, sf, "orders"), ["o_orderkey"], 5)
+
+
+@register("safe_sample")
+def q_safe_sample(spark, sf):
+    return profile.preview(load(spark, sf, "customer"), ["c_custkey"], 5)
+
+
+@register("safe_identifier")
+def q_safe_identifier(spark, sf):
+    from tabloom.functions.columns import safe_identifier
+    return load(spark, sf, "pages").select("page_id", safe_identifier(F.col("url")).alias("safe_url"))
+
+
+@register("column_types")
+def q_column_types(spark, sf):
+    """Types inferred from the text of a CSV export of ``orders``."""
+    from tabloom.functions.columns import type_label
+    text = csv_ingest.stringify(load(spark, sf, "orders"))
+    types = csv_ingest.infer_types(text)
+    typed = csv_ingest.apply_types(text, types)
+    rows = [(c, types[c], type_label(typed.schema[c].dataType)) for c in text.columns]
+    return spark.createDataFrame(rows, "column STRING, inferred_type STRING, label STRING")
+
+
+@register("plan_profile")
+def q_plan_profile(spark, sf):
+    return profile.plan_profile(dirty_lineitem(spark, sf), "target")
+
+
+@register("report_sections")
+def q_report_sections(spark, sf):
+    d = dirty_lineitem(spark, sf)
+    shape = profile.table_shape(d)
+    overview = shape.select(F.lit(1).alias("section"), F.inline(F.array(
+        F.struct(F.lit("n_rows").alias("item"), F.col("n_rows").cast("string").alias("value")),
+        F.struct(F.lit("n_cols").alias("item"), F.col("n_cols").cast("string").alias("value")))))
+    missing = profile.missing_report(d).select(
+        F.lit(2).alias("section"), F.col("column").alias("item"),
+        F.format_string("%.2f", "pct").alias("value"))
+    ranked = rank.rank_models(_binary_metrics_with_bookkeeping(spark, sf), "classification")
+    board = ranked.select(F.lit(3).alias("section"),
+                          F.concat_ws(":", F.col("rk").cast("string"), "model").alias("item"),
+                          F.format_string("%.4f", "primary_score").alias("value"))
+    best = ranked.where(F.col("rk") == 1).select(F.lit(4).alias("section"),
+                                                 F.lit("best_model").alias("item"),
+                                                 F.col("model").alias("value"))
+    return report.report_sections([overview, missing, board, best])
