@@ -109,7 +109,7 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: str
 
 def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred",
                            score: str | None = None, class_scores: dict[str, str] | None = None,
-                           by: str = "model") -> DataFrame:
+                           by: str = "model", positive: str = "1") -> DataFrame:
     """Long ``(model, metric, value)`` for accuracy, weighted P/R/F1 and AUC."""
     base = accuracy(df, y, pred, by).join(prf_weighted(df, y, pred, by), by)
     names = ["accuracy", "f1_weighted", "precision_weighted", "recall_weighted"]
@@ -117,7 +117,7 @@ def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred",
         base = base.join(auc_ovr(df, y, class_scores, by), by, "left")
         names.append("roc_auc")
     elif score:
-        base = base.join(auc_binary(df, y, score, by), by, "left")
+        base = base.join(auc_binary(df, y, score, by, positive), by, "left")
         names.append("roc_auc")
     return _long(base, by, names).where(F.col("value").isNotNull())
 

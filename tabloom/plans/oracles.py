@@ -599,3 +599,10 @@ parts AS (
   UNION ALL SELECT 4, 'best_model', model FROM ranked WHERE rk = 1)
 SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY item) AS INTEGER) AS "row",
   item, value FROM parts""")
+
+
+# ── models ───────────────────────────────────────────────────────────────────
+
+oracle("train_linreg", ORDER_FEATURES + """
+SELECT round(regr_slope(o_totalprice, sum_qty), 4) AS slope,
+  round(regr_intercept(o_totalprice, sum_qty), 4) AS intercept FROM of WHERE sum_qty IS NOT NULL""")

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
-                               select,
+                               select, models,
                                runlog, split)
 from tabloom.sources import csv_ingest
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
                                     regression_predictions, run_events, datasets,
-                                    dataset_patches)
+                                    dataset_patches, document_features)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -529,3 +529,83 @@ def q_report_sections(spark, sf):
                                                  F.lit("best_model").alias("item"),
                                                  F.col("model").alias("value"))
     return report.report_sections([overview, missing, board, best])
+
+
+# ── models (rows-only checks, except the OLS fit) ────────────────────────────
+
+def _model_data(spark, sf, task):
+    """Feature table ready for Spark ML: classification on document quality,
+    regression on order totals. Returns (train, test, features, n_classes)."""
+    if task == "classification":
+        df, target, key = document_features(spark, sf), "quality", "doc_id"
+    else:
+        df, target, key = order_features(spark, sf).drop("o_orderstatus"), "o_totalprice", \
+            "o_orderkey"
+    fm = encode.fit_features(df, target, id_cols=(key,))
+    feats = fm.feature_columns
+    t = fm.transform(df).na.fill(0.0, subset=feats)
+    t = t.select(key, *[F.col(c).cast("double") for c in feats],
+                 F.col(target).cast("double").alias("_label"))
+    train, test = split.train_test_split(t, key)
+    return train, test, feats, (2 if task == "classification" else 0)
+
+
+def _train(spark, sf, name, task):
+    train, test, feats, k = _model_data(spark, sf, task)
+    return models.train_model(name, train, test, feats, "_label", task, k).metrics.where(
+        ~F.col("metric").isin("train_duration_seconds"))
+
+
+@register("train_rf_classifier")
+def q_train_rf_classifier(spark, sf):
+    return _train(spark, sf, "random_forest", "classification")
+
+
+@register("train_rf_regressor")
+def q_train_rf_regressor(spark, sf):
+    return _train(spark, sf, "random_forest", "regression")
+
+
+@register("train_logreg")
+def q_train_logreg(spark, sf):
+    return _train(spark, sf, "logistic_regression", "classification")
+
+
+@register("train_gbt_classifier")
+def q_train_gbt_classifier(spark, sf):
+    return _train(spark, sf, "xgboost", "classification")
+
+
+@register("train_gbt_regressor")
+def q_train_gbt_regressor(spark, sf):
+    return _train(spark, sf, "xgboost", "regression")
+
+
+@register("train_one")
+def q_train_one(spark, sf):
+    return _train(spark, sf, "linear_regression", "regression")
+
+
+@register("train_all")
+def q_train_all(spark, sf):
+    train, test, feats, k = _model_data(spark, sf, "classification")
+    done, _ = models.train_all(["random_forest", "logistic_regression", "xgboost"], train, test,
+                               feats, "_label", "classification", k)
+    return rank.model_comparison(models.metrics_table(done), "classification").drop(
+        "train_duration_seconds")
+
+
+@register("score_holdout")
+def q_score_holdout(spark, sf):
+    train, test, feats, k = _model_data(spark, sf, "classification")
+    m = models.train_model("logistic_regression", train, test, feats, "_label", "classification", k)
+    from pyspark.ml.functions import vector_to_array
+    return m.model.transform(test).select(
+        "doc_id", "_label", "prediction", vector_to_array("probability")[1].alias("p_positive"))
+
+
+@register("train_linreg")
+def q_train_linreg(spark, sf):
+    """OLS of an order's total on its line quantity (one feature)."""
+    of = order_features(spark, sf).where(F.col("sum_qty").isNotNull())
+    return round_floats(models.linear_fit(of, "sum_qty", "o_totalprice"))

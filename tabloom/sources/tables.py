@@ -148,3 +148,13 @@ def dataset_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("value") > 50, F.concat(F.lit("ds_"), F.col("event_id")))
                     .alias("name"),
                     F.when(F.col("value") <= 80, F.col("props")).alias("description"))
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents for quality classification:
+    ``(doc_id, n_chars, n_lines, lang, source, toxic, quality)``."""
+    d = load(spark, sf_dir, "documents")
+    lab = load(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id").select(
+        "doc_id", "n_chars", (F.size(F.split(F.col("text"), "\n"))).alias("n_lines"),
+        "lang", "source", "toxic", "quality")
