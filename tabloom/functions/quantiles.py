@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,12 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 
 def _histogram(long_df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """Value histogram, persisted: it is read by the sizing, range and
+    selection jobs, and is never larger than its input."""
     return (long_df.where(F.col(value_col).isNotNull())
             .groupBy(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("w")))
+            .agg(F.count(F.lit(1)).alias("w"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _value_ranges(hist: DataFrame, rows_per_range: int):
@@ -96,8 +100,11 @@ def select_ranks(long_df: DataFrame, wanted: set[tuple[str, int]], group_col: st
                  ) -> dict[tuple[str, int], tuple[float, int]]:
     """Exact order statistics: ``{(group, k): (value at rank k, rows below it)}``."""
     hist = _histogram(long_df, group_col, value_col)
-    _, ranges = _value_ranges(hist, rows_per_range)
-    return _pick(hist, ranges, wanted)
+    try:
+        _, ranges = _value_ranges(hist, rows_per_range)
+        return _pick(hist, ranges, wanted)
+    finally:
+        hist.unpersist()
 
 
 def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "column",
@@ -109,12 +116,15 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "co
     ignored. Returns ``{(group, p): value}`` (absent groups have no value).
     """
     hist = _histogram(long_df, group_col, value_col)
-    totals, ranges = _value_ranges(hist, rows_per_range)
-    plan = {}
-    for g, n in totals.items():
-        for p in probs:
-            plan[(g, p)] = _ranks(int(n), p)
-    got = _pick(hist, ranges, {(g, k) for (g, _), ks in plan.items() for k in ks[:2]})
+    try:
+        totals, ranges = _value_ranges(hist, rows_per_range)
+        plan = {}
+        for g, n in totals.items():
+            for p in probs:
+                plan[(g, p)] = _ranks(int(n), p)
+        got = _pick(hist, ranges, {(g, k) for (g, _), ks in plan.items() for k in ks[:2]})
+    finally:
+        hist.unpersist()
     out: dict[tuple[str, float], float | None] = {}
     for (g, p), (k1, k2, frac) in plan.items():
         a, b = got[(g, k1)][0], got[(g, k2)][0]

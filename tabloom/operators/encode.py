@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,6 +220,20 @@ def fit_features(df: DataFrame, target: str, id_cols: tuple[str, ...] = (),
     labels = column_labels(df)
     feats = [c for c in df.columns if c != target and c not in id_cols]
     fm = FeatureModel(target=target, id_cols=list(id_cols), features_before=feats)
+    # Fitting reads the table several times (category counts, kept levels,
+    # scaler moments); keep it for the duration of the fit.
+    owned = not df.storageLevel.useMemory and not df.storageLevel.useDisk
+    if owned:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _fit_into(fm, df, labels, feats, target, id_cols, ordinal_threshold, drop_low_variance)
+    finally:
+        if owned:
+            df.unpersist()
+    return fm
+
+
+def _fit_into(fm, df, labels, feats, target, id_cols, ordinal_threshold, drop_low_variance):
     cats = [c for c in feats if labels[c] == CATEGORICAL]
     ordinal, ohe = split_categoricals(df, cats, ordinal_threshold)
     fm.ordinal = fit_ordinal(df, ordinal)
@@ -237,4 +252,3 @@ def fit_features(df: DataFrame, target: str, id_cols: tuple[str, ...] = (),
         # sample std is sqrt(n/(n-1)) >= 1. Decided from the scaler statistics
         # with no extra pass over the data.
         fm.low_variance = [c for c, (_, s, n) in fm.scaler.items() if n >= 2 and s == 0.0]
-    return fm
