@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference runs one synchronous batch per request and has no stream,
+watermark, window or stateful operator (nothing to map to Structured
+Streaming). Every operator in this package is batch ``DataFrame ->
+DataFrame`` and would run unchanged inside ``foreachBatch`` if a caller
+streams new rows in.
+"""
