@@ -107,9 +107,42 @@ def long_form(df: DataFrame, columns: list[str], value_type: str = "double",
     unpivot is a single Expand inside whole-stage codegen.
     """
     ids = ids or []
-    vals = [(clean_value(df, c) if clean else col(c)).cast(value_type).alias(f"_v{i}")
+    vals = [f"CAST({sql_clean(df, c) if clean else q(c)} AS {value_type}) AS _v{i}"
             for i, c in enumerate(columns)]
-    wide = df.select(*[col(i) for i in ids], *vals)
+    wide = df.selectExpr(*[q(i) for i in ids], *vals)
     out = wide.unpivot(ids or [], [f"_v{i}" for i in range(len(columns))], "_slot", "value")
-    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"_v{i}"), F.lit(c))])
-    return out.select(*[col(i) for i in ids], names[F.col("_slot")].alias("column"), "value")
+    names = ", ".join(f"'_v{i}', {sql_lit(c)}" for i, c in enumerate(columns))
+    return out.selectExpr(*[q(i) for i in ids], f"map({names})[_slot] AS column", "value")
+
+
+def sql_lit(v) -> str:
+    """Render a Python value as a Spark SQL literal (doubles get the D suffix)."""
+    import math
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return f"({v!r}D)"
+    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{s}'"
+
+
+def sql_clean(df: DataFrame, name: str) -> str:
+    """SQL text of :func:`clean_value` (NaN -> NULL for floating columns)."""
+    if is_float_type(df.schema[name].dataType):
+        return f"nanvl({q(name)}, CAST(NULL AS {df.schema[name].dataType.simpleString()}))"
+    return q(name)
+
+
+def sql_double(df: DataFrame, name: str) -> str:
+    """SQL text of :func:`as_double`."""
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return f"CAST(CAST({q(name)} AS INT) AS DOUBLE)"
+    return f"CAST({sql_clean(df, name)} AS DOUBLE)"

@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 
 # Histogram rows per value range in step 2; bounds one window partition.
 ROWS_PER_RANGE = 1_000_000
+# Groups with at most this many distinct values are finished by Spark's exact
+# ``percentile`` with the histogram weights: its per-group value map is then
+# bounded by this checked size (steps 2-4 are skipped).
+MAP_MAX_DISTINCT = 1_000_000
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -45,10 +49,11 @@ def _histogram(long_df: DataFrame, group_col: str, value_col: str) -> DataFrame:
             .persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def _value_ranges(hist: DataFrame, rows_per_range: int):
+def _value_ranges(hist: DataFrame, rows_per_range: int, sizes=None):
     """Per group: (total weight, ordered list of (lo, hi, weight) value ranges)."""
-    sizes = {r["g"]: (r["d"], r["n"]) for r in
-             hist.groupBy("g").agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
+    if sizes is None:
+        sizes = {r["g"]: (r["d"], r["n"]) for r in hist.groupBy("g").agg(
+            F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
     total_d = sum(d for d, _ in sizes.values())
     n_ranges = max(1, math.ceil(total_d / rows_per_range))
     ranges: dict[str, list[tuple[float, float, int]]] = {}
@@ -108,7 +113,8 @@ def select_ranks(long_df: DataFrame, wanted: set[tuple[str, int]], group_col: st
 
 
 def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "column",
-                    value_col: str = "value", rows_per_range: int = ROWS_PER_RANGE
+                    value_col: str = "value", rows_per_range: int = ROWS_PER_RANGE,
+                    map_max_distinct: int | None = None
                     ) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles per group of a long-form table.
 
@@ -117,7 +123,14 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "co
     """
     hist = _histogram(long_df, group_col, value_col)
     try:
-        totals, ranges = _value_ranges(hist, rows_per_range)
+        sizes = {r["g"]: (r["d"], r["n"]) for r in hist.groupBy("g").agg(
+            F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
+        limit = MAP_MAX_DISTINCT if map_max_distinct is None else map_max_distinct
+        if sizes and max(d for d, _ in sizes.values()) <= limit:
+            got = hist.groupBy("g").agg(F.percentile(
+                "v", F.array(*[F.lit(float(p)) for p in probs]), F.col("w")).alias("q")).collect()
+            return {(r["g"], p): r["q"][i] for r in got for i, p in enumerate(probs)}
+        totals, ranges = _value_ranges(hist, rows_per_range, sizes)
         plan = {}
         for g, n in totals.items():
             for p in probs:
@@ -140,3 +153,49 @@ def quantiles_frame(spark, result: dict[tuple[str, float], float | None], names:
     rows = [(g, *[result[(g, p)] for p in probs]) for g in groups]
     schema = f"{group_name} STRING, " + ", ".join(f"{names[p]} DOUBLE" for p in probs)
     return spark.createDataFrame(rows, schema)
+
+
+def distinct_estimates(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """HyperLogLog distinct-count estimate per column (one cheap pass)."""
+    from tabloom.functions.columns import chunks, sql_clean
+    out = {}
+    for chunk in chunks(list(enumerate(columns)), 100):
+        r = df.selectExpr(*[f"approx_count_distinct({sql_clean(df, c)}) AS _a{i}"
+                            for i, c in chunk]).first()
+        out.update({c: r[f"_a{i}"] for i, c in chunk})
+    return out
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                     estimates: dict[str, int] | None = None,
+                     map_max_distinct: int = MAP_MAX_DISTINCT) -> dict[tuple[str, float], float | None]:
+    """Exact linear quantiles of wide numeric columns.
+
+    Columns whose estimated distinct count (HyperLogLog, padded by 10 % for
+    its error) is within ``map_max_distinct`` get Spark's exact
+    ``percentile`` in one wide aggregate - its map-side combine is the value
+    histogram and each per-column map is bounded by the checked size. Any
+    other column goes through :func:`exact_quantiles` (histogram + value
+    ranges), which has no per-task bound on distinct values.
+    """
+    from tabloom.functions.columns import chunks, long_form, sql_clean
+    if not columns:
+        return {}
+    est = estimates if estimates is not None else distinct_estimates(df, columns)
+    small = [c for c in columns if est.get(c, 0) * 1.1 <= map_max_distinct]
+    large = [c for c in columns if c not in small]
+    out: dict[tuple[str, float], float | None] = {}
+    arr = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+    for chunk in (chunks(list(enumerate(small)), 32) if small else []):
+        r = df.selectExpr(*[f"percentile(CAST({sql_clean(df, c)} AS DOUBLE), {arr}) AS _q{i}"
+                            for i, c in chunk]).first()
+        for i, c in chunk:
+            vals = r[f"_q{i}"]
+            for j, p in enumerate(probs):
+                out[(c, p)] = None if vals is None else vals[j]
+    if large:
+        got = exact_quantiles(long_form(df, large, "double"), probs, map_max_distinct=0)
+        for c in large:
+            for p in probs:
+                out[(c, p)] = got.get((c, p))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import long_form
-from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.quantiles import column_quantiles
 from tabloom.functions.ranking import top_k_per_group
 from tabloom.operators.profile import correlation_matrix, value_counts
 
@@ -95,7 +95,7 @@ def box_stats(df: DataFrame, columns: list[str], whisker: float = BOX_WHISKER) -
     at the most extreme values inside [q1 - 1.5·iqr, q3 + 1.5·iqr]."""
     spark = df.sparkSession
     long = long_form(df, columns, "double").where(F.col("value").isNotNull())
-    q = exact_quantiles(long, [0.25, 0.5, 0.75])
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
         if (c, 0.25) not in q:

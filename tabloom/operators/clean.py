@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import (CATEGORICAL, NUMERIC, clean_value, col, column_labels,
-                                       is_missing, long_form)
-from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.columns import (CATEGORICAL, NUMERIC, col, column_labels, is_float_type,
+                                       is_missing, long_form, q, sql_clean, sql_lit)
+from tabloom.functions.quantiles import column_quantiles
 from tabloom.functions.ranking import top_k_per_group
 from tabloom.operators.profile import missing_counts
 
@@ -70,7 +70,7 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     if not columns:
         return {}
-    q = exact_quantiles(long_form(df, columns, "double"), [0.5])
+    q = column_quantiles(df, columns, [0.5])
     return {c: q.get((c, 0.5)) for c in columns}
 
 
@@ -97,8 +97,9 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> tuple[Data
     columns = columns if columns is not None else [c for c, t in labels.items() if t == NUMERIC]
     gappy = _gappy(df, columns)
     med = column_medians(df, gappy)
-    out = df.select(*[F.coalesce(clean_value(df, c).cast("double"), F.lit(med[c])).alias(c)
-                      if c in med else col(c) for c in df.columns])
+    out = df.selectExpr(*[f"coalesce(CAST({sql_clean(df, c)} AS DOUBLE), "
+                          f"CAST({sql_lit(med[c])} AS DOUBLE)) AS {q(c)}"
+                          if c in med else q(c) for c in df.columns])
     return out, med
 
 
@@ -109,22 +110,25 @@ def impute_mode(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFr
                                                    if t == CATEGORICAL]
     gappy = _gappy(df, columns)
     modes = {c: (m if m is not None else CONSTANT_FILL) for c, m in column_modes(df, gappy).items()}
-    out = df.select(*[F.coalesce(col(c), F.lit(modes[c])).alias(c) if c in modes else col(c)
-                      for c in df.columns])
+    out = df.selectExpr(*[f"coalesce({q(c)}, {sql_lit(modes[c])}) AS {q(c)}" if c in modes
+                          else q(c) for c in df.columns])
     return out, modes
 
 
 def _gappy(df: DataFrame, columns: list[str]) -> list[str]:
     if not columns:
         return []
-    row = df.agg(*[F.max(is_missing(df, c).cast("int")).alias(f"_g{i}")
-                   for i, c in enumerate(columns)]).first()
+    def miss(c):
+        return f"{q(c)} IS NULL" + (f" OR isnan({q(c)})" if is_float_type(df.schema[c].dataType)
+                                    else "")
+    row = df.selectExpr(*[f"max(CAST({miss(c)} AS INT)) AS _g{i}"
+                          for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[f"_g{i}"]]
 
 
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, q1, q3, iqr)``: exact linear quartiles."""
-    q = exact_quantiles(long_form(df, columns, "double"), [0.25, 0.75]) if columns else {}
+    q = column_quantiles(df, columns, [0.25, 0.75]) if columns else {}
     rows = [(c, q.get((c, 0.25)), q.get((c, 0.75)),
              None if q.get((c, 0.25)) is None else q[(c, 0.75)] - q[(c, 0.25)]) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column STRING, q1 DOUBLE, q3 DOUBLE, iqr DOUBLE")
@@ -137,8 +141,9 @@ def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER) ->
         return df.sparkSession.createDataFrame(
             [], "column STRING, lower DOUBLE, upper DOUBLE, n_outside BIGINT")
     bounds = {r["column"]: (r["q1"] - k * r["iqr"], r["q3"] + k * r["iqr"]) for r in qs}
-    counts = df.agg(*[F.count_if((col(c) < lo) | (col(c) > hi)).alias(f"_n{i}")
-                      for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
+    counts = df.selectExpr(*[f"count_if({q(c)} < {sql_lit(float(lo))} OR {q(c)} > "
+                             f"{sql_lit(float(hi))}) AS _n{i}"
+                             for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
     rows = [(c, lo, hi, counts[f"_n{i}"]) for i, (c, (lo, hi)) in enumerate(bounds.items())]
     return df.sparkSession.createDataFrame(
         rows, "column STRING, lower DOUBLE, upper DOUBLE, n_outside BIGINT")
@@ -154,9 +159,9 @@ def clip_columns(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataF
     """Clip each column to its bounds; missing values stay missing."""
     def clip(c):
         lo, hi = bounds[c]
-        return F.when(col(c).isNull(), col(c)).otherwise(
-            F.greatest(F.least(col(c), F.lit(hi)), F.lit(lo))).alias(c)
-    return df.select(*[clip(c) if c in bounds else col(c) for c in df.columns])
+        return (f"CASE WHEN {q(c)} IS NULL THEN {q(c)} ELSE "
+                f"greatest(least({q(c)}, {sql_lit(float(hi))}), {sql_lit(float(lo))}) END AS {q(c)}")
+    return df.selectExpr(*[clip(c) if c in bounds else q(c) for c in df.columns])
 
 
 def iqr_clip(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER
@@ -194,16 +199,18 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
     dropped = sparse_columns(df, threshold, keep=keep)
     work = df.drop(*dropped)
 
-    obs = Observation("clean_counts")
-    observed = work.observe(obs, F.count(F.lit(1)).alias("rows_before"))
-    deduped = observed.dropDuplicates()
+    # One job gives all counts: rows grouped on every column (map-side
+    # combined) → rows before (sum of group sizes), rows after dedup (number
+    # of groups) and deduplicated rows with a missing target.
     has_target = bool(target) and target in work.columns
-    counts = deduped.agg(F.count(F.lit(1)).alias("n"),
-                         (F.count_if(is_missing(deduped, target)) if has_target
-                          else F.lit(0)).alias("n_null_target")).first()
-    rows_before = obs.get["rows_before"]
+    groups = work.groupBy(*[col(c) for c in work.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    counts = groups.agg(F.sum("_n").alias("rows_before"), F.count(F.lit(1)).alias("n"),
+                        (F.count_if(is_missing(work, target)) if has_target
+                         else F.lit(0)).alias("n_null_target")).first()
+    rows_before = counts["rows_before"] or 0
     dup_removed = rows_before - counts["n"]
     target_dropped = counts["n_null_target"]
+    deduped = work.dropDuplicates()
     base = drop_null_target(deduped, target) if has_target else deduped
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -15,8 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import (BOOLEAN, CATEGORICAL, NUMERIC, as_double, col,
-                                       column_labels, long_form)
+from tabloom.functions.columns import (BOOLEAN, CATEGORICAL, NUMERIC, as_double, chunks, col,
+                                       column_labels, long_form, q, sql_double, sql_lit)
 from tabloom.functions.ranking import top_k_per_group
 
 # Fixed values of the reference behaviour.
@@ -57,12 +57,14 @@ def fit_ordinal(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]
 
 
 def apply_ordinal(df: DataFrame, codes: dict[str, dict[str, float]]) -> DataFrame:
-    """Replace each column by its code (DOUBLE); unseen values get -1."""
+    """Replace each column by its code (DOUBLE); unseen values get -1.
+    One projection; each column is a literal-map lookup."""
     def enc(c):
-        m = F.create_map(*[x for k, v in codes[c].items() for x in (F.lit(k), F.lit(v))])
-        key = F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT))
-        return F.coalesce(m[key], F.lit(UNKNOWN_CODE)).alias(c)
-    return df.select(*[enc(c) if c in codes else col(c) for c in df.columns])
+        m = ", ".join(f"{sql_lit(k)}, {sql_lit(float(v))}" for k, v in codes[c].items())
+        key = f"coalesce(CAST({q(c)} AS STRING), {sql_lit(MISSING_TEXT)})"
+        lookup = f"map({m})[{key}]" if m else "CAST(NULL AS DOUBLE)"
+        return f"coalesce({lookup}, {sql_lit(UNKNOWN_CODE)}) AS {q(c)}"
+    return df.selectExpr(*[enc(c) if c in codes else q(c) for c in df.columns])
 
 
 def ordinal_encode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,9 +88,11 @@ def fit_top_categories(df: DataFrame, columns: list[str],
 def apply_rare_to_other(df: DataFrame, keep: dict[str, list[str]]) -> DataFrame:
     """Values outside the kept set (and missing values) become ``__other__``."""
     def cap(c):
-        v = col(c).cast("string")
-        return F.when(v.isin(keep[c]), v).otherwise(F.lit(OTHER)).alias(c)
-    return df.select(*[cap(c) if c in keep else col(c) for c in df.columns])
+        v = f"CAST({q(c)} AS STRING)"
+        kept = ", ".join(sql_lit(x) for x in keep[c])
+        cond = f"{v} IN ({kept})" if kept else "FALSE"
+        return f"CASE WHEN {cond} THEN {v} ELSE {sql_lit(OTHER)} END AS {q(c)}"
+    return df.selectExpr(*[cap(c) if c in keep else q(c) for c in df.columns])
 
 
 def rare_to_other(df: DataFrame, columns: list[str], k: int = OHE_MAX_CATEGORIES) -> DataFrame:
@@ -107,10 +111,10 @@ def one_hot_levels(keep: dict[str, list[str]], present_other: dict[str, bool]) -
 
 def apply_one_hot(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """Replace each column by 0/1 DOUBLE dummies ``{col}_{level}`` appended at the end."""
-    kept = [col(c) for c in df.columns if c not in levels]
-    dummies = [F.when(col(c) == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}")
+    kept = [q(c) for c in df.columns if c not in levels]
+    dummies = [f"CASE WHEN {q(c)} = {sql_lit(v)} THEN 1.0D ELSE 0.0D END AS {q(f'{c}_{v}')}"
                for c in levels for v in levels[c]]
-    return df.select(*kept, *dummies)
+    return df.selectExpr(*kept, *dummies)
 
 
 def one_hot_encode(df: DataFrame, columns: list[str], k: int = OHE_MAX_CATEGORIES) -> DataFrame:
@@ -130,14 +134,16 @@ def _has_other(capped: DataFrame, columns: list[str]) -> dict[str, bool]:
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, int]]:
-    """``{column: (mean, population std, n)}`` in one aggregate pass."""
-    if not columns:
-        return {}
-    long = long_form(df, columns, "double")
-    rows = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"),
-                                      F.count("value").alias("n")).collect()
-    got = {r["column"]: (r["m"], r["s"], r["n"]) for r in rows}
-    return {c: got.get(c, (None, None, 0)) for c in columns}
+    """``{column: (mean, population std, n)}`` in one wide aggregate pass."""
+    out: dict[str, tuple[float, float, int]] = {}
+    for chunk in (chunks(list(enumerate(columns)), 30) if columns else []):
+        aggs = []
+        for i, c in chunk:
+            v = sql_double(df, c)
+            aggs += [f"avg({v}) AS m{i}", f"stddev_pop({v}) AS s{i}", f"count({v}) AS n{i}"]
+        r = df.selectExpr(*aggs).first()
+        out.update({c: (r[f"m{i}"], r[f"s{i}"], r[f"n{i}"]) for i, c in chunk})
+    return out
 
 
 def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float, int]]) -> DataFrame:
@@ -146,8 +152,8 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float, int]]) -> D
         m, s, _ = stats[c]
         scale = s if s not in (None, 0.0) else 1.0
         mean = m if m is not None else 0.0
-        return ((as_double(df, c) - F.lit(mean)) / F.lit(scale)).alias(c)
-    return df.select(*[sc(c) if c in stats else col(c) for c in df.columns])
+        return f"({sql_double(df, c)} - {sql_lit(float(mean))}) / {sql_lit(float(scale))} AS {q(c)}"
+    return df.selectExpr(*[sc(c) if c in stats else q(c) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import (NUMERIC, clean_value, col, column_labels,
-                                       is_missing, long_form)
-from tabloom.functions.quantiles import exact_quantiles, quantiles_frame
+from tabloom.functions.columns import (NUMERIC, chunks, col, column_labels, is_float_type,
+                                       is_missing, long_form, q, sql_clean, sql_lit)
+from tabloom.functions.quantiles import column_quantiles, quantiles_frame
 from tabloom.functions.ranking import top_k_per_group
 
 # Fixed values of the reference behaviour.
@@ -37,12 +37,13 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """``(column, n_missing, n_rows)`` for every column, one pass over the table."""
-    aggs = [F.count_if(is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)]
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
-    names = F.create_map(*[x for i, c in enumerate(df.columns)
-                           for x in (F.lit(f"_m{i}"), F.lit(c))])
-    return (one.unpivot(["n_rows"], [f"_m{i}" for i in range(len(df.columns))], "_slot", "n_missing")
-            .select(names[F.col("_slot")].alias("column"), "n_missing", "n_rows"))
+    def miss(c):
+        m = f"{q(c)} IS NULL" + (f" OR isnan({q(c)})" if is_float_type(df.schema[c].dataType) else "")
+        return f"count_if({m})"
+    arr = ", ".join(f"named_struct('column', {sql_lit(c)}, 'n_missing', {miss(c)})"
+                    for c in df.columns)
+    one = df.selectExpr("count(1) AS n_rows", f"array({arr}) AS _m")
+    return one.selectExpr("inline(_m)", "n_rows")
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -61,33 +62,47 @@ def high_missing_columns(df: DataFrame, pct_threshold: float = HIGH_MISSING_PCT)
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, n_distinct)``: distinct non-missing values per column.
 
-    Unpivot + two group-bys instead of several ``count(DISTINCT)`` in one
-    aggregate; every column is handled by the same shuffle.
+    Several ``count(DISTINCT)`` in one aggregate are planned by Spark as an
+    Expand (one copy of each row per column, native types) and a two-level
+    aggregation keyed by (column id, value): fully distributed, with the
+    partial step collapsing repeated values before the shuffle.
     """
     columns = columns or df.columns
-    long = long_form(df, columns, "string").where(F.col("value").isNotNull())
-    per_value = long.select("column", "value").distinct()
-    counted = per_value.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    spark = df.sparkSession
-    all_cols = spark.createDataFrame([(c,) for c in columns], "column STRING")
-    return (all_cols.join(counted, "column", "left")
-            .select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
-
-
-def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, n, mean, std, min, max)`` (unrounded) over non-missing values."""
-    long = long_form(df, columns, "double")
-    return long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    parts = []
+    for chunk in chunks(list(enumerate(columns)), 64):
+        arr = ", ".join(f"named_struct('column', {sql_lit(c)}, 'n_distinct', "
+                        f"CAST(count(DISTINCT {sql_clean(df, c)}) AS BIGINT))" for i, c in chunk)
+        parts.append(df.selectExpr(f"array({arr}) AS _d").selectExpr("inline(_d)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def numeric_summary(df: DataFrame, columns: list[str], with_estimates: bool = False) -> DataFrame:
+    """``(column, n, mean, std, min, max[, n_distinct_est])`` (unrounded) over
+    non-missing values: one wide aggregate (chunked to stay within codegen
+    limits) whose single row is unpivoted to one row per column."""
+    parts = []
+    for chunk in chunks(list(enumerate(columns)), 20):
+        structs = []
+        for i, c in chunk:
+            v = f"CAST({sql_clean(df, c)} AS DOUBLE)"
+            est = f", 'n_distinct_est', approx_count_distinct({v})" if with_estimates else ""
+            structs.append(f"named_struct('column', {sql_lit(c)}, 'n', count({v}), "
+                           f"'mean', avg({v}), 'std', stddev_samp({v}), 'min', min({v}), "
+                           f"'max', max({v}){est})")
+        parts.append(df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def medians(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.5,),
-            names: tuple[str, ...] = ("median",)) -> DataFrame:
+            names: tuple[str, ...] = ("median",), estimates: dict | None = None) -> DataFrame:
     """Exact linear quantiles ``(column, <names>...)`` for numeric columns."""
-    result = exact_quantiles(long_form(df, columns, "double"), list(probs))
-    # Columns with no value at all are absent from the histogram.
+    result = column_quantiles(df, columns, list(probs), estimates)
     for c in columns:
         for p in probs:
             result.setdefault((c, p), None)
@@ -98,8 +113,9 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, mean, std, min, max, median)``; mean and std rounded to 4 decimals."""
     labels = column_labels(df)
     columns = columns or [c for c, t in labels.items() if t == NUMERIC]
-    s = numeric_summary(df, columns)
-    m = medians(df, columns)
+    s = numeric_summary(df, columns, with_estimates=True).cache()
+    est = {r["column"]: r["n_distinct_est"] for r in s.select("column", "n_distinct_est").collect()}
+    m = medians(df, columns, estimates=est)
     return (s.join(F.broadcast(m), "column")
              .select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
                      "min", "max", "median"))
@@ -136,14 +152,14 @@ def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 4) -> Da
     spark = df.sparkSession
     if len(columns) < 2:
         return spark.createDataFrame([], "col_a STRING, col_b STRING, corr DOUBLE")
-    vals = {c: clean_value(df, c).cast("double") for c in columns}
+    vals = {c: f"CAST({sql_clean(df, c)} AS DOUBLE)" for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    arr = F.array(*[F.struct(F.lit(i).alias("p"), vals[a].alias("x"), vals[b].alias("y"))
-                    for i, (a, b) in enumerate(pairs)])
-    long = df.select(F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    r = long.groupBy("p").agg(
-        F.round(F.try_divide(F.covar_samp("x", "y"),
-                             F.stddev_samp("x") * F.stddev_samp("y")), digits).alias("corr"))
+    arr = ", ".join(f"named_struct('p', {i}, 'x', {vals[a]}, 'y', {vals[b]})"
+                    for i, (a, b) in enumerate(pairs))
+    long = df.selectExpr(f"inline(array({arr}))").where("x IS NOT NULL AND y IS NOT NULL")
+    r = long.groupBy("p").agg(F.expr(
+        f"round(try_divide(covar_samp(x, y), stddev_samp(x) * stddev_samp(y)), {digits})")
+        .alias("corr"))
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                   "p INT, col_a STRING, col_b STRING")
     upper = names.join(r, "p", "left").select("col_a", "col_b", F.col("corr").cast("double"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import col, long_form
+from tabloom.functions.columns import q, sql_lit
 
 BINS = 32
 DEFAULT_TOP_K = 20
@@ -40,31 +40,41 @@ def mutual_information(df: DataFrame, features: list[str], target: str,
     """
     spark = df.sparkSession
     fill = fill or {}
-    y = col(target).cast("string") if discrete_target else col(target).cast("double")
-    base = df.select(*[F.coalesce(col(c).cast("double"), F.lit(float(fill.get(c) or 0.0)))
-                       .alias(c) for c in features],
-                     y.alias("_y")).where(F.col("_y").isNotNull())
+    y = (f"CAST({q(target)} AS STRING)" if discrete_target else f"CAST({q(target)} AS DOUBLE)")
+    base = df.selectExpr(*[f"coalesce(CAST({q(c)} AS DOUBLE), {sql_lit(float(fill.get(c) or 0.0))})"
+                           f" AS _x{i}" for i, c in enumerate(features)],
+                         f"{y} AS _y").where("_y IS NOT NULL")
+    # Ranges of every feature (and a numeric target) in one wide aggregate.
+    aggs = [e for i in range(len(features)) for e in (f"min(_x{i}) AS lo{i}", f"max(_x{i}) AS hi{i}")]
     if not discrete_target:
-        yr = base.agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).first()
-        base = base.withColumn("_y", _bin(F.col("_y"), F.lit(yr["lo"]), F.lit(yr["hi"]))
-                               .cast("string"))
-    long = long_form(base, features, "double", ids=["_y"], clean=False)
-    rng = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joint = (long.join(F.broadcast(rng), "column")      # one row per feature
-             .withColumn("b", _bin(F.col("value"), F.col("lo"), F.col("hi")))
-             .groupBy("column", "b", "_y").agg(F.count(F.lit(1)).alias("n_by")))
-    wf = Window.partitionBy("column")
+        aggs += ["min(_y) AS ylo", "max(_y) AS yhi"]
+    r = base.selectExpr(*aggs).first()
+
+    def binsql(v, lo, hi):
+        if lo is None:
+            return "0"
+        if hi == lo:
+            return "0"
+        return (f"CAST(least(floor(({v} - {sql_lit(lo)}) / ({sql_lit(hi)} - {sql_lit(lo)}) * {BINS}),"
+                f" {BINS - 1}) AS INT)")
+    yb = "_y" if discrete_target else f"CAST({binsql('_y', r['ylo'], r['yhi'])} AS STRING)"
+    binned = base.selectExpr(f"{yb} AS _y", *[f"{binsql(f'_x{i}', r[f'lo{i}'], r[f'hi{i}'])} AS _b{i}"
+                                              for i in range(len(features))])
+    long = binned.unpivot(["_y"], [f"_b{i}" for i in range(len(features))], "_slot", "b")
+    joint = long.groupBy("_slot", "b", "_y").agg(F.count(F.lit(1)).alias("n_by"))
+    wf = Window.partitionBy("_slot")
     scored = (joint
               .withColumn("n", F.sum("n_by").over(wf))
-              .withColumn("n_b", F.sum("n_by").over(Window.partitionBy("column", "b")))
-              .withColumn("n_y", F.sum("n_by").over(Window.partitionBy("column", "_y")))
-              .groupBy("column")
+              .withColumn("n_b", F.sum("n_by").over(Window.partitionBy("_slot", "b")))
+              .withColumn("n_y", F.sum("n_by").over(Window.partitionBy("_slot", "_y")))
+              .groupBy("_slot")
               .agg(F.sum(F.col("n_by") / F.col("n") *
                          F.ln(F.col("n_by") * F.col("n") / (F.col("n_b") * F.col("n_y"))))
                    .alias("mi")))
-    names = spark.createDataFrame([(c,) for c in features], "column STRING")
-    out = (names.join(scored, "column", "left")
-           .select(F.col("column").alias("feature"),
+    names = spark.createDataFrame([(f"_b{i}", c) for i, c in enumerate(features)],
+                                  "_slot STRING, feature STRING")
+    out = (names.join(scored, "_slot", "left")
+           .select("feature",
                    F.round(F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)), digits)
                    .alias("mi")))
     # One row per feature: a global order over this small table is cheap.

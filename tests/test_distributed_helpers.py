@@ -10,14 +10,15 @@ from tabloom.functions.quantiles import exact_quantiles, select_ranks
 from tabloom.functions.ranking import previous_in_order, running_sums, top_k_per_group
 
 
-@pytest.mark.parametrize("rows_per_range", [1_000_000, 50])
-def test_exact_quantiles_match_numpy(spark, rows_per_range):
+@pytest.mark.parametrize("rows_per_range,map_max", [(1_000_000, None), (1_000_000, 0), (50, 0)])
+def test_exact_quantiles_match_numpy(spark, rows_per_range, map_max):
     rng = np.random.default_rng(5)
     a = rng.normal(size=997)
     b = np.concatenate([np.full(400, 7.0), rng.integers(0, 20, 300).astype(float)])  # hot value
     rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("a", None)]
     df = spark.createDataFrame(rows, "column STRING, value DOUBLE")
-    got = exact_quantiles(df, [0.0, 0.25, 0.5, 0.9, 1.0], rows_per_range=rows_per_range)
+    got = exact_quantiles(df, [0.0, 0.25, 0.5, 0.9, 1.0], rows_per_range=rows_per_range,
+                          map_max_distinct=map_max)
     for g, arr in (("a", a), ("b", b)):
         for p in (0.0, 0.25, 0.5, 0.9, 1.0):
             assert got[(g, p)] == pytest.approx(np.quantile(arr, p), rel=1e-12, abs=1e-12)
@@ -66,3 +67,16 @@ def test_previous_in_order_matches_lag(spark, width):
     want = pdf.sort_values(["k", "seq"]).groupby("k")["x"].shift(1)
     assert [None if pd.isna(v) else int(v) for v in got["prev_x"]] == \
         [None if pd.isna(v) else int(v) for v in want]
+
+
+@pytest.mark.parametrize("map_max", [1_000_000, 0])
+def test_column_quantiles_both_paths(spark, map_max):
+    from tabloom.functions.quantiles import column_quantiles
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.normal(size=500), "b": rng.integers(0, 9, 500).astype(float)})
+    pdf.loc[::7, "a"] = np.nan
+    got = column_quantiles(spark.createDataFrame(pdf), ["a", "b"], [0.25, 0.5, 0.75],
+                           map_max_distinct=map_max)
+    for c in ("a", "b"):
+        for p in (0.25, 0.5, 0.75):
+            assert got[(c, p)] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
