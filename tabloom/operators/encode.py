@@ -205,11 +205,49 @@ class FeatureModel:
     features_before: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = apply_ordinal(df, self.ordinal)
-        out = apply_rare_to_other(out, self.top_categories)
-        out = apply_one_hot(out, self.one_hot)
-        out = apply_scaler(out, self.scaler)
-        return out.drop(*self.low_variance)
+        """Encode, one-hot and scale in ONE projection where every output
+        column is a single expression over one raw column (no nested CASE
+        from stacked projections, so generated code stays small)."""
+        return df.selectExpr(*self.output_exprs(df))
+
+    def output_exprs(self, df: DataFrame) -> list[str]:
+        out = []
+        dummies = []
+        for c in df.columns:
+            if c in self.one_hot:
+                raw = f"CAST({q(c)} AS STRING)"
+                kept = ", ".join(sql_lit(x) for x in self.top_categories.get(c, []))
+                for v in self.one_hot[c]:
+                    if v == OTHER:
+                        cond = f"{raw} IS NULL" + (f" OR NOT {raw} IN ({kept})" if kept else
+                                                   " OR TRUE")
+                    else:
+                        cond = f"{raw} = {sql_lit(v)}"
+                    name = f"{c}_{v}"
+                    if name not in self.low_variance:
+                        dummies.append(self._scaled(f"CASE WHEN {cond} THEN 1.0D ELSE 0.0D END",
+                                                    name))
+                continue
+            if c in self.low_variance:
+                continue
+            if c in self.ordinal:
+                m = ", ".join(f"{sql_lit(k)}, {sql_lit(float(v))}" for k, v in self.ordinal[c].items())
+                key = f"coalesce(CAST({q(c)} AS STRING), {sql_lit(MISSING_TEXT)})"
+                lookup = f"map({m})[{key}]" if m else "CAST(NULL AS DOUBLE)"
+                out.append(self._scaled(f"coalesce({lookup}, {sql_lit(UNKNOWN_CODE)})", c))
+            elif c in self.scaler:
+                out.append(self._scaled(sql_double(df, c), c))
+            else:
+                out.append(q(c))
+        return out + dummies
+
+    def _scaled(self, expr: str, name: str) -> str:
+        if name not in self.scaler:
+            return f"{expr} AS {q(name)}"
+        m, s, _ = self.scaler[name]
+        scale = s if s not in (None, 0.0) else 1.0
+        mean = m if m is not None else 0.0
+        return f"({expr} - {sql_lit(float(mean))}) / {sql_lit(float(scale))} AS {q(name)}"
 
     @property
     def feature_columns(self) -> list[str]:
