@@ -210,7 +210,12 @@ class FeatureModel:
         from stacked projections, so generated code stays small)."""
         return df.selectExpr(*self.output_exprs(df))
 
-    def output_exprs(self, df: DataFrame) -> list[str]:
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Like :meth:`transform` without scaling (codes and 0/1 dummies)."""
+        return df.selectExpr(*self.output_exprs(df, scaled=False))
+
+    def output_exprs(self, df: DataFrame, scaled: bool = True) -> list[str]:
+        self._scale_on = scaled
         out = []
         dummies = []
         for c in df.columns:
@@ -242,7 +247,7 @@ class FeatureModel:
         return out + dummies
 
     def _scaled(self, expr: str, name: str) -> str:
-        if name not in self.scaler:
+        if name not in self.scaler or not getattr(self, "_scale_on", True):
             return f"{expr} AS {q(name)}"
         m, s, _ = self.scaler[name]
         scale = s if s not in (None, 0.0) else 1.0

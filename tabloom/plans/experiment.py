@@ -138,8 +138,7 @@ def run_experiment(df: DataFrame, target: str, task_type: str | None = None,
         res.feature_model = fm
         feats = fm.feature_columns
         if fe["feature_selection"] and len(feats) > fe["top_k_features"]:
-            enc = encode.apply_one_hot(encode.apply_rare_to_other(
-                encode.apply_ordinal(cleaned, fm.ordinal), fm.top_categories), fm.one_hot)
+            enc = fm.encode(cleaned)
             means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
             res.mi_scores = select.mutual_information(
                 enc, feats, target, task == "classification", fill=means).cache()

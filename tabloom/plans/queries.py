@@ -187,15 +187,9 @@ def _features(spark, sf, target="o_orderstatus"):
     return of, encode.fit_features(of, target, id_cols=ID)
 
 
-def _encoded_unscaled(of, fm):
-    out = encode.apply_ordinal(of, fm.ordinal)
-    out = encode.apply_rare_to_other(out, fm.top_categories)
-    return encode.apply_one_hot(out, fm.one_hot)
-
-
 def _mi(spark, sf, target, discrete):
     of, fm = _features(spark, sf, target)
-    enc = _encoded_unscaled(of, fm)
+    enc = fm.encode(of)
     feats = fm.feature_columns
     means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
     return select.mutual_information(enc, feats, target, discrete, fill=means)

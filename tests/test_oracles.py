@@ -18,9 +18,20 @@ def test_every_query_has_oracle_or_is_model():
     assert missing <= SLOW, missing
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def assert_plan_ok(df):
+    """No cross product and no nested-loop join anywhere in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(op in plan for op in FORBIDDEN), plan
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_oracle(spark, duck, key):
-    got = QUERIES[key](spark, SF001).toPandas()
+    df = QUERIES[key](spark, SF001)
+    assert_plan_ok(df)
+    got = df.toPandas()
     want = duck.execute(ORACLES[key]).df()
     assert digest(got) == digest(want)
 
