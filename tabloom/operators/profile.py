@@ -211,19 +211,38 @@ def detect_task_type(df: DataFrame, target: str) -> str:
 
 
 def structure_report(df: DataFrame) -> DataFrame:
-    """Per column: label, missing count, distinct count and numeric summary."""
+    """Per column: label, missing count, distinct count and numeric summary
+    (mean, std rounded to 4 decimals; exact median).
+
+    Missing counts, distinct counts, moments and distinct-count estimates
+    come from ONE aggregate (Spark rewrites the distinct counts into an
+    Expand + two-level aggregation); medians from one more pass.
+    """
     labels = column_labels(df)
-    lab = df.sparkSession.createDataFrame(list(labels.items()), "column STRING, label STRING")
     numeric = [c for c, t in labels.items() if t == NUMERIC]
-    out = (lab.join(missing_counts(df).select("column", "n_missing"), "column")
-              .join(cardinality(df), "column"))
-    if numeric:
-        out = out.join(numeric_stats(df, numeric), "column", "left")
-    else:
-        for c in ("mean", "std", "min", "max", "median"):
-            out = out.withColumn(c, F.lit(None).cast("double"))
-    return out.select("column", "label", "n_missing", "n_distinct",
-                      "mean", "std", "min", "max", "median")
+    structs = []
+    for c in df.columns:
+        v = sql_clean(df, c)
+        miss = f"{q(c)} IS NULL" + (f" OR isnan({q(c)})" if is_float_type(df.schema[c].dataType)
+                                    else "")
+        if c in numeric:
+            d = f"CAST({v} AS DOUBLE)"
+            num = (f"avg({d}), 'std', stddev_samp({d}), 'min', min({d}), 'max', max({d}), "
+                   f"'est', approx_count_distinct({d})")
+        else:
+            num = ("CAST(NULL AS DOUBLE), 'std', CAST(NULL AS DOUBLE), 'min', CAST(NULL AS DOUBLE),"
+                   " 'max', CAST(NULL AS DOUBLE), 'est', CAST(NULL AS BIGINT)")
+        structs.append(f"named_struct('column', {sql_lit(c)}, 'label', {sql_lit(labels[c])}, "
+                       f"'n_missing', count_if({miss}), 'n_distinct', count(DISTINCT {v}), "
+                       f"'mean', {num})")
+    stats = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)").cache()
+    est = {r["column"]: r["est"] for r in stats.where("est IS NOT NULL").select("column", "est")
+           .collect()}
+    med = medians(df, numeric, estimates=est) if numeric else \
+        df.sparkSession.createDataFrame([], "column STRING, median DOUBLE")
+    return (stats.join(F.broadcast(med), "column", "left")      # one row per column
+            .selectExpr("column", "label", "n_missing", "n_distinct", "round(mean, 4) AS mean",
+                        "round(std, 4) AS std", "min", "max", "median"))
 
 
 # Fixed widths in bytes of the in-memory value of each type.
