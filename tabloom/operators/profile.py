@@ -176,15 +176,16 @@ def target_numeric_summary(df: DataFrame, target: str) -> DataFrame:
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """``(class, n, pct)``; pct uses ALL rows (missing target included), 2 decimals.
 
-    The grouped table has one row per class (plus one for missing), so the
-    total is a window over that small table, not a join.
+    The grouped table (one row per class plus one for missing) is summed
+    by a distributed aggregate for the denominator, so a target with very
+    many distinct values never lands in one task.
     """
     grouped = (df.groupBy(F.when(is_missing(df, target), F.lit(None))
                           .otherwise(col(target).cast("string")).alias("class"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    total = F.sum("n").over(Window.partitionBy())
-    return (grouped.select("class", "n", F.round(F.col("n") / total * 100, 2).alias("pct"))
-            .where(F.col("class").isNotNull()))
+               .agg(F.count(F.lit(1)).alias("n"))).cache()
+    total = grouped.agg(F.sum("n")).first()[0] or 0
+    return (grouped.where(F.col("class").isNotNull())
+            .select("class", "n", F.round(F.col("n") / F.lit(max(total, 1)) * 100, 2).alias("pct")))
 
 
 def detect_task_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
