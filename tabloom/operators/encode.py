@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import (BOOLEAN, CATEGORICAL, NUMERIC, as_double, chunks, col,
+from tabloom.functions.columns import (CATEGORICAL, NUMERIC, as_double, chunks, col,
                                        column_labels, long_form, q, sql_double, sql_lit)
 from tabloom.functions.ranking import top_k_per_group
 

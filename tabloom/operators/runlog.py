@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.joins import broadcast_if_small
 from tabloom.functions.ranking import previous_in_order
 
 # Fixed values of the reference behaviour.
@@ -114,9 +115,10 @@ def first_by_name(catalog: DataFrame, name: str) -> DataFrame:
 
 
 def run_with_dataset(latest: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Runs with their dataset (inner join on the foreign key)."""
-    return latest.join(catalog.select("dataset_id", "name"), "dataset_id").select(
-        "run_id", "dataset_id", "name", "status")
+    """Runs with their dataset (inner join on the foreign key). The catalog
+    side is broadcast only after its row count is checked."""
+    side = broadcast_if_small(catalog.select("dataset_id", "name"))
+    return latest.join(side, "dataset_id").select("run_id", "dataset_id", "name", "status")
 
 
 def orphan_runs(latest: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -126,8 +128,8 @@ def orphan_runs(latest: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def runs_after_delete(latest: DataFrame, deleted: DataFrame) -> DataFrame:
     """Cascade: runs of deleted datasets disappear (anti join on dataset_id)."""
-    return latest.join(deleted.select("dataset_id"), "dataset_id", "left_anti").select(
-        "run_id", "dataset_id", "status")
+    side = broadcast_if_small(deleted.select("dataset_id"))
+    return latest.join(side, "dataset_id", "left_anti").select("run_id", "dataset_id", "status")
 
 
 def dataset_latest(patches: DataFrame) -> DataFrame:

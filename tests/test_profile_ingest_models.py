@@ -1,7 +1,6 @@
 import os
 import tempfile
 
-import numpy as np
 import pandas as pd
 import pytest
 
