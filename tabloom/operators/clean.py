@@ -199,20 +199,22 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
     dropped = sparse_columns(df, threshold, keep=keep)
     work = df.drop(*dropped)
 
-    # One job gives all counts: rows grouped on every column (map-side
-    # combined) → rows before (sum of group sizes), rows after dedup (number
-    # of groups) and deduplicated rows with a missing target.
+    # ONE shuffle deduplicates and counts: rows grouped on every column
+    # (map-side combined) give rows before (sum of group sizes), rows after
+    # (number of groups) and deduplicated rows with a missing target; the
+    # persisted groups are then the deduplicated table itself.
     has_target = bool(target) and target in work.columns
-    groups = work.groupBy(*[col(c) for c in work.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = (work.groupBy(*[col(c) for c in work.columns])
+              .agg(F.count(F.lit(1)).alias("_n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     counts = groups.agg(F.sum("_n").alias("rows_before"), F.count(F.lit(1)).alias("n"),
                         (F.count_if(is_missing(work, target)) if has_target
                          else F.lit(0)).alias("n_null_target")).first()
     rows_before = counts["rows_before"] or 0
     dup_removed = rows_before - counts["n"]
     target_dropped = counts["n_null_target"]
-    deduped = work.dropDuplicates()
+    deduped = groups.drop("_n")
     base = drop_null_target(deduped, target) if has_target else deduped
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
 
     labels = column_labels(base)
     numeric = [c for c, t in labels.items() if t == NUMERIC]
