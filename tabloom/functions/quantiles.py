@@ -181,8 +181,11 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     from tabloom.functions.columns import chunks, long_form, sql_clean
     if not columns:
         return {}
-    est = estimates if estimates is not None else distinct_estimates(df, columns)
-    small = [c for c in columns if est.get(c, 0) * 1.1 <= map_max_distinct]
+    est = dict(estimates or {})
+    unknown = [c for c in columns if est.get(c) is None]
+    if unknown:
+        est.update(distinct_estimates(df, unknown))
+    small = [c for c in columns if est[c] * 1.1 <= map_max_distinct]
     large = [c for c in columns if c not in small]
     out: dict[tuple[str, float], float | None] = {}
     arr = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"

@@ -67,10 +67,11 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(~is_missing(df, target))
 
 
-def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def column_medians(df: DataFrame, columns: list[str],
+                   estimates: dict[str, int] | None = None) -> dict[str, float | None]:
     if not columns:
         return {}
-    q = column_quantiles(df, columns, [0.5])
+    q = column_quantiles(df, columns, [0.5], estimates)
     return {c: q.get((c, 0.5)) for c in columns}
 
 
@@ -90,53 +91,61 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in columns}
 
 
-def impute_median(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict]:
+def impute_median(df: DataFrame, columns: list[str] | None = None,
+                  gappy: list[str] | None = None,
+                  estimates: dict[str, int] | None = None) -> tuple[DataFrame, dict]:
     """Fill gaps of numeric columns with their exact median (columns with
-    gaps only). Filled columns become DOUBLE. Returns (table, {column: median})."""
+    gaps only). Filled columns become DOUBLE. Returns (table, {column: median}).
+    ``gappy`` / ``estimates`` may be passed in when already known."""
     labels = column_labels(df)
     columns = columns if columns is not None else [c for c, t in labels.items() if t == NUMERIC]
-    gappy = _gappy(df, columns)
-    med = column_medians(df, gappy)
+    gappy = [c for c in gappy if c in columns] if gappy is not None else _gappy(df, columns)
+    med = column_medians(df, gappy, estimates)
     out = df.selectExpr(*[f"coalesce(CAST({sql_clean(df, c)} AS DOUBLE), "
                           f"CAST({sql_lit(med[c])} AS DOUBLE)) AS {q(c)}"
                           if c in med else q(c) for c in df.columns])
     return out, med
 
 
-def impute_mode(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict]:
+def impute_mode(df: DataFrame, columns: list[str] | None = None,
+                gappy: list[str] | None = None) -> tuple[DataFrame, dict]:
     """Fill gaps of categorical columns with their mode (or ``"missing"``)."""
     labels = column_labels(df)
     columns = columns if columns is not None else [c for c, t in labels.items()
                                                    if t == CATEGORICAL]
-    gappy = _gappy(df, columns)
+    gappy = [c for c in gappy if c in columns] if gappy is not None else _gappy(df, columns)
     modes = {c: (m if m is not None else CONSTANT_FILL) for c, m in column_modes(df, gappy).items()}
     out = df.selectExpr(*[f"coalesce({q(c)}, {sql_lit(modes[c])}) AS {q(c)}" if c in modes
                           else q(c) for c in df.columns])
     return out, modes
 
 
+def _miss_sql(df: DataFrame, c: str) -> str:
+    return f"{q(c)} IS NULL" + (f" OR isnan({q(c)})" if is_float_type(df.schema[c].dataType)
+                                else "")
+
+
 def _gappy(df: DataFrame, columns: list[str]) -> list[str]:
     if not columns:
         return []
-    def miss(c):
-        return f"{q(c)} IS NULL" + (f" OR isnan({q(c)})" if is_float_type(df.schema[c].dataType)
-                                    else "")
-    row = df.selectExpr(*[f"max(CAST({miss(c)} AS INT)) AS _g{i}"
+    row = df.selectExpr(*[f"max(CAST({_miss_sql(df, c)} AS INT)) AS _g{i}"
                           for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[f"_g{i}"]]
 
 
-def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+def quartiles(df: DataFrame, columns: list[str],
+              estimates: dict[str, int] | None = None) -> DataFrame:
     """``(column, q1, q3, iqr)``: exact linear quartiles."""
-    q = column_quantiles(df, columns, [0.25, 0.75]) if columns else {}
+    q = column_quantiles(df, columns, [0.25, 0.75], estimates) if columns else {}
     rows = [(c, q.get((c, 0.25)), q.get((c, 0.75)),
              None if q.get((c, 0.25)) is None else q[(c, 0.75)] - q[(c, 0.25)]) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column STRING, q1 DOUBLE, q3 DOUBLE, iqr DOUBLE")
 
 
-def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER) -> DataFrame:
+def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER,
+               estimates: dict[str, int] | None = None) -> DataFrame:
     """``(column, lower, upper, n_outside)`` for columns with a non-zero IQR."""
-    qs = [r for r in quartiles(df, columns).collect() if r["iqr"] not in (None, 0.0)]
+    qs = [r for r in quartiles(df, columns, estimates).collect() if r["iqr"] not in (None, 0.0)]
     if not qs:
         return df.sparkSession.createDataFrame(
             [], "column STRING, lower DOUBLE, upper DOUBLE, n_outside BIGINT")
@@ -164,14 +173,14 @@ def clip_columns(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataF
     return df.selectExpr(*[clip(c) if c in bounds else q(c) for c in df.columns])
 
 
-def iqr_clip(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER
-             ) -> tuple[DataFrame, DataFrame]:
+def iqr_clip(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER,
+             estimates: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Clip columns with values outside the IQR fence.
 
     Returns (clipped table, ``(column, lower, upper, n_clipped)`` with
     bounds rounded to 4 decimals, for clipped columns only).
     """
-    b = iqr_bounds(df, columns, k).where(F.col("n_outside") > 0).collect()
+    b = iqr_bounds(df, columns, k, estimates).where(F.col("n_outside") > 0).collect()
     clipped = clip_columns(df, {r["column"]: (r["lower"], r["upper"]) for r in b})
     report = df.sparkSession.createDataFrame(
         [(r["column"], round(r["lower"], 4), round(r["upper"], 4), r["n_outside"]) for r in b],
@@ -219,15 +228,24 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
     labels = column_labels(base)
     numeric = [c for c, t in labels.items() if t == NUMERIC]
     categorical = [c for c, t in labels.items() if t == CATEGORICAL]
+    # Gap flags of every column and distinct-count estimates of the numeric
+    # ones in one pass; imputation adds at most one value per column, so the
+    # estimates (padded by 10 % downstream) also serve the quartile step.
+    flags = base.selectExpr(
+        *[f"max(CAST({_miss_sql(base, c)} AS INT)) AS _g{i}" for i, c in enumerate(base.columns)],
+        *[f"approx_count_distinct(CAST({sql_clean(base, c)} AS DOUBLE)) AS _e{i}"
+          for i, c in enumerate(base.columns) if c in numeric]).first()
+    gappy = [c for i, c in enumerate(base.columns) if flags[f"_g{i}"]]
+    est = {c: flags[f"_e{i}"] + 1 for i, c in enumerate(base.columns) if c in numeric}
     medians, modes = {}, {}
     out = base
     if impute_missing:
-        out, medians = impute_median(out, numeric)
-        out, modes = impute_mode(out, categorical)
+        out, medians = impute_median(out, numeric, gappy, est)
+        out, modes = impute_mode(out, categorical, gappy)
     bounds_df = df.sparkSession.createDataFrame(
         [], "column STRING, lower DOUBLE, upper DOUBLE, n_clipped BIGINT")
     if clip_outliers:
-        out, bounds_df = iqr_clip(out, [c for c in numeric if c != target], iqr_multiplier)
+        out, bounds_df = iqr_clip(out, [c for c in numeric if c != target], iqr_multiplier, est)
     bounds_rows = bounds_df.collect()
     rows_after = rows_before - dup_removed - target_dropped
     report = {
