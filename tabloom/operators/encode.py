@@ -284,13 +284,41 @@ def fit_features(df: DataFrame, target: str, id_cols: tuple[str, ...] = (),
 
 def _fit_into(fm, df, labels, feats, target, id_cols, ordinal_threshold, drop_low_variance):
     cats = [c for c in feats if labels[c] == CATEGORICAL]
-    ordinal, ohe = split_categoricals(df, cats, ordinal_threshold)
-    fm.ordinal = fit_ordinal(df, ordinal)
-    work = apply_ordinal(df, fm.ordinal)
-    fm.top_categories = fit_top_categories(work, ohe)
-    capped = apply_rare_to_other(work, fm.top_categories)
-    fm.one_hot = one_hot_levels(fm.top_categories, _has_other(capped, ohe))
-    encoded = apply_one_hot(capped, fm.one_hot)
+    if cats:
+        # One value-count table (NULL kept as its own value) answers every
+        # categorical question: distinct counts, ordinal code lists, the most
+        # frequent levels and whether "__other__" occurs.
+        vc = (long_form(df, cats, "string")
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            stats = {r["column"]: (r["d"], bool(r["has_null"])) for r in vc.groupBy("column").agg(
+                F.count("value").alias("d"),
+                F.max(F.col("value").isNull().cast("int")).alias("has_null")).collect()}
+            ordinal = [c for c in cats if stats.get(c, (0, False))[0] <= ordinal_threshold]
+            ohe = [c for c in cats if c not in ordinal]
+            found: dict[str, set] = {c: set() for c in ordinal}
+            if ordinal:
+                for r in vc.where(F.col("column").isin(ordinal) & F.col("value").isNotNull()) \
+                        .select("column", "value").collect():   # <= threshold rows per column
+                    found[r["column"]].add(r["value"])
+            for c in ordinal:
+                if stats.get(c, (0, False))[1]:
+                    found[c].add(MISSING_TEXT)
+            fm.ordinal = {c: {v: float(i) for i, v in enumerate(sorted(found[c]))} for c in ordinal}
+            kept: dict[str, list[str]] = {c: [] for c in ohe}
+            if ohe:
+                top = top_k_per_group(vc.where(F.col("column").isin(ohe) & F.col("value").isNotNull()),
+                                      ["column"], [F.desc("n"), F.asc("value")], OHE_MAX_CATEGORIES,
+                                      salt_on=F.col("value"))
+                for r in top.collect():                    # <= 50 rows per column
+                    kept[r["column"]].append(r["value"])
+            fm.top_categories = kept
+            other = {c: stats[c][1] or stats[c][0] > len(kept[c]) for c in ohe}
+            fm.one_hot = one_hot_levels(kept, other)
+        finally:
+            vc.unpersist()
+    encoded = fm.encode(df)
     enc_labels = column_labels(encoded)
     scale_cols = [c for c in encoded.columns
                   if c != target and c not in id_cols and enc_labels[c] == NUMERIC]
