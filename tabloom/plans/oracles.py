@@ -141,8 +141,10 @@ d5 AS (SELECT l_orderkey, l_linenumber,
               (SELECT lower FROM pb)) END AS price, flag, target FROM d4)
 """
 
-oracle("impute_median", CLEAN_CHAIN + "SELECT * FROM d3")
-oracle("impute_mode", CLEAN_CHAIN + "SELECT * FROM d4")
+oracle("impute_median", CLEAN_CHAIN + """
+SELECT l_orderkey, l_linenumber, round(price, 4) AS price, flag, target FROM d3""")
+oracle("impute_mode", CLEAN_CHAIN + """
+SELECT l_orderkey, l_linenumber, round(price, 4) AS price, flag, target FROM d4""")
 oracle("quartiles", CLEAN_CHAIN + """
 SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr FROM bnd""")
 oracle("outlier_count", CLEAN_CHAIN + """

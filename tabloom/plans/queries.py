@@ -143,12 +143,12 @@ def q_drop_null_target(spark, sf):
 @register("impute_median")
 def q_impute_median(spark, sf):
     t, _ = clean.impute_median(_clean_base(spark, sf))
-    return t
+    return round_floats(t)
 
 
 @register("impute_mode")
 def q_impute_mode(spark, sf):
-    return _imputed(spark, sf)
+    return round_floats(_imputed(spark, sf))
 
 
 @register("quartiles")
