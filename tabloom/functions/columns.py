@@ -28,10 +28,6 @@ def column_labels(df: DataFrame) -> dict[str, str]:
     return {f.name: type_label(f.dataType) for f in df.schema.fields}
 
 
-def columns_of(df: DataFrame, label: str, exclude: tuple[str, ...] = ()) -> list[str]:
-    return [c for c, t in column_labels(df).items() if t == label and c not in exclude]
-
-
 def q(name: str) -> str:
     """Back-quote a column name for use in SQL expressions."""
     return "`" + name.replace("`", "``") + "`"
@@ -84,15 +80,6 @@ def safe_identifier(c: Column, max_len: int = 60) -> Column:
     return F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "_"), 1, max_len)
 
 
-def safe_name(name: str, max_len: int = 60) -> str:
-    """Driver-side twin of :func:`safe_identifier` for generated column names."""
-    return "".join(ch if (ch.isalnum() or ch in "-_") else "_" for ch in name)[:max_len]
-
-
-def round_half_up(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
-
-
 def chunks(items: list, size: int) -> list[list]:
     """Split a long expression list so one aggregate stays within codegen limits."""
     return [items[i:i + size] for i in range(0, len(items), size)] or [[]]

@@ -21,12 +21,6 @@ BINS = 32
 DEFAULT_TOP_K = 20
 
 
-def _bin(value, lo, hi, bins: int = BINS):
-    width = hi - lo
-    return F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((value - lo) / width * bins), F.lit(bins - 1))).cast("int")
-
-
 def mutual_information(df: DataFrame, features: list[str], target: str,
                        discrete_target: bool, digits: int = 6,
                        fill: dict[str, float] | None = None) -> DataFrame:

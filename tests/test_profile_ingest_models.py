@@ -104,3 +104,16 @@ def test_train_all_classification(spark):
     assert errors == {} and len(done) == 2
     m = models.metrics_table(done).toPandas()
     assert set(m.model) == {"random_forest", "logistic_regression"}
+
+
+def test_split_categoricals_counts_non_missing(spark):
+    from tabloom.operators import encode
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z"), ("a", "w")],
+                               "c1 STRING, c2 STRING")
+    assert encode.split_categoricals(df, ["c1", "c2"], threshold=2) == (["c1"], ["c2"])
+
+
+def test_orphan_runs_finds_missing_dataset(spark):
+    latest = spark.createDataFrame([(1, 0), (2, 99)], "run_id INT, dataset_id INT")
+    catalog = spark.createDataFrame([(0, "d0")], "dataset_id INT, name STRING")
+    assert [r.run_id for r in runlog.orphan_runs(latest, catalog).collect()] == [2]
