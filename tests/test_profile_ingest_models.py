@@ -117,3 +117,16 @@ def test_orphan_runs_finds_missing_dataset(spark):
     latest = spark.createDataFrame([(1, 0), (2, 99)], "run_id INT, dataset_id INT")
     catalog = spark.createDataFrame([(0, "d0")], "dataset_id INT, name STRING")
     assert [r.run_id for r in runlog.orphan_runs(latest, catalog).collect()] == [2]
+
+
+def test_paging_and_preview_bounds(spark):
+    cat = spark.createDataFrame([(i, f"d{i}", None) for i in range(30)],
+                                "dataset_id INT, name STRING, created_at TIMESTAMP")
+    page = runlog.page_newest(cat, skip=5, limit=10).collect()
+    assert [r.dataset_id for r in page] == list(range(5, 15))
+    for bad in ({"skip": -1, "limit": 10}, {"skip": 0, "limit": 0}, {"skip": 0, "limit": 201}):
+        with pytest.raises(ValueError):
+            runlog.page_newest(cat, **bad)
+    with pytest.raises(ValueError):
+        profile.preview(cat, ["dataset_id"], 101)
+    assert profile.preview(cat, ["dataset_id"], 3).count() == 3
