@@ -107,7 +107,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; other columns are not read.
     """
     ids = stage(block_identities(docs, id_col, text_col, block_bytes, hash_bits), "identities")
-    groups = ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Staged, so that both sides of the join are plain exchanges and a hot group's rows can be split.
+    groups = stage(ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+                   "groups")
     return ids.join(groups, ["level", "name"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
