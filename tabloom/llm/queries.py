@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from tabloom.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tabloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tabloom.llm.langid import op10_langid
+from tabloom.llm.mixing import op4_mixing
+from tabloom.llm.secrets import op7_secrets
+from tabloom.llm.token_files import op2_token_files
+from tabloom.llm.toxicity import op8_toxicity
+from tabloom.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
+    "op10_langid": op10_langid,
 }
 
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_decontaminate": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
