@@ -1,147 +1,125 @@
-"""Exact quantiles (linear interpolation) without a single-task value map.
-
-Spark's exact ``percentile`` keeps a value->count map per group and merges
-every partial map in one task, so for a global median of a high-cardinality
-column at 100 TB scale a single task holds all distinct values. This module
-computes the same numbers as a sequence of bounded jobs:
-
-1. ``groupBy(column, value).count()`` - a histogram; a hot value collapses
-   to one row through map-side partial aggregation.
-2. ``repartitionByRange`` over ``(column, value)`` and a per-range summary
-   ``(column, min, max, weight)``: at most one row per range and column, so
-   the driver receives a table whose size is set by the partition count.
-3. The driver finds, for each wanted rank, the value range that holds it
-   and the rank left inside that range.
-4. Only the histogram rows inside those few ranges are scanned again; a
-   running sum inside each range (one window partition per range, bounded
-   by the range size) picks the exact order statistics.
+"""Exact order statistics and quantiles by radix counting, one path for every size.
+
+A single-task value map (Spark's exact ``percentile``) or a global sort does
+not scale, so a wanted rank is found by counting. Each pass deals the values
+that can still hold a rank to ``BUCKETS`` ordered buckets and counts them,
+with the smallest and largest value of each; the bucket that holds the rank
+becomes the next pass's interval. A pass is one partial aggregation: a task
+sends at most ``BUCKETS`` rows per interval, whatever the data or its skew,
+and the driver receives one row per wanted rank. A rank is settled when its
+bucket holds one value only.
+
+The first pass cuts the whole double range on a logarithmic scale, later ones
+cut ``[smallest, largest]`` evenly; both maps never decrease, so buckets keep
+the order of values. After the first pass an interval spans at most one
+sixteenth of a binary order of magnitude, so three or four passes settle any rank.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram rows per value range in step 2; bounds one window partition.
-ROWS_PER_RANGE = 1_000_000
-# Groups with at most this many distinct values are finished by Spark's exact
-# ``percentile`` with the histogram weights: its per-group value map is then
-# bounded by this checked size (steps 2-4 are skipped).
-MAP_MAX_DISTINCT = 1_000_000
+from tabloom.functions.columns import long_form
+
+BUCKETS = 65536
+
+# Logarithmic scale: the sign, then the binary exponent of the value.
+_LOG = (f"CASE WHEN v = 0 THEN {BUCKETS // 2}L WHEN v > 0 THEN "
+        f"{BUCKETS // 2 + 1}L + CAST(floor((log2(v) + 1080) / 2110 * {BUCKETS // 2 - 2}) AS BIGINT) ELSE "
+        f"{BUCKETS // 2 - 1}L - CAST(floor((log2(-v) + 1080) / 2110 * {BUCKETS // 2 - 2}) AS BIGINT) END")
+# Even scale over [lo, hi], halved first so that the width cannot overflow.
+_EVEN = (f"CASE WHEN hi = lo THEN 0L ELSE "
+         f"least(CAST(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {BUCKETS}) AS BIGINT), {BUCKETS - 1}L) END")
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
     h = (n - 1) * p
     lo = int(math.floor(h))
-    hi = min(lo + 1, n - 1)
-    return lo, hi, h - lo
-
-
-def _histogram(long_df: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """Value histogram, persisted: it is read by the sizing, range and
-    selection jobs, and is never larger than its input."""
-    return (long_df.where(F.col(value_col).isNotNull())
-            .groupBy(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("w"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def _value_ranges(hist: DataFrame, rows_per_range: int, sizes=None):
-    """Per group: (total weight, ordered list of (lo, hi, weight) value ranges)."""
-    if sizes is None:
-        sizes = {r["g"]: (r["d"], r["n"]) for r in hist.groupBy("g").agg(
-            F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
-    total_d = sum(d for d, _ in sizes.values())
-    n_ranges = max(1, math.ceil(total_d / rows_per_range))
-    ranges: dict[str, list[tuple[float, float, int]]] = {}
-    if n_ranges == 1:
-        for g, (_, n) in sizes.items():
-            ranges[g] = [(-math.inf, math.inf, n)]
-    else:
-        summary = (hist.repartitionByRange(n_ranges, "g", "v")
-                   .withColumn("pid", F.spark_partition_id())
-                   .groupBy("pid", "g")
-                   .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("w"))
-                   .collect())
-        for r in sorted(summary, key=lambda r: (r["g"], r["lo"])):
-            ranges.setdefault(r["g"], []).append((r["lo"], r["hi"], r["w"]))
-    return {g: n for g, (_, n) in sizes.items()}, ranges
-
-
-def _pick(hist: DataFrame, ranges, wanted_ranks) -> dict[tuple[str, int], tuple[float, int]]:
-    """For each ``(group, k)``: (value at 0-based rank k, weight of smaller values)."""
-    spark = hist.sparkSession
-    targets, seen, where = [], {}, {}
-    for g, k in wanted_ranks:
-        before = 0
-        for lo, hi, w in ranges[g]:
-            if k < before + w:
-                key = (g, lo, hi, k - before)
-                if key not in seen:
-                    seen[key] = len(targets)
-                    targets.append((len(targets), g, lo, hi, k - before, before))
-                where[(g, k)] = seen[key]
-                break
-            before += w
-    if not targets:
+    return lo, min(lo + 1, n - 1), h - lo
+
+
+def _values(long_df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    return (long_df.select(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
+            .where("v IS NOT NULL AND NOT isnan(v)"))
+
+
+def _first_counts(values: DataFrame) -> DataFrame:
+    """(g, b, n, lo, hi): the logarithmic buckets of every group."""
+    ends = (f"CASE WHEN v = CAST('Infinity' AS DOUBLE) THEN {BUCKETS}L "
+            f"WHEN v = CAST('-Infinity' AS DOUBLE) THEN -1L ELSE {_LOG} END")
+    return (values.groupBy("g", F.expr(ends).alias("b"))
+            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+
+
+def _narrow(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> dict:
+    """Per wanted rank ``(g, k)``: (lo, hi, rows below lo) of the bucket that holds it."""
+    upto = Window.partitionBy(*keys).orderBy("b")
+    found = (counts.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(wanted), keys)
+             .where("r < upto AND r >= upto - n")
+             .select("g", "k", "lo", "hi", (F.col("k") - F.col("r") + F.col("upto") - F.col("n")).alias("below")))
+    return {(r["g"], r["k"]): (r["lo"], r["hi"], r["below"]) for r in found.collect()}
+
+
+def _pass(values: DataFrame, state: dict) -> dict:
+    """One even counting pass: narrow every open rank ``(g, k)``, at (lo, hi, rows below lo), to a bucket."""
+    spark = values.sparkSession
+    open_ = {x: s for x, s in state.items() if s[0] != s[1]}
+    # Ranks in one interval share its counts; both tables have a row per wanted rank at most.
+    spans = sorted({(g, *s) for (g, _), s in open_.items()})
+    number = {s: i for i, s in enumerate(spans)}
+    intervals = spark.createDataFrame([(i, g, float(lo), float(hi)) for i, (g, lo, hi, _) in enumerate(spans)],
+                                      "i INT, g STRING, lo DOUBLE, hi DOUBLE")
+    wanted = spark.createDataFrame([(number[(g, *s)], g, k, k - s[2]) for (g, k), s in open_.items()],
+                                   "i INT, g STRING, k LONG, r LONG")
+    counts = (values.join(F.broadcast(intervals), "g").where("v >= lo AND v <= hi")
+              .select("i", F.expr(_EVEN).alias("b"), "v")
+              .groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    return {**state, **_narrow(counts, wanted, ["i"])}
+
+
+def _select(values: DataFrame, counts: DataFrame, ranks: set[tuple[str, int]]) -> dict:
+    if not ranks:
         return {}
-    tdf = spark.createDataFrame(targets, "tid INT, g STRING, lo DOUBLE, hi DOUBLE, r LONG, b LONG")
-    w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (hist.join(F.broadcast(tdf), "g")
-              .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-              .withColumn("cum", F.sum("w").over(w))
-              .where((F.col("cum") - F.col("w") <= F.col("r")) & (F.col("r") < F.col("cum")))
-              .select("tid", "v", (F.col("b") + F.col("cum") - F.col("w")).alias("before"))
-              .collect())
-    got = {r["tid"]: (r["v"], r["before"]) for r in picked}
-    return {gk: got[t] for gk, t in where.items()}
+    wanted = values.sparkSession.createDataFrame([(g, k, k) for g, k in ranks], "g STRING, k LONG, r LONG")
+    state = _narrow(counts, wanted, ["g"])
+    while any(lo != hi for lo, hi, _ in state.values()):
+        state = _pass(values, state)
+    return {x: (lo, below) for x, (lo, _, below) in state.items()}
 
 
 def select_ranks(long_df: DataFrame, wanted: set[tuple[str, int]], group_col: str = "g",
-                 value_col: str = "v", rows_per_range: int = ROWS_PER_RANGE
-                 ) -> dict[tuple[str, int], tuple[float, int]]:
-    """Exact order statistics: ``{(group, k): (value at rank k, rows below it)}``."""
-    hist = _histogram(long_df, group_col, value_col)
-    try:
-        _, ranges = _value_ranges(hist, rows_per_range)
-        return _pick(hist, ranges, wanted)
-    finally:
-        hist.unpersist()
+                 value_col: str = "v") -> dict[tuple[str, int], tuple[float, int]]:
+    """Exact order statistics: ``{(group, k): (value at 0-based rank k, rows with smaller values)}``.
+
+    NULL and NaN are not values; ±Inf are the ends of the range.
+    """
+    values = _values(long_df, group_col, value_col)
+    return _select(values, _first_counts(values), wanted)
 
 
 def exact_quantiles(long_df: DataFrame, probs: list[float], group_col: str = "column",
-                    value_col: str = "value", rows_per_range: int = ROWS_PER_RANGE,
-                    map_max_distinct: int | None = None
-                    ) -> dict[tuple[str, float], float | None]:
+                    value_col: str = "value") -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles per group of a long-form table.
 
-    ``long_df`` holds ``(group_col, value_col)`` rows; NULL values are
+    ``long_df`` holds ``(group_col, value_col)`` rows; NULL and NaN are
     ignored. Returns ``{(group, p): value}`` (absent groups have no value).
     """
-    hist = _histogram(long_df, group_col, value_col)
+    values = _values(long_df, group_col, value_col)
+    counts = _first_counts(values).persist()        # at most BUCKETS rows per group
     try:
-        sizes = {r["g"]: (r["d"], r["n"]) for r in hist.groupBy("g").agg(
-            F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
-        limit = MAP_MAX_DISTINCT if map_max_distinct is None else map_max_distinct
-        if sizes and max(d for d, _ in sizes.values()) <= limit:
-            got = hist.groupBy("g").agg(F.percentile(
-                "v", F.array(*[F.lit(float(p)) for p in probs]), F.col("w")).alias("q")).collect()
-            return {(r["g"], p): r["q"][i] for r in got for i, p in enumerate(probs)}
-        totals, ranges = _value_ranges(hist, rows_per_range, sizes)
-        plan = {}
-        for g, n in totals.items():
-            for p in probs:
-                plan[(g, p)] = _ranks(int(n), p)
-        got = _pick(hist, ranges, {(g, k) for (g, _), ks in plan.items() for k in ks[:2]})
+        sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+        plan = {(g, p): _ranks(n, p) for g, n in sizes.items() for p in probs}
+        got = _select(values, counts, {(g, k) for (g, _), ks in plan.items() for k in ks[:2]})
     finally:
-        hist.unpersist()
+        counts.unpersist()
     out: dict[tuple[str, float], float | None] = {}
     for (g, p), (k1, k2, frac) in plan.items():
         a, b = got[(g, k1)][0], got[(g, k2)][0]
-        out[(g, p)] = a if frac == 0 or a == b else a + (b - a) * frac
+        # Weighted ends, as SQL engines interpolate.
+        out[(g, p)] = a if frac == 0 or a == b else (1 - frac) * a + frac * b
     return out
 
 
@@ -155,50 +133,9 @@ def quantiles_frame(spark, result: dict[tuple[str, float], float | None], names:
     return spark.createDataFrame(rows, schema)
 
 
-def distinct_estimates(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """HyperLogLog distinct-count estimate per column (one cheap pass)."""
-    from tabloom.functions.columns import chunks, sql_clean
-    out = {}
-    for chunk in chunks(list(enumerate(columns)), 100):
-        r = df.selectExpr(*[f"approx_count_distinct({sql_clean(df, c)}) AS _a{i}"
-                            for i, c in chunk]).first()
-        out.update({c: r[f"_a{i}"] for i, c in chunk})
-    return out
-
-
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     estimates: dict[str, int] | None = None,
-                     map_max_distinct: int = MAP_MAX_DISTINCT) -> dict[tuple[str, float], float | None]:
-    """Exact linear quantiles of wide numeric columns.
-
-    Columns whose estimated distinct count (HyperLogLog, padded by 10 % for
-    its error) is within ``map_max_distinct`` get Spark's exact
-    ``percentile`` in one wide aggregate - its map-side combine is the value
-    histogram and each per-column map is bounded by the checked size. Any
-    other column goes through :func:`exact_quantiles` (histogram + value
-    ranges), which has no per-task bound on distinct values.
-    """
-    from tabloom.functions.columns import chunks, long_form, sql_clean
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[tuple[str, float], float | None]:
+    """Exact linear quantiles of wide numeric columns (NULL and NaN ignored)."""
     if not columns:
         return {}
-    est = dict(estimates or {})
-    unknown = [c for c in columns if est.get(c) is None]
-    if unknown:
-        est.update(distinct_estimates(df, unknown))
-    small = [c for c in columns if est[c] * 1.1 <= map_max_distinct]
-    large = [c for c in columns if c not in small]
-    out: dict[tuple[str, float], float | None] = {}
-    arr = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
-    for chunk in (chunks(list(enumerate(small)), 32) if small else []):
-        r = df.selectExpr(*[f"percentile(CAST({sql_clean(df, c)} AS DOUBLE), {arr}) AS _q{i}"
-                            for i, c in chunk]).first()
-        for i, c in chunk:
-            vals = r[f"_q{i}"]
-            for j, p in enumerate(probs):
-                out[(c, p)] = None if vals is None else vals[j]
-    if large:
-        got = exact_quantiles(long_form(df, large, "double"), probs, map_max_distinct=0)
-        for c in large:
-            for p in probs:
-                out[(c, p)] = got.get((c, p))
-    return out
+    got = exact_quantiles(long_form(df, columns, "double"), probs)
+    return {(c, p): got.get((c, p)) for c in columns for p in probs}

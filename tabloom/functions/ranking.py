@@ -33,20 +33,22 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str],
-                 partition_cols: list[str] | None = None, n_buckets: int = 256,
-                 accuracy: int = 10_000) -> DataFrame:
+                 partition_cols: list[str] | None = None, bucket_rows: int = 100_000) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows with a smaller ``order_col``
     (exclusive), per ``partition_cols``.
 
     ``df`` should already be aggregated to one row per distinct
-    ``(partition_cols, order_col)``. Cut points come from
-    ``percentile_approx`` (a bounded sketch); rows are bucketed by binary
-    search (``Bucketizer``), each bucket gets its offset from a small
-    per-bucket total table, and a window inside the bucket adds the rest.
+    ``(partition_cols, order_col)``, and be persisted by its owner: it is read
+    three times. The number of buckets follows from its size, about
+    ``bucket_rows`` rows each. Cut points come from ``percentile_approx`` (a
+    bounded sketch); rows are bucketed by binary search (``Bucketizer``), each
+    bucket gets its offset from a per-bucket total table, and a window inside
+    the bucket adds the rest.
     """
     parts = partition_cols or []
+    n_buckets = max(2, -(-df.count() // bucket_rows))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(order_col, probs, accuracy).alias("c")).first()["c"] or []
+    cuts = (df.agg(F.percentile_approx(order_col, probs, 20 * n_buckets).alias("c")).first()["c"] or [])
     splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bkt",
                           handleInvalid="keep").transform(
@@ -59,7 +61,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str],
         Window.unboundedPreceding, -1)
     inner = bucketed.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}")
                                    for c in sum_cols])
-    out = inner.join(F.broadcast(offsets), [*parts, "_bkt"])
+    out = inner.join(offsets, [*parts, "_bkt"])
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}")
                                      for c in sum_cols])
 

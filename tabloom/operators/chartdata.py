@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import long_form
+from tabloom.functions.columns import long_form, sql_clean
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.functions.ranking import top_k_per_group
 from tabloom.operators.profile import correlation_matrix, value_counts
@@ -24,8 +24,8 @@ BOX_WHISKER = 1.5
 KDE_POINTS = 100
 
 
-def _ranges(long: DataFrame) -> DataFrame:
-    """Per column: lo, hi, width for HIST_BINS equal bins (a degenerate range
+def _ranges(long: DataFrame, bins: int) -> DataFrame:
+    """Per column: lo, hi, width for ``bins`` equal bins (a degenerate range
     is widened by 0.5 on each side, as numpy does)."""
     r = long.groupBy("column").agg(F.min("value").alias("lo0"), F.max("value").alias("hi0"),
                                    F.count("value").alias("n_all"))
@@ -33,7 +33,7 @@ def _ranges(long: DataFrame) -> DataFrame:
     return r.select("column", "n_all",
                     F.when(same, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
                     F.when(same, F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi")
-                    ).withColumn("w", (F.col("hi") - F.col("lo")) / HIST_BINS)
+                    ).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
@@ -43,7 +43,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
     The last bin is closed on the right (the maximum falls in it).
     """
     long = long_form(df, columns, "double").where(F.col("value").isNotNull())
-    rng = _ranges(long)
+    rng = _ranges(long, bins)
     binned = (long.join(F.broadcast(rng), "column")          # one row per column
               .withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")),
                                          F.lit(bins - 1)).cast("int"))
@@ -65,29 +65,47 @@ def kde_curve(df: DataFrame, columns: list[str], points: int = KDE_POINTS) -> Da
     [min - range/2, max + range/2]. Columns with fewer than 2 values or no
     spread are skipped.
 
-    Rows are first collapsed to distinct values with weights; each distinct
-    value then adds its kernel to every grid point, summed with partial
-    aggregation (work grows with the distinct values, not with their pairs).
+    Each task adds up the kernels of its values at the grid points (equal
+    values of a batch once, with their weight) and sends ``points`` sums per
+    column; rows never meet the grid in a shuffle.
     """
     long = long_form(df, columns, "double").where(F.col("value").isNotNull())
-    st = (long.groupBy("column").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
-                                     F.min("value").alias("mn"), F.max("value").alias("mx"))
-          .where((F.col("n") >= 2) & (F.col("sd") > 0))
-          .withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-          .withColumn("g0", F.col("mn") - (F.col("mx") - F.col("mn")) / 2)
-          .withColumn("step", 2 * (F.col("mx") - F.col("mn")) / (points - 1)))
-    weighted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("wt"))
-    contrib = (weighted.join(F.broadcast(st), "column")      # one row per column
-               .select("column", "wt", "value", "bw", "n", "g0", "step",
-                       F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi"))
-               .withColumn("x", F.col("g0") + F.col("gi") * F.col("step"))
-               .withColumn("z", (F.col("x") - F.col("value")) / F.col("bw")))
+    st = {r["column"]: r for r in (
+        long.groupBy("column").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
+                                   F.min("value").alias("mn"), F.max("value").alias("mx"))
+        .where((F.col("n") >= 2) & (F.col("sd") > 0)).collect())}       # one row per column
+    schema = "column STRING, gi INT, x DOUBLE, density DOUBLE"
+    used = [c for c in columns if c in st]
+    if not used:
+        return df.sparkSession.createDataFrame([], schema)
+    bw = [st[c]["sd"] * st[c]["n"] ** -0.2 for c in used]
+    start = [st[c]["mn"] - (st[c]["mx"] - st[c]["mn"]) / 2 for c in used]
+    step = [2 * (st[c]["mx"] - st[c]["mn"]) / (points - 1) for c in used]
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+        sums = np.zeros((len(used), points))
+        grid = np.arange(points)
+        for b in batches:
+            for k, column in enumerate(b.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                values, weight = np.unique(x, return_counts=True)
+                for lo in range(0, len(values), 4096):
+                    z = (start[k] + grid[:, None] * step[k] - values[None, lo:lo + 4096]) / bw[k]
+                    sums[k] += np.exp(-0.5 * z * z) @ weight[lo:lo + 4096]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(used), dtype="int32"), points)),
+             pa.array(np.tile(grid.astype("int32"), len(used))), pa.array(sums.ravel())], names=["k", "gi", "s"])
+    wide = df.selectExpr(*[f"CAST({sql_clean(df, c)} AS DOUBLE) AS _x{i}" for i, c in enumerate(used)])
+    sums = wide.mapInArrow(fold, "k INT, gi INT, s DOUBLE").groupBy("k", "gi").agg(F.sum("s").alias("s"))
     norm = 1.0 / math.sqrt(2 * math.pi)
-    return (contrib.groupBy("column", "gi", "x")
-            .agg(F.sum(F.col("wt") * F.exp(-0.5 * F.col("z") * F.col("z"))).alias("s"),
-                 F.first("n").alias("n"), F.first("bw").alias("bw"))
-            .select("column", "gi", "x",
-                    (F.col("s") * norm / (F.col("n") * F.col("bw"))).alias("density")))
+    about = df.sparkSession.createDataFrame(
+        [(k, c, start[k], step[k], norm / (st[c]["n"] * bw[k])) for k, c in enumerate(used)],
+        "k INT, column STRING, g0 DOUBLE, step DOUBLE, scale DOUBLE")
+    return sums.join(F.broadcast(about), "k").select(            # one row per column
+        "column", "gi", (F.col("g0") + F.col("gi") * F.col("step")).alias("x"),
+        (F.col("s") * F.col("scale")).alias("density"))
 
 
 def box_stats(df: DataFrame, columns: list[str], whisker: float = BOX_WHISKER) -> DataFrame:
@@ -98,7 +116,7 @@ def box_stats(df: DataFrame, columns: list[str], whisker: float = BOX_WHISKER) -
     q = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
-        if (c, 0.25) not in q:
+        if q.get((c, 0.25)) is None:
             continue
         q1, med, q3 = q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)]
         iqr = q3 - q1

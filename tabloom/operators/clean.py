@@ -67,11 +67,8 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(~is_missing(df, target))
 
 
-def column_medians(df: DataFrame, columns: list[str],
-                   estimates: dict[str, int] | None = None) -> dict[str, float | None]:
-    if not columns:
-        return {}
-    q = column_quantiles(df, columns, [0.5], estimates)
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    q = column_quantiles(df, columns, [0.5])
     return {c: q.get((c, 0.5)) for c in columns}
 
 
@@ -92,15 +89,14 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None,
-                  gappy: list[str] | None = None,
-                  estimates: dict[str, int] | None = None) -> tuple[DataFrame, dict]:
+                  gappy: list[str] | None = None) -> tuple[DataFrame, dict]:
     """Fill gaps of numeric columns with their exact median (columns with
     gaps only). Filled columns become DOUBLE. Returns (table, {column: median}).
-    ``gappy`` / ``estimates`` may be passed in when already known."""
+    ``gappy`` may be passed in when already known."""
     labels = column_labels(df)
     columns = columns if columns is not None else [c for c, t in labels.items() if t == NUMERIC]
     gappy = [c for c in gappy if c in columns] if gappy is not None else _gappy(df, columns)
-    med = column_medians(df, gappy, estimates)
+    med = column_medians(df, gappy)
     out = df.selectExpr(*[f"coalesce(CAST({sql_clean(df, c)} AS DOUBLE), "
                           f"CAST({sql_lit(med[c])} AS DOUBLE)) AS {q(c)}"
                           if c in med else q(c) for c in df.columns])
@@ -133,24 +129,22 @@ def _gappy(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[f"_g{i}"]]
 
 
-def quartiles(df: DataFrame, columns: list[str],
-              estimates: dict[str, int] | None = None) -> DataFrame:
+def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, q1, q3, iqr)``: exact linear quartiles."""
-    q = column_quantiles(df, columns, [0.25, 0.75], estimates) if columns else {}
+    q = column_quantiles(df, columns, [0.25, 0.75])
     rows = [(c, q.get((c, 0.25)), q.get((c, 0.75)),
              None if q.get((c, 0.25)) is None else q[(c, 0.75)] - q[(c, 0.25)]) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column STRING, q1 DOUBLE, q3 DOUBLE, iqr DOUBLE")
 
 
-def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER,
-               estimates: dict[str, int] | None = None) -> DataFrame:
-    """``(column, lower, upper, n_outside)`` for columns with a non-zero IQR."""
-    qs = [r for r in quartiles(df, columns, estimates).collect() if r["iqr"] not in (None, 0.0)]
+def iqr_bounds(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER) -> DataFrame:
+    """``(column, lower, upper, n_outside)`` for columns with a non-zero IQR; missing values are not outside."""
+    qs = [r for r in quartiles(df, columns).collect() if r["iqr"] not in (None, 0.0)]
     if not qs:
         return df.sparkSession.createDataFrame(
             [], "column STRING, lower DOUBLE, upper DOUBLE, n_outside BIGINT")
     bounds = {r["column"]: (r["q1"] - k * r["iqr"], r["q3"] + k * r["iqr"]) for r in qs}
-    counts = df.selectExpr(*[f"count_if({q(c)} < {sql_lit(float(lo))} OR {q(c)} > "
+    counts = df.selectExpr(*[f"count_if({sql_clean(df, c)} < {sql_lit(float(lo))} OR {sql_clean(df, c)} > "
                              f"{sql_lit(float(hi))}) AS _n{i}"
                              for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
     rows = [(c, lo, hi, counts[f"_n{i}"]) for i, (c, (lo, hi)) in enumerate(bounds.items())]
@@ -165,22 +159,21 @@ def outlier_count(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER)
 
 
 def clip_columns(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """Clip each column to its bounds; missing values stay missing."""
+    """Clip each column to its bounds; missing values (NULL, NaN) stay as they are."""
     def clip(c):
         lo, hi = bounds[c]
-        return (f"CASE WHEN {q(c)} IS NULL THEN {q(c)} ELSE "
+        return (f"CASE WHEN {_miss_sql(df, c)} THEN {q(c)} ELSE "
                 f"greatest(least({q(c)}, {sql_lit(float(hi))}), {sql_lit(float(lo))}) END AS {q(c)}")
     return df.selectExpr(*[clip(c) if c in bounds else q(c) for c in df.columns])
 
 
-def iqr_clip(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER,
-             estimates: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def iqr_clip(df: DataFrame, columns: list[str], k: float = IQR_MULTIPLIER) -> tuple[DataFrame, DataFrame]:
     """Clip columns with values outside the IQR fence.
 
     Returns (clipped table, ``(column, lower, upper, n_clipped)`` with
     bounds rounded to 4 decimals, for clipped columns only).
     """
-    b = iqr_bounds(df, columns, k, estimates).where(F.col("n_outside") > 0).collect()
+    b = iqr_bounds(df, columns, k).where(F.col("n_outside") > 0).collect()
     clipped = clip_columns(df, {r["column"]: (r["lower"], r["upper"]) for r in b})
     report = df.sparkSession.createDataFrame(
         [(r["column"], round(r["lower"], 4), round(r["upper"], 4), r["n_outside"]) for r in b],
@@ -195,13 +188,21 @@ class CleanResult:
     clip_bounds: DataFrame
     medians: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the persisted deduplicated rows once ``table`` is no longer read."""
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSING_THRESHOLD,
                 iqr_multiplier: float = IQR_MULTIPLIER, clip_outliers: bool = True,
-                impute_missing: bool = True) -> CleanResult:
-    """The whole cleaning stage. The deduplicated, target-filtered table is
-    persisted because imputation and clipping read it several times."""
+                impute_missing: bool = True, key_col: str | None = None) -> CleanResult:
+    """The whole cleaning stage. The deduplicated rows are persisted because
+    imputation and clipping read them several times; the owner of the result
+    calls ``release()``. ``key_col`` adds a key made from the deduplicated
+    row, before any value is filled or clipped, so that it is unique."""
     labels_before = column_labels(df)
     cols_before = list(df.columns)
     keep = (target,) if target else ()
@@ -228,31 +229,26 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
     labels = column_labels(base)
     numeric = [c for c, t in labels.items() if t == NUMERIC]
     categorical = [c for c, t in labels.items() if t == CATEGORICAL]
-    # Gap flags of every column and distinct-count estimates of the numeric
-    # ones in one pass; imputation adds at most one value per column, so the
-    # estimates (padded by 10 % downstream) also serve the quartile step.
-    flags = base.selectExpr(
-        *[f"max(CAST({_miss_sql(base, c)} AS INT)) AS _g{i}" for i, c in enumerate(base.columns)],
-        *[f"approx_count_distinct(CAST({sql_clean(base, c)} AS DOUBLE)) AS _e{i}"
-          for i, c in enumerate(base.columns) if c in numeric]).first()
-    gappy = [c for i, c in enumerate(base.columns) if flags[f"_g{i}"]]
-    est = {c: flags[f"_e{i}"] + 1 for i, c in enumerate(base.columns) if c in numeric}
+    gappy = _gappy(base, base.columns)
+    if key_col:
+        base = base.withColumn(key_col, F.sha2(F.to_json(F.struct(*[col(c) for c in base.columns]),
+                                                         {"ignoreNullFields": "false"}), 256))
     medians, modes = {}, {}
     out = base
     if impute_missing:
-        out, medians = impute_median(out, numeric, gappy, est)
+        out, medians = impute_median(out, numeric, gappy)
         out, modes = impute_mode(out, categorical, gappy)
     bounds_df = df.sparkSession.createDataFrame(
         [], "column STRING, lower DOUBLE, upper DOUBLE, n_clipped BIGINT")
     if clip_outliers:
-        out, bounds_df = iqr_clip(out, [c for c in numeric if c != target], iqr_multiplier, est)
+        out, bounds_df = iqr_clip(out, [c for c in numeric if c != target], iqr_multiplier)
     bounds_rows = bounds_df.collect()
     rows_after = rows_before - dup_removed - target_dropped
     report = {
         "rows_before": rows_before, "rows_after": rows_after,
         "rows_dropped": rows_before - rows_after, "duplicates_removed": dup_removed,
         "target_missing_dropped": target_dropped, "columns_before": cols_before,
-        "columns_after": list(out.columns), "columns_dropped": dropped,
+        "columns_after": [c for c in out.columns if c != key_col], "columns_dropped": dropped,
         "columns_imputed_numeric": list(medians), "columns_imputed_categorical": list(modes),
         "columns_clipped": [r["column"] for r in bounds_rows],
         "clip_bounds": {r["column"]: {"lower": r["lower"], "upper": r["upper"],
@@ -261,7 +257,7 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
         "imputation_strategy": {"numeric": "median", "categorical": "mode_or_constant"},
         "column_labels": labels_before,
     }
-    return CleanResult(out, report, bounds_df, medians, modes)
+    return CleanResult(out, report, bounds_df, medians, modes, groups)
 
 
 def cleaning_report_frame(spark, report: dict) -> DataFrame:

@@ -9,15 +9,17 @@ codegen, no join per column).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import (CATEGORICAL, NUMERIC, as_double, chunks, col,
                                        column_labels, long_form, q, sql_double, sql_lit)
 from tabloom.functions.ranking import top_k_per_group
+from tabloom.session import cut_lineage
 
 # Fixed values of the reference behaviour.
 ORDINAL_CARDINALITY_THRESHOLD = 10
@@ -26,7 +28,6 @@ OTHER = "__other__"
 MISSING_TEXT = "nan"            # text a missing category takes before ordinal encoding
 NEAR_ZERO_VARIANCE = 1e-6
 UNKNOWN_CODE = -1.0
-MAX_CLASSES = 100_000           # label tables above this are refused, not broadcast
 
 
 def split_categoricals(df: DataFrame, columns: list[str],
@@ -44,9 +45,17 @@ def split_categoricals(df: DataFrame, columns: list[str],
 
 
 def fit_ordinal(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
-    """Codes 0..k-1 in sorted text order; a missing value counts as ``"nan"``."""
+    """Codes 0..k-1 in sorted text order; a missing value counts as ``"nan"``.
+
+    For the low-cardinality columns of :func:`split_categoricals`; a column
+    with more than ``ORDINAL_CARDINALITY_THRESHOLD`` values is refused, since
+    its codes would not fit a literal map (:func:`label_encode` joins instead).
+    """
     if not columns:
         return {}
+    wide = [c for c in split_categoricals(df, columns)[1]]
+    if wide:
+        raise ValueError(f"too many values for ordinal codes: {wide}")
     texts = df.select(*[F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT)).alias(c)
                         for c in columns])
     cats = long_form(texts, columns, "string", clean=False).select("column", "value").distinct()
@@ -175,21 +184,32 @@ def features_as_double(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[as_double(df, c).alias(c) for c in columns])
 
 
-def fit_labels(df: DataFrame, target: str) -> list[str]:
-    """Distinct target values in sorted text order (refused above MAX_CLASSES)."""
-    vals = df.select(col(target).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
-    got = [r["t"] for r in vals.limit(MAX_CLASSES + 1).collect()]
-    if len(got) > MAX_CLASSES:
-        raise ValueError(f"target '{target}' has more than {MAX_CLASSES} classes")
-    return sorted(got)
+def fit_labels(df: DataFrame, target: str) -> DataFrame:
+    """``(label, code)``: distinct target values in sorted text order, codes 0..k-1.
+
+    The labels are sorted by range partitions; a partition's codes start
+    after the labels of the earlier ones (one count per partition).
+    """
+    labels = cut_lineage(df.select(col(target).cast("string").alias("label")).where(F.col("label").isNotNull())
+                         .distinct().orderBy("label").withColumn("at", F.monotonically_increasing_id()))
+    part, inner = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = labels.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return labels.withColumn("part", part).join(base, "part").select(
+        "label", (F.col("base") + inner).cast("int").alias("code"))
 
 
-def label_encode(df: DataFrame, target: str, labels: list[str] | None = None,
+def label_encode(df: DataFrame, target: str, labels: DataFrame | None = None,
                  out: str | None = None) -> DataFrame:
-    """Text labels -> codes 0..k-1 in sorted order (INT)."""
+    """Text labels -> codes 0..k-1 in sorted order (INT), by a join with the
+    label table; a missing target has no code."""
     labels = labels if labels is not None else fit_labels(df, target)
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-    return df.withColumn(out or target, m[col(target).cast("string")])
+    out = out or target
+    codes = labels.select(F.col("label").alias("_label_text"), F.col("code").alias("_label_code"))
+    joined = df.join(codes, col(target).cast("string") == F.col("_label_text"), "left")
+    cols = [F.col("_label_code").alias(c) if c == out else col(c) for c in df.columns]
+    return joined.select(*cols, *([] if out in df.columns else [F.col("_label_code").alias(out)]))
 
 
 @dataclass
@@ -254,6 +274,18 @@ class FeatureModel:
         mean = m if m is not None else 0.0
         return f"({expr} - {sql_lit(float(mean))}) / {sql_lit(float(scale))} AS {q(name)}"
 
+    def save(self, spark, path: str) -> str:
+        """Write the fitted parameters as one JSON text row (small: a few values per column)."""
+        text = json.dumps(asdict(self), ensure_ascii=True)
+        spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("errorifexists").text(path)
+        return path
+
+    @classmethod
+    def load(cls, spark, path: str) -> "FeatureModel":
+        data = json.loads(spark.read.text(path).first()["value"])
+        data["scaler"] = {c: tuple(v) for c, v in data["scaler"].items()}
+        return cls(**data)
+
     @property
     def feature_columns(self) -> list[str]:
         base = [c for c in self.features_before if c not in self.one_hot]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.ranking import running_sums
+from tabloom.session import cut_lineage
 
 DIGITS = 4
 CLASSIFICATION_METRICS = ["accuracy", "f1_weighted", "precision_weighted", "recall_weighted",
@@ -65,33 +66,40 @@ def _auc(hist: DataFrame, keys: list[str]) -> DataFrame:
     cum = running_sums(hist, "score", ["neg"], partition_cols=keys)
     return cum.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0)),
-                     F.sum("pos") * F.sum("neg")).alias("auc"))
+                     F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"))
 
 
 def auc_binary(df: DataFrame, y: str = "y", score: str = "score", by: str = "model",
                positive: str = "1") -> DataFrame:
     """``(model, roc_auc)`` of the positive-class score (NULL with one class only)."""
     is_pos = F.col(y).cast("string") == F.lit(positive)
-    hist = df.groupBy(by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
+    hist = cut_lineage(df.groupBy(by, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")))
     return _auc(hist, [by]).select(by, F.round("auc", DIGITS).alias("roc_auc"))
 
 
-def auc_ovr(df: DataFrame, y: str, class_scores: dict[str, str], by: str = "model") -> DataFrame:
+def auc_ovr(df: DataFrame, y: str, class_scores: dict[str, str] | None = None, by: str = "model",
+            score_array: str | None = None) -> DataFrame:
     """``(model, roc_auc)``: one-vs-rest AUC per class present in ``y``, macro average.
 
-    ``class_scores`` maps class label -> score column.
+    ``class_scores`` maps class label -> score column; or ``score_array``
+    names an array column whose element i is the score of class code i, for
+    any number of classes.
     """
-    arr = F.array(*[F.struct(F.lit(c).alias("cls"), F.col(s).cast("double").alias("score"))
-                    for c, s in class_scores.items()])
-    long = df.select(by, F.col(y).cast("string").alias("_y"), F.inline(arr))
+    if score_array:
+        scores = F.posexplode(score_array).alias("cls", "score")
+        long = df.select(by, F.col(y).cast("string").alias("_y"), scores).withColumn(
+            "cls", F.col("cls").cast("double").cast("string"))
+    else:
+        long = df.select(by, F.col(y).cast("string").alias("_y"), F.inline(F.array(
+            *[F.struct(F.lit(c).alias("cls"), F.col(s).cast("double").alias("score"))
+              for c, s in class_scores.items()])))
     is_pos = F.col("_y") == F.col("cls")
-    hist = long.groupBy(by, "cls", "score").agg(F.count_if(is_pos).alias("pos"),
-                                                F.count_if(~is_pos).alias("neg"))
-    per = _auc(hist, [by, "cls"]).where(F.col("auc").isNotNull())
-    present = df.select(by, F.col(y).cast("string").alias("cls")).distinct()
-    return (per.join(present, [by, "cls"])
-            .groupBy(by).agg(F.round(F.avg("auc"), DIGITS).alias("roc_auc")))
+    hist = cut_lineage(long.groupBy(by, "cls", "score").agg(F.count_if(is_pos).alias("pos"),
+                                                            F.count_if(~is_pos).alias("neg")))
+    # A class is present in y exactly if it has positives.
+    per = _auc(hist, [by, "cls"]).where("auc IS NOT NULL AND n_pos > 0")
+    return per.groupBy(by).agg(F.round(F.avg("auc"), DIGITS).alias("roc_auc"))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: str = "model"
@@ -109,12 +117,13 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: str
 
 def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred",
                            score: str | None = None, class_scores: dict[str, str] | None = None,
-                           by: str = "model", positive: str = "1") -> DataFrame:
+                           by: str = "model", positive: str = "1",
+                           score_array: str | None = None) -> DataFrame:
     """Long ``(model, metric, value)`` for accuracy, weighted P/R/F1 and AUC."""
     base = accuracy(df, y, pred, by).join(prf_weighted(df, y, pred, by), by)
     names = ["accuracy", "f1_weighted", "precision_weighted", "recall_weighted"]
-    if class_scores:
-        base = base.join(auc_ovr(df, y, class_scores, by), by, "left")
+    if class_scores or score_array:
+        base = base.join(auc_ovr(df, y, class_scores, by, score_array), by, "left")
         names.append("roc_auc")
     elif score:
         base = base.join(auc_binary(df, y, score, by, positive), by, "left")

@@ -79,8 +79,8 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
-def numeric_summary(df: DataFrame, columns: list[str], with_estimates: bool = False) -> DataFrame:
-    """``(column, n, mean, std, min, max[, n_distinct_est])`` (unrounded) over
+def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, n, mean, std, min, max)`` (unrounded) over
     non-missing values: one wide aggregate (chunked to stay within codegen
     limits) whose single row is unpivoted to one row per column."""
     parts = []
@@ -88,10 +88,9 @@ def numeric_summary(df: DataFrame, columns: list[str], with_estimates: bool = Fa
         structs = []
         for i, c in chunk:
             v = f"CAST({sql_clean(df, c)} AS DOUBLE)"
-            est = f", 'n_distinct_est', approx_count_distinct({v})" if with_estimates else ""
             structs.append(f"named_struct('column', {sql_lit(c)}, 'n', count({v}), "
                            f"'mean', avg({v}), 'std', stddev_samp({v}), 'min', min({v}), "
-                           f"'max', max({v}){est})")
+                           f"'max', max({v}))")
         parts.append(df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)"))
     out = parts[0]
     for p in parts[1:]:
@@ -100,9 +99,9 @@ def numeric_summary(df: DataFrame, columns: list[str], with_estimates: bool = Fa
 
 
 def medians(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.5,),
-            names: tuple[str, ...] = ("median",), estimates: dict | None = None) -> DataFrame:
+            names: tuple[str, ...] = ("median",)) -> DataFrame:
     """Exact linear quantiles ``(column, <names>...)`` for numeric columns."""
-    result = column_quantiles(df, columns, list(probs), estimates)
+    result = column_quantiles(df, columns, list(probs))
     for c in columns:
         for p in probs:
             result.setdefault((c, p), None)
@@ -113,10 +112,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, mean, std, min, max, median)``; mean and std rounded to 4 decimals."""
     labels = column_labels(df)
     columns = columns or [c for c, t in labels.items() if t == NUMERIC]
-    s = numeric_summary(df, columns, with_estimates=True).cache()
-    est = {r["column"]: r["n_distinct_est"] for r in s.select("column", "n_distinct_est").collect()}
-    m = medians(df, columns, estimates=est)
-    return (s.join(F.broadcast(m), "column")
+    m = medians(df, columns)
+    return (numeric_summary(df, columns).join(F.broadcast(m), "column")
              .select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
                      "min", "max", "median"))
 
@@ -139,30 +136,58 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VAL
                            salt_on=F.col("value"))
 
 
+def _cross_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` for i <= j over rows with both values.
+
+    Each task folds its batches into p x p matrices of sums (values less the
+    column's minimum, which keeps the sums small and constants at zero) and
+    returns one row per pair; no data row is ever expanded.
+    """
+    lows = df.selectExpr(*[f"min(CAST({sql_clean(df, c)} AS DOUBLE)) AS _m{i}" for i, c in enumerate(columns)]).first()
+    base = [float(lows[f"_m{i}"] or 0.0) for i in range(len(columns))]
+    names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+        p = len(base)
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) - base
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            n += m.T @ m
+            sx += x.T @ m          # [i, j]: sum of column i where column j is there
+            sxx += (x * x).T @ m
+            sxy += x.T @ x
+        i, j = np.triu_indices(p)
+        out = [i, j, n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype("int32") if k < 2 else a) for k, a in enumerate(out)],
+                                         names=names)
+    wide = df.selectExpr(*[f"CAST({sql_clean(df, c)} AS DOUBLE) AS _x{i}" for i, c in enumerate(columns)])
+    part = wide.mapInArrow(fold, "i INT, j INT, " + ", ".join(f"{c} DOUBLE" for c in names[2:]))
+    return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """Pearson matrix in long form ``(col_a, col_b, corr)``, pairwise complete rows.
 
-    ``corr`` is NULL where undefined (fewer than two pairs, or a constant
-    column) instead of failing on a division by zero. Each row is expanded
-    into one ``(pair, x, y)`` row per pair i <= j and a single group-by on
-    ``pair`` computes every coefficient with the stable central-moment
-    aggregates; the upper triangle is then mirrored. The number of columns
-    does not change the plan shape (no giant aggregate, no codegen limit).
+    ``corr`` is NULL where undefined (fewer than two pairs, or a column that
+    is constant on them) instead of failing on a division by zero. One scan;
+    a task sends p(p+1)/2 rows of sums. The upper triangle is then mirrored.
     """
     spark = df.sparkSession
     if len(columns) < 2:
         return spark.createDataFrame([], "col_a STRING, col_b STRING, corr DOUBLE")
-    vals = {c: f"CAST({sql_clean(df, c)} AS DOUBLE)" for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    arr = ", ".join(f"named_struct('p', {i}, 'x', {vals[a]}, 'y', {vals[b]})"
-                    for i, (a, b) in enumerate(pairs))
-    long = df.selectExpr(f"inline(array({arr}))").where("x IS NOT NULL AND y IS NOT NULL")
-    r = long.groupBy("p").agg(F.expr(
-        f"round(try_divide(covar_samp(x, y), stddev_samp(x) * stddev_samp(y)), {digits})")
-        .alias("corr"))
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                  "p INT, col_a STRING, col_b STRING")
-    upper = names.join(r, "p", "left").select("col_a", "col_b", F.col("corr").cast("double"))
+    s = _cross_products(df, columns).where("n >= 2").selectExpr(
+        "i", "j", "sxx - sx * sx / n AS vx", "syy - sy * sy / n AS vy", "sxy - sx * sy / n AS c", "sxx", "syy")
+    # A variance within rounding of zero is that of a constant.
+    r = s.where("vx > 1e-12 * sxx AND vy > 1e-12 * syy").select(
+        "i", "j", F.round(F.when(F.col("i") == F.col("j"), 1.0).otherwise(
+            F.col("c") / (F.sqrt("vx") * F.sqrt("vy"))), digits).alias("corr"))
+    names = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(columns) for j, b in enumerate(columns)
+                                   if i <= j], "i INT, j INT, col_a STRING, col_b STRING")
+    upper = names.join(r, ["i", "j"], "left").select("col_a", "col_b", "corr")
     lower = upper.where(F.col("col_a") != F.col("col_b")).select(
         F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
     return upper.unionByName(lower)
@@ -176,14 +201,13 @@ def target_numeric_summary(df: DataFrame, target: str) -> DataFrame:
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """``(class, n, pct)``; pct uses ALL rows (missing target included), 2 decimals.
 
-    The grouped table (one row per class plus one for missing) is summed
-    by a distributed aggregate for the denominator, so a target with very
-    many distinct values never lands in one task.
+    The denominator is the table's row count, so a target with very many
+    distinct values never lands in one task.
     """
     grouped = (df.groupBy(F.when(is_missing(df, target), F.lit(None))
                           .otherwise(col(target).cast("string")).alias("class"))
-               .agg(F.count(F.lit(1)).alias("n"))).cache()
-    total = grouped.agg(F.sum("n")).first()[0] or 0
+               .agg(F.count(F.lit(1)).alias("n")))
+    total = df.count()
     return (grouped.where(F.col("class").isNotNull())
             .select("class", "n", F.round(F.col("n") / F.lit(max(total, 1)) * 100, 2).alias("pct")))
 
@@ -215,8 +239,7 @@ def structure_report(df: DataFrame) -> DataFrame:
     """Per column: label, missing count, distinct count and numeric summary
     (mean, std rounded to 4 decimals; exact median).
 
-    Missing counts, distinct counts, moments and distinct-count estimates
-    come from ONE aggregate (Spark rewrites the distinct counts into an
+    Missing counts, distinct counts and moments come from ONE aggregate (Spark rewrites the distinct counts into an
     Expand + two-level aggregation); medians from one more pass.
     """
     labels = column_labels(df)
@@ -228,18 +251,15 @@ def structure_report(df: DataFrame) -> DataFrame:
                                     else "")
         if c in numeric:
             d = f"CAST({v} AS DOUBLE)"
-            num = (f"avg({d}), 'std', stddev_samp({d}), 'min', min({d}), 'max', max({d}), "
-                   f"'est', approx_count_distinct({d})")
+            num = (f"avg({d}), 'std', stddev_samp({d}), 'min', min({d}), 'max', max({d})")
         else:
             num = ("CAST(NULL AS DOUBLE), 'std', CAST(NULL AS DOUBLE), 'min', CAST(NULL AS DOUBLE),"
-                   " 'max', CAST(NULL AS DOUBLE), 'est', CAST(NULL AS BIGINT)")
+                   " 'max', CAST(NULL AS DOUBLE)")
         structs.append(f"named_struct('column', {sql_lit(c)}, 'label', {sql_lit(labels[c])}, "
                        f"'n_missing', count_if({miss}), 'n_distinct', count(DISTINCT {v}), "
                        f"'mean', {num})")
-    stats = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)").cache()
-    est = {r["column"]: r["est"] for r in stats.where("est IS NOT NULL").select("column", "est")
-           .collect()}
-    med = medians(df, numeric, estimates=est) if numeric else \
+    stats = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)")
+    med = medians(df, numeric) if numeric else \
         df.sparkSession.createDataFrame([], "column STRING, median DOUBLE")
     return (stats.join(F.broadcast(med), "column", "left")      # one row per column
             .selectExpr("column", "label", "n_missing", "n_distinct", "round(mean, 4) AS mean",

@@ -44,6 +44,12 @@ def model_comparison(metrics_long: DataFrame, task_type: str) -> DataFrame:
             .join(metrics_pivot(metrics_long, task_type), "model", "left"))
 
 
+def best_artifact(leaderboard: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The best model with its artifact: ``(model, primary_score, path)``; path NULL if none was saved."""
+    return (leaderboard.where(F.col("rk") == 1).join(artifacts, "model", "left")
+            .select("model", "primary_score", "path"))
+
+
 def evaluation_summary(metrics_long: DataFrame, task_type: str) -> DataFrame:
     """One row: primary metric, direction, best model and score, model count."""
     metric, higher = primary_metric(task_type)

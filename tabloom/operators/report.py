@@ -5,9 +5,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed order of the report's sections.
+SUMMARY, OVERVIEW, QUALITY, CLEANING, FEATURES, TRAINING, LEADERBOARD, BEST, TIMELINE, APPENDIX = range(1, 11)
+
+
+def section(number: int, df: DataFrame, item: Column, value: Column) -> DataFrame:
+    """One part of the report: ``(section, item, value)`` from a small table."""
+    return df.select(F.lit(number).alias("section"), item.cast("string").alias("item"),
+                     value.cast("string").alias("value"))
+
+
+def facts(spark, number: int, pairs: dict) -> DataFrame:
+    """A part from known values."""
+    rows = [(number, str(k), None if v is None else str(v)) for k, v in pairs.items()]
+    return spark.createDataFrame(rows, "section INT, item STRING, value STRING")
+
+
+def fields(number: int, df: DataFrame, columns: list[str]) -> DataFrame:
+    """A part from the columns of a one-row table."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value"))
+                               for c in columns]))
+    return df.select(F.lit(number).alias("section"), pairs)
+
 
 def report_sections(parts: list[DataFrame]) -> DataFrame:
     """Union ``(section, item, value)`` parts and number rows inside each

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.joins import broadcast_if_small
 from tabloom.functions.ranking import previous_in_order
 
 # Fixed values of the reference behaviour.
@@ -115,10 +114,9 @@ def first_by_name(catalog: DataFrame, name: str) -> DataFrame:
 
 
 def run_with_dataset(latest: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Runs with their dataset (inner join on the foreign key). The catalog
-    side is broadcast only after its row count is checked."""
-    side = broadcast_if_small(catalog.select("dataset_id", "name"))
-    return latest.join(side, "dataset_id").select("run_id", "dataset_id", "name", "status")
+    """Runs with their dataset (inner join on the foreign key); AQE broadcasts
+    the catalog side if its measured size allows."""
+    return latest.join(catalog.select("dataset_id", "name"), "dataset_id").select("run_id", "dataset_id", "name", "status")
 
 
 def orphan_runs(latest: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -128,8 +126,7 @@ def orphan_runs(latest: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def runs_after_delete(latest: DataFrame, deleted: DataFrame) -> DataFrame:
     """Cascade: runs of deleted datasets disappear (anti join on dataset_id)."""
-    side = broadcast_if_small(deleted.select("dataset_id"))
-    return latest.join(side, "dataset_id", "left_anti").select("run_id", "dataset_id", "status")
+    return latest.join(deleted.select("dataset_id"), "dataset_id", "left_anti").select("run_id", "dataset_id", "status")
 
 
 def dataset_latest(patches: DataFrame) -> DataFrame:
@@ -154,15 +151,13 @@ def stage_timeline(run_events: DataFrame) -> DataFrame:
 
 
 def run_errors(run_events: DataFrame) -> DataFrame:
-    """``(run_id, errors)``: the run's distinct error messages in order of
-    first occurrence, joined with "; ". Messages are deduplicated by a
-    distributed group-by first, so the list is bounded by the distinct
-    messages of a run, not by its event count."""
-    firsts = (run_events.where(F.col("message").isNotNull())
-              .groupBy("run_id", "message").agg(F.min("seq").alias("first_seq")))
-    return firsts.groupBy("run_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_seq", "message"))),
-                                 lambda s: s["message"]), ERROR_SEPARATOR).alias("errors"))
+    """``(run_id, errors)``: all of the run's error messages, repeats kept, in
+    order of ``seq`` and joined with "; ". The text of a run is as long as its
+    errors; nothing but error events is gathered."""
+    found = run_events.where(F.col("message").isNotNull())
+    return found.groupBy("run_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda s: s["message"]),
+        ERROR_SEPARATOR).alias("errors"))
 
 
 def run_outcome(run_events: DataFrame) -> DataFrame:
@@ -174,7 +169,8 @@ def run_outcome(run_events: DataFrame) -> DataFrame:
 
 def registration_row(df: DataFrame, name: str) -> DataFrame:
     """Dataset registration: ``(name, n_rows, n_cols, columns)`` where
-    columns lists ``name:label`` in table order."""
+    columns lists ``name:label`` in table order; see
+    :func:`tabloom.sources.csv_ingest.dataset_name` for the name of a file."""
     from tabloom.functions.columns import column_labels
     labels = [f"{c}:{t}" for c, t in column_labels(df).items()]
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -150,6 +150,17 @@ SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr FR
 oracle("outlier_count", CLEAN_CHAIN + """
 SELECT cnt."column", n AS n_outliers FROM cnt JOIN bnd ON cnt."column" = bnd."column"
 WHERE iqr <> 0""")
+_NAN_BOUNDS = DIRTY.rstrip() + """,
+q AS (SELECT quantile_cont(l_orderkey, 0.25) AS a1, quantile_cont(l_orderkey, 0.75) AS a3,
+             quantile_cont(l_linenumber, 0.25) AS b1, quantile_cont(l_linenumber, 0.75) AS b3,
+             quantile_cont(price, 0.25) AS c1, quantile_cont(price, 0.75) AS c3 FROM dirty)
+"""
+oracle("outliers_with_nan", _NAN_BOUNDS + union(
+    [f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} < {x}1 - 3 * ({x}3 - {x}1) OR {c} > {x}3 + 3 * ({x}3 - {x}1))"
+     f" AS n_outliers FROM dirty, q" for c, x in (("l_orderkey", "a"), ("l_linenumber", "b"), ("price", "c"))]))
+oracle("clip_with_nan", _NAN_BOUNDS + """
+SELECT l_orderkey, l_linenumber, CASE WHEN price IS NULL THEN NULL ELSE
+  round(greatest(least(price, c3 + 3 * (c3 - c1)), c1 - 3 * (c3 - c1)), 4) END AS price FROM dirty, q""")
 oracle("iqr_clip", CLEAN_CHAIN + """
 SELECT l_orderkey, l_linenumber, round(price, 4) AS price, flag, target FROM d5""")
 oracle("clip_bounds", CLEAN_CHAIN + """
@@ -230,8 +241,8 @@ oracle("standard_scale", _ENC_CLS + "\nSELECT o_orderkey, o_orderstatus, " + ",
 
 oracle("low_variance_columns", _ENC_CLS + ",\nsc AS (SELECT " + ", ".join(
     f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}"
-    for c in FEATURES_CLS) + " FROM enc),\nsd AS (" + union(
-    [f"SELECT '{c}' AS \"column\", stddev_samp({c}) AS std FROM sc" for c in FEATURES_CLS]) +
+    for c in FEATURES_CLS) + ", 7.0::DOUBLE AS unit_flag FROM enc),\nsd AS (" + union(
+    [f"SELECT '{c}' AS \"column\", stddev_samp({c}) AS std FROM sc" for c in [*FEATURES_CLS, "unit_flag"]]) +
     ")\nSELECT \"column\", std FROM sd WHERE std < 1e-6")
 
 oracle("features_as_double", ORDER_FEATURES + """
@@ -271,9 +282,20 @@ MI_CLS = _mi_sql(_ENC_CLS, FEATURES_CLS, "o_orderstatus", True)
 oracle("mi_classification", MI_CLS)
 oracle("mi_regression", _mi_sql(_ENC_REG, FEATURES_REG, "o_totalprice", False))
 oracle("select_top_features", f"SELECT * FROM ({MI_CLS}) WHERE rk <= 10")
-oracle("feature_report", f"""
-SELECT 8 AS features_before, {len(FEATURES_CLS)} AS features_after, 0 AS n_low_variance,
-  {len(FEATURES_CLS)} AS n_scaled, 2 AS n_ordinal, 1 AS n_one_hot""")
+# Counts from the data: a text column with at most ten values is ordinal, else one-hot with at most 50
+# levels (and one for the rest), the first dropped; a numeric column of no variance is left out.
+_TEXT = ["o_orderpriority", "c_mktsegment", "n_name"]
+_NUM = ["o_totalprice", "c_acctbal", "n_lines", "avg_discount", "sum_qty"]
+oracle("feature_report", ORDER_FEATURES.rstrip().rstrip(",") + ",\nt AS (" + union(
+    [f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d, count(*) - count({c}) AS gaps FROM of" for c in _TEXT]) +
+    "),\nv AS (" + union([f"SELECT '{c}' AS c, coalesce(stddev_pop({c}), 0) = 0 AS flat FROM of" for c in _NUM]) + """),
+e AS (SELECT count(*) FILTER (WHERE d <= 10) AS ord, count(*) FILTER (WHERE d > 10) AS hot,
+             coalesce(sum(CASE WHEN d > 10 THEN least(d, 50) + CASE WHEN d > 50 OR gaps > 0 THEN 1 ELSE 0 END - 1 END), 0) AS dummies
+      FROM t),
+n AS (SELECT count(*) AS nums, count(*) FILTER (WHERE flat) AS flats FROM v)
+SELECT CAST(ord + hot + nums AS INTEGER) AS features_before, CAST(ord + dummies + nums - flats AS INTEGER) AS features_after,
+  CAST(flats AS INTEGER) AS n_low_variance, CAST(ord + dummies + nums AS INTEGER) AS n_scaled,
+  CAST(ord AS INTEGER) AS n_ordinal, CAST(hot AS INTEGER) AS n_one_hot FROM e, n""")
 
 
 # ── split, metrics, ranking ──────────────────────────────────────────────────
@@ -398,7 +420,7 @@ FROM ranked""")
 
 # ── chart data ───────────────────────────────────────────────────────────────
 
-def _hist_sql(table: str, cols: list[str], density: bool, digits: int) -> str:
+def _hist_sql(table: str, cols: list[str], density: bool, digits: int, bins: int = 30) -> str:
     long = union([f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM {table} "
                   f"WHERE {c} IS NOT NULL" for c in cols])
     dens = (f", round(coalesce(n, 0) / (n_all * w), {digits}) AS density" if density else "")
@@ -407,22 +429,29 @@ WITH long AS ({long}),
 r0 AS (SELECT "column", min(value) AS lo0, max(value) AS hi0, count(value) AS n_all FROM long GROUP BY 1),
 r AS (SELECT "column", n_all, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
              CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0),
-rw AS (SELECT *, (hi - lo) / 30 AS w FROM r),
-b AS (SELECT long."column", CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n
+rw AS (SELECT *, (hi - lo) / {bins} AS w FROM r),
+b AS (SELECT long."column", CAST(least(floor((value - lo) / w), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
       FROM long JOIN rw ON long."column" = rw."column" GROUP BY ALL),
-g AS (SELECT rw.*, CAST(i AS INTEGER) AS bin FROM rw, range(30) t(i))
+g AS (SELECT rw.*, CAST(i AS INTEGER) AS bin FROM rw, range({bins}) t(i))
 SELECT g."column", g.bin, round(lo + g.bin * w, {digits}) AS lo, round(lo + (g.bin + 1) * w, {digits}) AS hi,
   coalesce(n, 0) AS n{dens}
 FROM g LEFT JOIN b ON g."column" = b."column" AND g.bin = b.bin"""
 
 
-oracle("histogram_density", _hist_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"],
-                                      True, 6))
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax"]
+oracle("histogram_density", _hist_sql("lineitem", LINE_NUMBERS, True, 6))
+oracle("histogram_ten_bins", _hist_sql("lineitem", LINE_NUMBERS, True, 6, bins=10))
+oracle("target_distribution_classes", """
+WITH vc AS (SELECT 'o_orderpriority' AS "column", CAST(o_orderpriority AS VARCHAR) AS value, count(*) AS n
+            FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 2)
+SELECT *, CAST(rk0 AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rk0 FROM vc)
+WHERE rk0 <= 20""".replace("SELECT *, CAST(rk0", 'SELECT "column", value, n, CAST(rk0'))
 oracle("target_distribution", _hist_sql("orders", ["o_totalprice"], False, 4))
 
 oracle("kde_curve", """
-WITH long AS (SELECT 'l_quantity' AS "column", l_quantity AS value FROM lineitem
-              UNION ALL SELECT 'l_discount', l_discount FROM lineitem),
+WITH long AS (""" + union([f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem"
+                           for c in LINE_NUMBERS]) + """),
 st AS (SELECT "column", count(value) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx
        FROM long GROUP BY 1 HAVING count(value) >= 2 AND stddev_samp(value) > 0),
 st2 AS (SELECT *, sd * pow(n, -0.2) AS bw, mn - (mx - mn) / 2 AS g0, 2 * (mx - mn) / 99 AS step FROM st),
@@ -436,7 +465,7 @@ FROM c GROUP BY "column", gi, x""")
 
 oracle("box_stats", "WITH long AS (" + union(
     [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem WHERE {c} IS NOT NULL"
-     for c in ["l_quantity", "l_extendedprice", "l_discount"]]) + """),
+     for c in LINE_NUMBERS]) + """),
 q AS (SELECT "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
              quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1),
 b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
@@ -453,7 +482,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v
       FROM vc)
 SELECT * FROM r WHERE rk <= 20""")
 
-_TRI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_TRI = LINE_NUMBERS
 oracle("corr_lower_triangle", union(
     [f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
      f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 2) END AS corr "
@@ -513,8 +542,8 @@ SELECT run_id, seq, status AS stage, CASE WHEN status = 'failed' THEN 'error' EL
   round(coalesce(epoch_us(ts) - epoch_us(prev_ts), 0) / 1e6, 3) AS duration_seconds, message AS error
 FROM p""")
 oracle("run_errors", RUN_EVENTS + """,
-f AS (SELECT run_id, message, min(seq) AS first_seq FROM ev WHERE message IS NOT NULL GROUP BY ALL)
-SELECT run_id, string_agg(message, '; ' ORDER BY first_seq, message) AS errors FROM f GROUP BY run_id""")
+f AS (SELECT run_id, message, seq FROM ev WHERE message IS NOT NULL)
+SELECT run_id, string_agg(message, '; ' ORDER BY seq) AS errors FROM f GROUP BY run_id""")
 oracle("run_outcome", RUN_EVENTS + """
 SELECT run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END AS outcome,
   count(*) FILTER (WHERE status = 'failed') AS n_errors FROM ev GROUP BY run_id""")
@@ -591,17 +620,29 @@ _MISSING_CTE = "m AS (" + union(
     [f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
      f"count(*) AS n_rows FROM dirty" for c in DIRTY_COLS]) + ")"
 
-oracle("report_sections", chain(METRICS_LONG, DIRTY, _MISSING_CTE) + """,
-parts AS (
-  SELECT 1 AS section, 'n_rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM dirty
-  UNION ALL SELECT 1, 'n_cols', '6'
-  UNION ALL SELECT 2, "column", printf('%.2f', round(CAST(n_missing AS DOUBLE) / n_rows * 100, 2))
-    FROM m WHERE n_missing > 0
-  UNION ALL SELECT 3, CAST(rk AS VARCHAR) || ':' || model, printf('%.4f', primary_score) FROM ranked
-  UNION ALL SELECT 4, 'best_model', model FROM ranked WHERE rk = 1)
-SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY item) AS INTEGER) AS "row",
-  item, value FROM parts""")
-
+def _facts(section: int, sql: str, columns: list[str]) -> str:
+    return union([f"SELECT {section} AS section, '{c}' AS item, CAST({c} AS VARCHAR) AS value FROM ({sql})"
+                  for c in columns])
+
+
+oracle("report_sections", "WITH parts AS (" + union([
+    _facts(1, f"SELECT n_rows, n_cols FROM ({ORACLES['plan_profile']})", ["n_rows", "n_cols"]),
+    _facts(2, ORACLES["plan_profile"], ["n_rows", "n_cols", "task_type", "n_features", "n_numeric", "n_categorical",
+                                        "has_missing", "n_high_missing"]),
+    "SELECT 3, \"column\", printf('%.2f', round(CAST(n_missing AS DOUBLE) / n_rows * 100, 2)) FROM (" + DIRTY + ", m AS ("
+    + union([f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_missing, count(*) AS n_rows "
+             f"FROM dirty" for c in DIRTY_COLS]) + ") SELECT * FROM m WHERE n_missing > 0)",
+    _facts(4, ORACLES["cleaning_report"], ["rows_before", "rows_after", "rows_dropped", "duplicates_removed",
+                                           "target_missing_dropped"]),
+    _facts(5, ORACLES["feature_report"], ["features_before", "features_after", "n_low_variance", "n_scaled",
+                                          "n_ordinal", "n_one_hot"]),
+    f"SELECT 6, model || ':' || metric, printf('%.4f', value) FROM ({ORACLES['metrics_long']})",
+    f"SELECT 7, CAST(rk AS VARCHAR) || ':' || model, printf('%.4f', primary_score) FROM ({ORACLES['rank_models']})",
+    f"SELECT 8, 'best_model', model FROM ({ORACLES['rank_models']}) WHERE rk = 1",
+    f"SELECT 9, stage || ':' || status, CAST(count(*) AS VARCHAR) FROM ({ORACLES['stage_timeline']}) GROUP BY stage, status",
+    union([f"SELECT 10, '{c}', '{'categorical' if c in ('flag', 'target') else 'numeric'}'" for c in DIRTY_COLS])]) + """)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY item) AS INTEGER) AS "row", item, value
+FROM parts""")
 
 # ── models ───────────────────────────────────────────────────────────────────
 

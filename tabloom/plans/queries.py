@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
                                select, models,
                                runlog, split)
+from tabloom.session import cut_lineage
 from tabloom.sources import csv_ingest
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
@@ -109,9 +110,15 @@ DIRTY_CLIP_COLUMNS = ["l_orderkey", "l_linenumber", "price"]
 
 
 def _clean_base(spark, sf):
-    """dirty → drop sparse columns → dedup → drop missing target."""
+    """dirty → drop sparse columns → dedup → drop missing target; written once for the steps after it."""
     d = clean.drop_sparse_columns(dirty_lineitem(spark, sf), "target")
-    return clean.drop_null_target(clean.dedup_rows(d), "target")
+    return cut_lineage(clean.drop_null_target(clean.dedup_rows(d), "target"))
+
+
+def nan_prices(spark, sf):
+    """The dirty lines with NaN instead of NULL prices."""
+    return dirty_lineitem(spark, sf).select("l_orderkey", "l_linenumber",
+                                            F.coalesce("price", F.lit(float("nan"))).alias("price"))
 
 
 def _imputed(spark, sf):
@@ -161,6 +168,20 @@ def q_outlier_count(spark, sf):
     return clean.outlier_count(_imputed(spark, sf), DIRTY_CLIP_COLUMNS)
 
 
+@register("outliers_with_nan")
+def q_outliers_with_nan(spark, sf):
+    """Outliers of dirty columns whose gaps are NaN: a gap is neither counted nor clipped."""
+    d = nan_prices(spark, sf)
+    return clean.outlier_count(d, DIRTY_CLIP_COLUMNS)
+
+
+@register("clip_with_nan")
+def q_clip_with_nan(spark, sf):
+    out, _ = clean.iqr_clip(nan_prices(spark, sf), DIRTY_CLIP_COLUMNS)
+    return round_floats(out.select("l_orderkey", "l_linenumber",
+                                   F.nanvl("price", F.lit(None).cast("double")).alias("price")))
+
+
 @register("iqr_clip")
 def q_iqr_clip(spark, sf):
     return round_floats(clean.clean_table(dirty_lineitem(spark, sf), "target").table)
@@ -188,7 +209,8 @@ def _features(spark, sf, target="o_orderstatus"):
 
 
 def _mi(spark, sf, target, discrete):
-    of, fm = _features(spark, sf, target)
+    of = cut_lineage(order_features(spark, sf))
+    fm = encode.fit_features(of, target, id_cols=ID)
     enc = fm.encode(of)
     feats = fm.feature_columns
     means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
@@ -222,8 +244,8 @@ def q_standard_scale(spark, sf):
 @register("low_variance_columns")
 def q_low_variance_columns(spark, sf):
     of, fm = _features(spark, sf)
-    scaled = fm.transform(of)
-    return encode.low_variance_columns(scaled, fm.feature_columns)
+    scaled = fm.transform(of).withColumn("unit_flag", F.lit(7.0))
+    return encode.low_variance_columns(scaled, [*fm.feature_columns, "unit_flag"])
 
 
 @register("features_as_double")
@@ -310,6 +332,12 @@ def q_metric_regression(spark, sf):
 
 
 def _binary_metrics_with_bookkeeping(spark, sf):
+    """Metrics of the rule models, a few rows per model, computed once and read by every step after it."""
+    found = _binary_metrics(spark, sf)
+    return spark.createDataFrame([tuple(r) for r in found.collect()], found.schema)
+
+
+def _binary_metrics(spark, sf):
     preds = binary_predictions(spark, sf)
     m = metrics.classification_metrics(preds, score="score")
     lab = split.assign_split(load(spark, sf, "labels").select("doc_id"), "doc_id")
@@ -349,24 +377,31 @@ def q_evaluation_summary(spark, sf):
 
 # ── chart data ───────────────────────────────────────────────────────────────
 
-HIST_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
+# Every numeric column of lineitem.
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax"]
 
 
 @register("histogram_density")
 def q_histogram_density(spark, sf):
-    return round_floats(chartdata.histogram(load(spark, sf, "lineitem"), HIST_COLUMNS), 6)
+    return round_floats(chartdata.histogram(load(spark, sf, "lineitem"), LINE_NUMBERS), 6)
+
+
+@register("histogram_ten_bins")
+def q_histogram_ten_bins(spark, sf):
+    return round_floats(chartdata.histogram(load(spark, sf, "lineitem"), LINE_NUMBERS, bins=10), 6)
 
 
 @register("kde_curve")
 def q_kde_curve(spark, sf):
-    out = chartdata.kde_curve(load(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
+    out = chartdata.kde_curve(load(spark, sf, "lineitem"), LINE_NUMBERS)
     return out.select("column", "gi", F.round("x", 6).alias("x"),
                       F.round(F.col("density") * 1e6, 4).alias("density_e6"))
 
 
 @register("box_stats")
 def q_box_stats(spark, sf):
-    return round_floats(chartdata.box_stats(load(spark, sf, "lineitem"), HIST_COLUMNS))
+    return round_floats(chartdata.box_stats(load(spark, sf, "lineitem"), LINE_NUMBERS))
 
 
 @register("category_bars")
@@ -376,8 +411,12 @@ def q_category_bars(spark, sf):
 
 @register("corr_lower_triangle")
 def q_corr_lower_triangle(spark, sf):
-    return chartdata.corr_lower_triangle(load(spark, sf, "lineitem"),
-                                         ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return chartdata.corr_lower_triangle(load(spark, sf, "lineitem"), LINE_NUMBERS)
+
+
+@register("target_distribution_classes")
+def q_target_distribution_classes(spark, sf):
+    return chartdata.target_distribution(load(spark, sf, "orders"), "o_orderpriority", numeric=False)
 
 
 @register("target_distribution")
@@ -507,22 +546,26 @@ def q_plan_profile(spark, sf):
 
 @register("report_sections")
 def q_report_sections(spark, sf):
+    """The ten sections over the dirty lines, the modelling table, the rule models and the run log."""
     d = dirty_lineitem(spark, sf)
-    shape = profile.table_shape(d)
-    overview = shape.select(F.lit(1).alias("section"), F.inline(F.array(
-        F.struct(F.lit("n_rows").alias("item"), F.col("n_rows").cast("string").alias("value")),
-        F.struct(F.lit("n_cols").alias("item"), F.col("n_cols").cast("string").alias("value")))))
-    missing = profile.missing_report(d).select(
-        F.lit(2).alias("section"), F.col("column").alias("item"),
-        F.format_string("%.2f", "pct").alias("value"))
-    ranked = rank.rank_models(_binary_metrics_with_bookkeeping(spark, sf), "classification")
-    board = ranked.select(F.lit(3).alias("section"),
-                          F.concat_ws(":", F.col("rk").cast("string"), "model").alias("item"),
-                          F.format_string("%.4f", "primary_score").alias("value"))
-    best = ranked.where(F.col("rk") == 1).select(F.lit(4).alias("section"),
-                                                 F.lit("best_model").alias("item"),
-                                                 F.col("model").alias("value"))
-    return report.report_sections([overview, missing, board, best])
+    scores = _binary_metrics_with_bookkeeping(spark, sf)
+    ranked = rank.rank_models(scores, "classification")
+    plan = profile.plan_profile(d, "target")
+    stages = runlog.stage_timeline(run_events(spark, sf)).groupBy("stage", "status").agg(F.count("*").alias("n"))
+    value = F.format_string("%.4f", "value")
+    return report.report_sections([
+        report.fields(report.SUMMARY, profile.table_shape(d), ["n_rows", "n_cols"]),
+        report.fields(report.OVERVIEW, plan, [c for c in plan.columns if c != "models"]),
+        report.section(report.QUALITY, profile.missing_report(d), F.col("column"), F.format_string("%.2f", "pct")),
+        report.fields(report.CLEANING, q_cleaning_report(spark, sf), [
+            "rows_before", "rows_after", "rows_dropped", "duplicates_removed", "target_missing_dropped"]),
+        report.fields(report.FEATURES, f := q_feature_report(spark, sf), f.columns),
+        report.section(report.TRAINING, metrics.pure_metrics(scores), F.concat_ws(":", "model", "metric"), value),
+        report.section(report.LEADERBOARD, ranked, F.concat_ws(":", F.col("rk").cast("string"), "model"),
+                       F.format_string("%.4f", "primary_score")),
+        report.section(report.BEST, ranked.where("rk = 1"), F.lit("best_model"), F.col("model")),
+        report.section(report.TIMELINE, stages, F.concat_ws(":", "stage", "status"), F.col("n")),
+        report.section(report.APPENDIX, profile.column_types(d), F.col("column"), F.col("label"))])
 
 
 # ── models (rows-only checks, except the OLS fit) ────────────────────────────

@@ -20,45 +20,64 @@ from tabloom.functions.columns import col
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 BOOLEAN_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
-MAX_UPLOAD_BYTES = 500 * 1024 * 1024
+UPLOAD_LIMIT_BYTES = 500 * 1024 * 1024   # the gate of the reference; off unless passed as max_bytes
 CORRUPT = "_corrupt_record"
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+# Java's number parser also takes type suffixes ("12D"); those are text here.
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+CSV_OPTIONS = {"quote": '"', "escape": '"'}      # a doubled quote is a quote
 
 
 class IngestError(ValueError):
     pass
 
 
-def check_sources(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """Source gate: only ``*.csv`` files, each at most ``max_bytes``.
+def check_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of the ``*.csv`` files; contents are not read."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
+            .load(path).select("path", "length"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
 
-    Returns ``(path, length, utf8)`` per file; ``utf8`` tells whether the
-    bytes decode as UTF-8 (else ISO-8859-1 is used, which accepts any byte).
-    One row per file is collected: the check never moves file contents.
-    """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
-             .load(path).select("path", "length", F.is_valid_utf8(F.col("content").cast("string"))
-                                .alias("_valid")))
-    return files.select("path", "length", F.col("_valid").alias("utf8"))
 
+def choose_encoding(spark: SparkSession, path: str, max_bytes: int | None = None) -> str:
+    """UTF-8 if every line of every file decodes, else ISO-8859-1 (which takes any byte).
 
-def choose_encoding(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> str:
-    rows = check_sources(spark, path, max_bytes).collect()
-    if not rows:
+    Files are checked line by line in a distributed scan. ``max_bytes`` (off
+    by default) refuses a source with a larger file.
+    """
+    files = check_sources(spark, path)
+    limit = F.lit(max_bytes if max_bytes is not None else (1 << 63) - 1)
+    sizes = files.agg(F.count("*").alias("n"),
+                      F.min(F.when(F.col("length") > limit, F.col("path"))).alias("big")).first()
+    if not sizes["n"]:
         raise IngestError(f"no .csv file under '{path}'")
-    too_big = [r["path"] for r in rows if r["length"] > max_bytes]
-    if too_big:
-        raise IngestError(f"file larger than {max_bytes} bytes: {too_big[0]}")
-    return "UTF-8" if all(r["utf8"] for r in rows) else "ISO-8859-1"
+    if sizes["big"]:
+        raise IngestError(f"file larger than {max_bytes} bytes: {sizes['big']}")
+    broken = _lines(spark, path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if broken else "UTF-8"
+
+
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a record spans lines."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return _lines(spark, path).where(quotes % 2 == 1).limit(1).count() > 0
 
 
 def read_text_table(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, list[str]]:
-    """All-string scan with a corrupt-record column; NA tokens become NULL."""
-    header = (spark.read.option("header", True).option("encoding", encoding)
-              .option("inferSchema", False).csv(path).columns)
+    """All-string scan with a corrupt-record column; NA tokens become NULL.
+
+    Lines are split among tasks; only a source with quoted newlines is read
+    a whole file per task.
+    """
+    many = has_quoted_newlines(spark, path)
+    reader = lambda: (spark.read.option("header", True).option("encoding", encoding)
+                      .option("multiLine", many).options(**CSV_OPTIONS))
+    header = reader().option("inferSchema", False).csv(path).columns
     schema = ", ".join(f"`{c}` STRING" for c in header) + f", `{CORRUPT}` STRING"
-    raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    raw = (reader().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .option("nullValue", "\u0000").option("emptyValue", "")
            .schema(schema).csv(path))
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
@@ -67,6 +86,22 @@ def read_text_table(spark: SparkSession, path: str, encoding: str) -> tuple[Data
     return clean, header
 
 
+END_MARK = "\u001f"
+
+
+def too_many_fields(n: int):
+    """Whether the corrupt record, read by the CSV parser, has more than ``n`` fields.
+
+    A mark is appended as one more field: it stands within the first n + 1
+    fields exactly if the record has n or fewer (an empty field counts).
+    """
+    schema = ", ".join(f"f{i} STRING" for i in range(n + 1))
+    line = F.concat(F.regexp_replace(CORRUPT, r"[\r\n]+$", ""), F.lit(f",{END_MARK}"))
+    fields = F.from_csv(line, schema, {**CSV_OPTIONS, "mode": "PERMISSIVE"})
+    within = F.coalesce(F.array_contains(F.array(*[fields[f"f{i}"] for i in range(n + 1)]), END_MARK), F.lit(False))
+    return F.col(CORRUPT).isNotNull() & ~within
+
+
 def infer_types(text: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Spark type per text column: boolean → bigint → double → string.
 
@@ -84,7 +119,7 @@ def infer_types(text: DataFrame, columns: list[str] | None = None) -> dict[str,
                  F.count_if(v.rlike(INTEGER_PATTERN) & F.trim(v).try_cast("bigint").isNotNull())
                  .alias(f"l{i}"),
                  F.count_if(v.rlike(INTEGER_PATTERN)).alias(f"li{i}"),
-                 F.count_if(F.trim(v).try_cast("double").isNotNull()).alias(f"d{i}")]
+                 F.count_if(v.rlike(NUMBER_PATTERN)).alias(f"d{i}")]
     r = text.agg(*aggs).first()
     out = {}
     for i, c in enumerate(columns):
@@ -119,24 +154,37 @@ class Ingested:
     quarantine: DataFrame
     types: dict
     encoding: str
+    held: DataFrame
+
+    def release(self) -> None:
+        """Drop the cached text once ``table`` and ``quarantine`` are no longer read."""
+        self.held.unpersist()
 
 
-def ingest_csv(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> Ingested:
+def ingest_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> Ingested:
     """Gate, scan, quarantine rows with too many fields, infer and cast.
 
     Raises :class:`IngestError` for a missing / oversized / non-CSV source
-    or when no data row remains.
+    or when no data row remains. The owner calls ``release()``.
     """
     enc = choose_encoding(spark, path, max_bytes)
     text, header = read_text_table(spark, path, enc)
-    text = text.cache()          # Spark refuses a query on the corrupt column alone
-    too_long = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), ",")) > len(header))
+    text = text.persist()        # Spark refuses a query on the corrupt column alone
+    too_long = F.coalesce(too_many_fields(len(header)), F.lit(False))
     quarantine = text.where(too_long).select(F.col(CORRUPT).alias("raw_line"))
-    good = text.where(~too_long | F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good = text.where(~too_long).drop(CORRUPT)
     if good.limit(1).count() == 0:
+        text.unpersist()
         raise IngestError(f"'{path}' has no data rows")
     types = infer_types(good, header)
-    return Ingested(apply_types(good, types), quarantine, types, enc)
+    return Ingested(apply_types(good, types), quarantine, types, enc, text)
+
+
+def dataset_name(path: str) -> tuple[str, str]:
+    """(stem, lower-case suffix) of a file path: the name a dataset is registered under."""
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    stem, dot, suffix = base.rpartition(".")
+    return (stem, f".{suffix.lower()}") if dot and stem else (base, "")
 
 
 def land(df: DataFrame, root: str, dataset_id: str) -> str:

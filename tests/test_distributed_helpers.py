@@ -1,4 +1,4 @@
-"""The scale paths (value ranges, salted top-k, bucketed lag, running sums)
+"""The distributed helpers (radix ranks, salted top-k, bucketed lag, running sums)
 forced on small data and compared with brute force."""
 
 import numpy as np
@@ -6,31 +6,34 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.functions.quantiles import exact_quantiles, select_ranks
+from tabloom.functions import quantiles
+from tabloom.functions.quantiles import column_quantiles, exact_quantiles, select_ranks
 from tabloom.functions.ranking import previous_in_order, running_sums, top_k_per_group
 
 
-@pytest.mark.parametrize("rows_per_range,map_max", [(1_000_000, None), (1_000_000, 0), (50, 0)])
-def test_exact_quantiles_match_numpy(spark, rows_per_range, map_max):
+@pytest.mark.parametrize("buckets", [65536, 8])
+def test_exact_quantiles_match_numpy(spark, buckets, monkeypatch):
+    monkeypatch.setattr(quantiles, "_EVEN", quantiles._EVEN.replace("65536", str(buckets))
+                        .replace("65535", str(buckets - 1)))       # few buckets: many passes
     rng = np.random.default_rng(5)
-    a = rng.normal(size=997)
+    a = np.concatenate([rng.normal(size=900), rng.normal(size=40) * 1e-300, rng.normal(size=40) * 1e300, [0.0] * 9])
     b = np.concatenate([np.full(400, 7.0), rng.integers(0, 20, 300).astype(float)])  # hot value
-    rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("a", None)]
+    rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "column STRING, value DOUBLE")
-    got = exact_quantiles(df, [0.0, 0.25, 0.5, 0.9, 1.0], rows_per_range=rows_per_range,
-                          map_max_distinct=map_max)
+    got = exact_quantiles(df, [0.0, 0.25, 0.5, 0.9, 1.0])
     for g, arr in (("a", a), ("b", b)):
         for p in (0.0, 0.25, 0.5, 0.9, 1.0):
             assert got[(g, p)] == pytest.approx(np.quantile(arr, p), rel=1e-12, abs=1e-12)
 
 
 def test_select_ranks_reports_rows_below(spark):
-    vals = [3.0, 1.0, 2.0, 2.0, 5.0]
+    vals = [3.0, 1.0, 2.0, 2.0, 5.0, float("inf"), float("-inf")]
     df = spark.createDataFrame([("g", v) for v in vals], "g STRING, v DOUBLE")
-    got = select_ranks(df, {("g", 0), ("g", 2), ("g", 4)}, rows_per_range=2)
-    assert got[("g", 0)] == (1.0, 0)
-    assert got[("g", 2)] == (2.0, 1)       # second of the two 2.0 rows; one row below 2.0
-    assert got[("g", 4)] == (5.0, 4)
+    got = select_ranks(df, {("g", k) for k in range(7)})
+    assert got[("g", 0)] == (float("-inf"), 0) and got[("g", 6)] == (float("inf"), 6)
+    assert got[("g", 1)] == (1.0, 1)
+    assert got[("g", 3)] == (2.0, 2)       # second of the two 2.0 rows; two rows below 2.0
+    assert got[("g", 5)] == (5.0, 5)
 
 
 def test_top_k_per_group_matches_pandas(spark):
@@ -50,7 +53,7 @@ def test_running_sums_match_cumsum(spark):
     pdf = pd.DataFrame({"p": rng.choice(["a", "b"], 500), "s": rng.normal(size=500),
                         "w": rng.integers(1, 5, 500)})
     pdf = pdf.groupby(["p", "s"], as_index=False)["w"].sum()
-    out = running_sums(spark.createDataFrame(pdf), "s", ["w"], ["p"], n_buckets=8).toPandas()
+    out = running_sums(spark.createDataFrame(pdf), "s", ["w"], ["p"], bucket_rows=60).toPandas()
     out = out.sort_values(["p", "s"])
     want = pdf.sort_values(["p", "s"]).groupby("p")["w"].cumsum() - pdf.sort_values(["p", "s"])["w"]
     assert list(out["cum_w"]) == list(want)
@@ -69,14 +72,12 @@ def test_previous_in_order_matches_lag(spark, width):
         [None if pd.isna(v) else int(v) for v in want]
 
 
-@pytest.mark.parametrize("map_max", [1_000_000, 0])
-def test_column_quantiles_both_paths(spark, map_max):
-    from tabloom.functions.quantiles import column_quantiles
+def test_column_quantiles_skip_missing(spark):
     rng = np.random.default_rng(8)
-    pdf = pd.DataFrame({"a": rng.normal(size=500), "b": rng.integers(0, 9, 500).astype(float)})
+    pdf = pd.DataFrame({"a": rng.normal(size=500), "b": rng.integers(0, 9, 500).astype(float), "c": np.nan})
     pdf.loc[::7, "a"] = np.nan
-    got = column_quantiles(spark.createDataFrame(pdf), ["a", "b"], [0.25, 0.5, 0.75],
-                           map_max_distinct=map_max)
+    got = column_quantiles(spark.createDataFrame(pdf), ["a", "b", "c"], [0.25, 0.5, 0.75])
     for c in ("a", "b"):
         for p in (0.25, 0.5, 0.75):
             assert got[(c, p)] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
+    assert got[("c", 0.5)] is None

@@ -13,13 +13,13 @@ def test_run_experiment_end_to_end(spark):
                          config={"training": {"models": ["logistic_regression"]}})
     assert res.status == "completed", res.errors
     assert [s[0] for s in res.stages] == ["planner", "eda", "cleaning", "feature_engineering",
-                                          "training", "evaluation"]
+                                          "training", "evaluation", "report"]
     board = res.leaderboard.collect()
     assert len(board) == 1 and board[0]["model"] == "logistic_regression"
     assert 0 <= board[0]["accuracy"] <= 1
     assert board[0]["n_train"] + board[0]["n_test"] == df.count()
     assert res.structure.count() == len(df.columns)
-    assert res.timeline(spark).count() == 6
+    assert res.timeline(spark).count() == 7
     assert len(res.selected_features) <= 20
 
 

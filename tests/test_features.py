@@ -3,23 +3,23 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import classification_df, regression_df, to_spark
+from fixtures import greenhouse_beds, ferry_crossings, to_spark
 from tabloom.operators import encode, select
 
 
 def test_constant_column_removed(spark):
-    pdf = classification_df(100)
+    pdf = greenhouse_beds(100)
     pdf["constant"] = 5.0
-    fm = encode.fit_features(to_spark(spark, pdf), "target")
+    fm = encode.fit_features(to_spark(spark, pdf), "pests")
     assert fm.low_variance == ["constant"]
     assert "constant" not in fm.feature_columns
 
 
 def test_threshold_zero_one_hots_everything(spark):
-    fm = encode.fit_features(to_spark(spark, classification_df()), "target", ordinal_threshold=0)
-    assert fm.ordinal == {} and list(fm.one_hot) == ["department"]
+    fm = encode.fit_features(to_spark(spark, greenhouse_beds()), "pests", ordinal_threshold=0)
+    assert fm.ordinal == {} and list(fm.one_hot) == ["house"]
     # three categories, the first in sorted order dropped
-    assert fm.one_hot["department"] == ["ops", "sales"]
+    assert fm.one_hot["house"] == ["dome", "tunnel"]
 
 
 def test_ordinal_codes_sorted_and_unseen_minus_one(spark):
@@ -61,17 +61,17 @@ def test_top_k_selection(spark):
 
 
 def test_mutual_information_matches_numpy(spark):
-    pdf = regression_df()
+    pdf = ferry_crossings()
     df = to_spark(spark, pdf)
     got = {r["feature"]: r["mi"] for r in
-           select.mutual_information(df, ["x1", "x2"], "target", False).collect()}
+           select.mutual_information(df, ["km", "wind"], "minutes", False).collect()}
 
     def binned(x):
         lo, hi = x.min(), x.max()
         return np.minimum(np.floor((x - lo) / (hi - lo) * 32), 31)
 
-    for f in ("x1", "x2"):
-        joint = pd.crosstab(binned(pdf[f]), binned(pdf["target"])).values / len(pdf)
+    for f in ("km", "wind"):
+        joint = pd.crosstab(binned(pdf[f]), binned(pdf["minutes"])).values / len(pdf)
         px, py = joint.sum(1, keepdims=True), joint.sum(0, keepdims=True)
         nz = joint > 0
         mi = (joint[nz] * np.log(joint[nz] / (px @ py)[nz])).sum()

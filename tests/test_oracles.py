@@ -5,7 +5,7 @@ import pytest
 
 from conftest import FAST, SF001
 from __spark_entry__ import oracle_sql, queries
-from tabloom.plans.compare import digest
+from compare import digest
 
 ORACLES = oracle_sql()
 QUERIES = queries()

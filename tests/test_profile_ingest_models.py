@@ -5,17 +5,17 @@ import pandas as pd
 import pytest
 
 from conftest import FAST
-from fixtures import classification_df, regression_df, to_spark
+from fixtures import greenhouse_beds, ferry_crossings, to_spark
 from tabloom.operators import models, profile, runlog
 from tabloom.sources import csv_ingest
 
 
 def test_integer_01_target_is_numeric_and_classification(spark):
-    df = to_spark(spark, classification_df())
+    df = to_spark(spark, greenhouse_beds())
     labels = {r["column"]: r["label"] for r in profile.column_types(df).collect()}
-    assert labels["target"] == "numeric"
-    assert profile.detect_task_type(df, "target") == "classification"
-    assert profile.detect_task_type(to_spark(spark, regression_df()), "target") == "regression"
+    assert labels["pests"] == "numeric"
+    assert profile.detect_task_type(df, "pests") == "classification"
+    assert profile.detect_task_type(to_spark(spark, ferry_crossings()), "minutes") == "regression"
 
 
 def test_correlation_of_constant_is_null(spark):
@@ -96,14 +96,16 @@ def test_model_registry_rules(spark):
 
 @pytest.mark.skipif(FAST, reason="model fits are slow")
 def test_train_all_classification(spark):
-    pdf = classification_df(150)
-    pdf["department"] = pdf["department"].map({"eng": 0.0, "sales": 1.0, "ops": 2.0})
+    pdf = greenhouse_beds(150)
+    pdf["house"] = pdf["house"].map({"annex": 0.0, "dome": 1.0, "tunnel": 2.0})
     df = spark.createDataFrame(pdf.astype(float))
     done, errors = models.train_all(["random_forest", "logistic_regression"], df, df,
-                                    ["age", "salary", "department"], "target", "classification", 2)
+                                    ["moisture", "light", "house"], "pests", "classification", 2)
     assert errors == {} and len(done) == 2
     m = models.metrics_table(done).toPandas()
     assert set(m.model) == {"random_forest", "logistic_regression"}
+    most = max(pdf["pests"].mean(), 1 - pdf["pests"].mean())       # the majority class
+    assert (m[m.metric == "accuracy"].value > most).all()
 
 
 def test_split_categoricals_counts_non_missing(spark):
