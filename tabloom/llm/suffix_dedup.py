@@ -312,8 +312,8 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFr
                 out = [(p, *(np.array([x[c] for x in v], np.int64).tobytes() for c in range(3)),
                         bytes(x[3] for x in v), np.array([len(x[4]) for x in v], np.uint32).tobytes(),
                         b"".join(x[4] for x in v)) for p, v in by_part.items()]
-                if gone:    # settled here: part -1 carries the spans as they are
-                    out.append((-1, b"", *(np.array([x[c] for x in gone], np.int64).tobytes() for c in (0, 1)),
+                if gone:    # settled here: the spans travel as they are, under negative parts
+                    out.append((-1 - int(gone[0][0]) % parts, b"", *(np.array([x[c] for x in gone], np.int64).tobytes() for c in (0, 1)),
                                 b"", np.array([x[2] for x in gone], np.int64).tobytes(), b""))
                 if out:
                     kinds = [pa.int32(), *[pa.binary()] * 6]
