@@ -236,8 +236,9 @@ def detect_task_type(df: DataFrame, target: str) -> str:
 
 
 def structure_report(df: DataFrame) -> DataFrame:
-    """Per column: label, missing count, distinct count and numeric summary
-    (mean, std rounded to 4 decimals; exact median).
+    """Per column: label, missing count, distinct count, numeric summary
+    (mean, std rounded to 4 decimals; exact median), value bytes, and the
+    most frequent values of the non-numeric columns.
 
     Missing counts, distinct counts and moments come from ONE aggregate (Spark rewrites the distinct counts into an
     Expand + two-level aggregation); medians from one more pass.
@@ -261,9 +262,14 @@ def structure_report(df: DataFrame) -> DataFrame:
     stats = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)")
     med = medians(df, numeric) if numeric else \
         df.sparkSession.createDataFrame([], "column STRING, median DOUBLE")
-    return (stats.join(F.broadcast(med), "column", "left")      # one row per column
+    text = [c for c in df.columns if labels[c] != NUMERIC]
+    top = (top_values(df, text) if text else df.sparkSession.createDataFrame([], "column STRING, value STRING, rk INT"))
+    top = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
+                                                lambda t: t["value"]).alias("top"))
+    return (stats.join(F.broadcast(med), "column", "left")      # one row per column in each
+            .join(payload_bytes(df), "column").join(top, "column", "left")
             .selectExpr("column", "label", "n_missing", "n_distinct", "round(mean, 4) AS mean",
-                        "round(std, 4) AS std", "min", "max", "median"))
+                        "round(std, 4) AS std", "min", "max", "median", "n_bytes", "top"))
 
 
 # Fixed widths in bytes of the in-memory value of each type.
@@ -291,22 +297,29 @@ DEFAULT_MODELS = {"classification": ["random_forest", "logistic_regression", "xg
                   "regression": ["random_forest", "linear_regression", "xgboost"]}
 
 
+# The stages a run goes through after planning, in order.
+STEPS = ["eda", "cleaning", "feature_engineering", "training", "evaluation", "report"]
+
+
 def plan_profile(df: DataFrame, target: str, task_type: str | None = None) -> DataFrame:
     """The planner's view of a table, one row: shape, task type, feature
-    counts, gaps and the model list. ``task_type`` overrides detection."""
+    counts and lists, distinct target values, gaps, the models and the steps. ``task_type`` overrides detection."""
     labels = column_labels(df)
     task = task_type or detect_task_type(df, target)
     feats = [c for c in df.columns if c != target]
     m = {r["column"]: (r["n_missing"], r["n_rows"]) for r in missing_counts(df).collect()}
     n_rows = next(iter(m.values()))[1] if m else 0
     high = [c for c, (k, n) in m.items() if n and round(k / n * 100, 2) > HIGH_MISSING_PCT]
-    row = (n_rows, len(df.columns), task, len(feats),
-           sum(labels[c] == NUMERIC for c in feats),
-           sum(labels[c] == "categorical" for c in feats),
-           any(k > 0 for k, _ in m.values()), len(high), DEFAULT_MODELS[task])
+    numeric = [c for c in feats if labels[c] == NUMERIC]
+    text = [c for c in feats if labels[c] == "categorical"]
+    classes = cardinality(df, [target]).first()["n_distinct"]
+    row = (n_rows, len(df.columns), task, len(feats), len(numeric), len(text), numeric, text, classes,
+           any(k > 0 for k, _ in m.values()), len(high), sorted(high), DEFAULT_MODELS[task], STEPS)
     return df.sparkSession.createDataFrame([row], (
-        "n_rows BIGINT, n_cols INT, task_type STRING, n_features INT, n_numeric INT, "
-        "n_categorical INT, has_missing BOOLEAN, n_high_missing INT, models ARRAY<STRING>"))
+        "n_rows BIGINT, n_cols INT, task_type STRING, n_features INT, n_numeric INT, n_categorical INT, "
+        "numeric_features ARRAY<STRING>, categorical_features ARRAY<STRING>, n_target_values BIGINT, "
+        "has_missing BOOLEAN, n_high_missing INT, high_missing ARRAY<STRING>, models ARRAY<STRING>, "
+        "steps ARRAY<STRING>"))
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:

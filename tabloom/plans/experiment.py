@@ -132,7 +132,8 @@ def explore(df: DataFrame, target: str, task: str, id_col: str | None = None) ->
     feats = [c for c in df.columns if c not in (target, id_col)]
     numeric = [c for c in feats if labels[c] == NUMERIC]
     text = [c for c in feats if labels[c] == CATEGORICAL]
-    out = {"structure": profile.structure_report(df), "missing": profile.missing_report(df)}
+    out = {"structure": profile.structure_report(df), "missing": profile.missing_report(df),
+           "bytes": profile.payload_bytes(df)}
     if len(numeric) >= 2:
         out["correlation"] = profile.correlation_matrix(df, numeric)
         out["correlation_triangle"] = chartdata.corr_lower_triangle(df, numeric)

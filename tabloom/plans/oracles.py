@@ -90,15 +90,6 @@ oracle("task_type_detect", union(
      f"OR count(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END AS task_type "
      f"FROM lineitem" for c in LINEITEM_ALL]))
 
-oracle("structure_report", "WITH s AS (" + union(
-    [_numeric_stats("lineitem", c) for c in LINEITEM_NUMERIC]) + "), b AS (" + union(
-    [f"SELECT '{c}' AS \"column\", "
-     f"'{'numeric' if c in LINEITEM_NUMERIC else ('datetime' if c == 'l_shipdate' else 'categorical')}'"
-     f" AS label, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
-     f"count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in LINEITEM_ALL]) + """)
-SELECT b."column", label, n_missing, n_distinct, mean, std, min, max, median
-FROM b LEFT JOIN s ON b."column" = s."column\"""")
-
 _WIDTH = {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4, "l_quantity": 8,
           "l_extendedprice": 8, "l_discount": 8, "l_tax": 8, "l_shipdate": 8}
 oracle("payload_bytes", union(
@@ -108,6 +99,20 @@ oracle("payload_bytes", union(
      for c in LINEITEM_ALL]))
 
 
+oracle("structure_report", "WITH s AS (" + union(
+    [_numeric_stats("lineitem", c) for c in LINEITEM_NUMERIC]) + "), b AS (" + union(
+    [f"SELECT '{c}' AS \"column\", "
+     f"'{'numeric' if c in LINEITEM_NUMERIC else ('datetime' if c == 'l_shipdate' else 'categorical')}'"
+     f" AS label, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
+     f"count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in LINEITEM_ALL]) + "), pb AS (" +
+    ORACLES["payload_bytes"] + "), tp AS (SELECT \"column\", list(value ORDER BY rk) AS top FROM (" +
+    ORACLES["top_values"] + """) GROUP BY 1)
+SELECT b."column", label, n_missing, n_distinct, mean, std, min, max, median, n_bytes, top
+FROM b LEFT JOIN s ON b."column" = s."column" JOIN pb ON b."column" = pb."column"
+LEFT JOIN tp ON b."column" = tp."column"
+""")
+
+
 # ── cleaning ─────────────────────────────────────────────────────────────────
 
 oracle("drop_sparse_columns", DIRTY + "SELECT l_orderkey, l_linenumber, price, flag, target FROM dirty")
@@ -597,17 +602,24 @@ oracle("column_types", "WITH t AS (" + union([_infer_sql(c) for c in _TEXT_COLS]
 SELECT "column", inferred_type, CASE WHEN inferred_type = 'boolean' THEN 'boolean'
   WHEN inferred_type IN ('bigint', 'double') THEN 'numeric' ELSE 'categorical' END AS label FROM t""")
 
-oracle("plan_profile", DIRTY + """
-SELECT count(*) AS n_rows, 6 AS n_cols, 'classification' AS task_type, 5 AS n_features, 4 AS n_numeric,
-  1 AS n_categorical,
-  (count(*) FILTER (WHERE price IS NULL OR flag IS NULL OR sparse IS NULL OR target IS NULL)) > 0
-    AS has_missing,
-  (CASE WHEN round(count(*) FILTER (WHERE sparse IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
-   + CASE WHEN round(count(*) FILTER (WHERE price IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
-   + CASE WHEN round(count(*) FILTER (WHERE flag IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END
-   + CASE WHEN round(count(*) FILTER (WHERE target IS NULL) * 100.0 / count(*), 2) > 50 THEN 1 ELSE 0 END)
-    AS n_high_missing,
-  ['random_forest', 'logistic_regression', 'xgboost'] AS models FROM dirty""")
+_PLAN_TEXT = "list_filter([" + ", ".join(
+    f"CASE WHEN typeof(any_value({c})) {{}} 'VARCHAR' THEN '{c}' END" for c in DIRTY_COLS if c != "target"
+) + "], lambda c: c IS NOT NULL)"
+_PLAN_HIGH = "list_sort(list_filter([" + ", ".join(
+    f"CASE WHEN round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2) > 50 THEN '{c}' END"
+    for c in DIRTY_COLS) + "], lambda c: c IS NOT NULL))"
+oracle("plan_profile", DIRTY + f""",
+p AS (SELECT count(*) AS n_rows, {len(DIRTY_COLS)} AS n_cols,
+  CASE WHEN typeof(any_value(target)) = 'VARCHAR' OR count(DISTINCT target) <= 20 THEN 'classification'
+       ELSE 'regression' END AS task_type,
+  {_PLAN_TEXT.replace("{}", "<>")} AS numeric_features, {_PLAN_TEXT.replace("{}", "=")} AS categorical_features,
+  count(DISTINCT target) AS n_target_values,
+  (count(*) FILTER (WHERE {" OR ".join(f"{c} IS NULL" for c in DIRTY_COLS)})) > 0 AS has_missing,
+  {_PLAN_HIGH} AS high_missing FROM dirty)
+SELECT *, len(numeric_features) + len(categorical_features) AS n_features, len(numeric_features) AS n_numeric,
+  len(categorical_features) AS n_categorical, len(high_missing) AS n_high_missing,
+  ['random_forest', 'logistic_regression', 'xgboost'] AS models,
+  ['eda', 'cleaning', 'feature_engineering', 'training', 'evaluation', 'report'] AS steps FROM p""")
 
 def chain(*ctes: str) -> str:
     """Join several ``WITH a AS (...)`` prefixes into one WITH list."""

@@ -555,7 +555,8 @@ def q_report_sections(spark, sf):
     value = F.format_string("%.4f", "value")
     return report.report_sections([
         report.fields(report.SUMMARY, profile.table_shape(d), ["n_rows", "n_cols"]),
-        report.fields(report.OVERVIEW, plan, [c for c in plan.columns if c != "models"]),
+        report.fields(report.OVERVIEW, plan, ["n_rows", "n_cols", "task_type", "n_features", "n_numeric", "n_categorical",
+                                              "has_missing", "n_high_missing"]),
         report.section(report.QUALITY, profile.missing_report(d), F.col("column"), F.format_string("%.2f", "pct")),
         report.fields(report.CLEANING, q_cleaning_report(spark, sf), [
             "rows_before", "rows_after", "rows_dropped", "duplicates_removed", "target_missing_dropped"]),
