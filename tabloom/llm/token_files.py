@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,28 @@ FILE_ROWS = 1_000_000
 CACHE_WORDS = 300_000     # entries of each word cache of a Python worker
 SCHEMA = "doc_id long, part int, offset long, n_tokens long, tokens array<int>"
 
-# How the tokenizer file splits plain ASCII words after lower-casing.
+# How the tokenizer file splits lower-cased words, and its byte alphabet: printable Latin-1 stands for
+# itself, the other bytes follow from U+0100 on.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Cache:
+    """Two generations of a dictionary: when the newer is full it becomes the older, whose hits move up."""
+
+    def __init__(self, make):
+        self.make, self.new, self.old = make, {}, {}
+
+    def missing(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
 
 
 class WordEncoder:
@@ -37,44 +58,51 @@ class WordEncoder:
     For a tokenizer whose normalizer and pre-tokenizer drop white space and
     never look across it (``word_bpe_49k.json``), the ids of a text are those
     of its white-space-separated words in turn; each word is encoded once.
+    Plain Latin words are split here, all others by the tokenizer's own
+    normalizer and pre-tokenizer; the merges are always the library's.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.words, self.pieces = _Cache(self._word), _Cache(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece))
-            self.pieces[piece] = ids
-        return ids
+        return b"".join([self.ids[t.id] for t in self.merges.tokenize(piece)])
 
     def _word(self, word: bytes) -> bytes:
-        if b"<|" in word:   # may hold an added token
-            ids = self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4, "little") for i in ids)
         text = word.decode(errors="replace")
-        if text.isascii() and text.isprintable():
-            pieces = _ASCII_PIECES.findall(text.lower())
+        plain = text.isascii()
+        # Latin letters: composed already, and lower case does not depend on their neighbours.
+        latin = plain or (max(word) < 0xC9 and b"\xc4\xb0" not in word)
+        body = text.rstrip(".,")
+        if latin and body.isalpha():    # one run of letters, one of signs
+            pieces = [body.lower(), text[len(body):]] if len(body) < len(text) else [body.lower()]
+        elif "<|" in text:              # may hold an added token
+            return b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        elif latin and text.isprintable():
+            pieces = (_ASCII_PIECES if plain else _PIECES).findall(text.lower())
         else:
+            plain = True
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(
                 self.tokenizer.normalizer.normalize_str(text))]
-        return b"".join(map(self._piece, pieces))
+        if not plain:
+            pieces = [p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in pieces]
+        get, cache = self.pieces.new.get, self.pieces
+        return b"".join([get(p) or cache.missing(p) for p in pieces])
 
     def encode(self, text: bytes | None) -> bytes:
-        found = []
-        for word in (text or b"").split():
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                ids = self.words[word] = self._word(word)
-            found.append(ids)
+        cache, found = self.words, []
+        words = (text or b"").split()
+        for lo in range(0, len(words), 10_000):
+            get = cache.new.get
+            part = words[lo:lo + 10_000]
+            ids = list(map(get, part))
+            if None in ids:
+                ids = [x if x is not None else cache.missing(w) for x, w in zip(ids, part)]
+            found += ids
         return b"".join(found)
 
 
