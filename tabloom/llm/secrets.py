@@ -24,7 +24,7 @@ CLASS_EXPANSION = 8     # a character class of at most this many members counts
 CHUNK = 512             # positions are summed up in chunks of this many matches
 
 # Private-use marks put around matches; in texts they are replaced one for one.
-OPEN, CLOSE, MID, OTHER = "", "", "", "�"
+OPEN, CLOSE, MID, OTHER = "\ue000", "\ue001", "\ue002", "\ufffd"
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,10 @@ class Rule:
 BASE = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""",
          6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    # Runs at their least length: a longest run is left alone exactly if it is too short, and marking
+    # every shorter run would mark most words.
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 ]
 MORE = [
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
@@ -89,9 +91,10 @@ def trigram_query(regex: str) -> list[list[str]] | None:
 
 def trigram_postings(docs: DataFrame, grams: list[str], id_col: str, text_col: str) -> DataFrame:
     """(gram, id): one posting for each of ``grams`` that a document's folded text holds."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(F.col(id_col).alias("id"), F.explode(held).alias("gram"))
+    # The folded text is a column of its own: it is made once, not once for each gram.
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])
+    return low.select("id", F.explode(held).alias("gram")).filter("gram is not null")
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
