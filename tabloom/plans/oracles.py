@@ -537,7 +537,7 @@ WHERE dataset_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""
 oracle("dataset_latest", """
 WITH p AS (SELECT CAST(user_id % 25 AS INTEGER) AS dataset_id, event_id AS version,
   CASE WHEN value > 50 THEN 'ds_' || event_id END AS name,
-  CASE WHEN value <= 80 THEN props END AS description FROM events WHERE event_type = 'view')
+  CASE WHEN value <= 80 THEN props END AS description FROM events)
 SELECT dataset_id, arg_max(name, version) FILTER (WHERE name IS NOT NULL) AS name,
   arg_max(description, version) FILTER (WHERE description IS NOT NULL) AS description,
   max(version) AS version FROM p GROUP BY dataset_id""")
@@ -661,3 +661,12 @@ FROM parts""")
 oracle("train_linreg", ORDER_FEATURES + """
 SELECT round(regr_slope(o_totalprice, sum_qty), 4) AS slope,
   round(regr_intercept(o_totalprice, sum_qty), 4) AS intercept FROM of WHERE sum_qty IS NOT NULL""")
+
+# Two-feature least squares by the normal equations; orders without lines count as 0 lines.
+oracle("train_linreg_two", ORDER_FEATURES.rstrip().rstrip(",") + """,
+d AS (SELECT coalesce(n_lines, 0)::DOUBLE AS a, c_acctbal AS b, o_totalprice / 1000.0 AS y FROM of),
+s AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb,
+             avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM d),
+w AS (SELECT (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb, ma, mb, my
+      FROM s)
+SELECT round(my - wa * ma - wb * mb, 4) AS intercept, round(wa, 4) AS w_lines, round(wb, 6) AS w_balance FROM w""")

@@ -647,3 +647,13 @@ def q_train_linreg(spark, sf):
     """OLS of an order's total on its line quantity (one feature)."""
     of = order_features(spark, sf).where(F.col("sum_qty").isNotNull())
     return round_floats(models.linear_fit(of, "sum_qty", "o_totalprice"))
+
+
+@register("train_linreg_two")
+def q_train_linreg_two(spark, sf):
+    """OLS of every order's total (in thousands) on its number of lines and its customer's balance."""
+    of = order_features(spark, sf).select(F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "c_acctbal",
+                                          (F.col("o_totalprice") / 1000.0).alias("total"))
+    m = models.train_ols(of, ["n_lines", "c_acctbal"], "total")
+    row = (round(float(m.intercept), 4), round(float(m.coefficients[0]), 4), round(float(m.coefficients[1]), 6))
+    return spark.createDataFrame([row], "intercept DOUBLE, w_lines DOUBLE, w_balance DOUBLE")

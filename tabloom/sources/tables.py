@@ -140,9 +140,9 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial updates of dataset name / description taken from ``view`` events:
+    """Partial updates of dataset name / description, one per event:
     ``(dataset_id, version, name, description)`` with NULL = field not given."""
-    e = load(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    e = load(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 25).cast("int").alias("dataset_id"),
                     F.col("event_id").alias("version"),
                     F.when(F.col("value") > 50, F.concat(F.lit("ds_"), F.col("event_id")))
