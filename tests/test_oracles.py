@@ -6,13 +6,17 @@ import pytest
 from conftest import FAST, SF001
 from __spark_entry__ import oracle_sql, queries
 from compare import digest
+from tabloom.plans.oracles import ORACLES
+from tabloom.plans.queries import QUERIES
 
-ORACLES = oracle_sql()
-QUERIES = queries()
 SLOW = {"train_rf_classifier", "train_rf_regressor", "train_logreg", "train_gbt_classifier",
         "train_gbt_regressor", "train_one", "train_all", "score_holdout"}
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
 def test_every_query_has_oracle_or_is_model():
     missing = set(QUERIES) - set(ORACLES)
     assert missing <= SLOW, missing
