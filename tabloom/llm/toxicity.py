@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,7 @@ SAMPLE_ROWS = 20_000    # labelled rows to learn from, at most about this many
 MIN_G2 = 30.0           # log-likelihood ratio that a term needs
 MIN_RATIO = 4.0         # how much commoner a term is in toxic texts than in others
 LENGTH_POWER = 0.5
+AROUND = 8              # words on either side that tell one passage from another
 BINS = 256
 HOLD_OUT = 5            # rows with crc32(id) mod 5 = 0 are never learned from
 
@@ -152,6 +155,25 @@ def _g2(t: int, c: int, pos: int, neg: int) -> float:
     return 2 * (part(t, pos, t / pos) + part(c, neg, c / neg) - part(t, pos, p) - part(c, neg, p))
 
 
+def word_places(text: str) -> tuple[list[str], np.ndarray]:
+    """The words of a text, and for each a hash of the words around one use of it: of its uses, the smallest."""
+    words = folded_words(text)
+    codes = np.zeros(len(words) + 2 * AROUND, np.uint64)
+    codes[AROUND:AROUND + len(words)] = [zlib.crc32(w.encode()) + 1 for w in words]
+    place = np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(2 * AROUND + 1):
+            place = place * np.uint64(0x9E3779B97F4A7C15) + codes[j:j + len(words)]
+            place ^= place >> np.uint64(29)
+        place *= np.uint64(0xC2B2AE3D27D4EB4F)
+        place ^= place >> np.uint64(32)
+    index: dict[str, int] = {}
+    which = [index.setdefault(w, len(index)) for w in words]
+    least = np.full(len(index), np.iinfo(np.uint64).max)
+    np.minimum.at(least, which, place)
+    return list(index), least.view(np.int64)
+
+
 class Model:
     """Lexicon with weights, exception phrases, and the calibrated score of each bin."""
 
@@ -182,10 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Learn a ``Model`` from the labelled rows outside the held-out fold.
 
-    A term is kept if it is much commoner in toxic texts (G2 and ratio) and
-    occurs in as many different surroundings as documents, which words of
-    repeated passages do not. With no label, or one class only, the lexicon
-    is empty and the score is the share of positives.
+    A term is kept if it is much commoner in toxic texts (G2 and ratio).
+    In both classes a word counts once per document and once per passage, so
+    a passage that many documents repeat gives its words one count, not none.
+    With no label, or one class only, the lexicon is
+    empty and the score is the share of positives.
     """
     sample = stage(labelled_sample(docs, labels, id_col, text_col, label_col, rows), "toxic-sample")
     counts = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
@@ -194,15 +217,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not pos or not neg:
         return Model({}, [], [base] * BINS)
 
-    distinct = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
-    seen = map_texts(sample, "text", ["label"], lambda: lambda texts: (
-        [sorted(set(folded_words(_decode(t)))) for t in texts],), distinct)
-    df = (seen.select("row.label", F.explode("res.words").alias("word")).groupBy("word")
-          .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")))
+    known = T.StructType([T.StructField("words", T.ArrayType(T.StringType())),
+                          T.StructField("places", T.ArrayType(T.LongType()))])
+    seen = map_texts(sample, "text", ["label"], lambda: lambda texts: tuple(
+        zip(*(word_places(_decode(t)) for t in texts))), known)
+    df = stage(seen.select("row.label", F.explode(F.arrays_zip("res.words", "res.places")).alias("u"))
+               .select("label", F.col("u.words").alias("word"), F.col("u.places").alias("place")).distinct()
+               .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "toxic-words")
     ratio = (F.col("t") + 0.5) / pos / ((F.col("c") + 0.5) / neg)
     found = {r["word"]: (r["t"], r["c"]) for r in
              df.filter((ratio >= MIN_RATIO) & (F.col("t") >= 4)).collect()
              if _g2(r["t"], r["c"], pos, neg) >= MIN_G2}
+    terms = {w: math.log((t + 0.5) / (pos + 1)) - math.log((c + 0.5) / (neg + 1)) for w, (t, c) in found.items()}
 
     around = T.StructType([T.StructField("uses", T.ArrayType(T.StructType([
         T.StructField("word", T.StringType()), T.StructField("left", T.StringType()),
@@ -211,20 +237,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def uses(text):
         w = ["", *folded_words(_decode(text)), ""]
         return [{"word": x, "left": a, "right": b} for x, a, b in
-                {(w[k], w[k - 1], w[k + 1]) for k in range(1, len(w) - 1) if w[k] in found}]
+                {(w[k], w[k - 1], w[k + 1]) for k in range(1, len(w) - 1) if w[k] in terms}]
     ctx = stage(map_texts(sample, "text", ["label"], lambda: lambda texts: ([uses(t) for t in texts],), around)
                 .select("row.label", F.explode("res.uses").alias("u")).select("label", "u.*"), "toxic-uses")
-    places = {r[0]: r[1] for r in ctx.filter("label = 1").select("word", "left", "right").distinct()
-              .groupBy("word").count().collect()}
-    terms = {w: math.log((t + 0.5) / (pos + 1)) - math.log((c + 0.5) / (neg + 1)) for w, (t, c) in found.items()
-             if places.get(w, 0) >= 0.8 * t and _g2(min(t, places[w]), c, pos, neg) >= MIN_G2}
 
     # Exception phrases: a term with one neighbour, seen in several clean texts and hardly in toxic ones.
     pairs = (ctx.select("label", "word", F.concat_ws(" ", "left", "word").alias("p")).filter("left <> ''")
              .union(ctx.select("label", "word", F.concat_ws(" ", "word", "right")).filter("right <> ''")))
     excused = pairs.groupBy("word", "p").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    exceptions = [r["p"] for r in excused.filter((F.col("c") >= 4) & (F.col("c") >= 9 * F.col("t")))
-                  .collect() if r["word"] in terms]
+    exceptions = [r["p"] for r in excused.filter((F.col("c") >= 4) & (F.col("c") >= 9 * F.col("t"))).collect()]
 
     held = T.StructType([T.StructField("bin", T.IntegerType())])
 

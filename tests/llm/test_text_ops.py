@@ -144,6 +144,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.count() == docs.count()
 
 
+ABUSE = ["you are a filthy vermin and nobody wants you here", "what a wretched swine you must be today",
+         "crawl back to your hole you wretched filthy vermin"]
+
+
+def toxic_plants():
+    """Clean texts, 120 of them with one of three set abusive sentences, and a clean passage repeated in toxic copies."""
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("bcdfgaeiou"), 6)) for _ in range(3000)] + "you are a and to be what your".split()
+    text = [list(rng.choice(vocab, 60)) for _ in range(900)]
+    rows = [(k, " ".join([*w[:30], ABUSE[k % 3], *w[30:]]) if k < 120 else " ".join(w), int(k < 120))
+            for k, w in enumerate(text)]
+    # Near copies of one post: the passage says the same in all, and only its end differs.
+    passage = " ".join(f"calm{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    return rows + [(1000 + k, f"{passage} {k}x filthy vermin", 1) for k in range(40)]
+
+
+def test_toxicity_learns_set_phrases(spark):
+    rows = toxic_plants()
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    score = toxicity.fit(docs, labels).scorer()
+    assert all(score(w) >= 0.5 for w in ("filthy", "vermin", "wretched", "swine"))
+    assert all(score(t) >= 0.5 for k, t, y in rows if y and k < 1000)
+    assert sum(score(t) >= 0.5 for _, t, y in rows if not y) == 0
+    assert all(score(f"calm{c}") < 0.5 for c in "abcdefghijklm")    # one passage, however often copied
+
+
 def test_toxicity_edges(spark, docs, clashing, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1), (2, 1, None)], none.schema)
