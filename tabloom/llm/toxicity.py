@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tabloom.llm.shared import bounded, fold, map_texts, stage
 
 SAMPLE_ROWS = 20_000    # labelled rows to learn from, at most about this many
-MIN_G2 = 30.0           # log-likelihood ratio that a term needs
+MAX_FDR = 0.01          # share of chance finds allowed among the terms
 MIN_RATIO = 4.0         # how much commoner a term is in toxic texts than in others
 LENGTH_POWER = 0.5
 AROUND = 8              # words on either side that tell one passage from another
@@ -145,14 +145,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             .agg(F.first("text").alias("text"), F.max("label").cast("int").alias("label")).select("text", "label"))
 
 
-def _g2(t: int, c: int, pos: int, neg: int) -> float:
-    """Log-likelihood ratio of t of pos against c of neg documents."""
-    def part(k, n, p):
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
-    p = (t + c) / (pos + neg)
-    if not 0 < p < 1:
-        return 0.0
-    return 2 * (part(t, pos, t / pos) + part(c, neg, c / neg) - part(t, pos, p) - part(c, neg, p))
+def _tail(t: int, n: int, p: float) -> float:
+    """Chance of at least t positives among n documents if each is one with probability p."""
+    if t <= 0:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(t + 1) - math.lgamma(n - t + 1)
+                    + t * math.log(p) + (n - t) * math.log1p(-p))
+    total = 0.0
+    for k in range(t, n + 1):
+        total += term
+        if term < total * 1e-12:
+            break
+        term *= (n - k) / (k + 1) * p / (1 - p)
+    return min(1.0, total)
+
+
+def _beyond_chance(found: dict[str, tuple[int, int]], tested: int, pos: int, neg: int) -> dict[str, tuple[int, int]]:
+    """Words whose counts differ beyond chance, by Benjamini and Hochberg over the ``tested`` words."""
+    chance = sorted((_tail(t, t + c, pos / (pos + neg)), w) for w, (t, c) in found.items())
+    keep = max((k for k, (p, _) in enumerate(chance, 1) if p <= MAX_FDR * k / tested), default=0)
+    return {w: found[w] for _, w in chance[:keep]}
 
 
 def word_places(text: str) -> tuple[list[str], np.ndarray]:
@@ -204,10 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Learn a ``Model`` from the labelled rows outside the held-out fold.
 
-    A term is kept if it is much commoner in toxic texts (G2 and ratio).
-    In both classes a word counts once per document and once per passage, so
-    a passage that many documents repeat gives its words one count, not none.
-    With no label, or one class only, the lexicon is
+    A term is kept if it is much commoner in toxic texts (ratio), beyond
+    chance (``MAX_FDR``). In both classes a word counts once per document and
+    once per passage, so a passage that many documents repeat gives its words
+    one count, not none. With no label, or one class only, the lexicon is
     empty and the score is the share of positives.
     """
     sample = stage(labelled_sample(docs, labels, id_col, text_col, label_col, rows), "toxic-sample")
@@ -225,9 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                .select("label", F.col("u.words").alias("word"), F.col("u.places").alias("place")).distinct()
                .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "toxic-words")
     ratio = (F.col("t") + 0.5) / pos / ((F.col("c") + 0.5) / neg)
-    found = {r["word"]: (r["t"], r["c"]) for r in
-             df.filter((ratio >= MIN_RATIO) & (F.col("t") >= 4)).collect()
-             if _g2(r["t"], r["c"], pos, neg) >= MIN_G2}
+    found = _beyond_chance({r["word"]: (r["t"], r["c"]) for r in
+                            df.filter((ratio >= MIN_RATIO) & (F.col("t") >= 2)).collect()}, df.count(), pos, neg)
     terms = {w: math.log((t + 0.5) / (pos + 1)) - math.log((c + 0.5) / (neg + 1)) for w, (t, c) in found.items()}
 
     around = T.StructType([T.StructField("uses", T.ArrayType(T.StructType([

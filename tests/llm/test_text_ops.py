@@ -144,6 +144,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.count() == docs.count()
 
 
+def test_toxicity_recall_of_each_language(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "lang")
+    both = toxicity.op8_toxicity(spark, SF1).filter("held_out").join(
+        spark.read.parquet(f"{SF1}/labels.parquet"), "doc_id").join(docs, "doc_id")
+    found = {(r.lang, r.toxic): (r.hit, r.n) for r in both.groupBy("lang", "toxic").agg(
+        F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()}
+    for lang in ("en", "de", "fr", "es"):
+        hit, n = found[lang, 1]
+        assert hit >= 0.5 * n, lang
+        hit, n = found[lang, 0]
+        assert hit <= 0.02 * n, lang
+
+
 ABUSE = ["you are a filthy vermin and nobody wants you here", "what a wretched swine you must be today",
          "crawl back to your hole you wretched filthy vermin"]
 
