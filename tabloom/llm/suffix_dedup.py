@@ -14,6 +14,11 @@ document with a smaller id. Only suffixes that can repeat are sorted:
    bytes through ``depth`` bytes; a suffix that is alone drops out, and the
    groups left after the last pass are exactly the repeated windows.
 
+An anchor of very many runs, such as a line in a third of the documents, is
+not held whole: heavy anchors are found in a sample of the texts, taken as
+shared without meeting, and their runs are cut into single windows, which
+meet by the hash of the window.
+
 Within a task, equal runs are settled at once and only that of the smallest
 id goes on, so a passage that any number of documents share gives one record
 per task slice. Records travel packed, many to a row.
@@ -22,6 +27,7 @@ per task slice. Records travel packed, many to a row.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,6 +40,8 @@ GRAM = 24                   # bytes of an anchor
 PIECE = 1 << 20             # window starts of a long text handled at once
 SLICE = 2 << 20             # text bytes handled at once
 PART_BYTES = 32 << 20       # text bytes per part of the anchor and suffix shuffles
+HEAVY_RUNS = 1 << 15        # runs of an anchor from which its windows are dealt one by one
+SAMPLE = 64                 # one text in this many is counted to find those anchors
 NO_ID = (1 << 63) - 1       # a null id counts as the largest
 
 
@@ -123,7 +131,29 @@ def _name(h: np.ndarray, parts: int) -> np.ndarray:
     return (_part(h, parts) << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFrame:
+def _heavy_anchors(texts: DataFrame, parts: int, depth: int, gram: int, least: int, share: int):
+    """(sorted names, parts for their windows) of the anchors with about ``least`` runs or more.
+
+    Counted over one distinct text in ``share``. A name missed or taken in
+    error changes where windows meet, never what is found.
+    """
+    def count(batches):
+        import pyarrow as pa
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for _, (_, _, _, h), rows, _ in _slices(batch, 0, depth, gram):
+                both, n = np.unique(np.stack([rows, _name(h, parts)], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[both[:, 0]]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))],
+                    names=["key", "name", "n"])
+    found = (texts.filter(F.pmod("key", F.lit(share)) == 0).mapInArrow(count, "key long, name long, n long")
+             .groupBy("key", "name").agg(F.max("n").alias("n")).groupBy("name").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") * share >= least).collect())
+    size = sum(r["n"] for r in found) * share * (depth - gram + 1) * 2 * depth
+    return np.array(sorted(r["name"] for r in found), np.int64), max(1, -(-size // PART_BYTES))
+
+
+def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray) -> DataFrame:
     """(key, names): per text (key = its 64-bit hash) the anchors that occur in another text too."""
     def note(batches):
         import pyarrow as pa
@@ -131,10 +161,18 @@ def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int) -> Data
             keys = batch.column(1).to_numpy()
             for _, (_, _, _, h), rows, _ in _slices(batch, 0, depth, gram):
                 both = np.unique(np.stack([_name(h, parts), keys[rows]], 1), axis=0)
+                known = np.isin(both[:, 0], heavy)
+                sure, both = both[known], both[~known]
                 part = both[:, 0] >> 32
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[cut[1:], len(part)]
+                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+                ends = np.r_[cut[1:], len(part)][:len(cut)]
                 out = [[], [], [], []]
+                to = sure[:, 1] % parts         # heavy anchors need not meet: by text, under negative parts
+                for q in np.unique(to):
+                    out[0].append(-1 - int(q))
+                    out[1].append(sure[to == q, 0].tobytes())
+                    out[2].append(sure[to == q, 1].tobytes())
+                    out[3].append(b"")
                 for a, b in zip(cut, ends):
                     by = np.argsort(both[a:b, 1], kind="stable")
                     names, docs = both[a:b][by].T
@@ -148,6 +186,10 @@ def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int) -> Data
                     names=["part", "names", "keys", "counts"])
 
     def meet(part, rows):
+        if part < 0:
+            names, keys = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], [names[order]]
         names = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
         keys = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.uint32))
                                for r in rows])
@@ -281,8 +323,11 @@ def _repeats(rows, depth: int, gram: int):
     return name[order], [start[order], end[order]]
 
 
-def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFrame:
-    """(name, starts, ends) of removals; ``texts`` has text, id, name and the names of shared anchors."""
+def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int) -> DataFrame:
+    """Packed runs by part; windows of ``heavy`` anchors one by one, over ``more`` parts of their own.
+
+    ``texts`` has text, id, name and the names of shared anchors.
+    """
     def send(batches):
         import pyarrow as pa
         for batch in batches:
@@ -300,6 +345,8 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFr
                     same.setdefault((c - a, data[a:b + depth]), []).append(r)
                 by_part: dict[int, list] = {}
                 part = _part(h, parts)
+                wide = np.isin(_name(h, parts), heavy)
+                single: dict[bytes, list] = {}
                 gone = []
                 for (off, run), records in same.items():
                     least = min(ids[rows[r]] for r in records)
@@ -307,8 +354,19 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFr
                         row = rows[r]
                         if ids[row] > least:
                             gone.append((names[row], place[r], place[r] + len(run)))
+                        elif wide[r]:
+                            for k in range(len(run) - depth + 1):
+                                single.setdefault(run[k:k + depth], []).append(
+                                    (ids[row], names[row], place[r] + k, off - k))
                         else:
                             by_part.setdefault(int(part[r]), []).append((ids[row], names[row], place[r], off, run))
+                for window, records in single.items():
+                    least = min(x[0] for x in records)
+                    for x in records:
+                        if x[0] > least:
+                            gone.append((x[1], x[2], x[2] + depth))
+                        else:
+                            by_part.setdefault(parts + zlib.crc32(window) % more, []).append((*x, window))
                 out = [(p, *(np.array([x[c] for x in v], np.int64).tobytes() for c in range(3)),
                         bytes(x[3] for x in v), np.array([len(x[4]) for x in v], np.uint32).tobytes(),
                         b"".join(x[4] for x in v)) for p, v in by_part.items()]
@@ -321,6 +379,12 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFr
                         [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                         names=["part", "ids", "names", "places", "offsets", "lengths", "data"])
 
+    return texts.mapInArrow(send, "part int, ids binary, names binary, places binary, offsets binary, "
+                                  "lengths binary, data binary")
+
+
+def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int) -> DataFrame:
+    """(name, starts, ends) of removals; ``texts`` as for ``_packed_runs``."""
     def meet(part, rows):
         if part >= 0:
             return _repeats(rows, depth, gram)
@@ -328,9 +392,8 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int) -> DataFr
         order = np.argsort(name, kind="stable")
         return name[order], [start[order], end[order]]
 
-    rows = texts.mapInArrow(send, "part int, ids binary, names binary, places binary, offsets binary, "
-                                  "lengths binary, data binary")
-    return _by_part(rows, parts, meet, "name long, starts array<bigint>, ends array<bigint>")
+    rows = _packed_runs(texts, parts, depth, gram, heavy, more)
+    return _by_part(rows, parts + (more if len(heavy) else 0), meet, "name long, starts array<bigint>, ends array<bigint>")
 
 
 def merged(starts, ends) -> list[tuple[int, int]]:
@@ -370,7 +433,8 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
-                   gram: int = GRAM, with_text: bool = False) -> DataFrame:
+                   gram: int = GRAM, with_text: bool = False, heavy_runs: int = HEAVY_RUNS,
+                   sample: int = SAMPLE) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes), kept (if asked).
 
     A null text is empty; a text shorter than ``depth`` loses nothing. A null
@@ -389,11 +453,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = stage(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.first("key").alias("key"))
                  .withColumn("name", F.monotonically_increasing_id()), "suffix-reps")
 
-    shared = _shared_anchors(src.select("text", F.xxhash64("text").alias("key")), parts, depth, gram)
+    keyed = src.select("text", F.xxhash64("text").alias("key"))
+    heavy, more = _heavy_anchors(keyed, parts, depth, gram, heavy_runs, sample)
+    shared = _shared_anchors(keyed, parts, depth, gram, heavy)
     wanted = stage(reps.join(shared, "key").select("sha", F.col("rep").alias("id"), "name", "names"), "suffix-wanted")
     sha = F.sha2("text", 256)
     held = src.select("id", sha.alias("sha"), "text").join(wanted, ["id", "sha"]).select("text", "id", "name", "names")
-    spans = stage(_suffix_spans(held, parts, depth, gram).groupBy("name").agg(
+    spans = stage(_suffix_spans(held, parts, depth, gram, heavy, more).groupBy("name").agg(
         F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "suffix-spans")
     cut = stage(spans.join(reps, "name").select("sha", F.col("rep").alias("id"), "name", "starts", "ends"), "suffix-cut")
     outcome = stage(_cut(src.select("id", sha.alias("sha"), "text").join(cut, ["id", "sha"])

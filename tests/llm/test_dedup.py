@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from llm.brute import brute_components
 
+from tabloom.llm import suffix_dedup
 from tabloom.llm.bk_tree import Forest, build
 from tabloom.llm.components import components
 from tabloom.llm.exact_dedup import exact_dedup
@@ -124,6 +125,37 @@ def test_suffix_dedup_periodic_and_edges(spark, clashing, empty, rows):
     assert remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_heavy_anchors(spark, docs, rows):
+    cols = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for least in (2, 15):
+        got = remove_repeats(docs, heavy_runs=least, sample=1).select(*cols).collect()
+        assert Counter(map(tuple, got)) == brute_repeats(rows, 50)
+    more = [(1, "ab" * 200), (2, "x" + "ab" * 90), (4, "a" * 50), (5, "a" * 500), (6, "zz" + "ab" * 30 + "a" * 60)]
+    df = spark.createDataFrame(more, "doc_id long, text string")
+    got = remove_repeats(df, heavy_runs=2, sample=1).select(*cols).collect()
+    assert Counter(map(tuple, got)) == brute_repeats(more, 50)
+
+
+def test_suffix_dedup_deals_a_common_line(spark):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    line = "All rights reserved by the owner."
+    text = [bytes(rng.choice(letters, 60)).decode() + line + bytes(rng.choice(letters, 60)).decode() for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    src = docs.selectExpr("cast(text as binary) text", "doc_id id", "doc_id name", "xxhash64(text) key")
+    heavy, more = suffix_dedup._heavy_anchors(src.select("text", "key"), 8, 50, 24, 200, 4)
+    shared = suffix_dedup._shared_anchors(src.select("text", "key"), 8, 50, 24, heavy)
+    held = src.join(shared, "key").select("text", "id", "name", "names")
+    size = Counter()
+    for r in suffix_dedup._packed_runs(held, 8, 50, 24, heavy, 8).filter("part >= 0").collect():
+        size[r["part"]] += len(r["data"])
+    assert len(heavy) and max(size.values()) < 0.25 * sum(size.values())
+    cols = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = list(enumerate(text))
+    got = remove_repeats(docs, heavy_runs=200, sample=4).select(*cols).collect()
+    assert Counter(map(tuple, got)) == brute_repeats(rows, 50)
+
+
 def test_runs_and_radix_groups():
     rng = np.random.default_rng(5)
     text = bytes(rng.integers(97, 99, 600, dtype=np.uint8)) * 2
