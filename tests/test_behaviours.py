@@ -201,3 +201,28 @@ def test_regressors_beat_the_mean(spark):
         "models": ["random_forest", "linear_regression"], "forest_depth": 8}})
     assert res.errors == []
     assert all(r["r2"] > 0.5 for r in res.leaderboard.collect())
+
+
+def test_forest_keys_fit_at_the_default_depth(monkeypatch):
+    import inspect
+
+    from tabloom.operators import models
+    from tabloom.plans import queries
+
+    bind, seen = inspect.signature(models.train_model).bind, []
+
+    class Done(Exception):
+        pass
+
+    def record(*args, **kw):
+        call = bind(*args, **kw)
+        call.apply_defaults()
+        seen.append(call.arguments["depth"])
+        raise Done
+
+    monkeypatch.setattr(queries, "_model_data", lambda *_: (None, None, [], 2))
+    monkeypatch.setattr(models, "train_model", record)
+    for key in (queries.q_train_rf_classifier, queries.q_train_rf_regressor):
+        with pytest.raises(Done):
+            key(None, "")
+    assert seen == [models.FOREST_DEPTH] * 2
