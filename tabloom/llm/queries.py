@@ -6,6 +6,7 @@ from tabloom.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tabloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tabloom.llm.langid import op10_langid
 from tabloom.llm.mixing import op4_mixing
+from tabloom.llm.quality import OP13_SQL, op13_quality
 from tabloom.llm.secrets import op7_secrets
 from tabloom.llm.simhash import op1_simhash
 from tabloom.llm.suffix_dedup import op5_suffix_dedup
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op13_quality": op13_quality,
 }
 
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op13_quality": OP13_SQL,
 }
