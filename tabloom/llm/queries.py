@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabloom.llm.collocations import OP12_SQL, op12_collocations
 from tabloom.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tabloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tabloom.llm.langid import op10_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op12_collocations": op12_collocations,
     "op13_quality": op13_quality,
 }
 
@@ -32,5 +34,6 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_quality": OP13_SQL,
 }
