@@ -14,6 +14,7 @@ from tabloom.llm.suffix_dedup import op5_suffix_dedup
 from tabloom.llm.token_files import op2_token_files
 from tabloom.llm.toxicity import op8_toxicity
 from tabloom.llm.warc import OP9_SQL, op9_warc
+from tabloom.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op11_whitening": op11_whitening,
     "op12_collocations": op12_collocations,
     "op13_quality": op13_quality,
 }
