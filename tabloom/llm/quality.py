@@ -92,7 +92,9 @@ def measure_texts(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     new = F.transform("places", lambda p, i: F.coalesce(F.least(p - F.get(F.col("places"), i - 1), F.lit(window)),
                                                         F.lit(window)))
     df = df.withColumn("n_repeat_words", F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.select("row", *[F.col(c).cast("long") for c in MEASURES])
+    # A generator of one row: filters on the measures stay above it, instead of being pushed down as copies of them.
+    out = df.select("row", *[F.col(c).cast("long") for c in MEASURES])
+    return out.select("row", F.inline(F.array(F.struct(*MEASURES))))
 
 
 def broken(rules: list[Rule]) -> Column:
