@@ -130,12 +130,12 @@ def walk_trees(trees: DataFrame, radius: int) -> DataFrame:
 
     The queries of a tree are its own nodes and those of the shard's later trees.
     """
-    size = trees.agg(F.count("*"), F.sum(F.size("fps"))).first()
+    copies = F.col("n_trees") - F.col("tree")       # a tree is sent once for each block that walks it
+    rows, nodes = trees.agg(F.sum(copies), F.sum(F.size("fps") * copies)).first()
     spread = trees.select("shard", "bits", F.explode(F.sequence("tree", F.col("n_trees") - 1)).alias("block"),
                           "fps", "parents", "edges")
     queries = trees.select("shard", "bits", F.col("tree").alias("block"), F.col("fps").alias("queries"))
-    row_bytes = 160 + 16 * ((size[1] or 0) // max(size[0], 1))
-    pairs = queries.join(bounded(spread, size[0], row_bytes), ["shard", "bits", "block"]).select(
+    pairs = queries.join(bounded(spread, 1, 160 * (rows or 0) + 16 * (nodes or 0)), ["shard", "bits", "block"]).select(
         "fps", "parents", "edges", "queries")
 
     def walk(batches):
@@ -153,6 +153,15 @@ def walk_trees(trees: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(walk, "a long, b long")
 
 
+def _members(rows: DataFrame, radius: int, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(fp, low, root) per distinct fingerprint: the smallest id that has it, and its component."""
+    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
+    trees = stage(shard_trees(nodes, radius, tree_nodes), "simhash-trees")
+    roots = components(walk_trees(trees, radius))
+    return stage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-members")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE_WORDS, radius: int = MAX_BITS,
                        tree_nodes: int = TREE_NODES) -> DataFrame:
@@ -163,11 +172,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     only has component_id NULL. Repeated rows each get their row.
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    trees = stage(shard_trees(nodes, radius, tree_nodes), "simhash-trees")
-    roots = components(walk_trees(trees, radius))
-    member = stage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    member = _members(rows, radius, tree_nodes)
     low = stage(member.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-low")
     ids = stage(member.join(low, "root").select("fp", "component_id"), "simhash-ids")
     return rows.join(ids, "fp").select("id", "fp", "component_id")
@@ -177,13 +182,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE_WORDS, radius: int = MAX_BITS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest id.
 
-    Of rows repeated with that id one stays. Rows without an id cannot be
-    told apart from each other by a decision and all stay.
+    Null ids come last and count like any other. Rows that share an id are
+    told apart by their texts: of several in one component the smallest by
+    the SHA-256 of its text stays, and of rows equal in id and text any one.
     """
-    found = simhash_components(docs, id_col, text_col, shingle, radius)
-    stay = found.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    known = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sha.alias("sha"))
+    kind = T.StructType([T.StructField("fp", T.LongType())])
+    rows = stage(map_texts(src, "text", ["id", "sha"], lambda: lambda texts: (
+        np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64),), kind).select("row.*", "res.fp"),
+        "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha"))
+    best = rows.join(_members(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("x"))
+    stay = stage(best.select(F.col("x.id").alias("stay"), F.col("x.sha").alias("sha")), "simhash-stay")
+    twice = rows.groupBy("id", "sha").count().filter("count > 1").select(F.col("id").alias("stay"), "sha")
+    twice = stage(stay.join(twice, stay["stay"].eqNullSafe(twice["stay"]) & (stay["sha"] == twice["sha"]), "left_semi"),
+                  "simhash-twice")
+
+    def among(df: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
+        side = bounded(keys, n, 112)
+        return df.join(side, df["row"][id_col].eqNullSafe(side["stay"]) & (df["text_sha"] == side["sha"]), how)
+    n_twice = twice.count()
+    kept = among(docs.select(F.struct("*").alias("row"), sha.alias("text_sha")), stay, stay.count(), "left_semi")
+    if n_twice:     # only rows equal in id and text are shuffled whole
+        one = (among(kept, twice, n_twice, "left_semi").groupBy(F.col("row").getField(id_col), "text_sha")
+               .agg(F.first("row").alias("row")).select("row"))
+        kept = among(kept, twice, n_twice, "left_anti").select("row").unionByName(one)
+    return kept.select("row.*")
 
 
 def hex_fp(col: str = "fp"):
