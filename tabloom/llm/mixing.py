@@ -26,6 +26,7 @@ BLOCK_TOKENS = 1_000_000
 MAX_REPEATS = 2.0
 POINTS = 63                     # points of one bisection round (6 halvings)
 ROUNDS = 5
+MAX_EXPONENT = 2.0 ** 20
 DIGITS = (13, 13, 12, 12, 12)   # bits of the radix passes over the 62-bit order key
 
 
@@ -35,31 +36,42 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " +"))).cast("long")
 
 
-def _at(sources: DataFrame, exponents: list[float], budget: float | None) -> dict[float, tuple[float, float]]:
+def _power(exponent: Column, top: float) -> Column:
+    """Share to the exponent, relative to the largest share (its logarithm is ``top``), so that it never underflows to 0 for all."""
+    return F.exp(exponent * (F.log("share") - F.lit(top)))
+
+
+def _at(sources: DataFrame, exponents: list[float], budget: float | None, top: float) -> dict[float, tuple[float, float]]:
     """exponent -> (entropy of the weights, largest number of repeats), in one aggregate."""
     points = sources.select("share", "tokens", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
-    power = F.pow("share", F.col("a"))
-    sums = points.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"),
+    power = _power(F.col("a"), top)
+    sums = points.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * (F.log("share") - top)).alias("s"),
                                    F.max(power / F.col("tokens")).alias("most"),
                                    F.min(power / F.col("tokens")).alias("least"))
     out = {}
     for r in sums.collect():
-        repeats = r["most"] / r["least"] if budget is None else r["most"] / r["z"] * budget
+        repeats = (r["most"] / r["least"] if r["least"] else math.inf) if budget is None else r["most"] / r["z"] * budget
         out[r["a"]] = (math.log(r["z"]) - r["a"] * r["s"] / r["z"], repeats)
     return out
 
 
-def _bisect(sources: DataFrame, budget: float | None, enough) -> float:
-    """Smallest exponent in [0, 1] with ``enough(entropy, repeats)``; 1 if there is none.
+def _bisect(sources: DataFrame, budget: float | None, top: float, enough, beyond: bool = False) -> float:
+    """Smallest exponent with ``enough(entropy, repeats)``, which is false below some exponent and true above it.
 
-    ``enough`` is false below some exponent and true above it.
+    Looked for in [0, 1]; 1 if it holds nowhere there. With ``beyond`` the
+    range then doubles until it holds; a ValueError if it does not up to
+    ``MAX_EXPONENT``.
     """
     lo, hi = 0.0, 1.0
-    if enough(*_at(sources, [0.0], budget)[0.0]):
+    if enough(*_at(sources, [0.0], budget, top)[0.0]):
         return 0.0
+    while beyond and not enough(*_at(sources, [hi], budget, top)[hi]):
+        lo, hi = hi, 2 * hi
+        if hi > MAX_EXPONENT:
+            raise ValueError("the target is out of reach of any exponent")
     for _ in range(ROUNDS):
         at = [lo + (hi - lo) * k / (POINTS + 1) for k in range(1, POINTS + 1)]
-        found = _at(sources, at, budget)
+        found = _at(sources, at, budget, top)
         passed = [a for a in at if enough(*found[a])]
         hi = min(passed, default=hi)
         lo = max((a for a in at if a < hi), default=lo)
@@ -68,12 +80,20 @@ def _bisect(sources: DataFrame, budget: float | None, enough) -> float:
 
 def choose_exponent(sources: DataFrame, budget: float | None, target_entropy: float | None,
                     max_repeats: float | None) -> float:
-    """The flattest exponent that keeps both targets: entropy no more, repeats no more."""
+    """The flattest exponent that keeps both targets: entropy no more, repeats no more.
+
+    A ValueError if an entropy below that of the natural shares is out of
+    reach, or can be had only by repeats beyond the limit.
+    """
+    top = sources.agg(F.max(F.log("share"))).first()[0]
     found = [0.0]
+    fits = lambda r: max_repeats is None or r <= max_repeats * (1 + 1e-9)
     if target_entropy is not None:
-        found.append(_bisect(sources, budget, lambda h, _: h <= target_entropy))
+        found.append(_bisect(sources, budget, top, lambda h, _: h <= target_entropy, beyond=True))
     if max_repeats is not None:
-        found.append(_bisect(sources, budget, lambda _, r: r <= max_repeats * (1 + 1e-9)))
+        found.append(_bisect(sources, budget, top, lambda _, r: fits(r)))
+    if max(found) > 1 and not fits(_at(sources, [max(found)], budget, top)[max(found)][1]):
+        raise ValueError("no exponent keeps both the entropy and the limit on repeats")
     return max(found)
 
 
@@ -118,7 +138,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``budget_tokens`` None sets the budget so that every document is taken at
     least once: the most down-weighted source gets one epoch, the others
-    more, up to ``max_repeats``. With a budget, a source whose part is less
+    more, up to ``max_repeats``. A target entropy below that of the natural
+    shares takes an exponent above 1. With a budget, a source whose part is less
     than its size is cut. If no exponent keeps the limit, the natural shares
     (exponent 1) are used and the budget is lowered to the limit.
 
@@ -142,8 +163,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if budget is not None and max_repeats is not None:
             budget = min(budget, max_repeats * total)
         exponent = choose_exponent(some, budget, target_entropy, max_repeats)
-        power = F.pow("share", F.lit(exponent))
+        power = _power(F.lit(exponent), some.agg(F.max(F.log("share"))).first()[0])
         z, least = some.agg(F.sum(power), F.min(power / F.col("tokens"))).first()
+        if budget is None and not least:
+            raise ValueError("the weights are too far apart to take every document once")
         budget = z / least if budget is None else budget
         plan = some.select("source", "tokens", (power / z).alias("weight")).withColumn(
             "repeats", F.col("weight") * budget / F.col("tokens"))

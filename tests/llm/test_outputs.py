@@ -152,6 +152,29 @@ def test_mixing_entropy_and_budget(docs, rows):
     assert len(weights) and (a == 1.0 and entropy(natural) >= 1.0 or abs(entropy(p) - 1.0) < 1e-3 or a == 0.0)
 
 
+@pytest.mark.parametrize("target", [0.1, 0.01, 0.32, 0.5, 0.69])
+def test_mixing_meets_any_entropy(spark, target):
+    sources = spark.createDataFrame([(900, 0.9), (100, 0.1)], "tokens long, share double")
+    a = mixing.choose_exponent(sources, 500.0, target, None)
+    p = np.array([0.9, 0.1]) ** a
+    p /= p.sum()
+    assert abs(-(p * np.log(p)).sum() - target) < 1e-3
+    assert (a > 1) == (target < 0.3251)
+
+
+def test_mixing_targets_out_of_reach(spark):
+    even = spark.createDataFrame([(500, 0.5), (500, 0.5)], "tokens long, share double")
+    with pytest.raises(ValueError, match="out of reach"):
+        mixing.choose_exponent(even, None, 0.1, None)
+    sources = spark.createDataFrame([(900, 0.9), (100, 0.1)], "tokens long, share double")
+    with pytest.raises(ValueError, match="both"):
+        mixing.choose_exponent(sources, None, 0.1, 2.0)
+    docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 10 == 0]) for k in range(100)], "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs, target_entropy=0.1, max_repeats=None, budget_tokens=900.0)
+    taken = dict(found.groupBy("row.source").agg({"mix.n_tokens": "sum"}).collect())
+    assert taken["a"] > 860 and 0 < taken["b"] < 40
+
+
 def test_mixing_edges(spark, clashing, rows, empty):
     found = mixing.mix_sources(clashing)
     assert found.select("row.*").columns == clashing.columns
