@@ -28,6 +28,8 @@ from tabloom.llm.shared import bounded, shared_folder, stage
 ARCHIVE_BYTES = 256 << 20   # an archive is closed once it is longer
 GAP_BYTES = 64 << 10        # ranges this close are fetched together
 RANGE_BYTES = 8 << 20       # a joined range ends once it is longer
+READ_BYTES = 128 << 20      # archive bytes that a task reads, about
+LEAST_BYTES = 1 << 20       # or this few, while the reading takes fewer tasks than a shuffle has partitions
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("archive string, offset long, length long, url string, digest string, "
          "page_id long, record_type string, refers_to long")
@@ -154,7 +156,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = R
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the selected index rows (columns of ``RECORD``), read by sorted byte ranges.
 
-    Repeated index rows give repeated records; an empty selection reads nothing.
+    The number of tasks follows the bytes of the selected records. Repeated index rows give repeated records; an empty selection reads nothing.
     """
     def read(batches):
         import pyarrow as pa
@@ -169,6 +171,8 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                 while hi < len(rows) and rows[hi][0] == rows[lo][0]:
                     hi += 1
                 if rows[lo][0] != opened:
+                    if stream is not None:
+                        stream.close()
                     folder, _, name = rows[lo][0].rpartition("/")
                     files, base = _open(folder)
                     opened, stream = rows[lo][0], files.open_input_file(f"{base}/{name}")
@@ -185,7 +189,12 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, types)],
                                                  names=names)
-    return (index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+        if stream is not None:
+            stream.close()
+    size = index.agg(F.sum("length")).first()[0] or 0
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-size // READ_BYTES), min(usual, -(-size // LEAST_BYTES)))
+    return (index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
             .sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD))
 
 
