@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.llm.components import components
 from tabloom.llm.shared import bounded, fold, map_texts, stage
 
 SAMPLE_ROWS = 20_000    # labelled rows to learn from, at most about this many
 MAX_FDR = 0.01          # share of chance finds allowed among the terms
 MIN_RATIO = 4.0         # how much commoner a term is in toxic texts than in others
 LENGTH_POWER = 0.5
-AROUND = 8              # words on either side that tell one passage from another
+SHINGLE = 5             # words of a shingle
+SKETCH = 16             # shingles of a text that are compared with other texts
 BINS = 256
 HOLD_OUT = 5            # rows with crc32(id) mod 5 = 0 are never learned from
 
@@ -130,7 +132,7 @@ def _decode(text: bytes | None) -> str:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     rows: int) -> DataFrame:
-    """(text, label) of a bounded sample, by hash of the id, of the rows to learn from.
+    """(key, text, label) of a bounded sample, by hash of the id, of the rows to learn from.
 
     A document is positive if any of its label rows is; equal texts count once.
     """
@@ -142,7 +144,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     side = bounded(picked, int(total * share) + 1, 64)
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, "id")
             .groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-            .agg(F.first("text").alias("text"), F.max("label").cast("int").alias("label")).select("text", "label"))
+            .agg(F.first("text").alias("text"), F.max("label").cast("int").alias("label"))
+            .select(F.col("sha").alias("key"), "text", "label"))
 
 
 def _tail(t: int, n: int, p: float) -> float:
@@ -167,23 +170,36 @@ def _beyond_chance(found: dict[str, tuple[int, int]], tested: int, pos: int, neg
     return {w: found[w] for _, w in chance[:keep]}
 
 
-def word_places(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text, and for each a hash of the words around one use of it: of its uses, the smallest."""
+def sketch(text: str) -> list[int]:
+    """The ``SKETCH`` smallest hashes of the text's distinct shingles of ``SHINGLE`` folded words."""
     words = folded_words(text)
-    codes = np.zeros(len(words) + 2 * AROUND, np.uint64)
-    codes[AROUND:AROUND + len(words)] = [zlib.crc32(w.encode()) + 1 for w in words]
-    place = np.zeros(len(words), np.uint64)
+    codes = np.array([zlib.crc32(w.encode()) + 1 for w in words], np.uint64)
+    size = min(SHINGLE, max(len(words), 1))
+    h = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(2 * AROUND + 1):
-            place = place * np.uint64(0x9E3779B97F4A7C15) + codes[j:j + len(words)]
-            place ^= place >> np.uint64(29)
-        place *= np.uint64(0xC2B2AE3D27D4EB4F)
-        place ^= place >> np.uint64(32)
-    index: dict[str, int] = {}
-    which = [index.setdefault(w, len(index)) for w in words]
-    least = np.full(len(index), np.iinfo(np.uint64).max)
-    np.minimum.at(least, which, place)
-    return list(index), least.view(np.int64)
+        for j in range(size if len(words) else 0):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j:j + len(h)]
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique(h ^ (h >> np.uint64(32)))[:SKETCH].view(np.int64).tolist()
+
+
+def passage_groups(sample: DataFrame) -> DataFrame:
+    """(key, group): texts that say mostly the same are one group.
+
+    Two texts are linked if half of the one's sketch is in the other's. A
+    text is compared with the smallest key that holds each of its hashes, so
+    links never number more than hashes; groups are components of links.
+    """
+    known = T.StructType([T.StructField("h", T.ArrayType(T.LongType()))])
+    hashes = stage(map_texts(sample, "text", ["key"], lambda: lambda texts: ([sketch(_decode(t)) for t in texts],), known)
+                   .select("row.key", F.size("res.h").alias("size"), F.explode("res.h").alias("h")), "toxic-sketches")
+    first = hashes.groupBy("h").agg(F.min("key").alias("low"))
+    votes = hashes.join(first, "h").filter("low <> key").groupBy("key", "low").agg(
+        F.count("*").alias("n"), F.first("size").alias("size")).filter("2 * n >= size")
+    roots = components(votes.select(F.col("key").alias("a"), F.col("low").alias("b")))
+    return sample.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", F.coalesce("root", "key").alias("group"))
 
 
 class Model:
@@ -217,24 +233,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn a ``Model`` from the labelled rows outside the held-out fold.
 
     A term is kept if it is much commoner in toxic texts (ratio), beyond
-    chance (``MAX_FDR``). In both classes a word counts once per document and
-    once per passage, so a passage that many documents repeat gives its words
-    one count, not none. With no label, or one class only, the lexicon is
-    empty and the score is the share of positives.
+    chance (``MAX_FDR``). Texts that say mostly the same (``passage_groups``)
+    count as one, positive if any of them is: all words of a post get one
+    count, however often it was copied with changes, while a set phrase in
+    unlike texts counts for each. Exception phrases are counted likewise.
+    With no label, or one class only, the lexicon is empty and the score is
+    the share of positives.
     """
     sample = stage(labelled_sample(docs, labels, id_col, text_col, label_col, rows), "toxic-sample")
-    counts = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    one_class = sample.select("label").distinct().count() < 2
+    groups = stage(passage_groups(sample), "toxic-groups") if not one_class else None
+    if one_class:
+        pos, neg = (sample.filter(F.col("label") == y).count() for y in (1, 0))
+        return Model({}, [], [(pos + 0.5) / (pos + neg + 2)] * BINS)
+    member = stage(sample.join(groups, "key").select("group", "label", "text"), "toxic-members")
+    label = stage(member.groupBy("group").agg(F.max("label").alias("label")), "toxic-labels")
+    counts = {r[0]: r[1] for r in label.groupBy("label").count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     base = (pos + 0.5) / (pos + neg + 2)
     if not pos or not neg:
         return Model({}, [], [base] * BINS)
 
-    known = T.StructType([T.StructField("words", T.ArrayType(T.StringType())),
-                          T.StructField("places", T.ArrayType(T.LongType()))])
-    seen = map_texts(sample, "text", ["label"], lambda: lambda texts: tuple(
-        zip(*(word_places(_decode(t)) for t in texts))), known)
-    df = stage(seen.select("row.label", F.explode(F.arrays_zip("res.words", "res.places")).alias("u"))
-               .select("label", F.col("u.words").alias("word"), F.col("u.places").alias("place")).distinct()
+    known = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
+    seen = map_texts(member, "text", ["group"], lambda: lambda texts: (
+        [sorted(set(folded_words(_decode(t)))) for t in texts],), known)
+    df = stage(seen.select("row.group", F.explode("res.words").alias("word")).distinct().join(label, "group")
                .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "toxic-words")
     ratio = (F.col("t") + 0.5) / pos / ((F.col("c") + 0.5) / neg)
     found = _beyond_chance({r["word"]: (r["t"], r["c"]) for r in
@@ -249,12 +272,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w = ["", *folded_words(_decode(text)), ""]
         return [{"word": x, "left": a, "right": b} for x, a, b in
                 {(w[k], w[k - 1], w[k + 1]) for k in range(1, len(w) - 1) if w[k] in terms}]
-    ctx = stage(map_texts(sample, "text", ["label"], lambda: lambda texts: ([uses(t) for t in texts],), around)
-                .select("row.label", F.explode("res.uses").alias("u")).select("label", "u.*"), "toxic-uses")
+    ctx = stage(map_texts(member, "text", ["group"], lambda: lambda texts: ([uses(t) for t in texts],), around)
+                .select("row.group", F.explode("res.uses").alias("u")).select("group", "u.*").distinct()
+                .join(label, "group"), "toxic-uses")
 
     # Exception phrases: a term with one neighbour, seen in several clean texts and hardly in toxic ones.
-    pairs = (ctx.select("label", "word", F.concat_ws(" ", "left", "word").alias("p")).filter("left <> ''")
-             .union(ctx.select("label", "word", F.concat_ws(" ", "word", "right")).filter("right <> ''")))
+    pairs = (ctx.filter("left <> ''").select("group", "label", "word", F.concat_ws(" ", "left", "word").alias("p"))
+             .union(ctx.filter("right <> ''").select("group", "label", "word", F.concat_ws(" ", "word", "right")))).distinct()
     excused = pairs.groupBy("word", "p").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     exceptions = [r["p"] for r in excused.filter((F.col("c") >= 4) & (F.col("c") >= 9 * F.col("t"))).collect()]
 
@@ -263,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bins():
         m = Matcher(terms, exceptions)
         return lambda texts: ([value_bin(m.value(_decode(t))) for t in texts],)
-    hist = {r["bin"]: (r["p"], r["n"]) for r in map_texts(sample, "text", ["label"], bins, held)
+    hist = {r["bin"]: (r["p"], r["n"]) for r in map_texts(member, "text", ["label"], bins, held)
             .groupBy("res.bin").agg(F.sum("row.label").alias("p"), F.count("*").alias("n")).collect()}
     # Empty bins take no part; they get the score of the next filled bin above, or below at the top.
     filled = sorted(hist)

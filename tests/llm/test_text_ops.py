@@ -184,6 +184,52 @@ def test_toxicity_learns_set_phrases(spark):
     assert all(score(f"calm{c}") < 0.5 for c in "abcdefghijklm")    # one passage, however often copied
 
 
+def test_toxicity_counts_copies_of_a_post_once(spark):
+    """Near copies of one post are one use of each of its words, wherever in the post they stand."""
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("bcdfgaeiou"), 6)) for _ in range(800)]
+    post = "you filthy vermin should leave this forum today and stay away for ever"
+    rows = [(k, " ".join(rng.choice(vocab, 50)) + (" and stay for ever" if k % 40 == 0 else ""), 0) for k in range(900)]
+    rows += [(2000 + k, f"{post} {vocab[k]} {vocab[-k - 1]}", 1) for k in range(80)]
+    rows += [(3000 + k, " ".join([*rng.choice(vocab, 25), "wretched", *rng.choice(vocab, 25)]), 1) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.terms) == {"wretched"}
+    score = model.scorer()
+    assert sum(score(t) >= 0.5 for _, t, y in rows if not y) == 0
+
+
+def naive_hits(text, terms, exceptions):
+    """All terms at word ends outside exception phrases, by plain search at every place of the folded text."""
+    low = toxicity.fold_text(text)
+
+    def places(phrase):
+        p = toxicity.fold_text(phrase)
+        return [(a, a + len(p)) for a in range(len(low) - len(p) + 1) if low[a:a + len(p)] == p
+                and not (a and text[a - 1].isalpha()) and not (a + len(p) < len(text) and text[a + len(p)].isalpha())]
+    excused = [x for e in exceptions for x in places(e)]
+    return sorted((a, b, w) for t, w in terms.items() for a, b in places(t)
+                  if not any(c <= a and b <= d for c, d in excused))
+
+
+def test_toxicity_query_by_brute_force(spark):
+    """op8's scores, from a plain search instead of the automaton."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model.terms = model.terms or {"trash": 2.0, "idiot": 1.5}
+    text = dict(docs.select("doc_id", "text").collect())
+    matcher = toxicity.Matcher({**model.terms, "the": 0.5, "of the": 0.25}, ["of the and"])
+    for t in text.values():
+        assert sorted(matcher.hits(t)) == naive_hits(t, {**model.terms, "the": 0.5, "of the": 0.25}, ["of the and"])
+    for r in toxicity.score_texts(docs, model, carry=["doc_id"]).select("row.doc_id", "res.score").collect():
+        t = text[r.doc_id]
+        x = sum(w for _, _, w in naive_hits(t, model.terms, model.exceptions)) / max(1, t.count(" ") + t.count("\n") + 1) ** 0.5
+        want = model.scores[toxicity.value_bin(x)] * 0.998 + 0.001 + 0.0009 * x / (1 + x)
+        assert abs(r.score - want) < 1e-9
+
+
 def test_toxicity_edges(spark, docs, clashing, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1), (2, 1, None)], none.schema)
@@ -204,6 +250,34 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
 
 
+def test_language_query_by_brute_force(spark):
+    """op10's predictions, from a plain backoff without caches or slices."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    text = dict(docs.select("doc_id", "text").collect())
+
+    def evidence(word):
+        if word in model.words:
+            return model.word_rows[model.words[word]].astype(float)
+        for n in (4, 3, 2, 1):
+            marked = f"^{word}$"
+            known = [model.gram_rows[model.grams[g]].astype(float) for k in range(len(marked) - n + 1)
+                     if (g := marked[k:k + n]) in model.grams]
+            if known:
+                return np.mean(known, axis=0) * 0.5 ** (5 - n)
+        return np.zeros(len(model.languages))
+    for r in langid.predict_languages(docs, model, carry=["doc_id"]).select("row.doc_id", "res.lang_pred", "res.score").collect():
+        found = re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[r.doc_id]).lower())
+        if not any(c.isalpha() for c in text[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = model.prior + sum((evidence(w) for w in found), np.zeros(len(model.languages)))
+        odds = np.exp(total - total.max())
+        assert r.lang_pred == model.languages[int(np.argmax(total))]
+        assert abs(r.score - odds.max() / odds.sum()) < 1e-3
+
+
 def test_language_edges(spark, docs, clashing, empty):
     model = langid.fit(docs)
     assert model.languages == ["a", "b"]
