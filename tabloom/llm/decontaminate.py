@@ -29,6 +29,7 @@ from tabloom.llm.shared import map_texts, stage
 WINDOW = 13             # consecutive item words in a phrase
 BLOCK_BYTES = 8 << 20   # benchmark text per broadcast block
 RATIO = 20              # contaminated if RATIO * n_hit >= n_words
+SHARD_BYTES = 2 << 20   # training text indexed at once; an index and its arrays take about 16 times that
 
 # Word bytes are 0-9, a-z (A-Z folded) and everything from 0x80 on.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -101,14 +102,16 @@ def _search(block: Phrases, texts: list) -> list:
     ids = np.ones(int((sizes + 1).sum()), np.int64)     # one separator after each document
     ids[np.delete(np.arange(len(ids)), starts + sizes)] = np.fromiter(
         (get(w, 1) for w in chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+    n_docs = len(docs)
+    del docs        # the words are not needed beside the index
     at, phrase = block.occurrences(ids)
     edge = np.zeros(len(ids) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + block.lengths[phrase], -1)
     hit = np.cumsum(edge[:-1]) > 0
     flip = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    spans: list[list] = [[] for _ in docs]
-    items: list[set] = [set() for _ in docs]
+    spans: list[list] = [[] for _ in range(n_docs)]
+    items: list[set] = [set() for _ in range(n_docs)]
     for a, b, d in zip(flip[::2], flip[1::2], np.searchsorted(starts, flip[::2], side="right") - 1):
         spans[d].append((int(a - starts[d]), int(b - starts[d])))
     own = np.searchsorted(starts, at, side="right") - 1
@@ -159,13 +162,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     sc = docs.sparkSession.sparkContext
     n, blocks = _blocks(benchmark, item_col, benchmark_text, block_bytes)
     if n == 1:
-        return map_texts(docs, text_col, carry, _scanner(sc.broadcast((next(blocks), window))), FIELDS)
+        return map_texts(docs, text_col, carry, _scanner(sc.broadcast((next(blocks), window))), FIELDS, SHARD_BYTES)
     # Several blocks: carry the spans so far beside the row.
     cur = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col])]).alias("doc"),
                       F.col(f"`{text_col}`").cast("binary").alias("body"), F.lit(None).cast(FIELDS).alias("sofar"))
     for items in blocks:
         block = sc.broadcast((items, window))
-        step = map_texts(cur, "body", ["doc", "body", "sofar"], _scanner(block), FIELDS)
+        step = map_texts(cur, "body", ["doc", "body", "sofar"], _scanner(block), FIELDS, SHARD_BYTES)
         cur = stage(step.select("row.doc", "row.body", _joined(F.col("row.sofar"), F.col("res")).alias("sofar")),
                     "decontaminate")
         block.unpersist()

@@ -61,10 +61,11 @@ def text_slices(texts, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def map_texts(df: DataFrame, text_col: str, carry: list[str], make, fields: T.StructType) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, carry: list[str], make, fields: T.StructType,
+              limit: int = SLICE_BYTES) -> DataFrame:
     """Apply a text function to every row without a shuffle.
 
-    ``make()`` runs once per task and returns a function from a list of texts
+    ``make()`` runs once per task and returns a function from a list of texts (of about ``limit`` bytes together)
     (bytes, or None for null) to one list or Arrow array per field. The result
     has the columns ``row`` (a struct of ``carry``) and ``res`` (a struct of
     ``fields``), so no name can clash with the input's columns.
@@ -82,7 +83,7 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], make, fields: T.St
         fn, kind = None, arrow.field("res").type
         for batch in batches:
             texts = (batch.column(0).field(at) if inside else batch.column(1)).cast(pa.binary())
-            for lo, n in text_slices(texts):
+            for lo, n in text_slices(texts, limit):
                 fn = fn or make()
                 cols = fn(texts.slice(lo, n).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) and c.type == f.type else
