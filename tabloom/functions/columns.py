@@ -86,15 +86,16 @@ def chunks(items: list, size: int) -> list[list]:
 
 
 def long_form(df: DataFrame, columns: list[str], value_type: str = "double",
-              ids: list[str] | None = None, clean: bool = True) -> DataFrame:
+              ids: list[str] | None = None, clean: bool = True, finite: bool = False) -> DataFrame:
     """Unpivot ``columns`` into rows ``(ids..., column, value)``.
 
-    Values are cast to ``value_type`` (NaN -> NULL first when ``clean``), so
+    With ``finite`` infinite values are NULL too. Values are cast to ``value_type`` (NaN -> NULL first when ``clean``), so
     one aggregate grouped by ``column`` replaces one job per column. The
     unpivot is a single Expand inside whole-stage codegen.
     """
     ids = ids or []
-    vals = [f"CAST({sql_clean(df, c) if clean else q(c)} AS {value_type}) AS _v{i}"
+    text = (lambda c: sql_finite(df, c)) if finite else (lambda c: sql_clean(df, c) if clean else q(c))
+    vals = [f"CAST({text(c)} AS {value_type}) AS _v{i}"
             for i, c in enumerate(columns)]
     wide = df.selectExpr(*[q(i) for i in ids], *vals)
     out = wide.unpivot(ids or [], [f"_v{i}" for i in range(len(columns))], "_slot", "value")
@@ -128,6 +129,17 @@ def sql_clean(df: DataFrame, name: str) -> str:
     return q(name)
 
 
+def sql_finite(df: DataFrame, name: str) -> str:
+    """SQL text of the value as DOUBLE; NaN and infinite values are missing (NULL).
+
+    The rule of all sums, ranges and scales: one infinite value would spoil
+    the whole column. Order statistics keep infinite values, as their ends.
+    """
+    if not is_float_type(df.schema[name].dataType):
+        return sql_double(df, name)
+    return f"CASE WHEN abs({q(name)}) < double('infinity') THEN CAST({q(name)} AS DOUBLE) END"
+
+
 def sql_double(df: DataFrame, name: str) -> str:
     """SQL text of :func:`as_double`."""
     if isinstance(df.schema[name].dataType, T.BooleanType):

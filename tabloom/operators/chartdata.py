@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import long_form, sql_clean
+from tabloom.functions.columns import long_form, sql_finite
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.functions.ranking import top_k_per_group
 from tabloom.operators.profile import correlation_matrix, value_counts
@@ -40,9 +40,10 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
               density: bool = True) -> DataFrame:
     """``(column, bin, lo, hi, n[, density])`` for every bin, empty ones included.
 
-    The last bin is closed on the right (the maximum falls in it).
+    The last bin is closed on the right (the maximum falls in it). Infinite
+    values count as missing.
     """
-    long = long_form(df, columns, "double").where(F.col("value").isNotNull())
+    long = long_form(df, columns, "double", finite=True).where(F.col("value").isNotNull())
     rng = _ranges(long, bins)
     binned = (long.join(F.broadcast(rng), "column")          # one row per column
               .withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")),
@@ -63,13 +64,13 @@ def kde_curve(df: DataFrame, columns: list[str], points: int = KDE_POINTS) -> Da
     """``(column, gi, x, density)``: Gaussian KDE with Scott's bandwidth
     (sample std · n^(-1/5)) on ``points`` grid points spanning
     [min - range/2, max + range/2]. Columns with fewer than 2 values or no
-    spread are skipped.
+    spread are skipped; infinite values count as missing.
 
     Each task adds up the kernels of its values at the grid points (equal
     values of a batch once, with their weight) and sends ``points`` sums per
     column; rows never meet the grid in a shuffle.
     """
-    long = long_form(df, columns, "double").where(F.col("value").isNotNull())
+    long = long_form(df, columns, "double", finite=True).where(F.col("value").isNotNull())
     st = {r["column"]: r for r in (
         long.groupBy("column").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
                                    F.min("value").alias("mn"), F.max("value").alias("mx"))
@@ -97,7 +98,7 @@ def kde_curve(df: DataFrame, columns: list[str], points: int = KDE_POINTS) -> Da
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(used), dtype="int32"), points)),
              pa.array(np.tile(grid.astype("int32"), len(used))), pa.array(sums.ravel())], names=["k", "gi", "s"])
-    wide = df.selectExpr(*[f"CAST({sql_clean(df, c)} AS DOUBLE) AS _x{i}" for i, c in enumerate(used)])
+    wide = df.selectExpr(*[f"{sql_finite(df, c)} AS _x{i}" for i, c in enumerate(used)])
     sums = wide.mapInArrow(fold, "k INT, gi INT, s DOUBLE").groupBy("k", "gi").agg(F.sum("s").alias("s"))
     norm = 1.0 / math.sqrt(2 * math.pi)
     about = df.sparkSession.createDataFrame(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import (CATEGORICAL, NUMERIC, as_double, chunks, col,
-                                       column_labels, long_form, q, sql_double, sql_lit)
+                                       column_labels, long_form, q, sql_double, sql_finite, sql_lit)
 from tabloom.functions.ranking import top_k_per_group
 from tabloom.session import cut_lineage
 
@@ -148,7 +148,7 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, floa
     for chunk in (chunks(list(enumerate(columns)), 30) if columns else []):
         aggs = []
         for i, c in chunk:
-            v = sql_double(df, c)
+            v = sql_finite(df, c)       # an infinite value stays one when scaled, but moves no other
             aggs += [f"avg({v}) AS m{i}", f"stddev_pop({v}) AS s{i}", f"count({v}) AS n{i}"]
         r = df.selectExpr(*aggs).first()
         out.update({c: (r[f"m{i}"], r[f"s{i}"], r[f"n{i}"]) for i, c in chunk})

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import q, sql_lit
+from tabloom.functions.columns import q, sql_finite, sql_lit
 from tabloom.session import cut_lineage
 
 K = 3
@@ -54,14 +54,13 @@ def scaled_rows(df: DataFrame, features: list[str], target: str, discrete: bool,
                 fill: dict[str, float] | None = None) -> DataFrame:
     """Staged (id, x0 .. xn, y): scaled values with their noise; y is a class as text or a scaled number.
 
-    Missing features take ``fill`` (default 0); rows without a target go.
+    Missing and infinite features take ``fill`` (default 0); rows without a
+    (finite) target go.
     """
     fill = fill or {}
-    kind = "STRING" if discrete else "DOUBLE"
-    raw = df.selectExpr(*[f"coalesce(nanvl(CAST({q(c)} AS DOUBLE), NULL), {sql_lit(float(fill.get(c) or 0.0))}) AS x{k}"
-                          for k, c in enumerate(features)], f"CAST({q(target)} AS {kind}) AS y").where("y IS NOT NULL")
-    if not discrete:
-        raw = raw.where("NOT isnan(y)")
+    raw = df.selectExpr(*[f"coalesce({sql_finite(df, c)}, {sql_lit(float(fill.get(c) or 0.0))}) AS x{k}"
+                          for k, c in enumerate(features)],
+                        (f"CAST({q(target)} AS STRING)" if discrete else sql_finite(df, target)) + " AS y").where("y IS NOT NULL")
     raw = cut_lineage(raw.withColumn("id", F.monotonically_increasing_id()))
     numbers = [f"x{k}" for k in range(len(features))] + ([] if discrete else ["y"])
     stats = raw.selectExpr(*[e for c in numbers for e in (f"stddev_pop({c}) AS s_{c}", f"avg(abs({c})) AS m_{c}")]).first()
@@ -417,13 +416,10 @@ def neighbour_information(df: DataFrame, features: list[str], target: str, discr
                           fill: dict[str, float] | None = None, k: int = K, unit_rows: int = UNIT_ROWS) -> dict[str, float]:
     """feature -> mutual information in nats, not below 0; features of an empty table score 0.
 
-    Rows of a class of their own take no part. Missing features take
-    ``fill``; infinite values are refused.
+    Rows of a class of their own take no part. Missing and infinite features
+    take ``fill``.
     """
     rows = scaled_rows(df, features, target, discrete_target, fill)
-    wrong = [f"x{j}" for j in range(len(features))] + ([] if discrete_target else ["y"])
-    if rows.where(" OR ".join(f"NOT abs({c}) < double('infinity')" for c in wrong)).limit(1).count():
-        raise ValueError("an infinite or undefined value has no distance")
     found = (_class_scores(rows, len(features), k) if discrete_target
              else _number_scores(rows, len(features), k, unit_rows))
     return {c: round(found.get(j, 0.0), digits) for j, c in enumerate(features)}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import (NUMERIC, chunks, col, column_labels, is_float_type,
-                                       is_missing, long_form, q, sql_clean, sql_lit)
+                                       is_missing, long_form, q, sql_clean, sql_finite, sql_lit)
 from tabloom.functions.quantiles import column_quantiles, quantiles_frame
 from tabloom.functions.ranking import top_k_per_group
 
@@ -143,7 +143,7 @@ def _cross_products(df: DataFrame, columns: list[str]) -> DataFrame:
     column's minimum, which keeps the sums small and constants at zero) and
     returns one row per pair; no data row is ever expanded.
     """
-    lows = df.selectExpr(*[f"min(CAST({sql_clean(df, c)} AS DOUBLE)) AS _m{i}" for i, c in enumerate(columns)]).first()
+    lows = df.selectExpr(*[f"min({sql_finite(df, c)}) AS _m{i}" for i, c in enumerate(columns)]).first()
     base = [float(lows[f"_m{i}"] or 0.0) for i in range(len(columns))]
     names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
 
@@ -164,13 +164,13 @@ def _cross_products(df: DataFrame, columns: list[str]) -> DataFrame:
         out = [i, j, n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
         yield pa.RecordBatch.from_arrays([pa.array(a.astype("int32") if k < 2 else a) for k, a in enumerate(out)],
                                          names=names)
-    wide = df.selectExpr(*[f"CAST({sql_clean(df, c)} AS DOUBLE) AS _x{i}" for i, c in enumerate(columns)])
+    wide = df.selectExpr(*[f"{sql_finite(df, c)} AS _x{i}" for i, c in enumerate(columns)])
     part = wide.mapInArrow(fold, "i INT, j INT, " + ", ".join(f"{c} DOUBLE" for c in names[2:]))
     return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """Pearson matrix in long form ``(col_a, col_b, corr)``, pairwise complete rows.
+    """Pearson matrix in long form ``(col_a, col_b, corr)``, pairwise complete rows of finite values.
 
     ``corr`` is NULL where undefined (fewer than two pairs, or a column that
     is constant on them) instead of failing on a division by zero. One scan;
@@ -240,8 +240,8 @@ def structure_report(df: DataFrame) -> DataFrame:
     (mean, std rounded to 4 decimals; exact median), value bytes, and the
     most frequent values of the non-numeric columns.
 
-    Missing counts, distinct counts and moments come from ONE aggregate (Spark rewrites the distinct counts into an
-    Expand + two-level aggregation); medians from one more pass.
+    Missing counts, distinct counts and moments come from one aggregate per 20 columns (Spark rewrites the distinct
+    counts into an Expand + two-level aggregation); medians from radix passes over all columns.
     """
     labels = column_labels(df)
     numeric = [c for c, t in labels.items() if t == NUMERIC]
@@ -259,7 +259,11 @@ def structure_report(df: DataFrame) -> DataFrame:
         structs.append(f"named_struct('column', {sql_lit(c)}, 'label', {sql_lit(labels[c])}, "
                        f"'n_missing', count_if({miss}), 'n_distinct', count(DISTINCT {v}), "
                        f"'mean', {num})")
-    stats = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)")
+    # Chunks of columns: one very wide aggregate takes longer to plan and compile than to run.
+    stats = None
+    for chunk in chunks(structs, 20):
+        part = df.selectExpr(f"array({', '.join(chunk)}) AS _s").selectExpr("inline(_s)")
+        stats = part if stats is None else stats.unionByName(part)
     med = medians(df, numeric) if numeric else \
         df.sparkSession.createDataFrame([], "column STRING, median DOUBLE")
     text = [c for c in df.columns if labels[c] != NUMERIC]
@@ -279,17 +283,16 @@ _FIXED_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8
 
 def payload_bytes(df: DataFrame) -> DataFrame:
     """``(column, n_bytes)``: value payload per column (fixed width, or text bytes)."""
-    exprs = []
-    for i, f in enumerate(df.schema.fields):
-        w = _FIXED_WIDTH.get(f.dataType.simpleString())
-        c = F.col(f"`{f.name}`")
-        e = (F.count(c) * w) if w else F.sum(F.octet_length(c.cast("string")))
-        exprs.append(F.coalesce(e.cast("bigint"), F.lit(0).cast("bigint")).alias(f"_b{i}"))
-    one = df.agg(*exprs)
-    names = F.create_map(*[x for i, f in enumerate(df.schema.fields)
-                           for x in (F.lit(f"_b{i}"), F.lit(f.name))])
-    return (one.unpivot([], [f"_b{i}" for i in range(len(df.columns))], "_slot", "n_bytes")
-            .select(names[F.col("_slot")].alias("column"), "n_bytes"))
+    out = None
+    for chunk in chunks(df.schema.fields, 50):
+        structs = []
+        for f in chunk:
+            w = _FIXED_WIDTH.get(f.dataType.simpleString())
+            size = f"count({q(f.name)}) * {w}" if w else f"sum(octet_length(CAST({q(f.name)} AS STRING)))"
+            structs.append(f"named_struct('column', {sql_lit(f.name)}, 'n_bytes', CAST(coalesce({size}, 0) AS BIGINT))")
+        part = df.selectExpr(f"array({', '.join(structs)}) AS _s").selectExpr("inline(_s)")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # Fixed values of the reference behaviour: default models per task.

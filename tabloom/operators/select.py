@@ -1,8 +1,8 @@
 """Mutual-information feature scores and top-k selection.
 
-The reference scores features with a k-nearest-neighbour MI estimator.
-Here MI is the plug-in estimate over equal-width bins, an exact
-aggregate that a SQL engine can reproduce: every feature (missing values
+Two estimators. ``neighbours`` is the k-nearest-neighbour estimate
+(operators/neighbours.py). ``bins`` is the plug-in estimate over equal-width
+bins, an exact aggregate that a SQL engine can reproduce: every feature (missing values
 read as 0) is cut into ``BINS`` equal-width bins over its own range; a
 numeric target is binned the same way, a class target is used as is.
 One ``groupBy(feature, bin, y)`` over the unpivoted table gives every
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import q, sql_lit
+from tabloom.functions.columns import q, sql_finite, sql_lit
+from tabloom.operators.neighbours import neighbour_information
 
 BINS = 32
 DEFAULT_TOP_K = 20
@@ -26,7 +27,8 @@ def mutual_information(df: DataFrame, features: list[str], target: str,
                        fill: dict[str, float] | None = None) -> DataFrame:
     """``(feature, mi, rk)``: binned MI in nats, rank 1 = most informative.
 
-    Missing feature values take ``fill[c]`` (default 0). Equal-width bins
+    Missing and infinite feature values take ``fill[c]`` (default 0); rows
+    without a finite target go. Equal-width bins
     do not change under a positive affine map, so scores of standardised
     features equal the scores of the unscaled ones when missing values are
     filled with the column mean (the point that standardises to 0); the
@@ -34,8 +36,8 @@ def mutual_information(df: DataFrame, features: list[str], target: str,
     """
     spark = df.sparkSession
     fill = fill or {}
-    y = (f"CAST({q(target)} AS STRING)" if discrete_target else f"CAST({q(target)} AS DOUBLE)")
-    base = df.selectExpr(*[f"coalesce(CAST({q(c)} AS DOUBLE), {sql_lit(float(fill.get(c) or 0.0))})"
+    y = f"CAST({q(target)} AS STRING)" if discrete_target else sql_finite(df, target)
+    base = df.selectExpr(*[f"coalesce({sql_finite(df, c)}, {sql_lit(float(fill.get(c) or 0.0))})"
                            f" AS _x{i}" for i, c in enumerate(features)],
                          f"{y} AS _y").where("_y IS NOT NULL")
     # Ranges of every feature (and a numeric target) in one wide aggregate.
@@ -76,6 +78,19 @@ def mutual_information(df: DataFrame, features: list[str], target: str,
         Window.orderBy(F.desc("mi"), F.asc("feature"))))
 
 
+def feature_scores(df: DataFrame, features: list[str], target: str, discrete_target: bool, estimator: str = "neighbours",
+                   fill: dict[str, float] | None = None) -> DataFrame:
+    """``(feature, mi, rk)`` by the chosen estimator, ``neighbours`` or ``bins``."""
+    if estimator == "bins":
+        return mutual_information(df, features, target, discrete_target, fill=fill)
+    if estimator != "neighbours":
+        raise ValueError(f"unknown estimator '{estimator}'")
+    found = neighbour_information(df, features, target, discrete_target, fill=fill)
+    ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))     # one row per feature
+    return df.sparkSession.createDataFrame([(c, v, k) for k, (c, v) in enumerate(ranked, 1)],
+                                           "feature STRING, mi DOUBLE, rk INT")
+
+
 def select_top_features(scores: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """The ``k`` best-scored features, ``(feature, mi, rk)``."""
     return scores.where(F.col("rk") <= k)

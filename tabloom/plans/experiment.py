@@ -32,7 +32,8 @@ DEFAULT_CONFIG = {
                  "impute_missing": True},
     "feature_engineering": {"top_k_features": select.DEFAULT_TOP_K,
                             "ordinal_cardinality_threshold": encode.ORDINAL_CARDINALITY_THRESHOLD,
-                            "drop_low_variance": True, "feature_selection": True},
+                            "drop_low_variance": True, "feature_selection": True,
+                            "mi_estimator": "neighbours"},      # or "bins"
     "training": {"models": None, "forest_depth": models.FOREST_DEPTH},
 }
 TASKS = ("classification", "regression")
@@ -220,8 +221,8 @@ def run_experiment(df: DataFrame, target: str, task_type: str | None = None,
         if fe["feature_selection"] and len(feats) > fe["top_k_features"]:
             enc = fm.encode(cleaned)
             means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
-            res.mi_scores = select.mutual_information(
-                enc, feats, target, res.task_type == "classification", fill=means).persist()
+            res.mi_scores = select.feature_scores(
+                enc, feats, target, res.task_type == "classification", fe["mi_estimator"], fill=means).persist()
             held.append(res.mi_scores)
             top = select.select_top_features(res.mi_scores, fe["top_k_features"]).collect()
             feats = [r["feature"] for r in sorted(top, key=lambda r: r["rk"])]

@@ -37,9 +37,9 @@ def register(key: str):
 
 
 def round_floats(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+    return df.select(*[F.round(col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+                       else col(f.name) for f in df.schema.fields])
 
 
 # ── profile ──────────────────────────────────────────────────────────────────
@@ -208,13 +208,13 @@ def _features(spark, sf, target="o_orderstatus"):
     return of, encode.fit_features(of, target, id_cols=ID)
 
 
-def _mi(spark, sf, target, discrete):
+def _mi(spark, sf, target, discrete, estimator="bins"):
     of = cut_lineage(order_features(spark, sf))
     fm = encode.fit_features(of, target, id_cols=ID)
     enc = fm.encode(of)
     feats = fm.feature_columns
     means = {c: fm.scaler[c][0] for c in feats if c in fm.scaler}
-    return select.mutual_information(enc, feats, target, discrete, fill=means)
+    return select.feature_scores(enc, feats, target, discrete, estimator, fill=means)
 
 
 @register("ordinal_encode")
@@ -265,6 +265,16 @@ def q_mi_classification(spark, sf):
     return _mi(spark, sf, "o_orderstatus", True)
 
 
+@register("mi_neighbours_class")
+def q_mi_neighbours_class(spark, sf):
+    return _mi(spark, sf, "o_orderstatus", True, "neighbours")
+
+
+@register("mi_neighbours_number")
+def q_mi_neighbours_number(spark, sf):
+    return _mi(spark, sf, "o_totalprice", False, "neighbours")
+
+
 @register("mi_regression")
 def q_mi_regression(spark, sf):
     return _mi(spark, sf, "o_totalprice", False)

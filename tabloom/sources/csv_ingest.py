@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import col
+from tabloom.functions.columns import col, q
+from tabloom.sources.csv_records import read_records
 
 # Fixed values of the reference behaviour (pandas' default missing-value tokens).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -69,17 +70,27 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
 def read_text_table(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, list[str]]:
     """All-string scan with a corrupt-record column; NA tokens become NULL.
 
-    Lines are split among tasks; only a source with quoted newlines is read
-    a whole file per task.
+    Files are split among tasks, also where quoted fields hold newlines: their
+    records are put together first (csv_records.py) and parsed one by one.
     """
-    many = has_quoted_newlines(spark, path)
-    reader = lambda: (spark.read.option("header", True).option("encoding", encoding)
-                      .option("multiLine", many).options(**CSV_OPTIONS))
-    header = reader().option("inferSchema", False).csv(path).columns
-    schema = ", ".join(f"`{c}` STRING" for c in header) + f", `{CORRUPT}` STRING"
-    raw = (reader().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("nullValue", "\u0000").option("emptyValue", "")
-           .schema(schema).csv(path))
+    options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "nullValue": "\u0000",
+               "emptyValue": ""}
+    if has_quoted_newlines(spark, path):
+        records = read_records(spark, path, encoding)
+        first = records.where("header").agg(F.min_by("record", "file")).first()[0]
+        names = spark.read.option("header", True).option("multiLine", True).options(**CSV_OPTIONS).csv(
+            spark.sparkContext.parallelize([first or ""], 1))
+        header = names.columns
+        schema = ", ".join(f"{q(c)} STRING" for c in header) + f", `{CORRUPT}` STRING"
+        # A carriage return or newline inside a field is part of it.
+        raw = records.where("NOT header").select(
+            F.from_csv("record", schema, {**options, "multiLine": "true"}).alias("r")).select("r.*")
+    else:
+        reader = lambda: (spark.read.option("header", True).option("encoding", encoding)
+                          .options(**CSV_OPTIONS))
+        header = reader().option("inferSchema", False).csv(path).columns
+        schema = ", ".join(f"{q(c)} STRING" for c in header) + f", `{CORRUPT}` STRING"
+        raw = reader().options(**options).schema(schema).csv(path)
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
     clean = raw.select(*[F.when(F.array_contains(na, col(c)) | col(c).isNull(), F.lit(None))
                          .otherwise(col(c)).alias(c) for c in header], col(CORRUPT))

@@ -89,5 +89,9 @@ def test_edges(spark):
     assert nb.neighbour_information(alone, ["a"], "y", False)["a"] >= 0
     same = spark.createDataFrame([(5.0, float(k), "pq"[k % 2]) for k in range(40)], kind)      # a constant feature
     assert nb.neighbour_information(same, ["a"], "label", True)["a"] < 0.3
-    with pytest.raises(ValueError, match="infinite"):
-        nb.neighbour_information(spark.createDataFrame([(float("inf"), 1.0, "p"), (1.0, 2.0, "p")], kind), ["a"], "y", False)
+    # Infinite values are missing ones.
+    rows = [(float(k % 7), float(k), "pq"[k % 2]) for k in range(40)]
+    odd = spark.createDataFrame([*rows, (1.0, float("inf"), "p")], kind)
+    assert nb.scaled_rows(odd, ["a"], "y", False).count() == 40
+    assert math.isfinite(nb.neighbour_information(spark.createDataFrame([*rows, (float("-inf"), 1.0, "p")], kind),
+                                                  ["a"], "label", True)["a"])
