@@ -15,9 +15,14 @@ document with a smaller id. Only suffixes that can repeat are sorted:
    groups left after the last pass are exactly the repeated windows.
 
 An anchor of very many runs, such as a line in a third of the documents, is
-not held whole: heavy anchors are found in a sample of the texts, taken as
-shared without meeting, and their runs are cut into single windows, which
-meet by the hash of the window.
+not held whole: heavy anchors are taken as shared without meeting, and their
+runs are dealt by longer cores. A window holds its anchor and as many more
+bytes; at least half of these lie on one side, so a run falls into the windows
+that hold the anchor with that half on its right and the rest, which hold it
+with that half on their left, and each part meets by its own core. A core that
+is heavy in turn is extended again, down to single windows. Which anchors and
+cores are heavy is counted in a sample of the texts; equal windows always take
+the same path, so a miss changes where they meet and nothing else.
 
 Within a task, equal runs are settled at once and only that of the smallest
 id goes on, so a passage that any number of documents share gives one record
@@ -27,7 +32,6 @@ per task slice. Records travel packed, many to a row.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,7 +44,7 @@ GRAM = 24                   # bytes of an anchor
 PIECE = 1 << 20             # window starts of a long text handled at once
 SLICE = 2 << 20             # text bytes handled at once
 PART_BYTES = 32 << 20       # text bytes per part of the anchor and suffix shuffles
-HEAVY_RUNS = 1 << 15        # runs of an anchor from which its windows are dealt one by one
+HEAVY_RUNS = 1 << 15        # runs of an anchor or core from which it is dealt by longer cores
 SAMPLE = 64                 # one text in this many is counted to find those anchors
 NO_ID = (1 << 63) - 1       # a null id counts as the largest
 
@@ -131,26 +135,82 @@ def _name(h: np.ndarray, parts: int) -> np.ndarray:
     return (_part(h, parts) << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _core_name(core: bytes) -> int:
+    from xxhash import xxh64_intdigest
+    return xxh64_intdigest(core) >> 1       # fits a long
+
+
+def cores(run: bytes, off: int, gram: int, depth: int, heavy=None):
+    """(first window, last window, name of the core) of the stretches that a heavy run falls into.
+
+    With ``heavy`` (names) a stretch is split on while its core is heavy; the
+    core of a single window is the window. Without, every stretch on the way
+    down is given, but for single windows.
+    """
+    left = [(0, len(run) - depth, off, off + gram)]
+    while left:
+        lo, hi, a, b = left.pop()
+        more = (depth - (b - a) + 1) // 2
+        cut = max(lo, b + more - depth)     # from here on a window has ``more`` bytes right of the core
+        for first, last, c, d in ((cut, hi, a, b + more), (lo, min(hi, cut - 1), a - more, b)):
+            if first > last:
+                continue
+            if d - c == depth:
+                if heavy is not None:
+                    yield first, last, _core_name(run[c:d])
+                continue
+            name = _core_name(run[c:d])
+            if heavy is None or name not in heavy:
+                yield first, last, name
+            if heavy is None or name in heavy:
+                left.append((first, last, c, d))
+
+
+def _counted(rows: DataFrame, least: int, share: int) -> DataFrame:
+    """Names of (key, name, n) that come about ``least`` times or more in all, with the count in the sample."""
+    return (rows.groupBy("key", "name").agg(F.max("n").alias("n")).groupBy("name").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") * share >= least))
+
+
 def _heavy_anchors(texts: DataFrame, parts: int, depth: int, gram: int, least: int, share: int):
-    """(sorted names, parts for their windows) of the anchors with about ``least`` runs or more.
+    """(sorted names of the heavy anchors, names of the heavy cores, parts for the runs of both).
 
-    Counted over one distinct text in ``share``. A name missed or taken in
-    error changes where windows meet, never what is found.
+    Counted over one distinct text in ``share``; there are at most as many as
+    there are runs over ``least``.
     """
-    def count(batches):
+    sample = texts.filter(F.pmod("key", F.lit(share)) == 0)
+
+    def rows(keys, names):
         import pyarrow as pa
+        both, n = np.unique(np.stack([keys, names], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))],
+                                          names=["key", "name", "n"])
+
+    def count(batches):
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for _, (_, _, _, h), rows, _ in _slices(batch, 0, depth, gram):
-                both, n = np.unique(np.stack([rows, _name(h, parts)], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[both[:, 0]]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))],
-                    names=["key", "name", "n"])
-    found = (texts.filter(F.pmod("key", F.lit(share)) == 0).mapInArrow(count, "key long, name long, n long")
-             .groupBy("key", "name").agg(F.max("n").alias("n")).groupBy("name").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") * share >= least).collect())
-    size = sum(r["n"] for r in found) * share * (depth - gram + 1) * 2 * depth
-    return np.array(sorted(r["name"] for r in found), np.int64), max(1, -(-size // PART_BYTES))
+            for _, (_, _, _, h), row, _ in _slices(batch, 0, depth, gram):
+                yield rows(keys[row], _name(h, parts))
+    found = _counted(sample.mapInArrow(count, "key long, name long, n long"), least, share).collect()
+    heavy = np.array(sorted(r["name"] for r in found), np.int64)
+    more = max(1, -(-sum(r["n"] for r in found) * share * 4 * depth // PART_BYTES))
+    if not len(heavy):
+        return heavy, frozenset(), more
+
+    def count_cores(batches):
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for data, (first, last, anchor, h), row, _ in _slices(batch, 0, depth, gram):
+                at, names = [], []
+                for r in np.flatnonzero(np.isin(_name(h, parts), heavy)).tolist():
+                    run = data[first[r]:last[r] + depth]
+                    own = [c for _, _, c in cores(run, int(anchor[r] - first[r]), gram, depth)]
+                    at += [keys[row[r]]] * len(own)
+                    names += own
+                if at:
+                    yield rows(np.array(at, np.int64), np.array(names, np.int64))
+    inner = _counted(sample.mapInArrow(count_cores, "key long, name long, n long"), least, share)
+    return heavy, frozenset(r["name"] for r in inner.collect()), more
 
 
 def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray) -> DataFrame:
@@ -323,8 +383,9 @@ def _repeats(rows, depth: int, gram: int):
     return name[order], [start[order], end[order]]
 
 
-def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int) -> DataFrame:
-    """Packed runs by part; windows of ``heavy`` anchors one by one, over ``more`` parts of their own.
+def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int,
+                 heavy_cores: frozenset = frozenset()) -> DataFrame:
+    """Packed runs by part; those of ``heavy`` anchors by their ``cores``, over ``more`` parts of their own.
 
     ``texts`` has text, id, name and the names of shared anchors.
     """
@@ -346,7 +407,7 @@ def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.
                 by_part: dict[int, list] = {}
                 part = _part(h, parts)
                 wide = np.isin(_name(h, parts), heavy)
-                single: dict[bytes, list] = {}
+                dealt: dict[tuple[int, int, bytes], list] = {}
                 gone = []
                 for (off, run), records in same.items():
                     least = min(ids[rows[r]] for r in records)
@@ -355,18 +416,18 @@ def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.
                         if ids[row] > least:
                             gone.append((names[row], place[r], place[r] + len(run)))
                         elif wide[r]:
-                            for k in range(len(run) - depth + 1):
-                                single.setdefault(run[k:k + depth], []).append(
-                                    (ids[row], names[row], place[r] + k, off - k))
+                            for lo, hi, core in cores(run, off, gram, depth, heavy_cores):
+                                dealt.setdefault((core, off - lo, run[lo:hi + depth]), []).append(
+                                    (ids[row], names[row], place[r] + lo))
                         else:
                             by_part.setdefault(int(part[r]), []).append((ids[row], names[row], place[r], off, run))
-                for window, records in single.items():
+                for (core, shift, piece), records in dealt.items():
                     least = min(x[0] for x in records)
                     for x in records:
                         if x[0] > least:
-                            gone.append((x[1], x[2], x[2] + depth))
+                            gone.append((x[1], x[2], x[2] + len(piece)))
                         else:
-                            by_part.setdefault(parts + zlib.crc32(window) % more, []).append((*x, window))
+                            by_part.setdefault(parts + core % more, []).append((*x, shift, piece))
                 out = [(p, *(np.array([x[c] for x in v], np.int64).tobytes() for c in range(3)),
                         bytes(x[3] for x in v), np.array([len(x[4]) for x in v], np.uint32).tobytes(),
                         b"".join(x[4] for x in v)) for p, v in by_part.items()]
@@ -383,7 +444,8 @@ def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.
                                   "lengths binary, data binary")
 
 
-def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int) -> DataFrame:
+def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int,
+                  heavy_cores: frozenset) -> DataFrame:
     """(name, starts, ends) of removals; ``texts`` as for ``_packed_runs``."""
     def meet(part, rows):
         if part >= 0:
@@ -392,7 +454,7 @@ def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np
         order = np.argsort(name, kind="stable")
         return name[order], [start[order], end[order]]
 
-    rows = _packed_runs(texts, parts, depth, gram, heavy, more)
+    rows = _packed_runs(texts, parts, depth, gram, heavy, more, heavy_cores)
     return _by_part(rows, parts + (more if len(heavy) else 0), meet, "name long, starts array<bigint>, ends array<bigint>")
 
 
@@ -454,12 +516,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  .withColumn("name", F.monotonically_increasing_id()), "suffix-reps")
 
     keyed = src.select("text", F.xxhash64("text").alias("key"))
-    heavy, more = _heavy_anchors(keyed, parts, depth, gram, heavy_runs, sample)
+    heavy, heavy_cores, more = _heavy_anchors(keyed, parts, depth, gram, heavy_runs, sample)
     shared = _shared_anchors(keyed, parts, depth, gram, heavy)
     wanted = stage(reps.join(shared, "key").select("sha", F.col("rep").alias("id"), "name", "names"), "suffix-wanted")
     sha = F.sha2("text", 256)
     held = src.select("id", sha.alias("sha"), "text").join(wanted, ["id", "sha"]).select("text", "id", "name", "names")
-    spans = stage(_suffix_spans(held, parts, depth, gram, heavy, more).groupBy("name").agg(
+    spans = stage(_suffix_spans(held, parts, depth, gram, heavy, more, heavy_cores).groupBy("name").agg(
         F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "suffix-spans")
     cut = stage(spans.join(reps, "name").select("sha", F.col("rep").alias("id"), "name", "starts", "ends"), "suffix-cut")
     outcome = stage(_cut(src.select("id", sha.alias("sha"), "text").join(cut, ["id", "sha"])

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from llm.brute import brute_components
 
-from tabloom.llm import suffix_dedup
+from tabloom.llm import simhash, suffix_dedup
 from tabloom.llm.bk_tree import Forest, build
 from tabloom.llm.components import components
 from tabloom.llm.exact_dedup import exact_dedup
@@ -59,6 +59,26 @@ def test_simhash_keeps_one(docs, clashing, rows, empty):
     assert simhash_components(empty).count() == 0 and keep_one(empty).count() == 0
 
 
+def test_simhash_keeps_unlike_rows_of_one_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey")
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, a, "x"), (None, b, "x"), (None, "only here and nowhere else", "x"),
+            (None, "only here and nowhere else", "y"), (4, c, "x"), (2, c, "z"), (9, None, "x"), (8, "", "x")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, sha string"))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        [(1, a), (1, b), (2, c), (None, "only here and nowhere else"), (8, "")])
+
+
+def test_trees_are_broadcast_by_their_exploded_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(simhash, "bounded", lambda df, n, size: seen.append(n * size) or df)
+    fps = [(int(x),) for x in range(40)]        # one crowded shard, several trees
+    trees = simhash.shard_trees(spark.createDataFrame(fps, "fp long"), 4, 8).cache()
+    simhash.walk_trees(trees, 4)
+    rows = trees.collect()
+    assert any(r.n_trees > 1 for r in rows)
+    assert seen == [sum((160 + 16 * len(r.fps)) * (r.n_trees - r.tree) for r in rows)]
+
+
 def test_fingerprint_details():
     assert fingerprint(None) == 0 and fingerprint(b" \n ") == 0
     assert fingerprint(b"One TWO") == xxhash.xxh64_intdigest(b"one two", 42)
@@ -143,11 +163,11 @@ def test_suffix_dedup_deals_a_common_line(spark):
     text = [bytes(rng.choice(letters, 60)).decode() + line + bytes(rng.choice(letters, 60)).decode() for _ in range(1500)]
     docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
     src = docs.selectExpr("cast(text as binary) text", "doc_id id", "doc_id name", "xxhash64(text) key")
-    heavy, more = suffix_dedup._heavy_anchors(src.select("text", "key"), 8, 50, 24, 200, 4)
+    heavy, inner, more = suffix_dedup._heavy_anchors(src.select("text", "key"), 8, 50, 24, 200, 4)
     shared = suffix_dedup._shared_anchors(src.select("text", "key"), 8, 50, 24, heavy)
     held = src.join(shared, "key").select("text", "id", "name", "names")
     size = Counter()
-    for r in suffix_dedup._packed_runs(held, 8, 50, 24, heavy, 8).filter("part >= 0").collect():
+    for r in suffix_dedup._packed_runs(held, 8, 50, 24, heavy, 8, inner).filter("part >= 0").collect():
         size[r["part"]] += len(r["data"])
     assert len(heavy) and max(size.values()) < 0.25 * sum(size.values())
     cols = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -156,6 +176,20 @@ def test_suffix_dedup_deals_a_common_line(spark):
     assert Counter(map(tuple, got)) == brute_repeats(rows, 50)
 
 
+def test_cores_cover_every_window_once():
+    rng = np.random.default_rng(1)
+    for size, off in ((76, 26), (50, 0), (50, 26), (60, 12), (53, 5)):
+        run = bytes(rng.integers(97, 123, size, dtype=np.uint8))
+        every = [c for _, _, c in suffix_dedup.cores(run, off, 24, 50)]
+        for heavy in (set(), set(every), set(every[::2]), set(every[:1])):
+            found = list(suffix_dedup.cores(run, off, 24, 50, heavy))
+            assert sorted(k for a, b, _ in found for k in range(a, b + 1)) == list(range(size - 49))
+            assert not heavy & {c for _, _, c in found} or any(a == b for a, b, _ in found)
+        if size == 76:      # two stretches unless a core is heavy, single windows if all are
+            assert len(list(suffix_dedup.cores(run, off, 24, 50, set()))) == 2
+            assert len(list(suffix_dedup.cores(run, off, 24, 50, set(every)))) == 27
+
+
 def test_runs_and_radix_groups():
     rng = np.random.default_rng(5)
     text = bytes(rng.integers(97, 99, 600, dtype=np.uint8)) * 2
