@@ -186,7 +186,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told apart by their texts: of several in one component the smallest by
     the SHA-256 of its text stays, and of rows equal in id and text any one.
     """
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sha.alias("sha"))
     kind = T.StructType([T.StructField("fp", T.LongType())])
     rows = stage(map_texts(src, "text", ["id", "sha"], lambda: lambda texts: (
