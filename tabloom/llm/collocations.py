@@ -179,7 +179,7 @@ def _with_counts(phrases: DataFrame, names: dict[str, Column], counts: DataFrame
     """Add one count per part: ``names`` maps the new column to the part; ``counts`` is (lang, phrase, f) of ``size`` rows."""
     for name, part in names.items():
         side = bounded(counts.select(F.col("lang").alias("lang_"), F.col("phrase").alias("part_"),
-                                     F.col("f").alias(name)), size, 64)
+                                     F.col("f").alias(name)), size, 128)
         phrases = phrases.join(side, (F.col("lang") == F.col("lang_")) & (part == F.col("part_"))).drop("lang_", "part_")
     return phrases
 
