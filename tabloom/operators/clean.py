@@ -261,13 +261,23 @@ def clean_table(df: DataFrame, target: str | None, threshold: float = DROP_MISSI
 
 
 def cleaning_report_frame(spark, report: dict) -> DataFrame:
-    """One-row table of the report counts and column lists."""
+    """The whole report as one row: counts, column lists, settings, and the bounds
+    (4 decimals) and number of values of the clipped columns, in the order of ``columns_clipped``."""
+    clipped = sorted(report["columns_clipped"])
+    bounds = [report["clip_bounds"][c] for c in clipped]
+    strategy = report["imputation_strategy"]
     return spark.createDataFrame(
         [(report["rows_before"], report["rows_after"], report["rows_dropped"],
           report["duplicates_removed"], report["target_missing_dropped"],
+          report["columns_before"], report["columns_after"],
           report["columns_dropped"], report["columns_imputed_numeric"],
-          report["columns_imputed_categorical"], report["columns_clipped"])],
+          report["columns_imputed_categorical"], clipped,
+          [round(float(b["lower"]), 4) for b in bounds], [round(float(b["upper"]), 4) for b in bounds],
+          [b["n_clipped"] for b in bounds], float(report["drop_missing_threshold"]), float(report["iqr_multiplier"]),
+          strategy["numeric"], strategy["categorical"])],
         "rows_before BIGINT, rows_after BIGINT, rows_dropped BIGINT, duplicates_removed BIGINT, "
-        "target_missing_dropped BIGINT, columns_dropped ARRAY<STRING>, "
+        "target_missing_dropped BIGINT, columns_before ARRAY<STRING>, columns_after ARRAY<STRING>, "
+        "columns_dropped ARRAY<STRING>, "
         "columns_imputed_numeric ARRAY<STRING>, columns_imputed_categorical ARRAY<STRING>, "
-        "columns_clipped ARRAY<STRING>")
+        "columns_clipped ARRAY<STRING>, clip_lower ARRAY<DOUBLE>, clip_upper ARRAY<DOUBLE>, clip_n ARRAY<BIGINT>, "
+        "drop_missing_threshold DOUBLE, iqr_multiplier DOUBLE, imputation_numeric STRING, imputation_categorical STRING")

@@ -167,12 +167,24 @@ def run_outcome(run_events: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == FAILED).alias("n_errors"))
 
 
-def registration_row(df: DataFrame, name: str) -> DataFrame:
-    """Dataset registration: ``(name, n_rows, n_cols, columns)`` where
-    columns lists ``name:label`` in table order; see
-    :func:`tabloom.sources.csv_ingest.dataset_name` for the name of a file."""
+def registration_row(df: DataFrame, name: str | None = None, source: str | None = None) -> DataFrame:
+    """Dataset registration: ``(name, n_rows, n_cols, columns)`` where columns lists ``name:label`` in table order.
+
+    With the ``source`` folder or file also ``file_path`` and ``n_bytes`` (the
+    size of its files, not read); the name is then the file's stem unless given.
+    """
     from tabloom.functions.columns import column_labels
+    from tabloom.sources.csv_ingest import dataset_name
     labels = [f"{c}:{t}" for c, t in column_labels(df).items()]
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+    if name is None:
+        if source is None:
+            raise ValueError("a table without a source needs a name")
+        name = dataset_name(source)[0]
+    out = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"),
         F.array(*[F.lit(x) for x in labels]).alias("columns"))
+    if source is None:
+        return out
+    size = (df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+            .select("length").agg(F.coalesce(F.sum("length"), F.lit(0).cast("long"))).first()[0])
+    return out.withColumns({"file_path": F.lit(source), "n_bytes": F.lit(size).cast("long")})

@@ -179,7 +179,13 @@ SELECT (SELECT count(*) FROM dirty) AS rows_before, (SELECT count(*) FROM d5) AS
   ['sparse'] AS columns_dropped, ['price'] AS columns_imputed_numeric,
   ['flag'] AS columns_imputed_categorical,
   (SELECT list("column" ORDER BY "column") FROM bnd JOIN cnt USING ("column")
-   WHERE iqr <> 0 AND n > 0) AS columns_clipped""")
+   WHERE iqr <> 0 AND n > 0) AS columns_clipped,
+  (SELECT list(round(lower, 4) ORDER BY "column") FROM bnd JOIN cnt USING ("column") WHERE iqr <> 0 AND n > 0) AS clip_lower,
+  (SELECT list(round(upper, 4) ORDER BY "column") FROM bnd JOIN cnt USING ("column") WHERE iqr <> 0 AND n > 0) AS clip_upper,
+  (SELECT list(n ORDER BY "column") FROM bnd JOIN cnt USING ("column") WHERE iqr <> 0 AND n > 0) AS clip_n,
+  """ + f"{DIRTY_COLS} AS columns_before, {[c for c in DIRTY_COLS if c != 'sparse']} AS columns_after" + """,
+  0.6::DOUBLE AS drop_missing_threshold, 3.0::DOUBLE AS iqr_multiplier, 'median' AS imputation_numeric,
+  'mode_or_constant' AS imputation_categorical""")
 
 
 # ── features ─────────────────────────────────────────────────────────────────
@@ -300,7 +306,16 @@ e AS (SELECT count(*) FILTER (WHERE d <= 10) AS ord, count(*) FILTER (WHERE d >
 n AS (SELECT count(*) AS nums, count(*) FILTER (WHERE flat) AS flats FROM v)
 SELECT CAST(ord + hot + nums AS INTEGER) AS features_before, CAST(ord + dummies + nums - flats AS INTEGER) AS features_after,
   CAST(flats AS INTEGER) AS n_low_variance, CAST(ord + dummies + nums AS INTEGER) AS n_scaled,
-  CAST(ord AS INTEGER) AS n_ordinal, CAST(hot AS INTEGER) AS n_one_hot FROM e, n""")
+  CAST(ord AS INTEGER) AS n_ordinal, CAST(hot AS INTEGER) AS n_one_hot,
+  coalesce((SELECT list(c ORDER BY c) FROM v WHERE flat), []) AS dropped_low_variance,
+  list_sort(list_concat((SELECT list(c) FROM t WHERE d <= 10), (SELECT list(c) FROM v),
+    """ + f"{[f'n_name_{v}' for v in NATION_LEVELS]}" + """)) AS numeric_scaled,
+  (SELECT list(c ORDER BY c) FROM t WHERE d <= 10) AS ordinal_encoded,
+  (SELECT list(c ORDER BY c) FROM t WHERE d > 10) AS one_hot_encoded,
+  (SELECT list(feature ORDER BY rk) FROM (""" + MI_CLS + """) WHERE rk <= 20) AS features_selected,
+  (SELECT list(mi ORDER BY rk) FROM (""" + MI_CLS + """) WHERE rk <= 20) AS mi_scores,
+  CAST(20 AS INTEGER) AS top_k, CAST(10 AS INTEGER) AS ordinal_cardinality_threshold, 'classification' AS task_type
+FROM e, n""")
 
 
 # ── split, metrics, ranking ──────────────────────────────────────────────────

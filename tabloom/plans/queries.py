@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.columns import col
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
                                select, models,
                                runlog, split)
@@ -285,14 +286,26 @@ def q_select_top_features(spark, sf):
     return select.select_top_features(_mi(spark, sf, "o_orderstatus", True), 10)
 
 
+FEATURE_COUNTS = ["features_before", "features_after", "n_low_variance", "n_scaled", "n_ordinal", "n_one_hot"]
+
+
 @register("feature_report")
 def q_feature_report(spark, sf):
-    of, fm = _features(spark, sf)
+    """Counts, lists (sorted), settings, and the selected features with their scores, best first."""
+    of = cut_lineage(order_features(spark, sf))
+    fm = encode.fit_features(of, "o_orderstatus", id_cols=ID)
+    feats = fm.feature_columns
+    scores = select.mutual_information(fm.encode(of), feats, "o_orderstatus", True,
+                                       fill={c: fm.scaler[c][0] for c in feats if c in fm.scaler})
+    best = select.select_top_features(scores).orderBy("rk").collect()       # at most top_k rows
     return spark.createDataFrame([(
-        len(fm.features_before), len(fm.feature_columns), len(fm.low_variance), len(fm.scaler),
-        len(fm.ordinal), len(fm.one_hot))],
-        "features_before INT, features_after INT, n_low_variance INT, n_scaled INT, "
-        "n_ordinal INT, n_one_hot INT")
+        len(fm.features_before), len(feats), len(fm.low_variance), len(fm.scaler), len(fm.ordinal), len(fm.one_hot),
+        sorted(fm.low_variance), sorted(fm.scaler), sorted(fm.ordinal), sorted(fm.one_hot),
+        [r["feature"] for r in best], [r["mi"] for r in best], select.DEFAULT_TOP_K,
+        encode.ORDINAL_CARDINALITY_THRESHOLD, profile.detect_task_type(of, "o_orderstatus"))],
+        ", ".join(f"{c} INT" for c in FEATURE_COUNTS) + ", dropped_low_variance ARRAY<STRING>, numeric_scaled ARRAY<STRING>, "
+        "ordinal_encoded ARRAY<STRING>, one_hot_encoded ARRAY<STRING>, features_selected ARRAY<STRING>, "
+        "mi_scores ARRAY<DOUBLE>, top_k INT, ordinal_cardinality_threshold INT, task_type STRING")
 
 
 # ── split, metrics, ranking ──────────────────────────────────────────────────
@@ -570,7 +583,7 @@ def q_report_sections(spark, sf):
         report.section(report.QUALITY, profile.missing_report(d), F.col("column"), F.format_string("%.2f", "pct")),
         report.fields(report.CLEANING, q_cleaning_report(spark, sf), [
             "rows_before", "rows_after", "rows_dropped", "duplicates_removed", "target_missing_dropped"]),
-        report.fields(report.FEATURES, f := q_feature_report(spark, sf), f.columns),
+        report.fields(report.FEATURES, q_feature_report(spark, sf), FEATURE_COUNTS),
         report.section(report.TRAINING, metrics.pure_metrics(scores), F.concat_ws(":", "model", "metric"), value),
         report.section(report.LEADERBOARD, ranked, F.concat_ws(":", F.col("rk").cast("string"), "model"),
                        F.format_string("%.4f", "primary_score")),
