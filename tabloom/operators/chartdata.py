@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import long_form, sql_finite
+from tabloom.functions.heavy_hitters import top_counts
 from tabloom.functions.quantiles import column_quantiles
-from tabloom.functions.ranking import top_k_per_group
-from tabloom.operators.profile import correlation_matrix, value_counts
+from tabloom.operators.profile import correlation_matrix
 
 # Fixed values of the reference behaviour.
 HIST_BINS = 30
@@ -135,8 +135,7 @@ def box_stats(df: DataFrame, columns: list[str], whisker: float = BOX_WHISKER) -
 
 def category_bars(df: DataFrame, columns: list[str], k: int = BAR_TOP) -> DataFrame:
     """``(column, value, n, rk)``: the k most frequent values per column."""
-    vc = value_counts(df, columns)
-    return top_k_per_group(vc, ["column"], [F.desc("n"), F.asc("value")], k, salt_on=F.col("value"))
+    return top_counts(df, columns, k)
 
 
 def corr_lower_triangle(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import (NUMERIC, chunks, col, column_labels, is_float_type,
                                        is_missing, long_form, q, sql_clean, sql_finite, sql_lit)
+from tabloom.functions.heavy_hitters import top_counts
 from tabloom.functions.quantiles import column_quantiles, quantiles_frame
-from tabloom.functions.ranking import top_k_per_group
 
 # Fixed values of the reference behaviour.
 CLASSIFICATION_MAX_DISTINCT = 20   # numeric target with <= 20 distinct -> classification
@@ -131,9 +131,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VAL
     """
     labels = column_labels(df)
     columns = columns or [c for c, t in labels.items() if t != NUMERIC]
-    vc = value_counts(df, columns)
-    return top_k_per_group(vc, ["column"], [F.desc("n"), F.asc("value")], k,
-                           salt_on=F.col("value"))
+    return top_counts(df, columns, k)
 
 
 def _cross_products(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -34,7 +34,8 @@ DEFAULT_CONFIG = {
                             "ordinal_cardinality_threshold": encode.ORDINAL_CARDINALITY_THRESHOLD,
                             "drop_low_variance": True, "feature_selection": True,
                             "mi_estimator": "neighbours"},      # or "bins"
-    "training": {"models": None, "forest_depth": models.FOREST_DEPTH},
+    "training": {"models": None, "forest_depth": models.FOREST_DEPTH,
+                 "limit_seconds": None},      # per model
 }
 TASKS = ("classification", "regression")
 KEY = "_row_key"
@@ -249,7 +250,7 @@ def run_experiment(df: DataFrame, target: str, task_type: str | None = None,
         names = cfg["training"]["models"] or profile.DEFAULT_MODELS[res.task_type]
         res.trained, res.model_errors = models.train_all(
             names, train, test, feats, "_label", res.task_type, n_classes,
-            cfg["training"]["forest_depth"])
+            cfg["training"]["forest_depth"], limit_seconds=cfg["training"]["limit_seconds"])
         res.metrics = models.metrics_table(res.trained)
         if output_root:
             for t in res.trained:
