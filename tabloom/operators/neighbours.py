@@ -113,8 +113,12 @@ def _parts(spark, rows: int) -> int:
 EVENT = "axis int, v double, kind int, f int, id long"      # kind 0: how many < v; 1: a value; 2: how many <= v
 
 
-def near_counts(events: DataFrame, n_events: int) -> DataFrame:
-    """(f, id, side, m): values strictly between the two ends that (f, id) asks for on an axis; side 0 if axis is f."""
+def near_counts(events: DataFrame, n_events: int) -> dict:
+    """(f, side) -> (rows, sum of digamma(m)): m is how many values lie strictly between the two ends that
+    (f, id) asks for on an axis; side 0 if the axis is f.
+
+    Most pairs of ends meet in their partition; only the others are shuffled.
+    """
     spark = events.sparkSession
     placed = cut_lineage(events.repartitionByRange(_parts(spark, n_events), "axis", "v", "kind")
                          .sortWithinPartitions("axis", "v", "kind").withColumn("part", F.spark_partition_id()))
@@ -143,11 +147,27 @@ def near_counts(events: DataFrame, n_events: int) -> DataFrame:
             offset[k] = later[0] if later else sums.get(int(a), 0)
         size = np.diff(np.r_[start, len(axis)])
         rank = run - np.repeat(run[start] - (kind[start] == 1), size) + np.repeat(offset, size)
-        asked = kind != 1
+        asked = np.flatnonzero(kind != 1)
+        f, id_, side, m = f[asked], id_[asked], (axis != f)[asked].astype(np.int32), np.where(kind == 0, rank, -rank)[asked]
+        by = np.lexsort((id_, side, f))
+        f, id_, side, m = f[by], id_[by], side[by], m[by]
+        pair = np.flatnonzero((f[1:] == f[:-1]) & (side[1:] == side[:-1]) & (id_[1:] == id_[:-1])) if len(f) else np.zeros(0, int)
+        alone = np.ones(len(f), bool)
+        alone[pair] = alone[pair + 1] = False
+        d = digamma(np.maximum(m[pair] + m[pair + 1], 1))
+        at = np.flatnonzero(np.r_[True, (f[pair][1:] != f[pair][:-1]) | (side[pair][1:] != side[pair][:-1])]) if len(pair) else pair
+        n = len(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(f[asked]), pa.array(id_[asked]), pa.array((axis != f)[asked].astype(np.int32)),
-             pa.array(np.where(kind == 0, rank, -rank)[asked])], names=["f", "id", "side", "m"])
-    return placed.mapInArrow(count, "f int, id long, side int, m long").groupBy("f", "id", "side").agg(F.sum("m").alias("m"))
+            [pa.array(np.r_[f[pair][at], f[alone]]), pa.array([None] * n + id_[alone].tolist(), pa.int64()),
+             pa.array(np.r_[side[pair][at], side[alone]]),
+             pa.array(np.r_[np.diff(np.r_[at, len(pair)]), m[alone]].astype(np.int64)),
+             pa.array(np.r_[np.add.reduceat(d, at) if n else d, np.zeros(int(alone.sum()))])], names=["f", "id", "side", "m", "d"])
+    found = cut_lineage(placed.mapInArrow(count, "f int, id long, side int, m long, d double"))
+    out = _mean_digamma(found.where("id IS NOT NULL").groupBy("f", "id", "side").agg(F.sum("m").alias("m")))
+    for r in found.where("id IS NULL").groupBy("f", "side").agg(F.sum("m").alias("n"), F.sum("d").alias("d")).collect():
+        n, d = out.get((r["f"], r["side"]), (0, 0.0))
+        out[r["f"], r["side"]] = (n + r["n"], d + r["d"])
+    return out
 
 
 def _events(axis, v_points, lo, hi, f, ids, points: bool):
@@ -240,7 +260,7 @@ def _class_scores(rows: DataFrame, n_features: int, k: int) -> dict[int, float]:
     found = cut_lineage(placed.mapInArrow(radii, EVENT + ", size long, k long"))
     terms = _mean_digamma(found.where("kind = 1").selectExpr("f", "0 AS side", "size AS m").union(
         found.where("kind = 1").selectExpr("f", "1 AS side", "k AS m")))
-    near = _mean_digamma(near_counts(found.drop("size", "k"), 3 * n * n_features))
+    near = near_counts(found.drop("size", "k"), 3 * n * n_features)
     out = {}
     for j in range(n_features):
         if (j, 0) in near:
@@ -407,7 +427,7 @@ def _number_scores(rows: DataFrame, n_features: int, k: int, unit_rows: int) ->
             yield _events(np.full(len(f), n_features), y, *_ends(y, r), f, ids, False)
     targets = rows.selectExpr(f"{n_features} AS axis", "y AS v", "1 AS kind", f"{n_features} AS f", "id")
     everything = radius.select("f", "id", "x", "y", "r").mapInArrow(events, EVENT).union(targets)
-    near = _mean_digamma(near_counts(everything, n * (5 * n_features + 1)))
+    near = near_counts(everything, n * (5 * n_features + 1))
     base = float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0])
     return {j: max(0.0, base - (near[j, 0][1] + near[j, 1][1]) / n) for j in range(n_features)}
 
