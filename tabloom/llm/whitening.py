@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix
+from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,7 @@ from tabloom.llm.shared import stage
 GRID = 64
 OFFSET = 1_000_000
 COMPONENTS = 32
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 BLOCK_COLS = 1024
 SPLIT_BYTES = 64 << 20          # row bytes of one split of the scatter's middle dimension
 MAX_ENTRY = float(1 << 49)      # a larger entry has no exact place on the grid and counts as not finite
@@ -91,17 +94,36 @@ def _column_sums(blocks: DataFrame, value, width: int, kind: str) -> list:
     return out
 
 
-def _block_matrix(blocks: DataFrame, offsets: dict[int, int], centre: np.ndarray, rows: int, n_blocks: int) -> BlockMatrix:
-    """The centred rows as a block matrix; a task's last block is filled up with zero rows."""
+def _rows_of(blocks: DataFrame, offsets: dict[int, int], rows: int, make, kind: T.StructType) -> DataFrame:
+    """One row per vector of ``blocks``: ``make(ids, x)`` gives the Arrow columns after the vector's index.
+
+    Only the last block of a task may hold less than ``rows`` vectors.
+    """
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        schema = to_arrow_schema(kind)
+        for batch in batches:
+            for part, k, ids, x in zip(*batch.columns):
+                x = np.frombuffer(x.as_py(), np.int64).reshape(len(ids), -1)
+                first = offsets[part.as_py()] + k.as_py() * rows
+                cols = [pa.array(np.arange(first, first + len(ids))), *make(ids.values, x)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+    return blocks.mapInArrow(run, kind)
+
+
+def _block_matrix(blocks: DataFrame, offsets, centre: np.ndarray, n: int, rows: int) -> BlockMatrix:
+    """The centred rows, indexed, as a block matrix."""
+    import pyarrow as pa
     d = len(centre)
 
-    def cut(row):
-        y = np.frombuffer(row["x"], np.int64).reshape(-1, d) - centre
-        y = np.concatenate([y, np.zeros((rows - len(y), d), np.int64)]).astype(float)
-        for j in range(0, d, BLOCK_COLS):
-            part = y[:, j:j + BLOCK_COLS]
-            yield (offsets[row["part"]] + row["k"], j // BLOCK_COLS), DenseMatrix(rows, part.shape[1], part.ravel("F"))
-    return BlockMatrix(blocks.select("part", "k", "x").rdd.flatMap(cut), rows, min(d, BLOCK_COLS), n_blocks * rows, d)
+    def centred(ids, x):
+        at = pa.array(np.arange(0, x.size + 1, d, dtype=np.int32))
+        return [pa.ListArray.from_arrays(at, pa.array((x - centre).astype(float).ravel()))]
+    kind = T.StructType([T.StructField("index", T.LongType()), T.StructField("y", T.ArrayType(T.DoubleType()))])
+    table = _rows_of(blocks, offsets, rows, centred, kind).select("index", array_to_vector("y").alias("vector"))
+    table = MLUtils.convertVectorColumnsFromML(table, "vector")
+    return IndexedRowMatrix(table, n, d).toBlockMatrix(rows, min(d, BLOCK_COLS))
 
 
 def _scatter(matrix: BlockMatrix, size: int) -> np.ndarray:
@@ -152,76 +174,61 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     spark = vectors.sparkSession
     good, d = usable(vectors, id_col, vector_col)
     blocks = grid_blocks(good, d, rows)
-    parts = {r["part"]: r for r in blocks.groupBy("part").agg(
-        F.count("*").alias("blocks"), F.sum(F.size("ids")).alias("rows"), F.max(F.size("ids")).alias("most")).collect()}
-    n, n_blocks = sum(r["rows"] for r in parts.values()), sum(r["blocks"] for r in parts.values())
-    kind = T.StructType([
-        T.StructField("id", good.schema["id"].dataType), T.StructField("component", T.IntegerType()),
-        T.StructField("n", T.LongType()), T.StructField("deviation", T.DecimalType(38, 0)),
-        T.StructField("whitened", T.DoubleType()), T.StructField("explained", T.DoubleType()),
-        T.StructField("identity_error", T.DoubleType())])
+    parts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    n = sum(parts.values())
+    id_kind = good.schema["id"].dataType
     if not n:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("id", id_kind), T.StructField("component", T.IntegerType()), T.StructField("n", T.LongType()),
+            T.StructField("deviation", T.DecimalType(38, 0)), T.StructField("whitened", T.DoubleType()),
+            T.StructField("explained", T.DoubleType()), T.StructField("identity_error", T.DoubleType())]))
     offsets, at = {}, 0
     for p in sorted(parts):
-        offsets[p], at = at, at + parts[p]["blocks"]
+        offsets[p], at = at, at + parts[p]
 
     sums = [int(s) for s in _column_sums(blocks.select("x"), lambda x: np.frombuffer(x, np.int64).reshape(-1, d).sum(axis=0),
                                          d, "decimal(38,0)" if n > 1 << 30 else "long")]
     centre = np.array([(2 * s + n) // (2 * n) for s in sums], np.int64)
-    matrix = _block_matrix(blocks, offsets, centre, max(r["most"] for r in parts.values()), n_blocks)
+    matrix = _block_matrix(blocks, offsets, centre, n, rows)
     weights, shift, explained = principal(_scatter(matrix, n * d * 8), sums, centre, n, components)
     k, flat = weights.shape[1], np.nan_to_num(weights)
 
     steps = [((j // BLOCK_COLS, 0), DenseMatrix(len(flat[j:j + BLOCK_COLS]), k, flat[j:j + BLOCK_COLS].ravel("F")))
              for j in range(0, d, BLOCK_COLS)]
     projected = matrix.multiply(BlockMatrix(spark.sparkContext.parallelize(steps, 1), matrix.colsPerBlock, k, d, k))
-    zero = np.nan_to_num(shift)
-    z = spark.createDataFrame(projected.blocks.map(lambda b: (b[0][0], (b[1].toArray() - zero).tobytes())),
-                              "block int, z binary")
+    # Rows stay in the JVM: index and vector as a table, not as Python objects.
+    z = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    less = F.array(*[F.lit(float(v)) for v in np.nan_to_num(shift)])
+    z = z.select("index", F.zip_with(vector_to_array("vector"), less, lambda a, b: a - b).alias("z"))
 
-    def describe(batches):
+    def described(ids, x):
         import pyarrow as pa
-        for batch in batches:
-            for part, number, ids, x in zip(*batch.columns):
-                dev = _deviations(np.frombuffer(x.as_py(), np.int64).reshape(-1, d), sums, n)
-                dev = pa.array([v if v < 10 ** 38 else None for v in dev], pa.decimal128(38, 0))
-                one = pa.array([0, len(dev)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([offsets[part.as_py()] + number.as_py()], pa.int32()),
-                     pa.ListArray.from_arrays(one, ids.values), pa.ListArray.from_arrays(one, dev)],
-                    names=["block", "ids", "deviations"])
-    about = blocks.mapInArrow(describe, T.StructType([
-        T.StructField("block", T.IntegerType()), blocks.schema["ids"],
-        T.StructField("deviations", T.ArrayType(T.DecimalType(38, 0)))]))
-    joined = stage(about.join(z, "block").select(
-        "ids", "deviations", F.expr(f"substring(z, 1, size(ids) * {8 * k})").alias("z")), "whitened")
+        return [ids, pa.array([v if v < 10 ** 38 else None for v in _deviations(x, sums, n)], pa.decimal128(38, 0))]
+    about = _rows_of(blocks, offsets, rows, described, T.StructType([
+        T.StructField("index", T.LongType()), T.StructField("id", id_kind), T.StructField("deviation", T.DecimalType(38, 0))]))
+    joined = stage(about.join(z, "index").select("id", "deviation", "z"), "whitened")
 
     real = np.flatnonzero(~np.isnan(weights).any(axis=0))
-
-    def moments(raw):
-        x = np.frombuffer(raw).reshape(-1, k)[:, real]
-        return np.r_[x.sum(axis=0), (x.T @ x).ravel()]
     m = len(real)
-    total = np.array(_column_sums(joined.select("z"), moments, m + m * m, "double")) / n
-    error = total[m:].reshape(m, m) - np.outer(total[:m], total[:m]) - np.eye(m)
-    error = float(np.abs(error).max()) if m else None
 
-    def unfold(batches):
+    def moments(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        schema = to_arrow_schema(kind)
-        void = np.setdiff1d(np.arange(k), real)
         for batch in batches:
-            for ids, dev, raw in zip(*batch.columns):
-                x = np.frombuffer(raw.as_py()).reshape(-1, k).copy()
-                x[:, void] = np.nan
-                rep, size = pa.array(np.repeat(np.arange(len(x)), k)), x.size
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values.take(rep).cast(schema.field("id").type), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))),
-                     pa.array(np.full(size, n, np.int64)), dev.values.take(rep), pa.array(x.ravel(), from_pandas=True),
-                     pa.array(np.tile(explained, len(x))), pa.array([error] * size, pa.float64())], schema=schema)
-    return joined.mapInArrow(unfold, kind)
+            x = batch.column(0).flatten().to_numpy().reshape(-1, k)[:, real]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m + m * m)), pa.array(np.r_[x.sum(axis=0), (x.T @ x).ravel()])],
+                                             names=["at", "v"])
+    total = np.zeros(m + m * m)
+    for r in joined.select("z").mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        total[r["at"]] = r["v"] / n
+    error = total[m:].reshape(m, m) - np.outer(total[:m], total[:m]) - np.eye(m)
+    error = float(np.abs(error).max()) if m else None
+    # Literal per component: its number, share, and whether it has a variance at all.
+    there = F.array(*[F.lit(bool(j in real)) for j in range(k)])
+    shares = F.array(*[F.lit(float(v)) for v in explained])
+    return joined.select("id", "deviation", F.posexplode("z").alias("at", "z")).select(
+        "id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation",
+        F.when(F.get(there, F.col("at")), F.col("z")).alias("whitened"), F.get(shares, F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"))
 
 
 def op11_whitening(spark, sf_dir: str) -> DataFrame:
