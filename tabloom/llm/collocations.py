@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.ranking import top_k_per_group
-from tabloom.llm.shared import bounded, stage
+from tabloom.llm.shared import bounded, stage, text_slices
 
 TOP = 2000
 MIN_COUNT = 10
 DISPLACE = 50               # percent of a pair's occurrences that a longer phrase must have to displace it
 SCALE = 1_000_000
 CHUNK = 2 << 20             # text bytes counted at once
+SLICE = 8 << 20             # text bytes of a batch sorted by language at once
 MAX_SLOTS = 1 << 25         # bytes of the flag table at most
 BLOCK_SLOTS = 1 << 16       # slots put together in one task
 FIRST_BATCH, WIDER = 1.5, 4  # pairs at the first level per phrase wanted, and how much each batch widens that
@@ -99,6 +100,17 @@ def _grow(lang: str, tokens: list[bytes], k: int, flags: np.ndarray | None):
     return (parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")), count.astype(np.int64)
 
 
+def _by_language(batch):
+    """(language, its texts joined by separators) of a batch, slice by slice."""
+    import pyarrow as pa
+    for lo, n in text_slices(batch.column(1), SLICE):
+        part = batch.slice(lo, n)
+        column = part.column(0).dictionary_encode()
+        for i, lang in enumerate(column.dictionary.to_pylist()):
+            rows = np.flatnonzero(column.indices.to_numpy() == i)
+            yield lang, b".".join(x for x in part.column(1).take(pa.array(rows)).to_pylist() if x)
+
+
 def count_phrases(texts: DataFrame, k: int, flags=None, limit: int = CHUNK) -> DataFrame:
     """(lang, phrase, f) of the open k-word phrases of ``texts`` (lang, text as binary).
 
@@ -108,10 +120,7 @@ def count_phrases(texts: DataFrame, k: int, flags=None, limit: int = CHUNK) -> D
         import pyarrow as pa
         table = np.frombuffer(flags.value, np.uint8) if flags is not None else None
         for batch in batches:
-            column = batch.column(0).dictionary_encode()
-            for i, lang in enumerate(column.dictionary.to_pylist()):
-                rows = np.flatnonzero(column.indices.to_numpy() == i)
-                data = b".".join(x for x in batch.column(1).take(pa.array(rows)).to_pylist() if x)
+            for lang, data in _by_language(batch):
                 for tokens in word_chunks(data, limit):
                     phrases, f = _grow(lang, tokens, k, table)
                     if k == 1:
