@@ -3,15 +3,16 @@
 A window without ``partitionBy`` (or partitioned by a hot key) moves all
 its rows into one task. The helpers here split that work: top-k is taken
 first inside salted sub-groups and again over the k·S survivors, and
-running sums are computed inside value buckets plus a small offset table.
+running sums are computed inside range partitions plus a small offset table.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.session import cut_lineage
+
 SALT_BUCKETS = 64
 
 
@@ -33,37 +34,30 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str],
-                 partition_cols: list[str] | None = None, bucket_rows: int = 100_000) -> DataFrame:
+                 partition_cols: list[str] | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows with a smaller ``order_col``
-    (exclusive), per ``partition_cols``.
+    (exclusive, missing values last), per ``partition_cols``.
 
     ``df`` should already be aggregated to one row per distinct
     ``(partition_cols, order_col)``, and be persisted by its owner: it is read
-    three times. The number of buckets follows from its size, about
-    ``bucket_rows`` rows each. Cut points come from ``percentile_approx`` (a
-    bounded sketch); rows are bucketed by binary search (``Bucketizer``), each
-    bucket gets its offset from a per-bucket total table, and a window inside
-    the bucket adds the rest.
+    three times. Rows are staged in range partitions of about ``bucket_rows``
+    rows each; a partition gets its offset from a table of partition totals,
+    and a window inside the partition adds the rest. Spark samples the range
+    borders, a bounded number of rows whatever the table's size.
     """
     parts = partition_cols or []
-    n_buckets = max(2, -(-df.count() // bucket_rows))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = (df.agg(F.percentile_approx(order_col, probs, 20 * n_buckets).alias("c")).first()["c"] or [])
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bkt",
-                          handleInvalid="keep").transform(
-        df.withColumn(order_col, F.col(order_col).cast("double")))
-    tot = bucketed.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*parts, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0))
-                                            .alias(f"_o_{c}") for c in sum_cols])
-    wi = Window.partitionBy(*parts, "_bkt").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    inner = bucketed.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}")
-                                   for c in sum_cols])
-    out = inner.join(offsets, [*parts, "_bkt"])
-    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}")
-                                     for c in sum_cols])
+    order = F.col(order_col).asc_nulls_last()
+    n_ranges = max(1, -(-df.count() // bucket_rows))
+    ranged = cut_lineage(df.repartitionByRange(n_ranges, *parts, order)
+                         .withColumn("_range", F.spark_partition_id()))
+    tot = ranged.groupBy(*parts, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wb = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*parts, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
+                                             for c in sum_cols])
+    wi = Window.partitionBy(*parts, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
+    out = inner.join(offsets, [*parts, "_range"])
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order_col: str, cols: list[str],

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions import pages
 from tabloom.functions.ranking import previous_in_order
 
 # Fixed values of the reference behaviour.
@@ -90,22 +91,26 @@ def dataset_catalog(datasets: DataFrame, run_events: DataFrame) -> DataFrame:
     return datasets.join(first, "dataset_id", "left").select("dataset_id", "name", "created_at")
 
 
-def page(df: DataFrame, order: list, skip: int = 0, limit: int = PAGE_DEFAULT) -> DataFrame:
-    """One page of an ordered table (skip >= 0, 1 <= limit <= 200): a TopK
-    of skip + limit rows per partition, then an offset."""
+def page(df: DataFrame, order: list[tuple[str, bool]], skip: int = 0, limit: int = PAGE_DEFAULT) -> DataFrame:
+    """One page of a table in ``order``, a list of (column, descending); skip >= 0, 1 <= limit <= 200.
+
+    Deep pages are located by counting (``functions.pages``), so no task
+    holds all the rows before the page.
+    """
     if skip < 0 or not 1 <= limit <= PAGE_MAX:
         raise ValueError("skip must be >= 0 and limit within 1..200")
-    return df.orderBy(*order).offset(skip).limit(limit)
+    return pages.page(df, order, skip, limit)
 
 
 def page_newest(catalog: DataFrame, skip: int = 0, limit: int = PAGE_DEFAULT) -> DataFrame:
-    return page(catalog, [F.desc_nulls_last("created_at"), F.asc("dataset_id")], skip, limit)
+    """Newest first; datasets without a time come last."""
+    return page(catalog, [("created_at", True), ("dataset_id", False)], skip, limit)
 
 
 def runs_by_dataset(latest: DataFrame, dataset_id: int, skip: int = 0,
                     limit: int = PAGE_DEFAULT) -> DataFrame:
     rows = latest.where(F.col("dataset_id") == dataset_id)
-    return page(rows, [F.desc("created_at"), F.asc("run_id")], skip, limit).select(
+    return page(rows, [("created_at", True), ("run_id", False)], skip, limit).select(
         "run_id", "dataset_id", "status", "created_at")
 
 
