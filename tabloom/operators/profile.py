@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import (NUMERIC, chunks, col, column_labels, is_float_type,
                                        is_missing, long_form, q, sql_clean, sql_finite, sql_lit)
+from tabloom.functions.bitmaps import bitmap_cardinality, dense_ranges, union_all
 from tabloom.functions.heavy_hitters import top_counts
 from tabloom.functions.quantiles import column_quantiles, quantiles_frame
 
@@ -62,21 +63,25 @@ def high_missing_columns(df: DataFrame, pct_threshold: float = HIGH_MISSING_PCT)
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, n_distinct)``: distinct non-missing values per column.
 
-    Several ``count(DISTINCT)`` in one aggregate are planned by Spark as an
-    Expand (one copy of each row per column, native types) and a two-level
-    aggregation keyed by (column id, value): fully distributed, with the
-    partial step collapsing repeated values before the shuffle.
+    Integral columns and dates whose values lie dense are counted by bitmaps
+    (:func:`bitmap_cardinality`; their ranges take one aggregate now, when a
+    table has two or more such columns). Several ``count(DISTINCT)`` of the
+    others are planned by Spark as an Expand (one copy of each row per column,
+    native types) and a two-level aggregation keyed by (column id, value):
+    fully distributed, with the partial step collapsing repeated values
+    before the shuffle.
     """
     columns = columns or df.columns
     parts = []
-    for chunk in chunks(list(enumerate(columns)), 64):
+    ranges = dense_ranges(df, columns)
+    if ranges:
+        parts.append(bitmap_cardinality(df, ranges))
+    rest = [c for c in columns if c not in ranges]
+    for chunk in chunks(rest, 64) if rest else []:
         arr = ", ".join(f"named_struct('column', {sql_lit(c)}, 'n_distinct', "
-                        f"CAST(count(DISTINCT {sql_clean(df, c)}) AS BIGINT))" for i, c in chunk)
+                        f"CAST(count(DISTINCT {sql_clean(df, c)}) AS BIGINT))" for c in chunk)
         parts.append(df.selectExpr(f"array({arr}) AS _d").selectExpr("inline(_d)"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts)
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -539,6 +539,9 @@ oracle("run_counts", RUN_EVENTS + "\nSELECT dataset_id, count(*) AS n_runs FROM
 oracle("page_newest", RUN_EVENTS + """
 SELECT dataset_id, name, created_at FROM cat ORDER BY created_at DESC NULLS LAST, dataset_id
 LIMIT 10 OFFSET 5""")
+oracle("page_deep", """
+SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber
+LIMIT 50 OFFSET (SELECT count(*) // 2 FROM lineitem)""")
 oracle("runs_by_dataset", RUN_EVENTS + """
 SELECT run_id, dataset_id, status, created_at FROM latest WHERE dataset_id = 7
 ORDER BY created_at DESC, run_id LIMIT 20 OFFSET 0""")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions import pages
 from tabloom.functions.columns import col
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
                                select, models,
@@ -483,6 +484,13 @@ def q_page_newest(spark, sf):
     return runlog.page_newest(_catalog(spark, sf), skip=5, limit=10)
 
 
+@register("page_deep")
+def q_page_deep(spark, sf):
+    items = load(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    order = [("l_shipdate", True), ("l_orderkey", False), ("l_linenumber", False)]
+    return pages.page(items, order, items.count() // 2, 50, deep=1000)
+
+
 @register("runs_by_dataset")
 def q_runs_by_dataset(spark, sf):
     return runlog.runs_by_dataset(_latest(spark, sf), 7, skip=0, limit=20)

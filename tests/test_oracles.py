@@ -10,7 +10,8 @@ from tabloom.plans.oracles import ORACLES
 from tabloom.plans.queries import QUERIES
 
 SLOW = {"train_rf_classifier", "train_rf_regressor", "train_logreg", "train_gbt_classifier",
-        "train_gbt_regressor", "train_one", "train_all", "score_holdout"}
+        "train_gbt_regressor", "train_one", "train_all", "score_holdout", "mi_neighbours_class",
+        "mi_neighbours_number"}
 
 
 def test_entry_registers_every_query():
