@@ -533,6 +533,7 @@ v AS (SELECT run_id, CASE WHEN prev IS NULL THEN status = 'pending'
 SELECT run_id, count(*) AS n_events, count(*) FILTER (WHERE NOT ok) AS n_invalid,
   count(*) FILTER (WHERE NOT ok) = 0 AS valid FROM v GROUP BY run_id""")
 oracle("run_latest_state", RUN_EVENTS + "\nSELECT * FROM latest")
+oracle("run_store_latest", RUN_EVENTS + "\nSELECT * FROM latest")
 oracle("runs_by_status", RUN_EVENTS + """
 SELECT run_id, status FROM latest WHERE status IN ('completed', 'failed')""")
 oracle("run_counts", RUN_EVENTS + "\nSELECT dataset_id, count(*) AS n_runs FROM latest GROUP BY 1")

@@ -7,6 +7,7 @@ and in the matching SQL oracle, so value hashes are stable.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from tabloom.functions.columns import col
 from tabloom.operators import (chartdata, clean, encode, metrics, profile, rank, report,
                                select, models,
                                runlog, split)
-from tabloom.session import cut_lineage
+from tabloom.operators.runstore import RunStore
+from tabloom.session import cut_lineage, ensure_checkpoint_dir
 from tabloom.sources import csv_ingest
 from tabloom.sources.tables import (binary_predictions, dirty_lineitem, load,
                                     multiclass_predictions, order_features,
@@ -469,6 +471,17 @@ def q_run_latest_state(spark, sf):
     return _latest(spark, sf)
 
 
+@register("run_store_latest")
+def q_run_store_latest(spark, sf):
+    run = uuid.uuid4().hex
+    store = RunStore(spark, f"runs_{run}", f"{ensure_checkpoint_dir(spark)}/runs_{run}")
+    events = run_events(spark, sf)
+    late = F.col("ts") >= F.lit("2024-01-16")
+    for part in (events.where(late), events.where(F.coalesce(~late, F.lit(True)))):
+        store.append(part)
+    return store.latest()
+
+
 @register("runs_by_status")
 def q_runs_by_status(spark, sf):
     return runlog.runs_by_status(_latest(spark, sf))
