@@ -16,8 +16,13 @@ strip; neighbours are searched inside a unit, and rows whose radius reaches
 over its border ask the units they reach. What counts is how many rows lie
 nearer than the radius in the feature, and in the target.
 
-Counts come from one sorted table of values and interval ends in range
-partitions: a running count inside a partition, plus the partitions before it.
+Counts come from the values sorted in range partitions: a rank inside the
+partition plus the values before it. An end that lies in another partition is
+looked up in an index of a few values of each; only ends that the index leaves
+open are sorted in among all values.
+
+Features are taken in groups of about ``GROUP_ROWS`` values, whose tables are
+freed before the next group; the disk holds one group beside the staged rows.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import q, sql_finite, sql_lit
-from tabloom.session import cut_lineage
+from tabloom.session import stage_columns
 
 K = 3
 NOISE = 1e-10
@@ -37,6 +43,10 @@ UNIT_ROWS = 1 << 16         # rows of a unit of the plane, about
 BLOCK = 256                 # rows whose neighbours are searched at once
 CELLS = 1 << 21             # distances held at once
 PART_ROWS = 1 << 20         # rows of a range partition, about
+GROUP_ROWS = 1 << 23        # values of the features taken together, about
+GROUP_FEATURES = 8          # and features: the noise of many makes code too long to be compiled
+EDGE_VALUES = 256           # values at each end of a partition that the index holds
+GAPS = 64                   # widest gaps of a partition that the index holds
 
 
 def digamma(n: np.ndarray) -> np.ndarray:
@@ -52,7 +62,7 @@ def digamma(n: np.ndarray) -> np.ndarray:
 
 def scaled_rows(df: DataFrame, features: list[str], target: str, discrete: bool,
                 fill: dict[str, float] | None = None) -> DataFrame:
-    """Staged (id, x0 .. xn, y): scaled values with their noise; y is a class as text or a scaled number.
+    """(id, x0 .. xn, y) over staged rows: scaled values with their noise; y is a class as text or a scaled number.
 
     Missing and infinite features take ``fill`` (default 0); rows without a
     (finite) target go.
@@ -61,7 +71,7 @@ def scaled_rows(df: DataFrame, features: list[str], target: str, discrete: bool,
     raw = df.selectExpr(*[f"coalesce({sql_finite(df, c)}, {sql_lit(float(fill.get(c) or 0.0))}) AS x{k}"
                           for k, c in enumerate(features)],
                         (f"CAST({q(target)} AS STRING)" if discrete else sql_finite(df, target)) + " AS y").where("y IS NOT NULL")
-    raw = cut_lineage(raw.withColumn("id", F.monotonically_increasing_id()))
+    raw = stage_columns(raw.withColumn("id", F.monotonically_increasing_id()))
     numbers = [f"x{k}" for k in range(len(features))] + ([] if discrete else ["y"])
     stats = raw.selectExpr(*[e for c in numbers for e in (f"stddev_pop({c}) AS s_{c}", f"avg(abs({c})) AS m_{c}")]).first()
 
@@ -70,7 +80,7 @@ def scaled_rows(df: DataFrame, features: list[str], target: str, discrete: bool,
         size = max(1.0, (stats[f"m_{c}"] or 0.0) / s)
         even = lambda j: f"((pmod(xxhash64(id, {k}, {j}), 4503599627370496L) + 0.5D) / 4503599627370496D)"
         return f"{c} / {sql_lit(s)} + {sql_lit(NOISE * size)} * sqrt(-2 * ln({even(1)})) * cos(2 * pi() * {even(2)}) AS {c}"
-    return cut_lineage(raw.selectExpr("id", *[moved(k, c) for k, c in enumerate(numbers)], *(["y"] if discrete else [])))
+    return raw.selectExpr("id", *[moved(k, c) for k, c in enumerate(numbers)], *(["y"] if discrete else []))
 
 
 def _first_beyond(x: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -110,87 +120,162 @@ def _parts(spark, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
-EVENT = "axis int, v double, kind int, f int, id long"      # kind 0: how many < v; 1: a value; 2: how many <= v
+class _Kept:
+    """Tables of a group, on disk until the group is done."""
 
+    def __init__(self):
+        self.tables: list[DataFrame] = []
 
-def near_counts(events: DataFrame, n_events: int) -> dict:
-    """(f, side) -> (rows, sum of digamma(m)): m is how many values lie strictly between the two ends that
-    (f, id) asks for on an axis; side 0 if the axis is f.
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
 
-    Most pairs of ends meet in their partition; only the others are shuffled.
-    """
-    spark = events.sparkSession
-    placed = cut_lineage(events.repartitionByRange(_parts(spark, n_events), "axis", "v", "kind")
-                         .sortWithinPartitions("axis", "v", "kind").withColumn("part", F.spark_partition_id()))
-    seen = placed.where("kind = 1").groupBy("part", "axis").count().collect()
+    def free(self) -> None:
+        for df in self.tables:
+            df.unpersist(blocking=True)
+        self.tables.clear()
+
+
+def _sorted(kept: _Kept, df: DataFrame, n: int, *order: str) -> DataFrame:
+    """``df`` in range partitions of ``order``, sorted, with the partition's number as ``part``."""
+    return kept(df.repartitionByRange(_parts(df.sparkSession, n), *order).sortWithinPartitions(*order)
+                .withColumn("part", F.spark_partition_id()))
+
+
+def _runs(f: np.ndarray):
+    """(start, end) of the runs of equal numbers."""
+    start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    return list(zip(start.tolist(), np.r_[start[1:], len(f)].tolist()))
+
+
+def _indexed(x: np.ndarray, edge: int, gaps: int) -> np.ndarray:
+    """Places of the sorted ``x`` that the index holds: ``edge`` at both ends, and both sides of the widest gaps."""
+    n = len(x)
+    if n <= 2 * (edge + gaps):
+        return np.arange(n)
+    gap = np.argpartition(np.diff(x), n - 1 - gaps)[-gaps:]
+    return np.unique(np.r_[np.arange(edge), np.arange(n - edge, n), gap, gap + 1])
+
+
+def _index(placed: DataFrame):
+    """({f: (values, their ranks, number of all values)}, {(part, f): values before the partition})."""
+    edge, gaps = EDGE_VALUES, GAPS
+
+    def look(batches):
+        import pyarrow as pa
+        cols = _whole(batches)
+        if cols:
+            f, v, part = cols
+            out = [(int(part[0]), int(f[a]), b - a, at.astype(np.int64).tobytes(), v[a:b][at].tobytes())
+                   for a, b in _runs(f) for at in [_indexed(v[a:b], edge, gaps)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                             names=["part", "f", "n", "at", "v"])
+    seen = placed.select("f", "v", "part").mapInArrow(look, "part int, f int, n long, at binary, v binary").collect()
     before: dict[tuple[int, int], int] = {}
-    sums: dict[int, int] = {}
-    for r in sorted(seen):
-        before[r["part"], r["axis"]] = sums.get(r["axis"], 0)
-        sums[r["axis"]] = sums.get(r["axis"], 0) + r["count"]
-    # A partition without a value on an axis starts from the partitions before it, too.
-    known: dict[int, list[tuple[int, int]]] = {}
-    for (part, axis), n in sorted(before.items()):
-        known.setdefault(axis, []).append((part, n))
+    values: dict[int, list] = {}
+    total: dict[int, int] = {}
+    for part, f, n, at, v in sorted(map(tuple, seen)):
+        before[part, f] = total.get(f, 0)
+        values.setdefault(f, []).append((np.frombuffer(v), np.frombuffer(at, np.int64) + before[part, f]))
+        total[f] = before[part, f] + n
+    return {f: (*map(np.concatenate, zip(*v)), total[f]) for f, v in values.items()}, before
+
+
+def _below(end: np.ndarray, side: str, x: np.ndarray, start: int, index) -> np.ndarray:
+    """How many values lie below the ends (side left), or not above them (right); -1 if neither the own partition's
+    sorted values ``x``, of rank ``start`` on, nor the index tells."""
+    known, rank, total = index
+    at = np.searchsorted(known, end, side)
+    upper = np.r_[rank, total][at]
+    told = (at == 0) | (at == len(known)) | (upper == rank[np.maximum(at - 1, 0)] + 1)
+    own = (x[0] <= end) & (end <= x[-1])
+    return np.where(own, start + np.searchsorted(x, end, side), np.where(told, upper, -1))
+
+
+FOUND = "f int, id long, kind int, v double, m long, d double"      # kind 0: m values < v; 2: m values <= v; 3: m; 4: sums
+
+
+def near_counts(kept: _Kept, points: DataFrame, n_points: int) -> dict[int, tuple[int, float]]:
+    """f -> (rows, sum of digamma(m)) of ``points`` (f, v, d, id): m is how many values of f lie nearer than d to v."""
+    placed = _sorted(kept, points.select("f", "v", "d", "id"), n_points, "f", "v")
+    known, before = _index(placed)
+    shared = placed.sparkSession.sparkContext.broadcast((known, before))
 
     def count(batches):
         import pyarrow as pa
         cols = _whole(batches)
         if not cols:
             return
-        axis, _, kind, f, id_, part = cols
-        run = np.cumsum(kind == 1)
-        start = np.flatnonzero(np.r_[True, axis[1:] != axis[:-1]])
-        offset = np.zeros(len(start), np.int64)
-        for k, a in enumerate(axis[start]):
-            later = [n for p, n in known.get(int(a), []) if p >= part[0]]
-            offset[k] = later[0] if later else sums.get(int(a), 0)
-        size = np.diff(np.r_[start, len(axis)])
-        rank = run - np.repeat(run[start] - (kind[start] == 1), size) + np.repeat(offset, size)
-        asked = np.flatnonzero(kind != 1)
-        f, id_, side, m = f[asked], id_[asked], (axis != f)[asked].astype(np.int32), np.where(kind == 0, rank, -rank)[asked]
-        by = np.lexsort((id_, side, f))
-        f, id_, side, m = f[by], id_[by], side[by], m[by]
-        pair = np.flatnonzero((f[1:] == f[:-1]) & (side[1:] == side[:-1]) & (id_[1:] == id_[:-1])) if len(f) else np.zeros(0, int)
-        alone = np.ones(len(f), bool)
-        alone[pair] = alone[pair + 1] = False
-        d = digamma(np.maximum(m[pair] + m[pair + 1], 1))
-        at = np.flatnonzero(np.r_[True, (f[pair][1:] != f[pair][:-1]) | (side[pair][1:] != side[pair][:-1])]) if len(pair) else pair
-        n = len(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[f[pair][at], f[alone]]), pa.array([None] * n + id_[alone].tolist(), pa.int64()),
-             pa.array(np.r_[side[pair][at], side[alone]]),
-             pa.array(np.r_[np.diff(np.r_[at, len(pair)]), m[alone]].astype(np.int64)),
-             pa.array(np.r_[np.add.reduceat(d, at) if n else d, np.zeros(int(alone.sum()))])], names=["f", "id", "side", "m", "d"])
-    found = cut_lineage(placed.mapInArrow(count, "f int, id long, side int, m long, d double"))
-    out = _mean_digamma(found.where("id IS NOT NULL").groupBy("f", "id", "side").agg(F.sum("m").alias("m")))
-    for r in found.where("id IS NULL").groupBy("f", "side").agg(F.sum("m").alias("n"), F.sum("d").alias("d")).collect():
-        n, d = out.get((r["f"], r["side"]), (0, 0.0))
-        out[r["f"], r["side"]] = (n + r["n"], d + r["d"])
+        known, before = shared.value
+        f, v, d, ids, part = cols
+        for a, b in _runs(f):
+            g = int(f[a])
+            x, start, id_ = v[a:b], before[int(part[0]), g], ids[a:b]
+            lo, hi = _ends(x, d[a:b])
+            m = [_below(hi, "left", x, start, known[g]), _below(lo, "right", x, start, known[g])]
+            sure = (m[0] >= 0) & (m[1] >= 0)
+            rows = [(np.full(1, -1), 4, np.zeros(1), np.array([sure.sum()]),
+                     np.array([digamma(np.maximum(m[0] - m[1], 1)[sure]).sum()]))]
+            for kind, end, k, sign in ((0, hi, m[0], 1), (2, lo, m[1], -1)):
+                asked, half = k < 0, (k >= 0) & ~sure
+                rows.append((id_[asked], kind, end[asked], np.zeros(asked.sum()), np.zeros(asked.sum())))
+                rows.append((id_[half], 3, np.zeros(half.sum()), sign * k[half], np.zeros(half.sum())))
+            size = [len(r[0]) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(sum(size), g, np.int32)), pa.array(np.concatenate([r[0] for r in rows]).astype(np.int64)),
+                 pa.array(np.repeat([r[1] for r in rows], size).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows])),
+                 pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[4] for r in rows]))],
+                names=[c.split()[0] for c in FOUND.split(", ")])
+    found = kept(placed.mapInArrow(count, FOUND))
+    out = {r["f"]: (r["n"], r["d"]) for r in found.where("kind = 4").groupBy("f").agg(
+        F.sum("m").alias("n"), F.sum("d").alias("d")).collect()}
+    asked = found.where("kind IN (0, 2)")
+    if n_asked := asked.count():
+        told = _ranks(kept, placed.selectExpr("f", "v", "1 AS kind", "id").union(asked.select("f", "v", "kind", "id")),
+                      n_points + n_asked)
+        counts = told.union(found.where("kind = 3").select("f", "id", "m")).groupBy("f", "id").agg(F.sum("m").alias("m"))
+        for f, (n, d) in _mean_digamma(counts).items():
+            out[f] = (out[f][0] + n, out[f][1] + d)
+    shared.unpersist()
     return out
 
 
-def _events(axis, v_points, lo, hi, f, ids, points: bool):
-    import pyarrow as pa
-    n = len(lo)
-    kinds = ([np.ones(n, np.int32)] if points else []) + [np.zeros(n, np.int32), np.full(n, 2, np.int32)]
-    v = ([v_points] if points else []) + [hi, lo]
-    times = len(kinds)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.tile(axis, times).astype(np.int32)), pa.array(np.concatenate(v)), pa.array(np.concatenate(kinds)),
-         pa.array(np.tile(f, times).astype(np.int32)), pa.array(np.tile(ids, times))], names=[c.split()[0] for c in EVENT.split(", ")])
-
+def _ranks(kept: _Kept, events: DataFrame, n_events: int) -> DataFrame:
+    """(f, id, m) of the ends among ``events`` (f, v, kind, id): m = values < v for kind 0, -(values <= v) for kind 2;
+    kind 1 are the values."""
+    placed = _sorted(kept, events, n_events, "f", "v", "kind")
+    before: dict[tuple[int, int], int] = {}
+    sums: dict[int, int] = {}
+    for r in sorted(placed.groupBy("part", "f").agg(F.count_if(F.col("kind") == 1).alias("n")).collect()):
+        before[r["part"], r["f"]] = sums.get(r["f"], 0)
+        sums[r["f"]] = sums.get(r["f"], 0) + r["n"]
 
-def _mean_digamma(counts: DataFrame) -> dict:
-    """(f, side) -> (rows, sum of digamma(m))."""
+    def count(batches):
+        import pyarrow as pa
+        cols = _whole(batches)
+        if not cols:
+            return
+        f, kind, ids, part = cols
+        for a, b in _runs(f):
+            asked = np.flatnonzero(kind[a:b] != 1)
+            rank = before[int(part[0]), int(f[a])] + np.cumsum(kind[a:b] == 1)[asked]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(asked), f[a], np.int32)), pa.array(ids[a:b][asked]),
+                 pa.array(np.where(kind[a:b][asked] == 0, rank, -rank).astype(np.int64))], names=["f", "id", "m"])
+    return placed.select("f", "kind", "id", "part").mapInArrow(count, "f int, id long, m long")
+
+
+def _mean_digamma(counts: DataFrame) -> dict[int, tuple[int, float]]:
+    """f -> (rows, sum of digamma(m))."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digamma(np.maximum(b.column(2).to_numpy(), 1)))],
-                                             names=["f", "side", "d"])
-    rows = counts.select("f", "side", "m").mapInArrow(run, "f int, side int, d double").groupBy("f", "side").agg(
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digamma(np.maximum(b.column(1).to_numpy(), 1)))],
+                                             names=["f", "d"])
+    rows = counts.select("f", "m").mapInArrow(run, "f int, d double").groupBy("f").agg(
         F.count("*").alias("n"), F.sum("d").alias("d")).collect()
-    return {(r["f"], r["side"]): (r["n"], r["d"]) for r in rows}
+    return {r["f"]: (r["n"], r["d"]) for r in rows}
 
 
 # ── class target ─────────────────────────────────────────────────────────────
@@ -206,12 +291,19 @@ def _kth(a: np.ndarray, k: int, lo: int, hi: int) -> np.ndarray:
     return np.partition(np.stack(near), k - 1, axis=0)[k - 1]
 
 
-def _class_scores(rows: DataFrame, n_features: int, k: int) -> dict[int, float]:
-    spark, n = rows.sparkSession, rows.count()
-    long = rows.select("id", F.col("y").alias("label"), F.posexplode(F.array(*[f"x{j}" for j in range(n_features)])).alias("f", "x"))
-    placed = cut_lineage(long.select("f", "label", "x", "id").repartitionByRange(
-        _parts(spark, n * n_features), "f", "label", "x").sortWithinPartitions("f", "label", "x")
-        .withColumn("part", F.spark_partition_id()))
+def _class_terms(rows: DataFrame, k: int) -> tuple[int, float]:
+    """Rows whose class has others, and their sum of digamma(neighbours taken) - digamma(class size)."""
+    sizes = rows.groupBy("y").count().where("count > 1").groupBy("count").agg(F.count("*").alias("times")).collect()
+    size = np.array([r["count"] for r in sizes], float)     # one row per size of a class
+    weight = size * np.array([r["times"] for r in sizes], float)
+    return int(weight.sum()), float((weight * (digamma(np.minimum(k, size - 1)) - digamma(size))).sum()) if len(size) else 0.0
+
+
+def _class_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, terms: tuple[int, float]) -> dict[int, float]:
+    spark = rows.sparkSession
+    values = F.explode(F.array(*[F.struct(F.lit(j).alias("f"), F.col(f"x{j}").alias("x")) for j in which]))
+    long = rows.select("id", F.col("y").alias("label"), values.alias("v")).select("v.f", "label", "v.x", "id")
+    placed = _sorted(kept, long, n * len(which), "f", "label", "x")
 
     def groups(cols):
         f, label = cols[0], cols[1]
@@ -242,7 +334,7 @@ def _class_scores(rows: DataFrame, n_features: int, k: int) -> dict[int, float]:
         if not cols:
             return
         f, label, x, ids, part = cols
-        d, size, used = np.full(len(x), np.nan), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        d = np.full(len(x), np.nan)
         for a, b in groups(cols):
             others = shared.value.get((int(f[a]), label[a]), [])
             total = sum(o[1] for o in others) or int(b - a)
@@ -250,23 +342,13 @@ def _class_scores(rows: DataFrame, n_features: int, k: int) -> dict[int, float]:
                 continue
             low = [v for o in others if o[0] < part[0] for v in o[3]][-k:]
             high = [v for o in others if o[0] > part[0] for v in o[2]][:k]
-            near = min(k, total - 1)
-            d[a:b] = _kth(np.concatenate([low, x[a:b], high]), near, len(low), len(low) + int(b - a))
-            size[a:b], used[a:b] = total, near
-        ok = size > 0
-        lo, hi = _ends(x[ok], d[ok])
-        batch = _events(f[ok], x[ok], lo, hi, f[ok], ids[ok], True)
-        yield batch.append_column("size", pa.array(np.tile(size[ok], 3))).append_column("k", pa.array(np.tile(used[ok], 3)))
-    found = cut_lineage(placed.mapInArrow(radii, EVENT + ", size long, k long"))
-    terms = _mean_digamma(found.where("kind = 1").selectExpr("f", "0 AS side", "size AS m").union(
-        found.where("kind = 1").selectExpr("f", "1 AS side", "k AS m")))
-    near = near_counts(found.drop("size", "k"), 3 * n * n_features)
-    out = {}
-    for j in range(n_features):
-        if (j, 0) in near:
-            m, s = near[j, 0]
-            out[j] = max(0.0, float(digamma(np.array([m]))[0]) + (terms[j, 1][1] - terms[j, 0][1] - s) / m)
-    return out
+            d[a:b] = _kth(np.concatenate([low, x[a:b], high]), min(k, total - 1), len(low), len(low) + int(b - a))
+        ok = ~np.isnan(d)
+        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (f, x, d, ids)], names=["f", "v", "d", "id"])
+    near = near_counts(kept, placed.mapInArrow(radii, "f int, v double, d double, id long"), n * len(which))
+    shared.unpersist()
+    m, sum_ = terms
+    return {j: max(0.0, float(digamma(np.array([m]))[0]) + (sum_ - near[j][1]) / m) for j in which if j in near}
 
 
 # ── numeric target ───────────────────────────────────────────────────────────
@@ -313,24 +395,23 @@ def nearest(x, y, px, py, k: int, reach=None, own: bool = True) -> np.ndarray:
     return out
 
 
-def _number_scores(rows: DataFrame, n_features: int, k: int, unit_rows: int) -> dict[int, float]:
-    spark, n = rows.sparkSession, rows.count()
+def _number_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, unit_rows: int) -> dict[int, float]:
+    spark = rows.sparkSession
     if n < 2:
-        return {j: 0.0 for j in range(n_features)}
+        return {j: 0.0 for j in which}
     k = min(k, n - 1)
-    names = [f"x{j}" for j in range(n_features)]
+    names = [f"x{j}" for j in which]
     strips = max(1, math.ceil(math.sqrt(n / unit_rows)))
-    cuts = [np.zeros(0)] * n_features
+    cuts = {j: np.zeros(0) for j in which}
     if strips > 1:
         # Values that only the noise tells apart stay in one strip.
         probs = [j / strips for j in range(1, strips)]
-        cuts = [np.unique(np.round(e, 6)) + 0.5e-6 for e in rows.approxQuantile(names, probs, 1 / (4 * strips))]
-    long = rows.select("id", "y", F.posexplode(F.array(*names)).alias("f", "x"))
-    strip = F.lit(0)
-    if strips > 1:
-        shelf = F.array(*[F.array(*map(F.lit, c.tolist())) if len(c) else F.array().cast("array<double>") for c in cuts])
-        strip = F.size(F.filter(F.get(shelf, F.col("f")), lambda c: c < F.col("x")))
-    long = cut_lineage(long.withColumn("strip", strip))
+        cuts = {j: np.unique(np.round(e, 6)) + 0.5e-6 for j, e in zip(which, rows.approxQuantile(names, probs, 1 / (4 * strips)))}
+    # The cuts travel with the value: a feature knows its own only.
+    def strip(j):
+        return F.size(F.filter(F.array(*map(F.lit, cuts[j].tolist())), lambda c: c < F.col(f"x{j}"))) if len(cuts[j]) else F.lit(0)
+    values = F.explode(F.array(*[F.struct(F.lit(j).alias("f"), F.col(f"x{j}").alias("x"), strip(j).alias("strip")) for j in which]))
+    long = rows.select("id", "y", values.alias("v")).select("id", "y", "v.*")
     sizes = {(r["f"], r["strip"]): r["count"] for r in long.groupBy("f", "strip").count().collect()}
     slabs: dict[tuple[int, int], np.ndarray] = {}
     many = sorted({max(1, -(-m // unit_rows)) for m in sizes.values()})
@@ -356,7 +437,7 @@ def _number_scores(rows: DataFrame, n_features: int, k: int, unit_rows: int) ->
                 r = (f == key[0]) & (s == key[1])
                 out[r] = slab_of(*key, y[r])
             yield b.append_column("slab", pa.array(out))
-    units = cut_lineage(long.select("f", "strip", "id", "x", "y").mapInArrow(
+    units = kept(long.select("f", "strip", "id", "x", "y").mapInArrow(
         place, "f int, strip int, id long, x double, y double, slab int"))
 
     def inside(key, table):
@@ -374,7 +455,7 @@ def _number_scores(rows: DataFrame, n_features: int, k: int, unit_rows: int) ->
                          pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, k, dtype=np.int32)), pa.array(own.ravel())),
                          pa.array(r >= far), pa.array(np.full(len(x), s, np.int32)), pa.array(np.full(len(x), slab, np.int32))],
                         names=["f", "id", "x", "y", "near", "open", "strip", "slab"])
-    found = cut_lineage(units.groupBy("f", "strip", "slab").applyInArrow(
+    found = kept(units.groupBy("f", "strip", "slab").applyInArrow(
         inside, "f int, id long, x double, y double, near array<double>, open boolean, strip int, slab int"))
 
     radius = found.where("NOT open").selectExpr("f", "id", "x", "y", f"near[{k - 1}] AS r")
@@ -420,16 +501,11 @@ def _number_scores(rows: DataFrame, n_features: int, k: int, unit_rows: int) ->
             merged.selectExpr("f", "id", f"near[{k - 1}] AS r"), ["f", "id"])
         radius = radius.unionByName(both)
 
-    def events(batches):
-        for b in batches:
-            f, ids, x, y, r = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            yield _events(f, x, *_ends(x, r), f, ids, True)
-            yield _events(np.full(len(f), n_features), y, *_ends(y, r), f, ids, False)
-    targets = rows.selectExpr(f"{n_features} AS axis", "y AS v", "1 AS kind", f"{n_features} AS f", "id")
-    everything = radius.select("f", "id", "x", "y", "r").mapInArrow(events, EVENT).union(targets)
-    near = near_counts(everything, n * (5 * n_features + 1))
+    radius = kept(radius)
+    near = [near_counts(kept, radius.select("f", F.col(c).alias("v"), F.col("r").alias("d"), "id"), n * len(which)) for c in "xy"]
+    shared.unpersist()
     base = float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0])
-    return {j: max(0.0, base - (near[j, 0][1] + near[j, 1][1]) / n) for j in range(n_features)}
+    return {j: max(0.0, base - (near[0][j][1] + near[1][j][1]) / n) for j in which}
 
 
 def neighbour_information(df: DataFrame, features: list[str], target: str, discrete_target: bool, digits: int = 6,
@@ -440,6 +516,16 @@ def neighbour_information(df: DataFrame, features: list[str], target: str, discr
     take ``fill``.
     """
     rows = scaled_rows(df, features, target, discrete_target, fill)
-    found = (_class_scores(rows, len(features), k) if discrete_target
-             else _number_scores(rows, len(features), k, unit_rows))
+    n = rows.count()
+    terms = _class_terms(rows, k) if discrete_target else None
+    at_once = min(GROUP_FEATURES, max(1, GROUP_ROWS // max(1, n)))
+    found: dict[int, float] = {}
+    kept = _Kept()
+    for lo in range(0, len(features), at_once):
+        which = list(range(lo, min(lo + at_once, len(features))))
+        try:
+            found.update(_class_scores(kept, rows, n, which, k, terms) if discrete_target
+                         else _number_scores(kept, rows, n, which, k, unit_rows))
+        finally:
+            kept.free()
     return {c: round(found.get(j, 0.0), digits) for j, c in enumerate(features)}

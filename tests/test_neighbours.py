@@ -95,3 +95,19 @@ def test_edges(spark):
     assert nb.scaled_rows(odd, ["a"], "y", False).count() == 40
     assert math.isfinite(nb.neighbour_information(spark.createDataFrame([*rows, (float("-inf"), 1.0, "p")], kind),
                                                   ["a"], "label", True)["a"])
+
+
+@pytest.mark.parametrize("discrete", [True, False])
+def test_groups_are_freed_and_ends_beyond_the_index_are_counted(spark, discrete, monkeypatch):
+    df, target = table(spark, 1500, 5), "label" if discrete else "y"
+    features = ["a", "b b", "c"]
+    want = nb.neighbour_information(df, features, target, discrete, digits=9)
+    sorted_in, plain = [], nb._ranks
+    monkeypatch.setattr(nb, "_ranks", lambda *a: sorted_in.append(1) or plain(*a))
+    monkeypatch.setattr(nb, "EDGE_VALUES", 1)
+    monkeypatch.setattr(nb, "GAPS", 1)
+    monkeypatch.setattr(nb, "GROUP_ROWS", 1600)         # a feature at a time
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert nb.neighbour_information(df, features, target, discrete, digits=9) == pytest.approx(want, abs=1e-8)
+    assert len(sorted_in) >= 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
