@@ -41,6 +41,9 @@ def _numbers(c: str, dt: T.DataType) -> list[str] | None:
         return _halves(c)
     if isinstance(dt, T.TimestampType):
         return _halves(f"unix_micros({c})")
+    if isinstance(dt, T.TimestampNTZType):      # by parts: a cast would pass through the session's time zone
+        return [f"CAST(unix_date(CAST({c} AS DATE)) AS DOUBLE)",
+                f"CAST((hour({c}) * 3600 + minute({c}) * 60) * 1000000L + CAST(extract(SECOND FROM {c}) * 1000000 AS BIGINT) AS DOUBLE)"]
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return [f"CASE WHEN isnan({c}) THEN 1D ELSE 0D END", f"CASE WHEN isnan({c}) THEN 0D ELSE CAST({c} AS DOUBLE) END"]
     if isinstance(dt, T.DecimalType) and dt.precision <= 15:

@@ -65,3 +65,21 @@ def test_catalog_pages_go_deep(spark):
     got = [r.dataset_id for r in runlog.page_newest(cat, skip=120_000, limit=5).collect()]
     want = sorted(range(n), key=lambda i: (i % 7 == 0, -(i // 10) if i % 7 else 0, i))[120_000:120_005]
     assert got == want
+
+
+def test_times_without_a_zone_are_located(spark):
+    r = random.Random(3)
+    start = dt.datetime(2024, 3, 10, 1, 30)     # New York leaves out the hour from 2 o'clock
+    times = [None if r.random() < .1 else start + dt.timedelta(microseconds=r.choice([0, 1, 3599 * 10**6, 3600 * 10**6, -10**15, -2 * 10**15 - 1]))
+             for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id int, ts timestamp_ntz").repartition(4)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for down in (True, False):
+            order = [("ts", down), ("id", False)]
+            want = [x.id for x in df.orderBy(df.ts.desc() if down else df.ts.asc(), "id").collect()]
+            assert pages._locate(df, order, 200, 2)[1] <= 2
+            assert [x.id for x in page(df, order, 200, 9, deep=2).collect()] == want[200:209]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
