@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tabloom.functions import bitmaps
+from tabloom.operators import profile
 from tabloom.operators.profile import cardinality
 from tabloom.sources.tables import load
 from conftest import SF0001
@@ -58,3 +59,10 @@ def test_no_row_is_copied_for_dense_columns(spark):
 def test_empty_table(spark):
     got = cardinality(spark.createDataFrame([], "a int, b bigint, c string"))
     assert {r.column: r.n_distinct for r in got.collect()} == {"a": 0, "b": 0, "c": 0}
+
+
+def test_structure_report_copies_no_rows_for_dense_columns(spark):
+    df = spark.range(4000).selectExpr("CAST(id AS INT) AS a", "id % 7 AS b", "CASE WHEN id > 9 THEN id DIV 2 END AS c")
+    report = profile.structure_report(df)
+    assert "Expand" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["column"]: r["n_distinct"] for r in report.collect()} == {"a": 4000, "b": 7, "c": 1995}
