@@ -31,6 +31,8 @@ SCHEMA = "doc_id long, part int, offset long, n_tokens long, tokens array<int>"
 # How the tokenizer file splits lower-cased words, and its byte alphabet: printable Latin-1 stands for
 # itself, the other bytes follow from U+0100 on.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Latin letters: composed already, and lower case does not depend on their neighbours.
+_LATIN = re.compile("[\x00-\u012f\u0131-\u023f]*")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -70,13 +72,26 @@ class WordEncoder:
         self.words, self.pieces = _Cache(self._word), _Cache(self._piece)
 
     def _piece(self, piece: str) -> bytes:
+        """Ids of a piece; one that the library cut, in its byte alphabet already, has a space before it."""
+        if piece[0] == " ":
+            piece = piece[1:]
+        elif not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
         return b"".join([self.ids[t.id] for t in self.merges.tokenize(piece)])
 
     def _word(self, word: bytes) -> bytes:
+        get, cache = self.pieces.new.get, self.pieces
+        body = word.rstrip(b".,")
+        if body.isalpha():              # ASCII letters, then signs
+            first = body.lower().decode()
+            ids = get(first) or cache.missing(first)
+            if len(body) == len(word):
+                return ids
+            tail = word[len(body):].decode()
+            return ids + (cache.new.get(tail) or cache.missing(tail))
         text = word.decode(errors="replace")
         plain = text.isascii()
-        # Latin letters: composed already, and lower case does not depend on their neighbours.
-        latin = plain or (max(word) < 0xC9 and b"\xc4\xb0" not in word)
+        latin = plain or _LATIN.fullmatch(text) is not None
         body = text.rstrip(".,")
         if latin and body.isalpha():    # one run of letters, one of signs
             pieces = [body.lower(), text[len(body):]] if len(body) < len(text) else [body.lower()]
@@ -85,17 +100,12 @@ class WordEncoder:
         elif latin and text.isprintable():
             pieces = (_ASCII_PIECES if plain else _PIECES).findall(text.lower())
         else:
-            plain = True
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(
+            pieces = [" " + p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(
                 self.tokenizer.normalizer.normalize_str(text))]
-        if not plain:
-            pieces = [p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in pieces]
-        get, cache = self.pieces.new.get, self.pieces
         return b"".join([get(p) or cache.missing(p) for p in pieces])
 
-    def encode(self, text: bytes | None) -> bytes:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         cache, found = self.words, []
-        words = (text or b"").split()
         for lo in range(0, len(words), 10_000):
             get = cache.new.get
             part = words[lo:lo + 10_000]
@@ -103,7 +113,34 @@ class WordEncoder:
             if None in ids:
                 ids = [x if x is not None else cache.missing(w) for x, w in zip(ids, part)]
             found += ids
-        return b"".join(found)
+        return found
+
+    def encode(self, text: bytes | None) -> bytes:
+        return b"".join(self._words((text or b"").split()))
+
+    def encode_all(self, texts, end_id: int):
+        """(ids of all texts, each with ``end_id`` after it; number of ids of each) of a binary Arrow array.
+
+        Each different word of the array is looked up once, however often it comes.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = pc.fill_null(texts.cast(pa.binary()), b"")
+        words = pc.ascii_split_whitespace(_as(texts, pa.string()))
+        coded = words.values.dictionary_encode()
+        own = self._words(_as(coded.dictionary, pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        at = np.cumsum([0, *map(len, own)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(own), np.int32)))
+        taken = lists.take(coded.indices)
+        at = taken.offsets.to_numpy()[words.offsets.to_numpy()]
+        return np.insert(taken.values.to_numpy(), at[1:], end_id), np.diff(at).astype(np.int64) + 1
+
+
+def _as(array, kind):
+    """A binary or string Arrow array as the other of the two, bytes unchecked."""
+    import pyarrow as pa
+    return pa.Array.from_buffers(kind, len(array), array.buffers(), offset=array.offset)
 
 
 class TextEncoder:
@@ -117,6 +154,13 @@ class TextEncoder:
         ids = self.tokenizer.encode((text or b"").decode(errors="replace"), add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def encode_all(self, texts, end_id: int):
+        """As ``WordEncoder.encode_all``."""
+        import numpy as np
+        end = end_id.to_bytes(4, "little")
+        ids = [self.encode(t) + end for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+
 
 _encoders: dict = {}
 
@@ -130,7 +174,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     stand together. ``by_word`` uses ``WordEncoder`` (see there).
     """
     path = path or shared_folder(docs.sparkSession, "tokens")
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches):
         import numpy as np
@@ -140,12 +183,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             _encoders[key] = (WordEncoder if by_word else TextEncoder)(tokenizer)
         encoder, part, offset = _encoders[key], TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, n in text_slices(batch.column(1), 4 << 20):
-                ids = [encoder.encode(t) + end for t in batch.column(1).slice(lo, n).to_pylist()]
-                sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, n)
+            for lo, n in text_slices(batch.column(1), 8 << 20):
+                ids, sizes = encoder.encode_all(batch.column(1).slice(lo, n), end_id)
                 ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)),
-                                                 pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, n), pa.array(np.full(n, part, np.int32)),
                      pa.array(offset + ends - sizes), pa.array(sizes), lists],

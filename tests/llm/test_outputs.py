@@ -214,3 +214,22 @@ def test_pipeline(spark, stages):
     assert set(take(mix[2])) == set(take(mix[1])) and max(Counter(take(mix[2])).values()) <= 3
     assert [tuple(r) for r in tokens[2].orderBy("start").collect()] == brute_tokens(take(tokens[1]))
     assert corpus_pipeline.run(spark, SF).count() == tokens[2].count()
+
+
+def test_word_encoder_looks_a_word_up_once_per_slice(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 2)      # every repeat is a miss of the caches
+    encoder, asked = token_files.WordEncoder(token_files.word_bpe_path()), Counter()
+    make = encoder.words.make
+    encoder.words.make = lambda w: asked.update([w]) or make(w)
+    texts = [" one two\nthree  fourth, five. ", None, "", "five. one café cafİ İx ǆ ȿ ɇé à a\xff"] * 40
+    found = pa.array([x and x.encode() for x in texts], pa.binary())
+    ids, sizes = encoder.encode_all(found, 2)
+    assert max(asked.values()) == 1
+    lists = np.split(ids, np.cumsum(sizes)[:-1])
+    whole, same = token_files.TextEncoder(token_files.word_bpe_path()).encode_all(found, 2)
+    assert ids.tolist() == whole.tolist() and sizes.tolist() == same.tolist()
+    assert [x.tobytes() for x in lists] == [encoder.encode(x.as_py()) + b"\2\0\0\0" for x in found]
+    bad = pa.array([b"ab\xff cd\xc3", b"\xe4x"], pa.binary())
+    assert encoder.encode_all(bad, 2)[0].tolist() == \
+        token_files.TextEncoder(token_files.word_bpe_path()).encode_all(bad, 2)[0].tolist()
