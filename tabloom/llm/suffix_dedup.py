@@ -248,8 +248,7 @@ def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int, heavy:
     def meet(part, rows):
         if part < 0:
             names, keys = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (0, 1))
-            order = np.argsort(keys, kind="stable")
-            return keys[order], [names[order]]
+            return keys, [names]
         names = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
         keys = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.uint32))
                                for r in rows])
@@ -258,47 +257,76 @@ def _shared_anchors(texts: DataFrame, parts: int, depth: int, gram: int, heavy:
         cut = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
         twice = np.minimum.reduceat(keys, cut) != np.maximum.reduceat(keys, cut)
         held = np.repeat(twice, np.diff(np.r_[cut, len(names)]))
-        names, keys = names[held].astype(np.int64) | (part << 32), keys[held]
-        order = np.argsort(keys, kind="stable")
-        return keys[order], [names[order]]
+        return keys[held], [names[held].astype(np.int64) | (part << 32)]
+
+    def distinct(keys, values):
+        both = np.unique(np.stack([keys, values[0]], 1), axis=0)
+        return both[:, 0], [both[:, 1]]
 
     rows = texts.mapInArrow(note, "part int, names binary, keys binary, counts binary")
-    found = _by_part(rows, parts, meet, "key long, names array<bigint>")
-    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    return _by_key(_by_part(rows, parts, meet, 1), parts, distinct, "key long, names array<bigint>")
+
 
+def _grouped(batches):
+    """(number, rows) of rows that come sorted by the number in their first column."""
+    now, held = None, []
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and k != now:
+                yield now, held
+                held = []
+            now = k
+            held.append(row)
+    if held:
+        yield now, held
 
-def _by_part(rows: DataFrame, parts: int, meet, schema: str) -> DataFrame:
+
+def _by_part(rows: DataFrame, parts: int, meet, n_values: int) -> DataFrame:
     """Bring the packed rows of each part together and run ``meet(part, rows)`` on one part at a time.
 
-    ``meet`` returns a sorted key array and value arrays; one row is returned
-    per key and part, with the values as lists.
+    ``meet`` returns a key array and ``n_values`` value arrays, which go on
+    packed: one row per part and bucket of keys, however many keys there are.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["bucket", "keys", *(f"v{k}" for k in range(n_values))]
 
     def run(batches):
         import pyarrow as pa
-
-        def done(part, held):
+        for part, held in _grouped(batches):
             keys, values = meet(part, held)
-            if len(keys):
-                cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                at = pa.array(np.r_[cut, len(keys)].astype(np.int32))
+            to = _part(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts)
+            order = np.argsort(to, kind="stable")
+            to, columns = to[order], [c[order] for c in (keys, *values)]
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+            ends = np.r_[cut[1:], len(to)][:len(cut)]
+            if len(cut):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[cut]), *(pa.ListArray.from_arrays(at, pa.array(v, pa.int64())) for v in values)],
+                    [pa.array(to[cut].astype(np.int32)),
+                     *(pa.array([c[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for c in columns)],
                     names=names)
-        part, held = None, []
-        for batch in batches:
-            for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and p != part:
-                    yield from done(part, held)
-                    held = []
-                part = p
-                held.append(row)
-        if held:
-            yield from done(part, held)
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in names[1:])
     return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+def _by_key(rows: DataFrame, buckets: int, settle, schema: str) -> DataFrame:
+    """One row per key, with the values as lists, of the packed rows of ``_by_part``.
+
+    ``settle`` takes all keys and values of a bucket and returns those that
+    stay, sorted by key.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+        for _, held in _grouped(batches):
+            keys, *values = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in zip(*held))
+            keys, values = settle(keys, values)
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            at = pa.array(np.r_[cut, len(keys)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[cut]), *(pa.ListArray.from_arrays(at, pa.array(v)) for v in values)], names=names)
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def radix_groups(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """Labels of the suffixes at ``starts``: equal, and not negative, exactly if they agree on ``depth`` bytes.
 
@@ -379,8 +407,7 @@ def _repeats(rows, depth: int, gram: int):
     k = np.arange(len(rec)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(cut[m], count)
     out.append((names[rec], places[rec] + inner[edge[k]], places[rec] + inner[stop[k]] + depth))
     name, start, end = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(name, kind="stable")
-    return name[order], [start[order], end[order]]
+    return name, [start, end]
 
 
 def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int,
@@ -446,33 +473,35 @@ def _packed_runs(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.
 
 def _suffix_spans(texts: DataFrame, parts: int, depth: int, gram: int, heavy: np.ndarray, more: int,
                   heavy_cores: frozenset) -> DataFrame:
-    """(name, starts, ends) of removals; ``texts`` as for ``_packed_runs``."""
+    """(name, starts, ends) of removals, one row per text; ``texts`` as for ``_packed_runs``."""
     def meet(part, rows):
         if part >= 0:
             return _repeats(rows, depth, gram)
         name, start, end = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (1, 2, 4))
-        order = np.argsort(name, kind="stable")
-        return name[order], [start[order], end[order]]
+        return name, [start, end]
 
     rows = _packed_runs(texts, parts, depth, gram, heavy, more, heavy_cores)
-    return _by_part(rows, parts + (more if len(heavy) else 0), meet, "name long, starts array<bigint>, ends array<bigint>")
+    met = _by_part(rows, parts + (more if len(heavy) else 0), meet, 2)
+    return _by_key(met, parts, merged, "name long, starts array<bigint>, ends array<bigint>")
 
 
-def merged(starts, ends) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts, ends)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(names: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(names, [starts, ends]) in order, those of a name that overlap or touch as one."""
+    order = np.lexsort((spans[0], names))
+    name, start, end = names[order], spans[0][order], spans[1][order]
+    fresh = np.r_[True, name[1:] != name[:-1]]
+    # The furthest end so far of a name: names count in the upper half, a text has less than 2^31 bytes.
+    rank = (np.cumsum(fresh) - 1) << 32
+    far = np.maximum.accumulate(rank + end) - rank
+    first = np.flatnonzero(np.r_[True, fresh[1:] | (start[1:] > far[:-1])])
+    return name[first], [start[first], far[np.r_[first[1:], len(name)] - 1]]
 
 
 OUTCOME = "name long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>"
 
 
 def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
-    """Apply the spans: ``rows`` has text, name, starts and ends (lists of lists)."""
+    """Apply the spans: ``rows`` has text, name, starts and ends (in order, apart)."""
     def run(batches):
         import pyarrow as pa
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -481,7 +510,7 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
         for batch in batches:
             out = []
             for text, name, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = merged([x for part in starts for x in part], [x for part in ends for x in part])
+                spans = list(zip(starts, ends))
                 at, kept = 0, []
                 for a, b in spans:
                     kept.append(text[at:a])
@@ -521,8 +550,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = stage(reps.join(shared, "key").select("sha", F.col("rep").alias("id"), "name", "names"), "suffix-wanted")
     sha = F.sha2("text", 256)
     held = src.select("id", sha.alias("sha"), "text").join(wanted, ["id", "sha"]).select("text", "id", "name", "names")
-    spans = stage(_suffix_spans(held, parts, depth, gram, heavy, more, heavy_cores).groupBy("name").agg(
-        F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "suffix-spans")
+    spans = stage(_suffix_spans(held, parts, depth, gram, heavy, more, heavy_cores), "suffix-spans")
     cut = stage(spans.join(reps, "name").select("sha", F.col("rep").alias("id"), "name", "starts", "ends"), "suffix-cut")
     outcome = stage(_cut(src.select("id", sha.alias("sha"), "text").join(cut, ["id", "sha"])
                          .select("text", "name", "starts", "ends"), with_text).dropDuplicates(["name"]), "suffix-outcome")

@@ -206,3 +206,31 @@ def test_runs_and_radix_groups():
     for members in groups.values():
         found = {int(label[s]) for s in members}
         assert found == {-1} if len(members) == 1 else len(found) == 1 and found != {-1}
+
+
+def test_suffix_spans_rows_follow_the_texts(spark):
+    """The passages of a text meet in many parts; they come back as one row per text, packed on the way."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    passages = [bytes(rng.choice(letters, 80)).decode() for _ in range(30)]
+    rows = [(k, "|".join([passages[j] for j in rng.permutation(30)[:20]] + [f"own {k}"])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    src = docs.selectExpr("cast(text as binary) text", "doc_id id", "doc_id name", "xxhash64(text) key")
+    none = np.zeros(0, np.int64)
+    shared = suffix_dedup._shared_anchors(src.select("text", "key"), 16, 50, 24, none)
+    assert shared.count() == shared.select("key").distinct().count() == 400
+    held = src.join(shared, "key").select("text", "id", "name", "names").cache()
+    packed = suffix_dedup._packed_runs(held, 16, 50, 24, none, 1)
+    met = suffix_dedup._by_part(packed, 16, lambda part, rows: suffix_dedup._repeats(rows, 50, 24) if part >= 0 else (
+        none, [none, none]), 2)
+    assert met.count() <= 16 * 16
+    spans = suffix_dedup._suffix_spans(held, 16, 50, 24, none, 1, frozenset())
+    assert spans.count() == spans.select("name").distinct().count() >= 390
+    cols = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert Counter(map(tuple, remove_repeats(docs).select(*cols).collect())) == brute_repeats(rows, 50)
+
+
+def test_merged_spans():
+    name, (start, end) = suffix_dedup.merged(np.array([7, 5, 5, 5, 7, 5]), [np.array([0, 90, 0, 40, 10, 5]),
+                                                                          np.array([9, 99, 60, 50, 20, 90])])
+    assert list(zip(name, start, end)) == [(5, 0, 99), (7, 0, 9), (7, 10, 20)]
