@@ -25,7 +25,8 @@ from tabloom.llm.shared import bounded, shared_folder, text_slices
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2000
 FILE_ROWS = 1_000_000
-CACHE_WORDS = 300_000     # entries of each word cache of a Python worker
+CACHE_WORDS = 100_000     # entries of each generation of the two caches, which a Python worker keeps between tasks
+SLICE_BYTES = 4 << 20     # text encoded at once
 SCHEMA = "doc_id long, part int, offset long, n_tokens long, tokens array<int>"
 
 # How the tokenizer file splits lower-cased words, and its byte alphabet: printable Latin-1 stands for
@@ -33,6 +34,8 @@ SCHEMA = "doc_id long, part int, offset long, n_tokens long, tokens array<int>"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Latin letters: composed already, and lower case does not depend on their neighbours.
 _LATIN = re.compile("[\x00-\u012f\u0131-\u023f]*")
+# A word of such letters, all of them, with signs after it.
+_PLAIN = "^(?P<body>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<tail>[.,]*)$"
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -53,6 +56,16 @@ class _Cache:
         self.new[key] = value
         return value
 
+    def all(self, keys: list) -> list:
+        found = []
+        for lo in range(0, len(keys), 10_000):
+            part = keys[lo:lo + 10_000]
+            values = list(map(self.new.get, part))
+            if None in values:
+                values = [v if v is not None else self.missing(k) for v, k in zip(values, part)]
+            found += values
+        return found
+
 
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, word by word with bounded caches.
@@ -61,7 +74,8 @@ class WordEncoder:
     never look across it (``word_bpe_49k.json``), the ids of a text are those
     of its white-space-separated words in turn; each word is encoded once.
     Plain Latin words are split here, all others by the tokenizer's own
-    normalizer and pre-tokenizer; the merges are always the library's.
+    normalizer and pre-tokenizer; the merges are always the library's. Of a
+    word of letters and signs after it only these pieces are kept.
     """
 
     def __init__(self, path: str):
@@ -73,7 +87,7 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece; one that the library cut, in its byte alphabet already, has a space before it."""
-        if piece[0] == " ":
+        if piece[:1] == " ":
             piece = piece[1:]
         elif not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
@@ -104,19 +118,8 @@ class WordEncoder:
                 self.tokenizer.normalizer.normalize_str(text))]
         return b"".join([get(p) or cache.missing(p) for p in pieces])
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        cache, found = self.words, []
-        for lo in range(0, len(words), 10_000):
-            get = cache.new.get
-            part = words[lo:lo + 10_000]
-            ids = list(map(get, part))
-            if None in ids:
-                ids = [x if x is not None else cache.missing(w) for x, w in zip(ids, part)]
-            found += ids
-        return found
-
     def encode(self, text: bytes | None) -> bytes:
-        return b"".join(self._words((text or b"").split()))
+        return b"".join(self.words.all((text or b"").split()))
 
     def encode_all(self, texts, end_id: int):
         """(ids of all texts, each with ``end_id`` after it; number of ids of each) of a binary Arrow array.
@@ -129,13 +132,41 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.binary()), b"")
         words = pc.ascii_split_whitespace(_as(texts, pa.string()))
         coded = words.values.dictionary_encode()
-        own = self._words(_as(coded.dictionary, pa.binary()).to_numpy(zero_copy_only=False).tolist())
-        at = np.cumsum([0, *map(len, own)]) // 4
-        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(own), np.int32)))
-        taken = lists.take(coded.indices)
+        taken = self._lists(coded.dictionary).take(coded.indices)
         at = taken.offsets.to_numpy()[words.offsets.to_numpy()]
         return np.insert(taken.values.to_numpy(), at[1:], end_id), np.diff(at).astype(np.int64) + 1
 
+    def _lists(self, words):
+        """Ids of different words, a list each: a run of letters and one of signs by their pieces, others by ``_word``."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        parts = pc.extract_regex(words, _PLAIN)
+        is_plain = parts.is_valid()
+        parts, others = parts.filter(is_plain), words.filter(pc.invert(is_plain))
+        bodies = pc.utf8_lower(parts.field("body")).dictionary_encode()
+        tails = parts.field("tail").dictionary_encode()
+        ids = _id_lists(self.pieces.all(_objects(bodies.dictionary)) + self.pieces.all(_objects(tails.dictionary)))
+        both = np.stack([bodies.indices.to_numpy(), tails.indices.to_numpy() + len(bodies.dictionary)], axis=1)
+        ids = ids.take(pa.array(both.reshape(-1)))
+        plain = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[::2]), ids.values)
+        place = np.empty(len(words), np.int32)
+        place[np.argsort(~is_plain.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(words))
+        rest = _id_lists(self.words.all(_objects(_as(others, pa.binary()))))
+        return pa.concat_arrays([plain, rest]).take(pa.array(place))
+
+
+def _objects(array) -> list:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _id_lists(found: list[bytes]):
+    """Arrow lists of the ids in ``found``."""
+    import numpy as np
+    import pyarrow as pa
+    at = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
 
 def _as(array, kind):
     """A binary or string Arrow array as the other of the two, bytes unchecked."""
@@ -183,7 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             _encoders[key] = (WordEncoder if by_word else TextEncoder)(tokenizer)
         encoder, part, offset = _encoders[key], TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, n in text_slices(batch.column(1), 8 << 20):
+            for lo, n in text_slices(batch.column(1), SLICE_BYTES):
                 ids, sizes = encoder.encode_all(batch.column(1).slice(lo, n), end_id)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
@@ -192,6 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
                      pa.array(offset + ends - sizes), pa.array(sizes), lists],
                     names=["doc_id", "part", "offset", "n_tokens", "tokens"])
                 offset += int(ends[-1])
+            pa.default_memory_pool().release_unused()
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     # Rows without an id are spread by arrival, not gathered in one range.

@@ -233,3 +233,18 @@ def test_word_encoder_looks_a_word_up_once_per_slice(monkeypatch):
     bad = pa.array([b"ab\xff cd\xc3", b"\xe4x"], pa.binary())
     assert encoder.encode_all(bad, 2)[0].tolist() == \
         token_files.TextEncoder(token_files.word_bpe_path()).encode_all(bad, 2)[0].tolist()
+
+
+def test_word_encoder_keeps_plain_words_by_their_pieces_only():
+    import pyarrow as pa
+    letters = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha()]
+    texts = [f"{c}{c}. x{c}y, {c}Q.,. {c}" for c in letters] + ["x1y don't \u0130s. ,", "", None]
+    found = pa.array([t and t.encode() for t in texts], pa.binary())
+    encoder = token_files.WordEncoder(token_files.word_bpe_path())
+    ids, sizes = encoder.encode_all(found, 2)
+    whole, same = token_files.TextEncoder(token_files.word_bpe_path()).encode_all(found, 2)
+    assert ids.tolist() == whole.tolist() and sizes.tolist() == same.tolist()
+    encoder = token_files.WordEncoder(token_files.word_bpe_path())
+    plain = "Some some, SOME. some,. \u00c9t\u00e9 \u00e9t\u00e9, \u00c9T\u00c9."
+    encoder.encode_all(pa.array([plain.encode()] * 3, pa.binary()), 2)
+    assert not encoder.words.new and set(encoder.pieces.new) == {"some", "\u00e9t\u00e9", "", ",", ".", ",."}
