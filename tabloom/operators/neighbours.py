@@ -3,23 +3,27 @@
 Features (and a numeric target) are divided by their standard deviation and
 moved by a tiny noise, hashed from the row, that tells equal values apart.
 
+Values travel packed: a block holds the numbers of many rows that go to the
+same range of a feature, and a range is sorted in the task that owns it.
+
 Class target: a row's radius is the distance to its k-th nearest neighbour
-among the rows of its class. The values are sorted by (feature, class, value)
-in range partitions; a group that runs over partitions gets the k values
-beyond each border as a halo. What counts is how many rows of any class lie
-nearer than the radius.
+among the rows of its class. A range holds the values of all classes; of each
+class the k values beyond its borders come as a halo. What counts is how many
+rows of any class lie nearer than the radius. (A target of so many classes
+that their halos would not fit the driver is sorted by feature, class and
+value instead.)
 
 Numeric target: the radius is the distance (larger of the two differences) to
 the k-th nearest row in the plane of feature and target. The plane is cut into
-units of bounded rows, strips of the feature and slabs of the target within a
-strip; neighbours are searched inside a unit, and rows whose radius reaches
-over its border ask the units they reach. What counts is how many rows lie
-nearer than the radius in the feature, and in the target.
+slabs of the target of bounded rows. Within a slab neighbours are searched in
+strips of the feature: rows next to each other in a strip bound the radius,
+then the rows of all strips within the bound are looked at. Rows whose radius
+reaches over the slab's border ask the slabs they reach. What counts is how
+many rows lie nearer than the radius in the feature, and in the target.
 
-Counts come from the values sorted in range partitions: a rank inside the
-partition plus the values before it. An end that lies in another partition is
-looked up in an index of a few values of each; only ends that the index leaves
-open are sorted in among all values.
+Counts are ranks of the two ends of a row's interval: an end goes to the range
+that it lies in, and its rank there comes back to the row. Ends in a row's own
+range (own slab for the target) are ranked on the spot.
 
 Features are taken in groups of about ``GROUP_ROWS`` values, whose tables are
 freed before the next group; the disk holds one group beside the staged rows.
@@ -39,12 +43,15 @@ from tabloom.session import stage_columns
 
 K = 3
 NOISE = 1e-10
-UNIT_ROWS = 1 << 16         # rows of a unit of the plane, about
-BLOCK = 256                 # rows whose neighbours are searched at once
-CELLS = 1 << 21             # distances held at once
+UNIT_ROWS = 1 << 17         # rows of a slab of the plane, about
+WINDOW = 8                  # rows on both sides in a strip that bound the radius
+CELLS = 1 << 20             # distances held at once
+RANGE_ROWS = 1 << 18        # values of a range, about
+PACK_ROWS = 1 << 19         # rows that are packed at once
 PART_ROWS = 1 << 20         # rows of a range partition, about
-GROUP_ROWS = 1 << 23        # values of the features taken together, about
+GROUP_ROWS = 20_000_000      # values of the features taken together, about
 GROUP_FEATURES = 8          # and features: the noise of many makes code too long to be compiled
+MANY_HALOS = 1 << 18        # classes times ranges of a group beyond which rows are sorted by class
 EDGE_VALUES = 256           # values at each end of a partition that the index holds
 GAPS = 64                   # widest gaps of a partition that the index holds
 
@@ -60,6 +67,16 @@ def digamma(n: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
+_PSI = digamma(np.arange(1, (1 << 16) + 1))
+
+
+def _psi_sum(m: np.ndarray) -> float:
+    """Sum of digamma of counts; a count below 1 is taken as 1."""
+    m = np.maximum(m, 1)
+    small = m <= len(_PSI)
+    return float(_PSI[m[small] - 1].sum() + digamma(m[~small]).sum())
+
+
 def scaled_rows(df: DataFrame, features: list[str], target: str, discrete: bool,
                 fill: dict[str, float] | None = None) -> DataFrame:
     """(id, x0 .. xn, y) over staged rows: scaled values with their noise; y is a class as text or a scaled number.
@@ -133,6 +150,8 @@ class _Kept:
     def free(self) -> None:
         for df in self.tables:
             df.unpersist(blocking=True)
+        if self.tables:     # shuffle files go once the driver's JVM has dropped their plans
+            self.tables[0].sparkSession.sparkContext._jvm.System.gc()
         self.tables.clear()
 
 
@@ -232,7 +251,7 @@ def near_counts(kept: _Kept, points: DataFrame, n_points: int) -> dict[int, tupl
         F.sum("m").alias("n"), F.sum("d").alias("d")).collect()}
     asked = found.where("kind IN (0, 2)")
     if n_asked := asked.count():
-        told = _ranks(kept, placed.selectExpr("f", "v", "1 AS kind", "id").union(asked.select("f", "v", "kind", "id")),
+        told = _row_ranks(kept, placed.selectExpr("f", "v", "1 AS kind", "id").union(asked.select("f", "v", "kind", "id")),
                       n_points + n_asked)
         counts = told.union(found.where("kind = 3").select("f", "id", "m")).groupBy("f", "id").agg(F.sum("m").alias("m"))
         for f, (n, d) in _mean_digamma(counts).items():
@@ -241,7 +260,7 @@ def near_counts(kept: _Kept, points: DataFrame, n_points: int) -> dict[int, tupl
     return out
 
 
-def _ranks(kept: _Kept, events: DataFrame, n_events: int) -> DataFrame:
+def _row_ranks(kept: _Kept, events: DataFrame, n_events: int) -> DataFrame:
     """(f, id, m) of the ends among ``events`` (f, v, kind, id): m = values < v for kind 0, -(values <= v) for kind 2;
     kind 1 are the values."""
     placed = _sorted(kept, events, n_events, "f", "v", "kind")
@@ -278,6 +297,141 @@ def _mean_digamma(counts: DataFrame) -> dict[int, tuple[int, float]]:
     return {r["f"]: (r["n"], r["d"]) for r in rows}
 
 
+# ── packed ranges ────────────────────────────────────────────────────────────
+
+BLOCKS = "kind int, f int, at int, origin int, n long, d double, a binary, b binary, c binary"
+NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+VALUES, ENDS, RANKS, SUMS, ASKED, OPEN = range(6)      # kinds of blocks
+
+
+def _block(kind: int, f: int, at: int, *arrays, origin: int = 0, n: int = 0, d: float = 0.0) -> tuple:
+    return (kind, f, at, origin, n, d, *(np.ascontiguousarray(v).tobytes() for v in arrays), *[b""] * (3 - len(arrays)))
+
+
+def _blocks_out(out: list[tuple], batch: bool = False):
+    import pyarrow as pa
+    kinds = [pa.int32()] * 4 + [pa.int64(), pa.float64()] + [pa.binary()] * 3
+    cols = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[] for _ in kinds], kinds)]
+    return (pa.RecordBatch if batch else pa.Table).from_arrays(cols, names=NAMES)
+
+
+def _cells(table, kind: int) -> list[dict]:
+    """The blocks of a kind, in an order that does not depend on how they came."""
+    import pyarrow.compute as pc
+    return sorted(table.filter(pc.equal(table.column("kind"), kind)).to_pylist(), key=lambda r: (r["origin"], r["a"][:64], r["a"]))
+
+
+def _joined(blocks: list[dict], name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[name] for r in blocks), kind)
+
+
+def _split(at: np.ndarray):
+    """(number, its places) of the numbers in ``at``."""
+    by = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    return [(int(at[by[a]]), by[a:b]) for a, b in _runs(at[by])] if len(at) else []
+
+
+def _by_range(df: DataFrame, groups: int) -> DataFrame:
+    """Blocks of the same feature and range together, at most ``groups`` of these."""
+    return df.repartition(max(1, min(groups, 400)), "f", "at").groupBy("f", "at")
+
+
+def _cuts(rows: DataFrame, n: int, names: list[str], size: int) -> list[np.ndarray]:
+    """Per column the upper borders of ranges of about ``size`` values, but for the last."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size == RANGE_ROWS else 1, -(-n // size))
+    parts = min(parts, max(1, n // 64))
+    if parts < 2:
+        return [np.zeros(0) for _ in names]
+    probs = [j / parts for j in range(1, parts)]
+    return [np.unique(e) for e in rows.approxQuantile(names, probs, 1 / (4 * parts))]
+
+
+def _packed(rows: DataFrame, columns: list[str], run) -> DataFrame:
+    """Blocks of ``run(arrays of the columns)``, which is given many rows at once."""
+    def pack(batches):
+        held, size = [], 0
+
+        def out():
+            cols = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            return _blocks_out(run(*cols), True)
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += len(b)
+            if size * len(columns) >= 8 * PACK_ROWS:
+                size = 0
+                yield out()
+        if held:
+            yield out()
+    return rows.select(*columns).mapInArrow(pack, BLOCKS)
+
+
+def _ends_out(f: int, cuts: np.ndarray, origin: int, who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
+    """Blocks of the ends of the rows ``who`` of ``origin``, by the range they lie in; an odd number is an upper end."""
+    end = np.concatenate([lo, hi])
+    who = np.concatenate([2 * who, 2 * who + 1]).astype(np.int32)
+    return [_block(ENDS, f, at, who[r], end[r], origin=origin) for at, r in _split(np.searchsorted(cuts, end))]
+
+
+def _ranks(blocks: DataFrame, groups: int) -> DataFrame:
+    """Of blocks of values and of ends, the ends' ranks: values below an upper end, values not above a lower one, both
+    within the end's range (``n``); and per range the number of its values."""
+    def rank(table):
+        out = []
+        values = np.sort(_joined(_cells(table, VALUES), "a", float))
+        f, at = table.column("f")[0].as_py(), table.column("at")[0].as_py()
+        for r in _cells(table, ENDS):
+            who, end = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"])
+            up = who % 2 == 1
+            m = np.empty(len(who), np.int32)
+            m[up] = np.searchsorted(values, end[up], "left")
+            m[~up] = np.searchsorted(values, end[~up], "right")
+            out.append(_block(RANKS, f, r["origin"], who, m, origin=at))
+        out.append(_block(VALUES, f, at, n=len(values)))
+        return _blocks_out(out)
+    return _by_range(blocks, groups).applyInArrow(rank, BLOCKS)
+
+
+def _before(sizes) -> dict[tuple[int, int], int]:
+    """(f, range) -> values of the feature before the range, from (f, range, number of values)."""
+    out, total = {}, {}
+    for f, at, n in sorted(map(tuple, sizes)):
+        out[f, at] = total.get(f, 0)
+        total[f] = out[f, at] + n
+    return out
+
+
+def _counted(blocks: DataFrame, groups: int, before: dict) -> dict[int, tuple[int, float]]:
+    """f -> (rows, sum of digamma(m)) over the rows of blocks of ranks; m is the upper end's rank less the lower end's."""
+    shared = blocks.sparkSession.sparkContext.broadcast(before)
+
+    def add(table):
+        f = table.column("f")[0].as_py()
+        cells = _cells(table, RANKS)
+        who = _joined(cells, "a", np.int32)
+        m = _joined(cells, "b", np.int32) + np.repeat([shared.value.get((f, r["origin"]), 0) for r in cells],
+                                                      [len(r["a"]) // 4 for r in cells])
+        size = int(who.max()) // 2 + 1
+        up = who % 2 == 1
+        count = np.zeros(size, np.int64)
+        np.add.at(count, who // 2, np.where(up, m, -m))
+        seen = np.zeros(size, bool)
+        seen[who // 2] = True
+        return _blocks_out([_block(SUMS, f, 0, n=int(seen.sum()), d=_psi_sum(count[seen]))])
+    out = _sums(_by_range(blocks, groups).applyInArrow(add, BLOCKS))
+    shared.unpersist()
+    return out
+
+
+def _sums(blocks: DataFrame) -> dict[int, tuple[int, float]]:
+    return {r["f"]: (r["n"], r["d"]) for r in blocks.where(F.col("kind") == SUMS).groupBy("f").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}
+
+
+def _add(one: dict, other: dict) -> dict[int, tuple[int, float]]:
+    return {f: tuple(map(sum, zip(one.get(f, (0, 0.0)), other.get(f, (0, 0.0))))) for f in {*one, *other}}
+
+
 # ── class target ─────────────────────────────────────────────────────────────
 
 def _kth(a: np.ndarray, k: int, lo: int, hi: int) -> np.ndarray:
@@ -299,7 +453,89 @@ def _class_terms(rows: DataFrame, k: int) -> tuple[int, float]:
     return int(weight.sum()), float((weight * (digamma(np.minimum(k, size - 1)) - digamma(size))).sum()) if len(size) else 0.0
 
 
-def _class_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, terms: tuple[int, float]) -> dict[int, float]:
+def _class_codes(rows: DataFrame, n: int) -> dict[str, int] | None:
+    """A number for each class of several rows, or None if there are too many for halos."""
+    most = MANY_HALOS // (GROUP_FEATURES * max(8, -(-n // RANGE_ROWS)))
+    found = rows.groupBy("y").count().where("count > 1").select("y").limit(most + 1).collect()
+    return {y: c for c, y in enumerate(sorted(r["y"] for r in found))} if len(found) <= most else None
+
+
+def _class_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, terms: tuple[int, float],
+                  labels: dict[str, int] | None) -> dict[int, float]:
+    near = _class_counts_by_class(kept, rows, n, which, k) if labels is None else _class_counts(kept, rows, n, which, k, labels)
+    m, sum_ = terms
+    return {j: max(0.0, float(digamma(np.array([m]))[0]) + (sum_ - near[j][1]) / m) for j in which if j in near}
+
+
+def _class_counts(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, labels: dict[str, int]) -> dict[int, tuple[int, float]]:
+    """f -> (rows, sum of digamma(m)): m is how many values lie nearer to a row than the k-th nearest of its class."""
+    sc = rows.sparkSession.sparkContext
+    cuts = dict(zip(which, _cuts(rows, n, [f"x{j}" for j in which], RANGE_ROWS)))
+    groups = sum(len(c) + 1 for c in cuts.values())
+    codes = sc.broadcast(labels)
+
+    def place(*cols):
+        label = cols[-1]
+        seen, at = np.unique(label.astype(str), return_inverse=True)
+        code = np.array([codes.value.get(v, -1) for v in seen], np.int32)[at]
+        ok = code >= 0              # rows that are alone in their class take no part
+        return [_block(VALUES, j, part, x[ok][r], code[ok][r]) for j, x in zip(which, cols)
+                for part, r in _split(np.searchsorted(cuts[j], x[ok]))]
+
+    def sort(table):
+        cells = _cells(table, VALUES)
+        x, code = _joined(cells, "a", float), _joined(cells, "b", np.int32)
+        by = np.lexsort((code, x)) if len(np.unique(x)) < len(x) else np.argsort(x)
+        x, code = x[by], code[by]
+        halo = []
+        for c, r in _split(code):
+            v, few = x[r], np.full(k, np.nan)
+            low, high = few.copy(), few.copy()
+            low[:len(v[:k])], high[:len(v[-k:])] = v[:k], v[-k:]
+            halo.append(np.r_[c, len(v), low, high])
+        return _blocks_out([_block(VALUES, cells[0]["f"], cells[0]["at"], x, code, np.array(halo), n=len(x))])
+    parts = kept(_by_range(_packed(rows, [*(f"x{j}" for j in which), "y"], place), groups).applyInArrow(sort, BLOCKS))
+    edge: dict[tuple[int, int], list] = {}
+    sizes = []
+    for f, at, size, halo in sorted(map(tuple, parts.select("f", "at", "n", "c").collect())):
+        sizes.append((f, at, size))
+        for h in np.frombuffer(halo).reshape(-1, 2 + 2 * k):
+            edge.setdefault((f, int(h[0])), []).append((at, int(h[1]), h[2:2 + k], h[2 + k:]))
+    shared = sc.broadcast(edge)
+
+    def count(batches):
+        for batch in batches:
+            for f, at, xs, cs in zip(*(batch.column(NAMES.index(c)).to_pylist() for c in ("f", "at", "a", "b"))):
+                x, code = np.frombuffer(xs), np.frombuffer(cs, np.int32)
+                d = np.empty(len(x))
+                for c, r in _split(code):
+                    others = shared.value[f, c]
+                    total = sum(o[1] for o in others)
+                    low = np.concatenate([np.zeros(0), *(o[3] for o in others if o[0] < at)])
+                    high = np.concatenate([np.zeros(0), *(o[2] for o in others if o[0] > at)])
+                    low, high = low[~np.isnan(low)][-k:], high[~np.isnan(high)][:k]
+                    d[r] = _kth(np.concatenate([low, x[r], high]), min(k, total - 1), len(low), len(low) + len(r))
+                lo, hi = _ends(x, d)
+                c = cuts[f]
+                here = (np.searchsorted(c, lo) == at) & (np.searchsorted(c, hi) == at)
+                m = np.searchsorted(x, hi[here], "left") - np.searchsorted(x, lo[here], "right")
+                far = np.flatnonzero(~here)
+                yield _blocks_out([_block(SUMS, f, at, n=int(here.sum()), d=_psi_sum(m)),
+                                   *_ends_out(f, c, at, far, lo[far], hi[far])], True)
+    found = kept(parts.mapInArrow(count, BLOCKS))
+    near = _sums(found)
+    ends = found.where(F.col("kind") == ENDS)
+    if ends.limit(1).count():
+        asked = F.broadcast(ends.select("f", "at").distinct())
+        ranks = _ranks(parts.join(asked, ["f", "at"], "left_semi").select(*NAMES).unionByName(ends), groups)
+        near = _add(near, _counted(ranks.where(F.col("kind") == RANKS), groups, _before(sizes)))
+    for one in (codes, shared):
+        one.unpersist()
+    return near
+
+
+def _class_counts_by_class(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int) -> dict[int, tuple[int, float]]:
+    """The same for a target of many classes: rows sorted by (feature, class, value)."""
     spark = rows.sparkSession
     values = F.explode(F.array(*[F.struct(F.lit(j).alias("f"), F.col(f"x{j}").alias("x")) for j in which]))
     long = rows.select("id", F.col("y").alias("label"), values.alias("v")).select("v.f", "label", "v.x", "id")
@@ -347,165 +583,204 @@ def _class_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int
         yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (f, x, d, ids)], names=["f", "v", "d", "id"])
     near = near_counts(kept, placed.mapInArrow(radii, "f int, v double, d double, id long"), n * len(which))
     shared.unpersist()
-    m, sum_ = terms
-    return {j: max(0.0, float(digamma(np.array([m]))[0]) + (sum_ - near[j][1]) / m) for j in which if j in near}
+    return near
 
 
 # ── numeric target ───────────────────────────────────────────────────────────
 
-def _wider(r: float, size: float) -> float:
+def _wider(r: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A little more than r, so that a sum with a value up to ``size`` in magnitude does not round below it."""
-    return r + 8 * float(np.spacing(size + r)) if math.isfinite(r) else r
+    return np.where(np.isfinite(r), r + 8 * np.spacing(size + np.where(np.isfinite(r), r, 0)), r)
 
 
-def nearest(x, y, px, py, k: int, reach=None, own: bool = True) -> np.ndarray:
-    """rows x k distances (larger difference) from (x, y) to the nearest of the points, which are sorted by py.
+def _strip_cuts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper borders of strips of x for rows sorted by y, about as wide as a few rows of a strip are apart in y.
 
-    ``reach`` bounds the search of each row (inf where fewer lie within); with
-    ``own`` the rows are the points themselves, and none is its own neighbour.
+    Values that only the noise tells apart stay in one strip, and values that
+    many rows have get one of their own.
     """
-    out = np.full((len(x), k), np.inf)
-    order = np.argsort(y, kind="stable")
-    for lo in range(0, len(x), BLOCK):
-        r = order[lo:lo + BLOCK]
-        if reach is None:       # a bound from the rows next to each other in py
-            a, b = max(0, lo - k), min(len(px), lo + len(r) + k)
-            first = np.maximum(np.abs(x[r, None] - px[a:b]), np.abs(y[r, None] - py[a:b]))
-            first[np.arange(len(r)), np.searchsorted(py, y[r]) - a] = np.inf
-            limit = np.partition(first, k - 1, axis=1)[:, k - 1] if first.shape[1] >= k else np.full(len(r), np.inf)
+    n = len(x)
+    wide, high = np.ptp(np.quantile(x, [0.05, 0.95])), y[int(0.95 * (n - 1))] - y[int(0.05 * (n - 1))]
+    strips = int(np.clip(math.sqrt(min(wide * n / (6 * high), n * n)) if high > 0 else 64, 64, max(64, n // 32)))
+    step = 1e4 * NOISE * max(1.0, float(np.abs(x).max()))
+    v, times = np.unique(np.round(np.quantile(x, np.linspace(0, 1, strips + 1)) / step), return_counts=True)
+    return np.unique(np.concatenate([v[1:-1] + 0.5, v[times > 1] - 0.5, v[times > 1] + 0.5])) * step
+
+
+class Plane:
+    """Points of the plane by strips of x, each sorted by y; ``py`` is sorted."""
+
+    def __init__(self, px: np.ndarray, py: np.ndarray):
+        self.n, self.px, self.py = len(px), px, py
+        self.cuts = _strip_cuts(px, py)
+        strip = np.searchsorted(self.cuts, px)
+        self.order = np.argsort(strip.astype(np.uint16) if len(self.cuts) < 1 << 16 else strip, kind="stable")
+        self.x, self.y, self.strip = px[self.order], py[self.order], strip[self.order]
+        self.key = self.strip * self.n + self.order         # by strip, then by place in y
+
+    def nearest(self, k: int) -> np.ndarray:
+        """rows x k distances (larger difference) of every point to the nearest others."""
+        n, far = self.n, np.inf
+        near = np.full((n, 2 * WINDOW), far)
+        for j in range(1, min(WINDOW, n - 1) + 1):
+            d = np.maximum(np.abs(self.x[j:] - self.x[:-j]), self.y[j:] - self.y[:-j])
+            d[self.strip[j:] != self.strip[:-j]] = far
+            near[:-j, 2 * j - 2] = near[j:, 2 * j - 1] = d
+        near = np.partition(near, k - 1, axis=1)[:, :k] if k < near.shape[1] else near
+        near = np.sort(near, axis=1)
+        bound = near[:, k - 1]
+        # Beyond the window a row of the strip is at least as far as in y, one of another strip as the strip's border.
+        j = WINDOW + 1
+        rest = np.full((2, n), far)
+        if n > j:
+            d = np.where(self.strip[j:] == self.strip[:-j], self.y[j:] - self.y[:-j], far)
+            rest[0, :-j] = rest[1, j:] = d
+        border = np.r_[-far, self.cuts, far]
+        side = np.minimum(self.x - border[self.strip], border[self.strip + 1] - self.x)
+        left = np.flatnonzero(~(bound < np.minimum(side, rest.min(axis=0))))
+        if len(left):
+            alone = left[~np.isfinite(bound[left])]         # too few in the strip: the rows next in y bound the search
+            if len(alone) and n > k:
+                at = self.order[alone, None] + np.r_[-WINDOW:0, 1:WINDOW + 1]
+                d = np.maximum(np.abs(self.x[alone, None] - self.px[np.clip(at, 0, n - 1)]),
+                               np.abs(self.y[alone, None] - self.py[np.clip(at, 0, n - 1)]))
+                d[(at < 0) | (at >= n)] = far
+                bound[alone] = np.partition(d, k - 1, axis=1)[:, k - 1]
+            near[left] = self.within(self.x[left], self.y[left], bound[left], k, left)
+        out = np.empty((n, k))
+        out[self.order] = near[:, :k]
+        return out
+
+    def within(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
+        """rows x k distances of (x, y) to the nearest points not beyond ``reach`` (inf where fewer lie within; some may lie
+        a little beyond); ``own`` are the places of rows that are points themselves, and none is its own neighbour."""
+        out = np.full((len(x), k), np.inf)
+        r = _wider(reach, np.maximum(np.abs(x), np.abs(y)))
+        first, last = np.searchsorted(self.cuts, x - r), np.searchsorted(self.cuts, x + r)
+        low, high = np.searchsorted(self.py, y - r), np.searchsorted(self.py, y + r, "right")
+        strips = last - first + 1
+        by = np.argsort(strips, kind="stable")
+        for a, b in _chunks(strips[by], CELLS // 4):
+            rows = by[a:b]
+            size = strips[rows]
+            who = np.repeat(np.arange(len(rows)), size)
+            s = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + first[rows][who]
+            start = np.searchsorted(self.key, s * self.n + low[rows][who])
+            many = np.searchsorted(self.key, s * self.n + high[rows][who]) - start
+            total = np.bincount(who, many, len(rows)).astype(np.int64)
+            head = np.cumsum(size) - size                   # a row's first strip
+            order = np.argsort(total, kind="stable")
+            for c, d in _chunks(total[order], CELLS, even=True):
+                some = order[c:d]
+                pieces = np.repeat(head[some], size[some]) + (np.arange(size[some].sum()) - np.repeat(
+                    np.cumsum(size[some]) - size[some], size[some]))
+                m = many[pieces]
+                place = np.repeat(start[pieces] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                row = np.repeat(np.arange(len(some)), total[some])
+                col = np.arange(len(row)) - np.repeat(np.cumsum(total[some]) - total[some], total[some])
+                q = rows[some]
+                dist = np.maximum(np.abs(x[q][row] - self.x[place]), np.abs(y[q][row] - self.y[place]))
+                if own is not None:
+                    dist[place == own[q][row]] = np.inf
+                grid = np.full((len(some), max(k, int(total[some[-1]]))), np.inf)
+                grid[row, col] = dist
+                out[q] = np.sort(np.partition(grid, k - 1, axis=1)[:, :k], axis=1)
+        return out
+
+
+def _chunks(sizes: np.ndarray, most: int, even: bool = False):
+    """(start, end) of runs of the ascending ``sizes`` that add up to about ``most``; if ``even``, each counts as the largest
+    of its run, at most twice the first."""
+    a = 0
+    while a < len(sizes):
+        if even:
+            b = min(int(np.searchsorted(sizes, max(16, 2 * sizes[a]), "right")), a + max(1, most // max(16, 2 * int(sizes[a]))))
         else:
-            limit = reach[r]
-        # Rows of like limits together, so that one wide search does not widen all.
-        for s in np.array_split(np.argsort(limit, kind="stable"), 8):
-            if not len(s):
-                continue
-            rows = r[s]
-            top = _wider(float(limit[s].max()), float(np.abs(y[rows]).max()))
-            a = int(np.searchsorted(py, y[rows].min() - top, side="left"))
-            b = int(np.searchsorted(py, y[rows].max() + top, side="right"))
-            for c in range(a, b, max(1, CELLS // len(rows))):
-                e = min(b, c + max(1, CELLS // len(rows)))
-                dist = np.maximum(np.abs(x[rows, None] - px[c:e]), np.abs(y[rows, None] - py[c:e]))
-                if own:
-                    self_ = np.searchsorted(py, y[rows])
-                    inside = (self_ >= c) & (self_ < e)
-                    dist[np.flatnonzero(inside), self_[inside] - c] = np.inf
-                both = np.concatenate([out[rows], dist], axis=1)
-                out[rows] = np.sort(np.partition(both, k - 1, axis=1)[:, :k], axis=1)
-    return out
+            b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), most)))
+        yield a, (a := max(b, a + 1))
 
 
-def _number_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, unit_rows: int) -> dict[int, float]:
-    spark = rows.sparkSession
+def _number_scores(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int, slabs: np.ndarray) -> dict[int, float]:
     if n < 2:
         return {j: 0.0 for j in which}
     k = min(k, n - 1)
-    names = [f"x{j}" for j in which]
-    strips = max(1, math.ceil(math.sqrt(n / unit_rows)))
-    cuts = {j: np.zeros(0) for j in which}
-    if strips > 1:
-        # Values that only the noise tells apart stay in one strip.
-        probs = [j / strips for j in range(1, strips)]
-        cuts = {j: np.unique(np.round(e, 6)) + 0.5e-6 for j, e in zip(which, rows.approxQuantile(names, probs, 1 / (4 * strips)))}
-    # The cuts travel with the value: a feature knows its own only.
-    def strip(j):
-        return F.size(F.filter(F.array(*map(F.lit, cuts[j].tolist())), lambda c: c < F.col(f"x{j}"))) if len(cuts[j]) else F.lit(0)
-    values = F.explode(F.array(*[F.struct(F.lit(j).alias("f"), F.col(f"x{j}").alias("x"), strip(j).alias("strip")) for j in which]))
-    long = rows.select("id", "y", values.alias("v")).select("id", "y", "v.*")
-    sizes = {(r["f"], r["strip"]): r["count"] for r in long.groupBy("f", "strip").count().collect()}
-    slabs: dict[tuple[int, int], np.ndarray] = {}
-    many = sorted({max(1, -(-m // unit_rows)) for m in sizes.values()})
-    if many[-1] > 1:
-        grid = np.linspace(0, 1, 1025)[1:-1]
-        found = long.groupBy("f", "strip").agg(F.percentile_approx("y", [float(g) for g in grid], 10_000).alias("ys")).collect()
-        for r in found:
-            count = max(1, -(-sizes[r["f"], r["strip"]] // unit_rows))
-            pick = np.linspace(0, len(grid) - 1, min(count, len(grid)) + 1)[1:-1].round().astype(int)
-            slabs[r["f"], r["strip"]] = np.unique(np.array(r["ys"])[pick])
-    shared = spark.sparkContext.broadcast((cuts, slabs))
-
-    def slab_of(f, s, y):
-        edges = shared.value[1].get((f, s))
-        return np.searchsorted(edges, y) if edges is not None else np.zeros(len(y), np.int64)
-
-    def place(batches):
-        import pyarrow as pa
-        for b in batches:
-            f, s, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("f", "strip", "y"))
-            out = np.zeros(len(f), np.int32)
-            for key in set(zip(f.tolist(), s.tolist())):
-                r = (f == key[0]) & (s == key[1])
-                out[r] = slab_of(*key, y[r])
-            yield b.append_column("slab", pa.array(out))
-    units = kept(long.select("f", "strip", "id", "x", "y").mapInArrow(
-        place, "f int, strip int, id long, x double, y double, slab int"))
-
-    def inside(key, table):
-        import pyarrow as pa
-        f, s, slab = (v.as_py() for v in key)
-        ids, x, y = (table.column(c).to_numpy() for c in ("id", "x", "y"))
-        by = np.argsort(y, kind="stable")
-        ids, x, y = ids[by], x[by], y[by]
-        own = nearest(x, y, x, y, k)
+    cuts = dict(zip(which, _cuts(rows, n, [f"x{j}" for j in which], RANGE_ROWS)))
+    groups, ranges = len(which) * (len(slabs) + 1), sum(len(c) + 1 for c in cuts.values())
+    target = 1 + max(which)         # the target's ranks of feature j are those of number j + target
+
+    def place(*cols):
+        y = cols[-1]
+        parts = _split(np.searchsorted(slabs, y))
+        return [_block(VALUES, j, part, y[r], x[r]) for j, x in zip(which, cols) for part, r in parts]
+
+    def inside(table):
+        cells = _cells(table, VALUES)
+        f, at = cells[0]["f"], cells[0]["at"]
+        y, x = _joined(cells, "a", float), _joined(cells, "b", float)
+        by = np.lexsort((x, y))
+        x, y = x[by], y[by]
+        own = Plane(x, y).nearest(k)
         r = own[:, k - 1]
-        cut, edges = shared.value[0][f], shared.value[1].get((f, s), np.zeros(0))
-        side = lambda e, i, v: (v - (e[i - 1] if i else -np.inf), (e[i] if i < len(e) else np.inf) - v)
-        far = np.minimum.reduce([*side(cut, s, x), *side(edges, slab, y)])
-        return pa.table([pa.array(np.full(len(x), f, np.int32)), pa.array(ids), pa.array(x), pa.array(y),
-                         pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, k, dtype=np.int32)), pa.array(own.ravel())),
-                         pa.array(r >= far), pa.array(np.full(len(x), s, np.int32)), pa.array(np.full(len(x), slab, np.int32))],
-                        names=["f", "id", "x", "y", "near", "open", "strip", "slab"])
-    found = kept(units.groupBy("f", "strip", "slab").applyInArrow(
-        inside, "f int, id long, x double, y double, near array<double>, open boolean, strip int, slab int"))
-
-    radius = found.where("NOT open").selectExpr("f", "id", "x", "y", f"near[{k - 1}] AS r")
-    if found.where("open").limit(1).count():
-        def ask(batches):       # one row per unit that the radius reaches, but for the row's own
-            import pyarrow as pa
-            cuts, slabs = shared.value
-            for b in batches:
-                out = []
-                for f, id_, x, y, near, own_s, own_b in zip(*(b.column(c).to_pylist() for c in ("f", "id", "x", "y", "near", "strip", "slab"))):
-                    r = _wider(near[k - 1], max(abs(x), abs(y)))
-                    for s in range(int(np.searchsorted(cuts[f], x - r)), int(np.searchsorted(cuts[f], x + r, side="right")) + 1):
-                        e = slabs.get((f, s), np.zeros(0))
-                        for t in range(int(np.searchsorted(e, y - r)), int(np.searchsorted(e, y + r, side="right")) + 1):
-                            if (s, t) != (own_s, own_b):
-                                out.append((f, s, t, id_, x, y, near[k - 1]))
-                if out:
-                    types = [pa.int32()] * 3 + [pa.int64()] + [pa.float64()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                     names=["qf", "qs", "qb", "id", "x", "y", "r"])
-        asked = found.where("open").mapInArrow(ask, "qf int, qs int, qb int, id long, x double, y double, r double")
-
-        def answer(key, questions, points):
-            import pyarrow as pa
-            n_asked = questions.num_rows
-            near = np.zeros((n_asked, 0))
-            if n_asked and points.num_rows:
-                px, py = points.column("x").to_numpy(), points.column("y").to_numpy()
-                by = np.argsort(py, kind="stable")
-                near = nearest(*(questions.column(c).to_numpy() for c in ("x", "y")), px[by], py[by], k,
-                               questions.column("r").to_numpy(), own=False)
-            at = np.arange(n_asked + 1) * near.shape[1]
-            return pa.table([pa.array([key[0].as_py()] * n_asked, pa.int32()),
-                             pa.array(questions.column("id").to_numpy() if n_asked else [], pa.int64()),
-                             pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(near.ravel(), pa.float64()))],
-                            names=["f", "id", "near"])
-        answers = asked.groupBy("qf", "qs", "qb").cogroup(units.selectExpr(
-            "f AS uf", "strip AS us", "slab AS ub", "x", "y").groupBy("uf", "us", "ub")).applyInArrow(
-            answer, "f int, id long, near array<double>")
-        merged = found.where("open").select("f", "id", "near").unionByName(answers).groupBy("f", "id").agg(
-            F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-        both = found.where("open").select("f", "id", "x", "y").join(
-            merged.selectExpr("f", "id", f"near[{k - 1}] AS r"), ["f", "id"])
-        radius = radius.unionByName(both)
-
-    radius = kept(radius)
-    near = [near_counts(kept, radius.select("f", F.col(c).alias("v"), F.col("r").alias("d"), "id"), n * len(which)) for c in "xy"]
-    shared.unpersist()
+        far = np.minimum(y - (slabs[at - 1] if at else -np.inf), (slabs[at] if at < len(slabs) else np.inf) - y)
+        open_ = r >= far
+        done, left = np.flatnonzero(~open_), np.flatnonzero(open_)
+        out = [_block(VALUES, f, at, y, x)]
+        lo, hi = _ends(y[done], r[done])
+        out.append(_block(SUMS, f, at, n=len(done), d=_psi_sum(np.searchsorted(y, hi, "left") - np.searchsorted(y, lo, "right"))))
+        out += [_block(VALUES, f + target, part, x[v]) for part, v in _split(np.searchsorted(cuts[f], x))]
+        out += _ends_out(f + target, cuts[f], at, done, *_ends(x[done], r[done]))
+        if len(left):
+            out.append(_block(OPEN, f, at, left.astype(np.int32), np.stack([x[left], y[left]]), own[left]))
+            wide = _wider(r[left], np.maximum(np.abs(x[left]), np.abs(y[left])))
+            first, last = np.searchsorted(slabs, y[left] - wide), np.searchsorted(slabs, y[left] + wide, "right")
+            for t in range(int(first.min()), int(last.max()) + 1):
+                q = left[(first <= t) & (t <= last)]
+                if t != at and len(q):
+                    out.append(_block(ASKED, f, t, q.astype(np.int32), np.stack([x[q], y[q], r[q]]), origin=at))
+        return _blocks_out(out)
+    found = kept(_by_range(_packed(rows, [*(f"x{j}" for j in which), "y"], place), groups).applyInArrow(inside, BLOCKS))
+    kind, mine = F.col("kind"), F.col("f") < target
+    in_target = _sums(found)
+    plane = found.where((kind == VALUES) & mine)
+    ends = found.where(kind == ENDS)
+    asked = found.where(kind == ASKED)
+    opened = found.where(kind == OPEN)
+    if opened.limit(1).count():
+        def answer(table):
+            cells, out = _cells(table, ASKED), []
+            points = _cells(table, VALUES)
+            if cells and points:
+                p = Plane(np.frombuffer(points[0]["b"]), np.frombuffer(points[0]["a"]))
+                for r in cells:
+                    x, y, reach = np.frombuffer(r["b"]).reshape(3, -1)
+                    out.append((ASKED, r["f"], r["origin"], r["at"], 0, 0.0, r["a"], p.within(x, y, reach, k).tobytes(), b""))
+            return _blocks_out(out)
+        answers = _by_range(plane.unionByName(asked), groups).applyInArrow(answer, BLOCKS)
+
+        def merge(table):
+            mine = _cells(table, OPEN)
+            if not mine:
+                return _blocks_out([])
+            f, at = mine[0]["f"], mine[0]["at"]
+            who, (x, y) = _joined(mine, "a", np.int32), _joined(mine, "b", float).reshape(2, -1)
+            near = _joined(mine, "c", float).reshape(-1, k).copy()
+            for r in _cells(table, ASKED):
+                rows_ = np.searchsorted(who, np.frombuffer(r["a"], np.int32))
+                near[rows_] = np.sort(np.concatenate([near[rows_], np.frombuffer(r["b"]).reshape(-1, k)], axis=1), axis=1)[:, :k]
+            d = near[:, k - 1]
+            return _blocks_out([*_ends_out(f, slabs, at, who, *_ends(y, d)),
+                                *_ends_out(f + target, cuts[f], at, who, *_ends(x, d))])
+        late = kept(_by_range(opened.unionByName(answers), groups).applyInArrow(merge, BLOCKS))
+        late_ends = late.where(kind == ENDS)
+        ranks = kept(_ranks(plane.unionByName(late_ends.where(mine)), groups))
+        sizes = ranks.where(kind == VALUES).select("f", "at", "n").collect()
+        in_target = _add(in_target, _counted(ranks.where(kind == RANKS), groups, _before(sizes)))
+        ends = ends.unionByName(late_ends.where(~mine))
+    ranks = kept(_ranks(found.where((kind == VALUES) & ~mine).unionByName(ends), ranges))
+    sizes = ranks.where(kind == VALUES).select("f", "at", "n").collect()
+    in_feature = _counted(ranks.where(kind == RANKS), groups, _before(sizes))
     base = float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0])
-    return {j: max(0.0, base - (near[0][j][1] + near[1][j][1]) / n) for j in which}
+    return {j: max(0.0, base - (in_feature[j + target][1] + in_target[j][1]) / n) for j in which}
 
 
 def neighbour_information(df: DataFrame, features: list[str], target: str, discrete_target: bool, digits: int = 6,
@@ -517,15 +792,18 @@ def neighbour_information(df: DataFrame, features: list[str], target: str, discr
     """
     rows = scaled_rows(df, features, target, discrete_target, fill)
     n = rows.count()
-    terms = _class_terms(rows, k) if discrete_target else None
+    if discrete_target:
+        terms, labels = _class_terms(rows, k), _class_codes(rows, n)
+    else:
+        slabs = _cuts(rows, n, ["y"], unit_rows)[0] if n else np.zeros(0)
     at_once = min(GROUP_FEATURES, max(1, GROUP_ROWS // max(1, n)))
     found: dict[int, float] = {}
     kept = _Kept()
     for lo in range(0, len(features), at_once):
         which = list(range(lo, min(lo + at_once, len(features))))
         try:
-            found.update(_class_scores(kept, rows, n, which, k, terms) if discrete_target
-                         else _number_scores(kept, rows, n, which, k, unit_rows))
+            found.update(_class_scores(kept, rows, n, which, k, terms, labels) if discrete_target
+                         else _number_scores(kept, rows, n, which, k, slabs))
         finally:
             kept.free()
     return {c: round(found.get(j, 0.0), digits) for j, c in enumerate(features)}

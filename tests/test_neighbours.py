@@ -111,3 +111,57 @@ def test_groups_are_freed_and_ends_beyond_the_index_are_counted(spark, discrete,
     assert nb.neighbour_information(df, features, target, discrete, digits=9) == pytest.approx(want, abs=1e-8)
     assert len(sorted_in) >= 3
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def brute_near(x, y, px, py, k, own):
+    d = np.maximum(np.abs(x[:, None] - px), np.abs(y[:, None] - py))
+    if own:
+        np.fill_diagonal(d, np.inf)
+    return np.sort(d, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize("shape", ["even", "dummy", "rare", "copies", "tail", "flat"])
+def test_plane_is_exact(shape):
+    rng = np.random.default_rng(11)
+    n = 1500
+    x, y = rng.normal(size=n), np.sort(rng.normal(size=n))
+    if shape in ("dummy", "rare"):
+        x = (rng.random(n) < (0.2 if shape == "dummy" else 0.002)) * 5 + 1e-10 * rng.normal(size=n)
+    if shape == "copies":
+        x, y = np.repeat(x[:100], 15), np.repeat(y[:100], 15)
+        x, y = x + 1e-10 * rng.normal(size=n), np.sort(y + 1e-10 * rng.normal(size=n))
+    if shape == "tail":
+        x = rng.standard_cauchy(n)
+    if shape == "flat":
+        y = np.sort(1e-10 * rng.normal(size=n))
+    plane = nb.Plane(x, y)
+    assert np.array_equal(plane.nearest(3), brute_near(x, y, x, y, 3, True))
+    qx, qy = rng.normal(size=40), rng.normal(size=40)
+    want = brute_near(qx, qy, x, y, 3, False)
+    got = plane.within(qx, qy, np.where(np.arange(40) % 2, want[:, 2], np.inf), 3)
+    assert np.array_equal(got, want)
+
+
+def test_a_row_is_compared_with_few_others(monkeypatch):
+    """Rows beside a row in the target only were not enough to bound the search: a row met hundreds of others."""
+    rng = np.random.default_rng(12)
+    n = 20_000
+    plane = nb.Plane(rng.random(n), np.sort(rng.random(n)))
+    seen, plain = [], np.partition
+    monkeypatch.setattr(nb.np, "partition", lambda a, *r, **o: seen.append(a.size) or plain(a, *r, **o))
+    plane.nearest(3)
+    assert sum(seen) < 120 * n
+
+
+@pytest.mark.parametrize("discrete", [True, False])
+def test_rows_travel_in_blocks(spark, discrete, monkeypatch):
+    """No shuffle of a row per value: what is kept has a row per block. Targets of many classes give the same."""
+    df, target, features = table(spark, 1500, 9), "label" if discrete else "y", ["a", "b b", "c"]
+    kept, plain = [], nb._Kept.__call__
+    monkeypatch.setattr(nb._Kept, "__call__", lambda self, d: kept.append(plain(self, d).count()) or d)
+    got = nb.neighbour_information(df, features, target, discrete, digits=9, unit_rows=200)
+    assert kept and max(kept) < 1500
+    if discrete:
+        monkeypatch.setattr(nb, "MANY_HALOS", 0)
+        assert nb.neighbour_information(df, features, target, discrete, digits=9) == pytest.approx(got, abs=1e-8)
+        assert max(kept) > 4000
