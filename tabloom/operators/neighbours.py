@@ -346,8 +346,17 @@ def _cuts(rows: DataFrame, n: int, names: list[str], size: int) -> list[np.ndarr
     return [np.unique(e) for e in rows.approxQuantile(names, probs, 1 / (4 * parts))]
 
 
-def _packed(rows: DataFrame, columns: list[str], run) -> DataFrame:
-    """Blocks of ``run(arrays of the columns)``, which is given many rows at once."""
+def _packed(rows: DataFrame, columns: list[str], run, codes: dict[str, int] | None = None) -> DataFrame:
+    """Blocks of ``run(arrays of the columns)``, which is given many rows at once; text comes as ``codes``, or -1."""
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def array(c):
+        import pyarrow as pa
+        if not (pa.types.is_string(c.type) or pa.types.is_large_string(c.type)):
+            return c.to_numpy(zero_copy_only=False)
+        c = c.dictionary_encode()
+        return np.array([shared.value.get(v, -1) for v in c.dictionary.to_pylist()], np.int32)[c.indices.to_numpy()]
+
     def pack(batches):
         held, size = [], 0
 
@@ -356,7 +365,7 @@ def _packed(rows: DataFrame, columns: list[str], run) -> DataFrame:
             held.clear()
             return _blocks_out(run(*cols), True)
         for b in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            held.append([array(c) for c in b.columns])
             size += len(b)
             if size * len(columns) >= 8 * PACK_ROWS:
                 size = 0
@@ -472,12 +481,9 @@ def _class_counts(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int
     sc = rows.sparkSession.sparkContext
     cuts = dict(zip(which, _cuts(rows, n, [f"x{j}" for j in which], RANGE_ROWS)))
     groups = sum(len(c) + 1 for c in cuts.values())
-    codes = sc.broadcast(labels)
 
     def place(*cols):
-        label = cols[-1]
-        seen, at = np.unique(label.astype(str), return_inverse=True)
-        code = np.array([codes.value.get(v, -1) for v in seen], np.int32)[at]
+        code = cols[-1]
         ok = code >= 0              # rows that are alone in their class take no part
         return [_block(VALUES, j, part, x[ok][r], code[ok][r]) for j, x in zip(which, cols)
                 for part, r in _split(np.searchsorted(cuts[j], x[ok]))]
@@ -494,7 +500,7 @@ def _class_counts(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int
             low[:len(v[:k])], high[:len(v[-k:])] = v[:k], v[-k:]
             halo.append(np.r_[c, len(v), low, high])
         return _blocks_out([_block(VALUES, cells[0]["f"], cells[0]["at"], x, code, np.array(halo), n=len(x))])
-    parts = kept(_by_range(_packed(rows, [*(f"x{j}" for j in which), "y"], place), groups).applyInArrow(sort, BLOCKS))
+    parts = kept(_by_range(_packed(rows, [*(f"x{j}" for j in which), "y"], place, labels), groups).applyInArrow(sort, BLOCKS))
     edge: dict[tuple[int, int], list] = {}
     sizes = []
     for f, at, size, halo in sorted(map(tuple, parts.select("f", "at", "n", "c").collect())):
@@ -529,8 +535,7 @@ def _class_counts(kept: _Kept, rows: DataFrame, n: int, which: list[int], k: int
         asked = F.broadcast(ends.select("f", "at").distinct())
         ranks = _ranks(parts.join(asked, ["f", "at"], "left_semi").select(*NAMES).unionByName(ends), groups)
         near = _add(near, _counted(ranks.where(F.col("kind") == RANKS), groups, _before(sizes)))
-    for one in (codes, shared):
-        one.unpersist()
+    shared.unpersist()
     return near
 
 
